@@ -232,3 +232,150 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silver_events": silver_events,
     "null_flag_semantics": null_flag_semantics,
 }
+
+
+# ------------------------------------------------------------ statistics
+from lakestone.functions.numeric import mebibytes, pairs, round_half_away  # noqa: E402
+from lakestone.operators import stats as S  # noqa: E402
+
+
+def scenario_stats(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    st = S.group_stats(ev, ["event_type"], "value", order="event_id", prefix="value", scale=6)
+    st = st.join(ev.groupBy("event_type").agg(F.count(F.lit(1)).cast("long").alias("n_events")), "event_type")
+    return S.with_bounds(st, "value_mean", "series").orderBy("event_type")
+
+
+def scenario_names(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_type").distinct()
+
+
+def top_answers(spark, sf_dir):
+    best = gold.top_row(sensor_summary(spark, sf_dir), "avg_discount", True, ["l_returnflag", "l_linestatus"])
+    best = best.select(F.lit("lowest_mean_discount").alias("question"),
+                       F.concat_ws("/", "l_returnflag", "l_linestatus").alias("answer"),
+                       F.col("avg_discount").cast("double").alias("value"))
+    done = (_t(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+            .groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")))
+    most = gold.top_row(done, "n", False, ["o_orderpriority"]).select(
+        F.lit("most_finished_orders").alias("question"), F.col("o_orderpriority").alias("answer"),
+        F.col("n").cast("double").alias("value"))
+    return best.unionByName(most)
+
+
+def scenario_cv_ratio(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events").withColumn("size_bucket", (F.col("user_id") % 10).cast("long"))
+    ratio = S.pattern_ratio(ev, "size_bucket", "event_type", "value", "view", "purchase")
+    cv = ev.groupBy("size_bucket").agg(S.coefficient_of_variation("value").alias("cv"))
+    return ratio.join(cv, "size_bucket").select(
+        "size_bucket",
+        round_half_away("view", 4).alias("avg_view"),
+        round_half_away("purchase", 4).alias("avg_purchase"),
+        round_half_away("ratio", 4).alias("ratio"),
+        round_half_away("cv", 4).alias("cv"))
+
+
+def conditional_mean_ratio(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    purchase = S.conditional_mean("value", F.col("event_type") == "purchase")
+    view = S.conditional_mean("value", F.col("event_type") == "view")
+    return ev.agg(round_half_away(purchase, 6).alias("avg_purchase"),
+                  round_half_away(view, 6).alias("avg_view"),
+                  round_half_away(purchase / view, 6).alias("ratio"))
+
+
+def scenario_union(spark, sf_dir):
+    ev = (_t(spark, sf_dir, "events").groupBy("event_type")
+          .agg(F.count(F.lit(1)).cast("double").alias("tamano_n"),
+               round_half_away(F.avg("value"), 4).alias("tiempo_s"))
+          .select(F.concat(F.lit("events_"), "event_type").alias("escenario"), "tamano_n", "tiempo_s"))
+    li = (_t(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+          .agg(round_half_away(mebibytes(F.sum("l_quantity")), 6).alias("tamano_mb"),
+               round_half_away(F.avg("l_extendedprice"), 4).alias("throughput_mb_s"))
+          .select(F.concat(F.lit("lineitem_"), "l_returnflag").alias("escenario"), "tamano_mb", "throughput_mb_s"))
+    o = (_t(spark, sf_dir, "orders").groupBy("o_orderstatus")
+         .agg(pairs(F.count(F.lit(1))).cast("double").alias("tamano_pares"),
+              F.count_distinct("o_custkey").cast("int").alias("repeticion"))
+         .select(F.concat(F.lit("orders_"), "o_orderstatus").alias("escenario"), "tamano_pares", "repeticion"))
+    return S.union_tables([ev, li, o])
+
+
+def throughput_measures(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    n = F.col("l_quantity").cast("long")
+    return li.select("l_orderkey", "l_linenumber",
+                     pairs(n).alias("n_pairs"),
+                     round_half_away(S.F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 4).alias("unit_price"),
+                     round_half_away(mebibytes(n * 1000), 6).alias("size_mb"),
+                     F.abs(F.col("l_discount") - F.lit(0.05)).alias("discount_gap"))
+
+
+def baseline_relative(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    monthly = (li.groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("month"))
+               .agg(F.sum("l_extendedprice").alias("time_s")))
+    first = monthly.agg(F.min("month").alias("__first"))
+    with_p = (monthly.crossJoin(F.broadcast(first))
+              .withColumn("p", (F.months_between("month", "__first").cast("int") + 1))
+              .drop("__first"))
+    table = S.scaling_table(with_p, "p", "time_s")
+    return table.select("month", "p",
+                        round_half_away("time_s", 2).alias("time_s"),
+                        round_half_away("speedup", 6).alias("speedup"),
+                        round_half_away("efficiency", 6).alias("efficiency"),
+                        round_half_away("overhead_s", 2).alias("overhead_s"),
+                        round_half_away("useful_time_s", 2).alias("useful_time_s"))
+
+
+def quadratic_reference(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(F.avg("l_extendedprice").alias("t_mean"))
+    curve = S.quadratic_reference(per_n, "n", "t_mean")
+    return curve.select("n", round_half_away("t_mean", 4).alias("t_mean"),
+                        round_half_away("t_pred", 4).alias("t_pred"),
+                        round_half_away(F.col("t_mean") / F.col("t_pred"), 6).alias("ratio"))
+
+
+# -------------------------------------------------------------- transform
+def heavy_transform(spark, sf_dir):
+    from lakestone.operators.transform import heavy_transform as ht
+    ev = _t(spark, sf_dir, "events")
+    out = ht(ev, user="user_id", category="event_type", value="value", text="props")
+    return out.withColumn("score", round_half_away("score", 6))
+
+
+# ------------------------------------------------------------ ranking
+# Fixed parameters of the supplier scorecard (criteria and their weights, summing to 1).
+SCORECARD_WEIGHTS = {"revenue": 0.4, "n_lines": 0.3, "avg_quantity": 0.2, "low_discount": 0.1}
+
+
+def weighted_scorecard(spark, sf_dir):
+    from lakestone.operators import ranking as K
+    li = _t(spark, sf_dir, "lineitem")
+    metrics = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        F.count(F.lit(1)).cast("double").alias("n_lines"),
+        F.avg("l_quantity").alias("avg_quantity"),
+        (F.lit(1.0) - F.avg("l_discount")).alias("low_discount"))
+    crit = list(SCORECARD_WEIGHTS)
+    maxima = metrics.agg(*[F.max(c).alias(f"__max_{c}") for c in crit])
+    scores = (metrics.crossJoin(F.broadcast(maxima))
+              .select("s_suppkey", *[(F.col(c) / F.col(f"__max_{c}")).alias(c) for c in crit]))
+    labels = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    ranked = K.weighted_ranking(spark, scores, "s_suppkey", SCORECARD_WEIGHTS, labels)
+    return ranked.select("s_suppkey", "s_name", round_half_away("score_total", 6).alias("score_total"))
+
+
+QUERIES.update({
+    "scenario_stats": scenario_stats,
+    "scenario_names": scenario_names,
+    "top_answers": top_answers,
+    "scenario_cv_ratio": scenario_cv_ratio,
+    "conditional_mean_ratio": conditional_mean_ratio,
+    "scenario_union": scenario_union,
+    "throughput_measures": throughput_measures,
+    "baseline_relative": baseline_relative,
+    "quadratic_reference": quadratic_reference,
+    "heavy_transform": heavy_transform,
+    "weighted_scorecard": weighted_scorecard,
+})

@@ -178,3 +178,133 @@ SELECT event_id, key_null, measure_high, key_repeated,
        COALESCE(NOT (key_null OR measure_high OR key_repeated), false) AS kept
 FROM f
 """
+
+ORACLE["scenario_stats"] = """
+WITH s AS (
+  SELECT event_type, ROUND(AVG(value), 6) AS value_mean, ROUND(STDDEV_SAMP(value), 6) AS value_std,
+         COUNT(value) AS value_count,
+         arg_min(value, CASE WHEN value IS NOT NULL THEN event_id END) AS value_first,
+         COUNT(*) AS n_events
+  FROM events WHERE event_type IS NOT NULL GROUP BY event_type
+)
+SELECT s.*, b.series_min, b.series_max
+FROM s CROSS JOIN (SELECT MIN(value_mean) AS series_min, MAX(value_mean) AS series_max FROM s) b
+ORDER BY event_type
+"""
+
+ORACLE["scenario_names"] = "SELECT DISTINCT event_type FROM events"
+
+ORACLE["top_answers"] = """
+(SELECT 'lowest_mean_discount' AS question, l_returnflag || '/' || l_linestatus AS answer,
+        CAST(ROUND(AVG(l_discount), 3) AS DOUBLE) AS value
+ FROM lineitem GROUP BY l_returnflag, l_linestatus
+ ORDER BY value, l_returnflag, l_linestatus LIMIT 1)
+UNION ALL
+(SELECT 'most_finished_orders', o_orderpriority, CAST(COUNT(*) AS DOUBLE)
+ FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority
+ ORDER BY COUNT(*) DESC, o_orderpriority LIMIT 1)
+"""
+
+ORACLE["scenario_cv_ratio"] = """
+WITH e AS (SELECT *, user_id % 10 AS size_bucket FROM events),
+p AS (
+  SELECT size_bucket,
+         AVG(value) FILTER (WHERE event_type = 'view') AS v,
+         AVG(value) FILTER (WHERE event_type = 'purchase') AS pu,
+         STDDEV_SAMP(value) / AVG(value) AS cv
+  FROM e GROUP BY size_bucket
+)
+SELECT size_bucket, ROUND(v, 4) AS avg_view, ROUND(pu, 4) AS avg_purchase,
+       ROUND(v / pu, 4) AS ratio, ROUND(cv, 4) AS cv
+FROM p
+"""
+
+ORACLE["conditional_mean_ratio"] = """
+SELECT ROUND(AVG(CASE WHEN event_type = 'purchase' THEN value END), 6) AS avg_purchase,
+       ROUND(AVG(CASE WHEN event_type = 'view' THEN value END), 6) AS avg_view,
+       ROUND(AVG(CASE WHEN event_type = 'purchase' THEN value END)
+             / AVG(CASE WHEN event_type = 'view' THEN value END), 6) AS ratio
+FROM events
+"""
+
+ORACLE["scenario_union"] = """
+SELECT 'events_' || event_type AS escenario, CAST(COUNT(*) AS DOUBLE) AS tamano_n,
+       ROUND(AVG(value), 4) AS tiempo_s
+FROM events GROUP BY event_type
+UNION ALL BY NAME
+SELECT 'lineitem_' || l_returnflag AS escenario,
+       ROUND(SUM(l_quantity) * 8.0 / 1048576.0, 6) AS tamano_mb,
+       ROUND(AVG(l_extendedprice), 4) AS throughput_mb_s
+FROM lineitem GROUP BY l_returnflag
+UNION ALL BY NAME
+SELECT 'orders_' || o_orderstatus AS escenario,
+       CAST((COUNT(*) * (COUNT(*) - 1)) // 2 AS DOUBLE) AS tamano_pares,
+       CAST(COUNT(DISTINCT o_custkey) AS INTEGER) AS repeticion
+FROM orders GROUP BY o_orderstatus
+"""
+
+ORACLE["throughput_measures"] = """
+SELECT l_orderkey, l_linenumber,
+       (CAST(l_quantity AS BIGINT) * (CAST(l_quantity AS BIGINT) - 1)) // 2 AS n_pairs,
+       ROUND(l_extendedprice / NULLIF(l_quantity, 0.0), 4) AS unit_price,
+       ROUND(CAST(l_quantity AS BIGINT) * 1000 * 8.0 / 1048576.0, 6) AS size_mb,
+       ABS(l_discount - 0.05) AS discount_gap
+FROM lineitem
+"""
+
+ORACLE["baseline_relative"] = """
+WITH m AS (
+  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, SUM(l_extendedprice) AS time_s
+  FROM lineitem GROUP BY 1
+), f AS (SELECT MIN(month) AS first_month FROM m),
+p AS (
+  SELECT m.month, CAST(date_diff('month', f.first_month, m.month) + 1 AS INTEGER) AS p, m.time_s
+  FROM m CROSS JOIN f
+), b AS (SELECT arg_min(time_s, p) AS t1 FROM p)
+SELECT month, p, ROUND(time_s, 2) AS time_s,
+       ROUND(t1 / time_s, 6) AS speedup,
+       ROUND(t1 / time_s / p, 6) AS efficiency,
+       ROUND(time_s - t1 / p, 2) AS overhead_s,
+       ROUND(time_s - (time_s - t1 / p), 2) AS useful_time_s
+FROM p CROSS JOIN b
+"""
+
+ORACLE["quadratic_reference"] = """
+WITH g AS (SELECT l_quantity AS n, AVG(l_extendedprice) AS t_mean FROM lineitem GROUP BY l_quantity),
+b AS (SELECT MIN(n) AS n_ref, arg_min(t_mean, n) AS t_ref FROM g),
+c AS (SELECT g.n, g.t_mean, b.t_ref * pow(g.n / b.n_ref, 2.0) AS t_pred FROM g CROSS JOIN b)
+SELECT n, ROUND(t_mean, 4) AS t_mean, ROUND(t_pred, 4) AS t_pred, ROUND(t_mean / t_pred, 6) AS ratio FROM c
+"""
+
+
+def _trig_sql(x: str, terms: int = 50) -> str:
+    acc = "0.0"
+    for i in range(terms):
+        s = f"sin({x} + {i}.0)"
+        c = f"cos({x} * {i}.0 + {i}.0)"
+        acc = f"({acc} + ({s} * {s} + {c} * {c}))"
+    return acc
+
+
+ORACLE["heavy_transform"] = f"""
+SELECT user_id, event_type AS category, ROUND({_trig_sql('value')}, 6) AS score,
+       substr(sha256(props || CAST(user_id AS VARCHAR)), 1, 8) AS hash_prefix
+FROM events
+"""
+
+ORACLE["weighted_scorecard"] = """
+WITH m AS (
+  SELECT l_suppkey AS s_suppkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue,
+         CAST(COUNT(*) AS DOUBLE) AS n_lines, AVG(l_quantity) AS avg_quantity,
+         1.0 - AVG(l_discount) AS low_discount
+  FROM lineitem GROUP BY l_suppkey
+), x AS (
+  SELECT MAX(revenue) AS mr, MAX(n_lines) AS mn, MAX(avg_quantity) AS mq, MAX(low_discount) AS md FROM m
+), s AS (
+  SELECT s_suppkey, revenue / mr * 0.4 + n_lines / mn * 0.3 + avg_quantity / mq * 0.2
+         + low_discount / md * 0.1 AS score_total
+  FROM m CROSS JOIN x
+)
+SELECT s.s_suppkey, p.s_name, ROUND(s.score_total, 6) AS score_total
+FROM s LEFT JOIN supplier p ON p.s_suppkey = s.s_suppkey
+"""
