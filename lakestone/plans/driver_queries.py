@@ -379,3 +379,194 @@ QUERIES.update({
     "heavy_transform": heavy_transform,
     "weighted_scorecard": weighted_scorecard,
 })
+
+
+# ------------------------------------------------ sources and sinks
+from lakestone import sources as io  # noqa: E402
+from lakestone.session import scratch_path  # noqa: E402
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType  # noqa: E402
+
+CUSTOMER_SCHEMA = StructType([
+    StructField("c_custkey", LongType()), StructField("c_name", StringType()),
+    StructField("c_nationkey", IntegerType()), StructField("c_acctbal", DoubleType()),
+    StructField("c_mktsegment", StringType()),
+])
+
+# Raw-text tokens written for three market segments (each must read back as NULL).
+SEGMENT_TOKENS = {"HOUSEHOLD": "NA", "MACHINERY": "null", "BUILDING": ""}
+
+
+def bronze_csv_roundtrip(spark, sf_dir):
+    cu = _t(spark, sf_dir, "customer")
+    seg = F.col("c_mktsegment")
+    token = seg
+    for value, tok in SEGMENT_TOKENS.items():
+        token = F.when(F.col("c_mktsegment") == value, F.lit(tok)).otherwise(token)
+    raw = cu.select(*[F.col(c).cast("string") for c in ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]],
+                    token.alias("c_mktsegment"))
+    path = io.write_csv(raw, scratch_path(spark, "customer_csv"))
+    return io.read_csv_tokens(spark, path, CUSTOMER_SCHEMA)
+
+
+EVENTS_SCHEMA = StructType([
+    StructField("event_id", LongType()), StructField("ts", StringType()), StructField("user_id", LongType()),
+    StructField("event_type", StringType()), StructField("value", DoubleType()), StructField("props", StringType()),
+])
+
+
+def bronze_ndjson_roundtrip(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events").select("event_id", iso_seconds("ts").alias("ts"), "user_id",
+                                           "event_type", "value", "props")
+    path = io.write_ndjson(ev, scratch_path(spark, "events_ndjson"))
+    return io.read_ndjson(spark, path, EVENTS_SCHEMA)
+
+
+def parquet_roundtrip(spark, sf_dir):
+    path = io.write_parquet(_t(spark, sf_dir, "lineitem"), scratch_path(spark, "lineitem_parquet"))
+    return io.read_parquet(spark, path)
+
+
+def lake_upload(spark, sf_dir):
+    lake = scratch_path(spark, "lake")
+    uploaded = io.upload_tables(spark, io.discover(spark, sf_dir, "*.parquet"), lake)
+    names = [u.rsplit("/", 1)[-1][:-len(".parquet")] for u in uploaded]
+    return gold.table_totals(spark, lake, names)
+
+
+def object_inventory(spark, sf_dir):
+    return io.inventory(spark, sf_dir, "*.parquet").select("object_name", "size_bytes", "size_kb")
+
+
+# --------------------------------------------------- pipeline, catalog, lineage (M1-M8)
+from lakestone.plans import catalog as C  # noqa: E402
+from lakestone.plans import medallion as M  # noqa: E402
+
+_RUNS: dict = {}
+
+
+def events_sources(sf_dir: str) -> list:
+    rules = {
+        "type_unknown": R.not_in("event_type", ["view", "click", "purchase", "signup"]),
+        "value_outside": R.outside("value", 1.0, 300.0),
+        "late_month": R.starts_with("ts", "2024-01-3"),
+        "event_repeated": R.duplicated("event_id"),
+    }
+    return [M.SourceSpec(
+        name="events.parquet", path=f"{sf_dir.rstrip('/')}/events.parquet", fmt="parquet", schema=None,
+        bronze="events_raw", silver="events_clean", rules=rules, casts={"ts": "timestamp_ntz"},
+        prepare=lambda df: df.select("event_id", iso_seconds("ts").alias("ts"), "user_id",
+                                     "event_type", "value", "props"))]
+
+
+def events_golds() -> list:
+    by_day = (["event_type", F.to_date("ts").alias("fecha")],
+              [Measure("avg_value", "avg", "value", 3), Measure("n_events", "count")],
+              [("avg_value", "asc")])
+    by_type = (["event_type"],
+               [Measure("n_events", "count"), Measure("n_users", "count_distinct", "user_id")],
+               [("n_events", "desc")])
+    return [M.GoldSpec("events_by_day", "events_clean", by_day, "which days had the highest values"),
+            M.GoldSpec("events_by_type", "events_clean", by_type, "which event types are most common")]
+
+
+def events_run(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = M.run(spark, events_sources(sf_dir), events_golds(), scratch_path(spark, "medallion"))
+    return _RUNS[key]
+
+
+def medallion_summary(spark, sf_dir):
+    return M.run_summary(spark, events_run(spark, sf_dir))
+
+
+def lineage_table(spark, sf_dir):
+    return C.lineage_rows(spark, events_run(spark, sf_dir))
+
+
+def quality_document(spark, sf_dir):
+    runinfo = events_run(spark, sf_dir)
+    path = C.write_document(spark, C.quality_document(runinfo), scratch_path(spark, "quality_doc"))
+    doc = io.read_json_document(spark, path)
+    out = None
+    for source in doc.schema["fuentes"].dataType.fieldNames():
+        base = f"fuentes.`{source}`"
+        rules = doc.schema["fuentes"].dataType[source].dataType["por_regla"].dataType.fieldNames()
+        entries = [F.struct(F.lit(r).alias("regla"),
+                            F.col(f"{base}.por_regla.`{r}`.total_invalidos").cast("long").alias("total_invalidos"),
+                            F.col(f"{base}.por_regla.`{r}`.porcentaje").cast("double").alias("porcentaje"))
+                   for r in rules if r != R.SUMMARY_RULE]
+        part = doc.select(F.lit(source).alias("fuente"),
+                          F.col(f"{base}.filas_validas").cast("long").alias("filas_validas"),
+                          F.inline(F.array(*entries)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+EVENTS_CATALOG = {
+    "events": ("User events.", [
+        C.Field("event_id", "bigint", True, "Not null. Unique."),
+        C.Field("ts", "timestamp", True, "Not null."),
+        C.Field("user_id", "bigint", True, "Not null."),
+        C.Field("event_type", "string", True, "Values: view, click, purchase, signup, error."),
+        C.Field("value", "double", False, "Range 1-300."),
+        C.Field("props", "string", False, "JSON text.", descripcion="Event properties."),
+        C.Field("session_id", "string", False, "Declared but not delivered."),
+    ]),
+}
+
+
+def field_catalog(spark, sf_dir):
+    fields = C.field_table(C.catalog_frame(spark, EVENTS_CATALOG))
+    ev = _t(spark, sf_dir, "events").withColumn(
+        "value", F.when(F.col("event_type") != "error", F.col("value")))
+    checked = C.check_catalog(fields, ev, "events")
+    return checked.select("nombre", "tipo", "obligatorio", "regla", "descripcion", "filas", "nulos", "cumple")
+
+
+def evidence_summary(spark, sf_dir):
+    """Eight findings as text rows, from the tables and the run's own documents."""
+    from lakestone.functions.numeric import round_half_away as rh
+    runinfo = events_run(spark, sf_dir)
+    ev = _t(spark, sf_dir, "events")
+    two = lambda c: F.format_string("%.2f", rh(c, 2))
+    means = ev.agg(
+        two(S.conditional_mean("value", F.col("event_type") == "click")).alias("click_mean"),
+        two(S.conditional_mean("value", F.col("event_type") == "purchase")
+            / S.conditional_mean("value", F.col("event_type") == "view")).alias("ratio"))
+    qpath = C.write_document(spark, C.quality_document(runinfo), scratch_path(spark, "evidence_quality"))
+    lpath = C.write_document(spark, C.lineage_document(runinfo, "events_pipeline"), scratch_path(spark, "evidence_lineage"))
+    quality = io.read_json_document(spark, qpath).select("fuentes.events_clean.*")
+    lineage = io.read_json_document(spark, lpath).select(F.size("etapas.gold").alias("n_gold"))
+    lake = gold.table_totals(spark, sf_dir, ["events", "orders"])
+    row = lambda src, what, val, unit: (F.lit(src).alias("fuente"), F.lit(what).alias("hallazgo"),
+                                       val.cast("string").alias("valor"), F.lit(unit).alias("unidad"))
+    parts = [
+        means.select(*row("events", "mean click value", F.col("click_mean"), "value")),
+        means.select(*row("events", "purchase/view mean ratio", F.col("ratio"), "x")),
+        quality.select(*row("pipeline", "valid rows in silver", F.col("filas_validas"), "rows")),
+        quality.select(*row("pipeline", "rows in bronze", F.col("filas_entrada"), "rows")),
+        quality.select(*row("pipeline", "error rate", F.format_string("%.2f%%", F.col("tasa_error_pct")), "percent")),
+        lineage.select(*row("pipeline", "gold tables", F.col("n_gold"), "tables")),
+        lake.filter(F.col("tabla") == "total").select(*row("lake", "rows in lake", F.col("filas"), "rows")),
+        lake.filter(F.col("tabla") != "total").agg(F.count(F.lit(1)).alias("n"))
+            .select(*row("lake", "parquet datasets", F.col("n"), "files")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+QUERIES.update({
+    "bronze_csv_roundtrip": bronze_csv_roundtrip,
+    "bronze_ndjson_roundtrip": bronze_ndjson_roundtrip,
+    "parquet_roundtrip": parquet_roundtrip,
+    "lake_upload": lake_upload,
+    "object_inventory": object_inventory,
+    "medallion_summary": medallion_summary,
+    "lineage_table": lineage_table,
+    "quality_document": quality_document,
+    "field_catalog": field_catalog,
+    "evidence_summary": evidence_summary,
+})

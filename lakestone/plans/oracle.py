@@ -308,3 +308,116 @@ WITH m AS (
 SELECT s.s_suppkey, p.s_name, ROUND(s.score_total, 6) AS score_total
 FROM s LEFT JOIN supplier p ON p.s_suppkey = s.s_suppkey
 """
+
+ORACLE["bronze_csv_roundtrip"] = """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal,
+       CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY', 'BUILDING') THEN NULL ELSE c_mktsegment END
+         AS c_mktsegment
+FROM customer
+"""
+
+ORACLE["bronze_ndjson_roundtrip"] = f"""
+SELECT event_id, strftime(ts, {ISO}) AS ts, user_id, event_type, value, props FROM events
+"""
+
+ORACLE["parquet_roundtrip"] = "SELECT * FROM lineitem"
+
+_ALL_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+               "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+ORACLE["lake_upload"] = (
+    "\nUNION ALL ".join(f"SELECT '{t}' AS tabla, (SELECT COUNT(*) FROM {t}) AS filas" for t in _ALL_TABLES)
+    + "\nUNION ALL SELECT 'total', " + " + ".join(f"(SELECT COUNT(*) FROM {t})" for t in _ALL_TABLES)
+)
+
+# Silver of the events pipeline: the rows and flags the medallion run sees.
+_EVENTS_FLAGGED = f"""
+  SELECT *, (e1 OR e2 OR e3 OR e4) AS any_error FROM (
+    SELECT b.*, event_type NOT IN ('view', 'click', 'purchase', 'signup') AS e1,
+           (value < 1.0 OR value > 300.0) AS e2, starts_with(ts, '2024-01-3') AS e3,
+           COUNT(*) OVER (PARTITION BY event_id) > 1 AS e4
+    FROM (SELECT event_id, strftime(ts, {ISO}) AS ts, user_id, event_type, value, props FROM events) b
+  ) x
+"""
+
+_EVENTS_CTE = f"""
+WITH f AS ({_EVENTS_FLAGGED}),
+s AS (SELECT *, CAST(strptime(ts, {ISO}) AS DATE) AS fecha FROM f WHERE NOT any_error),
+n AS (
+  SELECT (SELECT COUNT(*) FROM f) AS n_in, (SELECT COUNT(*) FROM s) AS n_kept,
+         (SELECT COUNT(*) FROM f WHERE any_error) AS n_invalid,
+         (SELECT COUNT(*) FROM (SELECT DISTINCT event_type, fecha FROM s)) AS n_day,
+         (SELECT COUNT(DISTINCT event_type) FROM s) AS n_type,
+         (SELECT COUNT(*) FILTER (WHERE e1) FROM f) AS c1, (SELECT COUNT(*) FILTER (WHERE e2) FROM f) AS c2,
+         (SELECT COUNT(*) FILTER (WHERE e3) FROM f) AS c3, (SELECT COUNT(*) FILTER (WHERE e4) FROM f) AS c4
+)
+"""
+
+ORACLE["medallion_summary"] = _EVENTS_CTE + """
+SELECT n_in AS bronze_rows, n_kept AS silver_rows, n_in - n_kept AS dropped_rows,
+       n_invalid AS invalid_rows, CAST(2 AS BIGINT) AS gold_tables, n_day + n_type AS gold_rows
+FROM n
+"""
+
+ORACLE["lineage_table"] = _EVENTS_CTE + """
+SELECT 'bronze' AS etapa, 'events' AS origen, 'events_raw' AS destino, n_in AS filas_entrada, n_in AS filas_salida FROM n
+UNION ALL SELECT 'silver', 'events_raw', 'events_clean', n_in, n_kept FROM n
+UNION ALL SELECT 'gold', 'events_clean', 'events_by_day', n_kept, n_day FROM n
+UNION ALL SELECT 'gold', 'events_clean', 'events_by_type', n_kept, n_type FROM n
+"""
+
+_PCT = "CASE WHEN n_in > 0 THEN ROUND({x} / n_in * 100.0, 2) ELSE 0.0 END"
+
+ORACLE["quality_document"] = _EVENTS_CTE + f"""
+SELECT 'events_clean' AS fuente, n_kept AS filas_validas, 'type_unknown' AS regla, c1 AS total_invalidos,
+       {_PCT.format(x='c1')} AS porcentaje FROM n
+UNION ALL SELECT 'events_clean', n_kept, 'value_outside', c2, {_PCT.format(x='c2')} FROM n
+UNION ALL SELECT 'events_clean', n_kept, 'late_month', c3, {_PCT.format(x='c3')} FROM n
+UNION ALL SELECT 'events_clean', n_kept, 'event_repeated', c4, {_PCT.format(x='c4')} FROM n
+"""
+
+ORACLE["field_catalog"] = """
+WITH e AS (SELECT event_id, ts, user_id, event_type,
+                  CASE WHEN event_type <> 'error' THEN value END AS value, props FROM events),
+c AS (
+  SELECT COUNT(*) AS filas, COUNT(*) - COUNT(event_id) AS n_event_id, COUNT(*) - COUNT(ts) AS n_ts,
+         COUNT(*) - COUNT(user_id) AS n_user_id, COUNT(*) - COUNT(event_type) AS n_event_type,
+         COUNT(*) - COUNT(value) AS n_value, COUNT(*) - COUNT(props) AS n_props
+  FROM e
+), k(nombre, tipo, obligatorio, regla, descripcion) AS (VALUES
+  ('event_id', 'bigint', true, 'Not null. Unique.', ''),
+  ('ts', 'timestamp', true, 'Not null.', ''),
+  ('user_id', 'bigint', true, 'Not null.', ''),
+  ('event_type', 'string', true, 'Values: view, click, purchase, signup, error.', ''),
+  ('value', 'double', false, 'Range 1-300.', ''),
+  ('props', 'string', false, 'JSON text.', 'Event properties.'),
+  ('session_id', 'string', false, 'Declared but not delivered.', '')
+), u AS (
+  SELECT 'event_id' AS nombre, filas, n_event_id AS nulos FROM c
+  UNION ALL SELECT 'ts', filas, n_ts FROM c UNION ALL SELECT 'user_id', filas, n_user_id FROM c
+  UNION ALL SELECT 'event_type', filas, n_event_type FROM c UNION ALL SELECT 'value', filas, n_value FROM c
+  UNION ALL SELECT 'props', filas, n_props FROM c
+)
+SELECT k.nombre, k.tipo, k.obligatorio, k.regla, k.descripcion, u.filas, u.nulos,
+       COALESCE(NOT k.obligatorio OR u.nulos = 0, false) AS cumple
+FROM k LEFT JOIN u ON k.nombre = u.nombre
+"""
+
+ORACLE["evidence_summary"] = _EVENTS_CTE + """
+, m AS (
+  SELECT printf('%.2f', ROUND(AVG(CASE WHEN event_type = 'click' THEN value END), 2)) AS click_mean,
+         printf('%.2f', ROUND(AVG(CASE WHEN event_type = 'purchase' THEN value END)
+                              / AVG(CASE WHEN event_type = 'view' THEN value END), 2)) AS ratio
+  FROM events
+)
+SELECT 'events' AS fuente, 'mean click value' AS hallazgo, click_mean AS valor, 'value' AS unidad FROM m
+UNION ALL SELECT 'events', 'purchase/view mean ratio', ratio, 'x' FROM m
+UNION ALL SELECT 'pipeline', 'valid rows in silver', CAST(n_kept AS VARCHAR), 'rows' FROM n
+UNION ALL SELECT 'pipeline', 'rows in bronze', CAST(n_in AS VARCHAR), 'rows' FROM n
+UNION ALL SELECT 'pipeline', 'error rate',
+       printf('%.2f%%', CASE WHEN n_in > 0 THEN ROUND((n_in - n_kept) / n_in * 100.0, 2) ELSE 0.0 END),
+       'percent' FROM n
+UNION ALL SELECT 'pipeline', 'gold tables', '2', 'tables'
+UNION ALL SELECT 'lake', 'rows in lake', CAST((SELECT COUNT(*) FROM events) + (SELECT COUNT(*) FROM orders) AS VARCHAR), 'rows'
+UNION ALL SELECT 'lake', 'parquet datasets', '2', 'files'
+"""

@@ -39,7 +39,7 @@ def write_json_document(df: DataFrame, path: str) -> str:
 
 
 def upload_tables(spark: SparkSession, paths: Iterable[str], lake_uri: str) -> list[str]:
-    """Copy each Parquet dataset to ``{lake_uri}/{stem}``, replacing what is there.
+    """Copy each Parquet dataset to ``{lake_uri}/{stem}.parquet``, replacing what is there.
 
     Each copy is a distributed read and write; the driver only loops over names.
     """
@@ -47,7 +47,7 @@ def upload_tables(spark: SparkSession, paths: Iterable[str], lake_uri: str) -> l
     for p in paths:
         stem = p.rstrip("/").rsplit("/", 1)[-1]
         stem = stem[:-len(".parquet")] if stem.endswith(".parquet") else stem
-        target = f"{lake_uri.rstrip('/')}/{stem}"
+        target = f"{lake_uri.rstrip('/')}/{stem}.parquet"
         spark.read.parquet(p).write.mode("overwrite").parquet(target)
         out.append(target)
     return out
