@@ -41,12 +41,17 @@ def uniform(key, salt: str, low: float, high: float) -> Column:
     return F.lit(float(low)) + F.lit(float(high - low)) * uniform01(key, salt)
 
 
-def normal(key, salt: str, mean: float, std: float) -> Column:
-    """Box-Muller normal from two independent uniforms of the same key."""
+def std_normal(key, salt: str) -> Column:
+    """Standard normal by Box-Muller from two independent uniforms of the same key."""
     u1 = uniform01(key, salt + ".a")
     u2 = uniform01(key, salt + ".b")
-    z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(TWO_PI) * u2)
-    return F.lit(float(mean)) + F.lit(float(std)) * z
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(TWO_PI) * u2)
+
+
+def normal(key, salt: str, mean, std: float) -> Column:
+    """``mean + std * z``; ``mean`` may be a number or a column."""
+    m = mean if isinstance(mean, Column) else F.lit(float(mean))
+    return m + F.lit(float(std)) * std_normal(key, salt)
 
 
 def randint(key, salt: str, low: int, high: int) -> Column:
@@ -64,14 +69,21 @@ def choice(key, salt: str, values: Sequence) -> Column:
     return expr
 
 
+def cumulative_thresholds(weights: Sequence[float]) -> list[float]:
+    """Upper bounds of each choice but the last on the unit interval."""
+    total = float(sum(weights))
+    acc, out = 0.0, []
+    for w in weights[:-1]:
+        acc += w / total
+        out.append(acc)
+    return out
+
+
 def weighted_choice(key, salt: str, values: Sequence, weights: Sequence[float]) -> Column:
     """One of ``values`` with the given probabilities (cumulative thresholds)."""
     u = uniform01(key, salt)
-    total = float(sum(weights))
-    acc = 0.0
     expr = None
-    for v, w in zip(values[:-1], weights[:-1]):
-        acc += w / total
+    for v, acc in zip(values[:-1], cumulative_thresholds(weights)):
         expr = F.when(u < F.lit(acc), F.lit(v)) if expr is None else expr.when(u < F.lit(acc), F.lit(v))
     last = F.lit(values[-1])
     return last if expr is None else expr.otherwise(last)

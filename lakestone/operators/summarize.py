@@ -55,9 +55,18 @@ def order_columns(order: Sequence[tuple[str, str]], keys: Sequence[str]) -> list
     return cols + [F.col(k).asc_nulls_last() for k in keys if k not in named]
 
 
+def key_column(k) -> Column:
+    """A group key: a column name, an ``(alias, sql_expression)`` pair, or a Column."""
+    if isinstance(k, str):
+        return F.col(k)
+    if isinstance(k, tuple):
+        return F.expr(k[1]).alias(k[0])
+    return k
+
+
 def summarize(df: DataFrame, keys: Sequence[Column | str], measures: Sequence[Measure],
               order: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    key_cols = [key_column(k) for k in keys]
     out = df.groupBy(*key_cols).agg(*[_aggregate(df, m) for m in measures])
     key_names = [c for c in out.columns if c not in {m.name for m in measures}]
     if order:

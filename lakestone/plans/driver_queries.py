@@ -570,3 +570,59 @@ QUERIES.update({
     "field_catalog": field_catalog,
     "evidence_summary": evidence_summary,
 })
+
+
+# --------------------------------------------- generation and injection
+from lakestone.plans import generate as G  # noqa: E402
+
+
+def _event_index(spark, sf_dir):
+    """The events ids (0..n-1) serve as the generator's row index."""
+    idx = _t(spark, sf_dir, "events").select(F.col("event_id").alias("i"))
+    return idx, idx.count()
+
+
+def generated_readings(spark, sf_dir):
+    idx, n = _event_index(spark, sf_dir)
+    return G.readings_from_index(idx, n // 5)
+
+
+def generated_events(spark, sf_dir):
+    idx, _ = _event_index(spark, sf_dir)
+    return G.events_from_index(idx)
+
+
+def generated_records(spark, sf_dir):
+    idx, _ = _event_index(spark, sf_dir)
+    return G.records_from_index(idx).withColumn("value", round_half_away("value", 6))
+
+
+def _injected_readings(spark, sf_dir):
+    idx, n = _event_index(spark, sf_dir)
+    nps = n // 5
+    base = G.readings_from_index(idx, nps)
+    return G.inject_reading_errors(base, G.error_count(nps * 5, 0.10, 8))
+
+
+def injected_readings(spark, sf_dir):
+    return _injected_readings(spark, sf_dir).select(*G.READING_COLUMNS)
+
+
+def injected_events(spark, sf_dir):
+    idx, n = _event_index(spark, sf_dir)
+    out = G.inject_event_errors(G.events_from_index(idx), n, G.error_count(n, 0.10, 5))
+    return out.select(*G.EVENT_COLUMNS)
+
+
+def injection_counts(spark, sf_dir):
+    return G.injected_counts(_injected_readings(spark, sf_dir))
+
+
+QUERIES.update({
+    "generated_readings": generated_readings,
+    "generated_events": generated_events,
+    "generated_records": generated_records,
+    "injected_readings": injected_readings,
+    "injected_events": injected_events,
+    "injection_counts": injection_counts,
+})

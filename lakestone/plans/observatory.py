@@ -7,8 +7,6 @@ thresholds, output column names).  They are listed plainly and together.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lakestone.operators.rules import (above, below, duplicated, equals, is_null, not_in,
                                        outside, starts_with)
 from lakestone.operators.summarize import Measure
@@ -67,7 +65,7 @@ def events_rules(future_prefix: str = FUTURE_PREFIX) -> dict:
 
 # Gold table specs: (keys, measures, order).  Output names are fixed values.
 CONDITIONS_BY_NIGHT = (
-    ["sensor_id", "ubicacion", F.to_date("timestamp").alias("fecha")],
+    ["sensor_id", "ubicacion", ("fecha", "to_date(`timestamp`)")],
     [
         Measure("seeing_promedio", "avg", "seeing_arcsec", 3),
         Measure("seeing_minimo", "min", "seeing_arcsec", 3),

@@ -421,3 +421,168 @@ UNION ALL SELECT 'pipeline', 'gold tables', '2', 'tables'
 UNION ALL SELECT 'lake', 'rows in lake', CAST((SELECT COUNT(*) FROM events) + (SELECT COUNT(*) FROM orders) AS VARCHAR), 'rows'
 UNION ALL SELECT 'lake', 'parquet datasets', '2', 'files'
 """
+
+# ------------------------------------------------------------------ generators (hash draws)
+from lakestone.plans import observatory as _obs  # noqa: E402
+from lakestone.plans import oracle_draws as D  # noqa: E402
+
+
+def _rh(x: str, k: int) -> str:
+    return f"ROUND({x}, {k})"
+
+
+def _readings_base_sql() -> str:
+    s = "42:r"
+    sensor = "(i // nps)"
+    ts = f"(TIMESTAMP '{_obs.READINGS_START}' + to_minutes(CAST((i % nps) * {_obs.READINGS_STEP_MINUTES} AS BIGINT)))"
+    adj = f"(CASE WHEN hour({ts}) BETWEEN 2 AND 5 THEN {D.dbl(-1.5)} ELSE {D.dbl(0.0)} END)"
+    return f"""
+idx AS (SELECT event_id AS i FROM events),
+n AS (SELECT COUNT(*) // 5 AS nps FROM idx),
+base AS (
+  SELECT i,
+    {D.pick(sensor, _obs.SENSORS)} AS sensor_id,
+    strftime({ts}, {ISO}) AS timestamp,
+    {D.pick(sensor, _obs.LOCATIONS)} AS ubicacion,
+    {_rh(f"({D.dbl(16.8)} + {adj}) + {D.dbl(1.5)} * {D.std_normal('i', s + ':temp')}", 2)} AS temperatura_c,
+    {_rh(D.uniform('i', s + ':hum', 3.0, 20.0), 1)} AS humedad_pct,
+    {_rh(f"abs({D.dbl(5.3)} + {D.dbl(2.1)} * {D.std_normal('i', s + ':wind')})", 2)} AS velocidad_viento_ms,
+    {_rh(f"{D.dbl(745.0)} + {D.dbl(2.5)} * {D.std_normal('i', s + ':pres')}", 2)} AS presion_hpa,
+    {_rh(f"abs({D.dbl(0.64)} + {D.dbl(0.25)} * {D.std_normal('i', s + ':see')})", 3)} AS seeing_arcsec,
+    {_rh(D.uniform('i', s + ':tra', 0.65, 1.0), 3)} AS transparencia
+  FROM idx, n WHERE i >= 0 AND i < 5 * nps
+)"""
+
+
+_READING_COLS = ("sensor_id, timestamp, ubicacion, temperatura_c, humedad_pct, velocidad_viento_ms, "
+                 "presion_hpa, seeing_arcsec, transparencia")
+
+ORACLE["generated_readings"] = "WITH " + _readings_base_sql() + f"\nSELECT i, {_READING_COLS} FROM base"
+
+
+def _future_sql(key: str, salt: str, hour: str | None = None, minute: str | None = None) -> str:
+    hh = hour if hour is not None else D.randint(key, salt + ":h", 0, 23)
+    mm = minute if minute is not None else D.randint(key, salt + ":n", 0, 59)
+    return (f"printf('{_obs.FUTURE_PREFIX}-%02d-%02dT%02d:%02d:00', {D.randint(key, salt + ':m', 1, 12)}, "
+            f"{D.randint(key, salt + ':d', 1, 28)}, {hh}, {mm})")
+
+
+def _hit(salt: str) -> str:
+    return f"(row_number() OVER (ORDER BY {D.score('i', salt)}, i) <= nerr)"
+
+
+def _injected_readings_sql() -> str:
+    s = "42:e"
+    steps = [
+        ("temperatura_c", D.dbl(_obs.TEMPERATURE_SENTINEL)),
+        ("humedad_pct", _rh(D.uniform("i", s + ":v2", 105.0, 200.0), 1)),
+        ("sensor_id", "CAST(NULL AS VARCHAR)"),
+        ("timestamp", _future_sql("i", s + ":v4")),
+        ("seeing_arcsec", _rh(D.uniform("i", s + ":v5", -2.0, -0.1), 3)),
+        ("presion_hpa", _rh(D.uniform("i", s + ":v6", 1010.0, 1020.0), 2)),
+        ("transparencia", _rh(D.uniform("i", s + ":v7", 1.5, 3.0), 3)),
+    ]
+    ctes = [_readings_base_sql().strip(),
+            "k AS (SELECT GREATEST(1, CAST(floor((5 * nps) * 0.1::DOUBLE / 8.0::DOUBLE) AS BIGINT)) AS nerr FROM n)"]
+    prev = "base"
+    for j, (col, val) in enumerate(steps, start=1):
+        ctes.append(f"e{j} AS (SELECT * EXCLUDE (nerr) REPLACE (CASE WHEN {_hit(s + f':pick{j}')} THEN {val} "
+                    f"ELSE {col} END AS {col}) FROM {prev}, k)")
+        prev = f"e{j}"
+    ctes.append(f"cp AS (SELECT {prev}.* FROM {prev}, k QUALIFY {_hit(s + ':pick8')})")
+    ctes.append(f"allr AS (SELECT * FROM {prev} UNION ALL SELECT * FROM cp)")
+    return "WITH " + ",\n".join(ctes)
+
+
+ORACLE["injected_readings"] = _injected_readings_sql() + f"\nSELECT {_READING_COLS} FROM allr"
+
+ORACLE["injection_counts"] = _injected_readings_sql() + """,
+c AS (
+  SELECT COUNT(*) AS rows_,
+    COUNT(*) FILTER (WHERE TRY_CAST(CAST(temperatura_c AS VARCHAR) AS DOUBLE) = -999) AS temperatura,
+    COUNT(*) FILTER (WHERE TRY_CAST(CAST(humedad_pct AS VARCHAR) AS DOUBLE) > 100) AS humedad,
+    COUNT(*) FILTER (WHERE sensor_id IS NULL) AS sensor_nulo,
+    COUNT(*) FILTER (WHERE starts_with(timestamp, '2027')) AS timestamp_futuro,
+    COUNT(*) FILTER (WHERE TRY_CAST(CAST(seeing_arcsec AS VARCHAR) AS DOUBLE) < 0) AS seeing,
+    COUNT(*) FILTER (WHERE TRY_CAST(CAST(presion_hpa AS VARCHAR) AS DOUBLE) > 900) AS presion,
+    COUNT(*) FILTER (WHERE TRY_CAST(CAST(transparencia AS VARCHAR) AS DOUBLE) > 1) AS transparencia
+  FROM allr
+), l AS (
+  SELECT 'temperatura' AS tipo, temperatura AS filas, rows_ FROM c
+  UNION ALL SELECT 'humedad', humedad, rows_ FROM c
+  UNION ALL SELECT 'sensor_nulo', sensor_nulo, rows_ FROM c
+  UNION ALL SELECT 'timestamp_futuro', timestamp_futuro, rows_ FROM c
+  UNION ALL SELECT 'seeing', seeing, rows_ FROM c
+  UNION ALL SELECT 'presion', presion, rows_ FROM c
+  UNION ALL SELECT 'transparencia', transparencia, rows_ FROM c
+  UNION ALL SELECT 'total', temperatura + humedad + sensor_nulo + timestamp_futuro + seeing + presion
+                   + transparencia, rows_ FROM c
+)
+SELECT tipo, filas, CASE WHEN rows_ > 0 THEN ROUND(filas / rows_ * 100.0, 1) ELSE 0.0 END AS porcentaje FROM l
+"""
+
+
+def _events_base_sql() -> str:
+    s = "42:o"
+    offset = f"({D.uniform('i', s + ':h', 0.0, 10.0)} + {D.randint('i', s + ':night', 0, 6)} * 24)"
+    ts = f"(TIMESTAMP '{_obs.EVENTS_START}' + to_seconds(CAST(floor({offset} * {D.dbl(3600.0)}) AS BIGINT)))"
+    return f"""
+idx AS (SELECT event_id AS i FROM events),
+base AS (
+  SELECT i,
+    printf('OBS-2024-%04d', i + 1) AS obs_id,
+    {D.choice('i', s + ':sensor', _obs.SENSORS)} AS sensor_id,
+    strftime({ts}, {ISO}) AS timestamp,
+    {D.choice('i', s + ':obj', _obs.CELESTIAL_OBJECTS)} AS objeto_observado,
+    {_rh(D.uniform('i', s + ':mag', -1.5, 15.0), 2)} AS magnitud,
+    {_rh(D.uniform('i', s + ':ra', 0.0, 360.0), 4)} AS ascension_recta,
+    {_rh(D.uniform('i', s + ':dec', -90.0, 0.0), 4)} AS declinacion,
+    {D.randint('i', s + ':dur', 15, 120)} AS duracion_min,
+    {D.choice('i', s + ':ins', _obs.VALID_INSTRUMENTS)} AS instrumento,
+    {D.weighted('i', s + ':state', _obs.STATES, _obs.STATE_WEIGHTS)} AS estado
+  FROM idx
+)"""
+
+
+_EVENT_COLS = ("obs_id, sensor_id, timestamp, objeto_observado, magnitud, ascension_recta, declinacion, "
+               "duracion_min, instrumento, estado")
+
+ORACLE["generated_events"] = "WITH " + _events_base_sql() + f"\nSELECT i, {_EVENT_COLS} FROM base"
+
+
+def _injected_events_sql() -> str:
+    s = "42:x"
+    steps = [
+        ("instrumento", D.choice("i", s + ":v1", _obs.INVALID_INSTRUMENTS)),
+        ("declinacion", _rh(D.uniform("i", s + ":v2", 91.0, 180.0), 4)),
+        ("timestamp", _future_sql("i", s + ":v3", "21", "0")),
+    ]
+    ctes = [_events_base_sql().strip(),
+            "k AS (SELECT COUNT(*) AS nrows, GREATEST(1, CAST(floor(COUNT(*) * 0.1::DOUBLE / 5.0::DOUBLE) AS BIGINT)) "
+            "AS nerr FROM idx)"]
+    prev = "base"
+    for j, (col, val) in enumerate(steps, start=1):
+        ctes.append(f"e{j} AS (SELECT * EXCLUDE (nerr, nrows) REPLACE (CASE WHEN {_hit(s + f':pick{j}')} "
+                    f"THEN {val} ELSE {col} END AS {col}) FROM {prev}, k)")
+        prev = f"e{j}"
+    rn = f"row_number() OVER (ORDER BY {D.score('i', s + ':pick4')}, i)"
+    ctes.append(f"cp AS (SELECT {prev}.* REPLACE (printf('OBS-2024-%04d', {rn}) AS obs_id, "
+                f"nrows + {rn} - 1 AS i) FROM {prev}, k QUALIFY {rn} <= nerr)")
+    ctes.append(f"g AS (SELECT * FROM {prev} UNION ALL SELECT * FROM cp)")
+    ctes.append(f"e5 AS (SELECT * EXCLUDE (nerr, nrows) REPLACE (CASE WHEN {_hit(s + ':pick5')} "
+                f"THEN CAST(NULL AS VARCHAR) ELSE sensor_id END AS sensor_id) FROM g, k)")
+    return "WITH " + ",\n".join(ctes)
+
+
+ORACLE["injected_events"] = _injected_events_sql() + f"\nSELECT {_EVENT_COLS} FROM e5"
+
+_rs = "42:t"
+ORACLE["generated_records"] = f"""
+SELECT event_id AS i,
+  {D.randint('event_id', _rs + ':user', 1, 4999)} AS user_id,
+  ROUND({D.std_normal('event_id', _rs + ':value')} * {D.dbl(100.0)} + {D.dbl(1000.0)}, 6) AS value,
+  {D.choice('event_id', _rs + ':cat', list('ABCDE'))} AS category,
+  CAST({D.randint('event_id', _rs + ':text', 0, (1 << 20) - 1)} AS VARCHAR) AS text,
+  TIMESTAMP '2020-01-01 00:00:00' + to_seconds(event_id) AS timestamp
+FROM events
+"""
