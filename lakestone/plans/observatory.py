@@ -135,3 +135,56 @@ GOLD_TABLES = {
     "observaciones_por_instrumento": ("events", OBSERVATIONS_BY_INSTRUMENT,
                                       "¿Qué instrumento completó más observaciones exitosas?"),
 }
+
+
+# ------------------------------------------------------------------- end-to-end run
+RAW_READINGS = "lecturas_sensores.csv"
+RAW_EVENTS = "eventos_observacion.jsonl"
+
+
+def write_raw_sources(spark, raw_uri: str, n_readings: int = 10_000, n_events: int = 1_000,
+                      error_rate: float = 0.10, seed: int = 42) -> dict:
+    """Generate both raw sources with injected errors: a CSV (NULL as an empty field)
+    and an NDJSON file set (explicit nulls kept, non-ASCII kept)."""
+    from lakestone.plans.generate import generate_events, generate_readings
+    from lakestone.sources.sinks import write_csv, write_ndjson
+    readings = generate_readings(spark, n_readings, error_rate, seed)
+    events = generate_events(spark, n_events, error_rate, seed)
+    paths = {"readings": f"{raw_uri.rstrip('/')}/{RAW_READINGS}",
+             "events": f"{raw_uri.rstrip('/')}/{RAW_EVENTS}"}
+    write_csv(readings, paths["readings"])
+    write_ndjson(events, paths["events"])
+    return paths
+
+
+def sources(raw_paths: dict, future_prefix: str = FUTURE_PREFIX) -> list:
+    from lakestone.plans.medallion import SourceSpec
+    from lakestone.schemas import EVENTS_RAW, EVENTS_SILVER_CASTS, READINGS_RAW, READINGS_SILVER_CASTS
+    return [
+        SourceSpec(RAW_READINGS, raw_paths["readings"], "csv", READINGS_RAW, "lecturas_raw",
+                   "lecturas_limpias", readings_rules(future_prefix), READINGS_SILVER_CASTS),
+        SourceSpec(RAW_EVENTS, raw_paths["events"], "ndjson", EVENTS_RAW, "eventos_raw",
+                   "eventos_limpios", events_rules(future_prefix), EVENTS_SILVER_CASTS),
+    ]
+
+
+def golds() -> list:
+    from lakestone.plans.medallion import GoldSpec
+    silver = {"readings": "lecturas_limpias", "events": "eventos_limpios"}
+    return [GoldSpec(name, silver[src], spec, question) for name, (src, spec, question) in GOLD_TABLES.items()]
+
+
+def run_observatory(spark, raw_paths: dict, base_uri: str):
+    """Bronze, silver, gold, then catalog, lineage and quality documents under ``base_uri``."""
+    from lakestone.plans import catalog as C
+    from lakestone.plans.medallion import run
+    runinfo = run(spark, sources(raw_paths), golds(), base_uri)
+    base = base_uri.rstrip("/")
+    cat = C.catalog_frame(spark, {"lecturas_sensores": ("Mediciones periódicas de condiciones ambientales (cada 5 min).",
+                                                        C.READINGS_FIELDS),
+                                  "eventos_observacion": ("Registro de eventos de observación telescópica.",
+                                                          C.EVENTS_FIELDS)})
+    cat.coalesce(1).write.mode("overwrite").json(f"{base}/metadata/catalogo")
+    C.write_document(spark, C.lineage_document(runinfo, "pipeline_astronomico_v1"), f"{base}/metadata/linaje")
+    C.write_document(spark, C.quality_document(runinfo), f"{base}/metrics/reporte_calidad")
+    return runinfo

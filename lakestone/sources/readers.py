@@ -62,14 +62,20 @@ def read_json_document(spark: SparkSession, path: str, schema: StructType | None
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> list[str]:
-    """Sorted paths of the files in ``folder`` that match ``pattern``.
+    """Sorted top-level entries of ``folder`` holding files that match ``pattern``.
 
-    Only the listing (path and length) is read: the binary content column is pruned,
-    so no file body is loaded.  The result is file metadata, not table data.
+    A single file (``x.parquet``) and a dataset folder written by Spark
+    (``x.parquet/part-*.parquet``) are both one entry.  Only file metadata is read (the
+    content column is pruned), and only the distinct entry names reach the driver.
     """
+    import re
+    base = folder.rstrip("/")
     listing = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-               .load(folder).select("path"))
-    return sorted(r.path for r in listing.collect())
+               .option("recursiveFileLookup", True).load(base).select("path"))
+    entry = F.regexp_extract("path", re.escape(base.split(":", 1)[-1] if base.startswith("file:") else base)
+                             + r"/([^/]+)", 1)
+    names = listing.select(entry.alias("e")).filter(F.col("e") != "").distinct().collect()
+    return sorted(f"{base}/{r.e}" for r in names)
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
