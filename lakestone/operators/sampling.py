@@ -10,50 +10,80 @@ is then a plain predicate ``(hash, key) <= cutoff`` on every executor.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE_LIMIT = 1 << 60   # hash_score values are in [0, 2^60)
 
 
-def rank_cutoff(df: DataFrame, score: str, key: str, n: int, buckets: int = 4096,
-                max_exact: int = 100_000) -> tuple[int, int] | None:
-    """(score, key) of the n-th smallest row, or None when n <= 0.
+def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000) -> dict:
+    """Cutoffs of several samples at once: ``parts`` maps a name to ``(df, score, key)``.
 
-    When the table has fewer than n rows, the largest (score, key) is returned, so every
-    row is selected.
+    ``n`` is one size for all, or a dict of sizes.  Every refinement round is one
+    grouped count over all samples (at most ``buckets`` rows per sample come back), and
+    one final job orders the boundary rows of every sample (at most ``max_exact`` rows
+    per sample, or one hash value) with a window partitioned by sample.
+    Returns name -> (score, key) of the n-th row, or None when n <= 0.
     """
-    if n <= 0:
-        return None
-    lo, hi, need = 0, SCORE_LIMIT, n
-    base = df.select(F.col(score).alias("s"), F.col(key).alias("k"))
-    while True:
-        width = max(1, -(-(hi - lo) // buckets))
-        window = base.filter((F.col("s") >= F.lit(lo)) & (F.col("s") < F.lit(hi)))
+    sizes = n if isinstance(n, dict) else {name: n for name in parts}
+    rows = None
+    for name, (df, score, key) in parts.items():
+        sc = F.col(score) if isinstance(score, str) else score
+        part = df.select(F.lit(name).alias("g"), sc.cast("long").alias("s"), F.col(key).cast("long").alias("k"))
+        rows = part if rows is None else rows.unionByName(part)
+    state = {name: {"lo": 0, "hi": SCORE_LIMIT, "need": sizes[name]} for name in parts}
+    result: dict = {name: None for name in parts if sizes[name] <= 0}
+    active = [name for name in parts if sizes[name] > 0]
+    final: list = []
+
+    def in_range(names):
+        return reduce(operator.or_, [(F.col("g") == F.lit(nm)) & (F.col("s") >= F.lit(state[nm]["lo"]))
+                                     & (F.col("s") < F.lit(state[nm]["hi"])) for nm in names])
+
+    while active:
+        for nm in active:
+            st = state[nm]
+            st["width"] = max(1, -(-(st["hi"] - st["lo"]) // buckets))
         # Integer division: a double quotient could put a boundary row in the wrong bucket.
-        hist = (window.groupBy(F.expr(f"(s - {lo}) div {width}").alias("b"))
-                .agg(F.count(F.lit(1)).alias("c")).collect())          # <= buckets rows
-        hist = sorted((int(r.b), int(r.c)) for r in hist)
-        if not hist:
-            return None
-        total = sum(c for _, c in hist)
-        if total < need:
-            # Fewer rows than asked: everything in range is selected.
-            last = window.agg(F.max(F.struct("s", "k")).alias("m")).first().m
-            return (int(last.s), int(last.k)) if last is not None else None
-        acc = 0
-        for b, c in hist:
-            if acc + c >= need:
-                break
-            acc += c
-        need -= acc
-        lo, hi = lo + b * width, min(lo + (b + 1) * width, hi)
-        if c <= max_exact or width == 1:
-            inside = base.filter((F.col("s") >= F.lit(lo)) & (F.col("s") < F.lit(hi)))
-            # At most ``max_exact`` rows (or one hash value) are ordered here.
-            firsts = inside.orderBy("s", "k").limit(need)
-            last = firsts.agg(F.max(F.struct("s", "k")).alias("m")).first().m
-            return int(last.s), int(last.k)
+        bucket = F.expr("CASE " + " ".join(
+            f"WHEN g = '{nm}' THEN (s - {state[nm]['lo']}) div {state[nm]['width']}" for nm in active) + " END")
+        hist: dict = {nm: [] for nm in active}
+        for r in rows.filter(in_range(active)).groupBy("g", bucket.alias("b")).agg(
+                F.count(F.lit(1)).alias("c")).collect():
+            hist[r.g].append((int(r.b), int(r.c)))
+        still = []
+        for nm in active:
+            st, h = state[nm], sorted(hist[nm])
+            total = sum(c for _, c in h)
+            if total < st["need"]:
+                # Fewer rows than asked: every row is selected.
+                result[nm] = (SCORE_LIMIT, (1 << 63) - 1)
+                continue
+            acc = 0
+            for b, c in h:
+                if acc + c >= st["need"]:
+                    break
+                acc += c
+            st["need"] -= acc
+            st["lo"], st["hi"] = st["lo"] + b * st["width"], min(st["lo"] + (b + 1) * st["width"], st["hi"])
+            (final if c <= max_exact or st["width"] == 1 else still).append(nm)
+        active = still
+    if final:
+        w = Window.partitionBy("g").orderBy("s", "k")
+        wanted = reduce(operator.or_, [(F.col("g") == F.lit(nm)) & (F.col("__rn") == F.lit(state[nm]["need"]))
+                                       for nm in final])
+        for r in rows.filter(in_range(final)).withColumn("__rn", F.row_number().over(w)).filter(wanted).collect():
+            result[r.g] = (int(r.s), int(r.k))
+    return result
+
+
+def rank_cutoff(df: DataFrame, score: str, key: str, n: int, buckets: int = 4096,
+                max_exact: int = 100_000) -> tuple[int, int] | None:
+    """(score, key) of the n-th smallest row, or None when n <= 0 (all rows if fewer)."""
+    return rank_cutoffs({"x": (df, score, key)}, n, buckets, max_exact)["x"]
 
 
 def at_or_below(score, key, cutoff: tuple[int, int] | None) -> Column:

@@ -338,8 +338,9 @@ def quadratic_reference(spark, sf_dir):
 
 # -------------------------------------------------------------- transform
 def heavy_transform(spark, sf_dir):
+    from lakestone.operators.partitioning import spread
     from lakestone.operators.transform import heavy_transform as ht
-    ev = _t(spark, sf_dir, "events")
+    ev = spread(_t(spark, sf_dir, "events"))
     out = ht(ev, user="user_id", category="event_type", value="value", text="props")
     return out.withColumn("score", round_half_away("score", 6))
 
@@ -577,9 +578,14 @@ from lakestone.plans import generate as G  # noqa: E402
 
 
 def _event_index(spark, sf_dir):
-    """The events ids (0..n-1) serve as the generator's row index."""
+    """The events ids (0..n-1) serve as the generator's row index.
+
+    Generation is CPU work (several SHA-256 draws per row), so the id column is spread
+    over the cluster's cores when the table scans as fewer tasks.
+    """
+    from lakestone.operators.partitioning import spread
     idx = _t(spark, sf_dir, "events").select(F.col("event_id").alias("i"))
-    return idx, idx.count()
+    return spread(idx), idx.count()
 
 
 def generated_readings(spark, sf_dir):

@@ -17,7 +17,7 @@ from lakestone.functions.draws import (choice, hash_score, randint, std_normal,
                                        weighted_choice)
 from lakestone.functions.numeric import round_half_away as rh
 from lakestone.functions.text import ISO_SECONDS
-from lakestone.operators.sampling import global_rank, sample_flag
+from lakestone.operators.sampling import at_or_below, global_rank, rank_cutoffs
 from lakestone.plans import observatory as obs
 
 READING_COLUMNS = ["sensor_id", "timestamp", "ubicacion", "temperatura_c", "humedad_pct",
@@ -77,7 +77,10 @@ def future_text(key: F.Column, salt: str, hour: F.Column | None = None, minute:
 
 
 def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str = "i") -> DataFrame:
-    """Seven error types on ``n_err`` hash-chosen rows each, then ``n_err`` exact copies."""
+    """Seven error types on ``n_err`` hash-chosen rows each, then ``n_err`` exact copies.
+
+    Membership depends only on the row index, so all eight samples are found together.
+    """
     key = F.col(i)
     s = f"{seed}:e"
     replacements = [
@@ -89,14 +92,14 @@ def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str =
         ("presion_hpa", lambda: rh(uniform(key, f"{s}:v6", 1010.0, 1020.0), 2)),
         ("transparencia", lambda: rh(uniform(key, f"{s}:v7", 1.5, 3.0), 3)),
     ]
+    score = {k: hash_score(key, f"{s}:pick{k}") for k in range(1, 9)}
+    cuts = rank_cutoffs({k: (base, score[k], i) for k in score}, n_err)
     out = base
     for k, (column, value) in enumerate(replacements, start=1):
-        out = sample_flag(out, n_err, hash_score(key, f"{s}:pick{k}"), i, "__hit")
-        out = out.withColumn(column, F.when(F.col("__hit"), value()).otherwise(F.col(column))).drop("__hit")
-    # Exact copies of n_err rows (chosen after the injections), appended.
-    out = sample_flag(out, n_err, hash_score(key, f"{s}:pick8"), i, "__copy")
-    copies = out.filter(F.col("__copy"))
-    return out.unionByName(copies).drop("__copy")
+        hit = at_or_below(score[k], key, cuts[k])
+        out = out.withColumn(column, F.when(hit, value()).otherwise(F.col(column)))
+    # Exact copies of n_err rows (taken after the injections), appended.
+    return out.unionByName(out.filter(at_or_below(score[8], key, cuts[8])))
 
 
 def generate_readings(spark: SparkSession, n_total: int, error_rate: float = 0.10, seed: int = 42) -> DataFrame:
@@ -132,27 +135,32 @@ def inject_event_errors(base: DataFrame, n_rows: int, n_err: int, seed: int = 42
     """Bad instrument, bad declination, 2027 date, reused id on appended copies, NULL sensor."""
     key = F.col(i)
     s = f"{seed}:x"
-    out = base
     edits = [
         ("instrumento", lambda: choice(key, f"{s}:v1", obs.INVALID_INSTRUMENTS)),
         ("declinacion", lambda: rh(uniform(key, f"{s}:v2", 91.0, 180.0), 4)),
         ("timestamp", lambda: future_text(key, f"{s}:v3", F.lit(21), F.lit(0))),
     ]
+    n_copies = min(n_err, n_rows)
+    score = {k: hash_score(key, f"{s}:pick{k}") for k in range(1, 6)}
+    # Keys of the grown table: the base rows and the copies, which take n_rows + rank.
+    grown = base.select(i).unionByName(
+        base.sparkSession.range(n_rows, n_rows + n_copies).withColumnRenamed("id", i))
+    parts = {k: (base, score[k], i) for k in range(1, 5)}
+    parts[5] = (grown, score[5], i)
+    cuts = rank_cutoffs(parts, n_err)
+    out = base
     for k, (column, value) in enumerate(edits, start=1):
-        out = sample_flag(out, n_err, hash_score(key, f"{s}:pick{k}"), i, "__hit")
-        out = out.withColumn(column, F.when(F.col("__hit"), value()).otherwise(F.col(column))).drop("__hit")
-    # Copies of n_err chosen rows; the r-th copy (in hash order) takes the id of event r+1.
-    out = sample_flag(out, n_err, hash_score(key, f"{s}:pick4"), i, "__copy")
-    chosen = out.filter(F.col("__copy")).withColumn("__s4", hash_score(key, f"{s}:pick4"))
+        out = out.withColumn(column, F.when(at_or_below(score[k], key, cuts[k]), value()).otherwise(F.col(column)))
+    # The r-th copy (in hash order of the chosen rows) takes the id of event r + 1.
+    chosen = out.filter(at_or_below(score[4], key, cuts[4])).withColumn("__s4", score[4])
     copies = (global_rank(chosen, "__s4", i, "__r")
               .withColumn("obs_id", F.format_string("OBS-2024-%04d", F.col("__r") + F.lit(1)))
               .withColumn(i, F.lit(n_rows) + F.col("__r"))
               .drop("__s4", "__r"))
-    out = out.unionByName(copies).drop("__copy")
+    out = out.unionByName(copies)
     # NULL sensor on n_err rows of the grown table (copies included).
-    out = sample_flag(out, n_err, hash_score(key, f"{s}:pick5"), i, "__hit")
-    return out.withColumn("sensor_id", F.when(F.col("__hit"), F.lit(None).cast("string"))
-                          .otherwise(F.col("sensor_id"))).drop("__hit")
+    return out.withColumn("sensor_id", F.when(at_or_below(score[5], key, cuts[5]), F.lit(None).cast("string"))
+                          .otherwise(F.col("sensor_id")))
 
 
 def generate_events(spark: SparkSession, n_total: int, error_rate: float = 0.10, seed: int = 42) -> DataFrame:
