@@ -23,8 +23,10 @@ def first_non_null(value, order) -> Column:
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str, order: str | None = None,
-                prefix: str | None = None, scale: int | None = None) -> DataFrame:
-    """Named statistics per group: mean, sample std, non-NULL count, first non-NULL.
+                prefix: str | None = None, scale: int | None = None,
+                rows_name: str | None = None) -> DataFrame:
+    """Named statistics per group: mean, sample std, non-NULL count, first non-NULL
+    (and the row count when ``rows_name`` is given), all in one aggregate.
 
     Rows with a NULL key are left out (they form no group), keys come out sorted.
     """
@@ -36,6 +38,8 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, order: str | Non
             F.count(value).cast("long").alias(f"{p}_count")]
     if order is not None:
         aggs.append(first_non_null(value, order).alias(f"{p}_first"))
+    if rows_name:
+        aggs.append(F.count(F.lit(1)).cast("long").alias(rows_name))
     kept = df.filter(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))) if keys else df
     return kept.groupBy(*keys).agg(*aggs).orderBy(*[F.col(k).asc() for k in keys])
 

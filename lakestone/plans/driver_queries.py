@@ -241,8 +241,8 @@ from lakestone.operators import stats as S  # noqa: E402
 
 def scenario_stats(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
-    st = S.group_stats(ev, ["event_type"], "value", order="event_id", prefix="value", scale=6)
-    st = st.join(ev.groupBy("event_type").agg(F.count(F.lit(1)).cast("long").alias("n_events")), "event_type")
+    st = S.group_stats(ev, ["event_type"], "value", order="event_id", prefix="value", scale=6,
+                       rows_name="n_events")
     return S.with_bounds(st, "value_mean", "series").orderBy("event_type")
 
 
