@@ -76,3 +76,12 @@ def test_hot_key_keeps_every_row(spark):
     assert out.filter("dup").count() == 1000
     same = R.flag_duplicates(df, ["k"], "dup", method="window")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, same.collect()))
+
+
+def test_digest_method_equals_grouping_by_text(spark):
+    rows = [(1, "alpha beta"), (2, "alpha beta"), (3, "gamma"), (4, None), (5, None), (6, "delta"),
+            (7, "delta"), (8, "delta"), (9, "alph")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    a = {r.id: r.dup for r in R.flag_duplicates(df, ["text"], "dup", method="digest").collect()}
+    b = {r.id: r.dup for r in R.flag_duplicates(df, ["text"], "dup").collect()}
+    assert a == b == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: True, 9: False}
