@@ -105,34 +105,32 @@ def _flag_duplicates_by_digest(df: DataFrame, keys: Sequence[str], name: str) ->
     """Exact duplicate flag for one wide text key, shuffling digests instead of texts.
 
     1. Digests seen more than once are candidates (aggregate over 32-byte values).
-    2. Candidate rows (a semi join against the candidate digests) are grouped by digest
-       with a distinct count of the text: a digest whose rows share one text is a pure
-       duplicate group; a digest covering different texts (a hash collision) keeps the
-       (digest, text) pairs that repeat.  Only candidate rows' texts move here.
-    3. Flags join back on the digest (and on the text only for collision digests).
+    2. Candidate rows (semi join against those digests) are counted per (digest, text);
+       only candidate rows' texts move.  A digest with a single text is a duplicate
+       group as a whole; a digest with several texts (a hash collision) keeps only its
+       (digest, text) pairs seen more than once.
+    3. Flags join back on the digest, and on (digest, text) for collision pairs only.
     Result equals grouping by the text itself; NULL texts count as equal.
     """
     if len(keys) != 1:
         raise ValueError("digest duplicates take exactly one text key")
     key = keys[0]
-    text = F.col(key).cast("string")
-    with_d = df.withColumn("__dg", F.sha2(text, 256))
+    with_d = df.withColumn("__dg", F.sha2(F.col(key).cast("string"), 256))
     cand = (with_d.groupBy("__dg").agg(F.count(F.lit(1)).alias("__n"))
             .filter(F.col("__n") > 1).select(F.col("__dg").alias("__cdg")))
     rows = with_d.select("__dg", F.col(key).alias("__t"))
     cand_rows = rows.join(cand, rows["__dg"].eqNullSafe(cand["__cdg"]), "left_semi")
-    per_digest = cand_rows.groupBy("__dg").agg(F.count_distinct("__t").alias("__texts"),
-                                              F.count_if(F.col("__t").isNull()).alias("__nulls"))
-    pure = (per_digest.filter((F.col("__texts") + F.when(F.col("__nulls") > 0, 1).otherwise(0)) == 1)
+    pairs = cand_rows.groupBy("__dg", "__t").agg(F.count(F.lit(1)).alias("__n"))
+    per_digest = pairs.groupBy("__dg").agg(F.count(F.lit(1)).alias("__texts"))
+    pure = (per_digest.filter(F.col("__texts") == 1)
             .select(F.col("__dg").alias("__pdg"), F.lit(True).alias("__pure")))
-    mixed = per_digest.filter((F.col("__texts") + F.when(F.col("__nulls") > 0, 1).otherwise(0)) > 1).select(
-        F.col("__dg").alias("__mdg"))
-    mixed_rows = cand_rows.join(mixed, cand_rows["__dg"].eqNullSafe(mixed["__mdg"]), "left_semi")
-    collided = (mixed_rows.groupBy("__dg", "__t").agg(F.count(F.lit(1)).alias("__n"))
-                .filter(F.col("__n") > 1).select(F.col("__dg").alias("__xdg"), F.col("__t").alias("__xt"),
-                                                  F.lit(True).alias("__coll")))
+    mixed = per_digest.filter(F.col("__texts") > 1).select(F.col("__dg").alias("__mdg"))
+    collided = (pairs.filter(F.col("__n") > 1)
+                .join(mixed, pairs["__dg"].eqNullSafe(mixed["__mdg"]), "left_semi")
+                .select(F.col("__dg").alias("__xdg"), F.col("__t").alias("__xt"), F.lit(True).alias("__coll")))
     out = with_d.join(pure, with_d["__dg"].eqNullSafe(pure["__pdg"]), "left")
-    out = out.join(collided, out["__dg"].eqNullSafe(collided["__xdg"]) & out[key].eqNullSafe(collided["__xt"]), "left")
+    out = out.join(collided, out["__dg"].eqNullSafe(collided["__xdg"]) & out[key].eqNullSafe(collided["__xt"]),
+                   "left")
     flag = F.coalesce(F.col("__pure"), F.lit(False)) | F.coalesce(F.col("__coll"), F.lit(False))
     return out.withColumn(name, flag).drop("__dg", "__pdg", "__pure", "__xdg", "__xt", "__coll")
 
