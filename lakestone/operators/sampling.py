@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 SCORE_LIMIT = 1 << 60   # hash_score values are in [0, 2^60)
 
 
-def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000) -> dict:
+def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
+                 known_rows: int | None = None) -> dict:
     """Cutoffs of several samples at once: ``parts`` maps a name to ``(df, score, key)``.
 
     ``n`` is one size for all, or a dict of sizes.  Every refinement round is one
@@ -27,13 +28,24 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000)
     one final job orders the boundary rows of every sample (at most ``max_exact`` rows
     per sample, or one hash value) with a window partitioned by sample.
     Returns name -> (score, key) of the n-th row, or None when n <= 0.
+    When every input is known to hold at most ``max_exact`` rows (``known_rows``), the
+    histogram rounds are skipped and the exact step runs directly.
     """
+    original_names = list(parts)
     sizes = n if isinstance(n, dict) else {name: n for name in parts}
-    rows = None
+    # Samples over the same DataFrame share one scan: all their scores in one projection.
+    groups: dict = {}
     for name, (df, score, key) in parts.items():
-        sc = F.col(score) if isinstance(score, str) else score
-        part = df.select(F.lit(name).alias("g"), sc.cast("long").alias("s"), F.col(key).cast("long").alias("k"))
+        groups.setdefault(id(df), (df, []))[1].append((name, score, key))
+    rows = None
+    for df, members in groups.values():
+        entries = [F.struct(F.lit(str(name)).alias("g"),
+                            (F.col(score) if isinstance(score, str) else score).cast("long").alias("s"),
+                            F.col(key).cast("long").alias("k")) for name, score, key in members]
+        part = df.select(F.inline(F.array(*entries)))
         rows = part if rows is None else rows.unionByName(part)
+    parts = {str(name): v for name, v in parts.items()}
+    sizes = {str(name): v for name, v in sizes.items()}
     state = {name: {"lo": 0, "hi": SCORE_LIMIT, "need": sizes[name]} for name in parts}
     result: dict = {name: None for name in parts if sizes[name] <= 0}
     active = [name for name in parts if sizes[name] > 0]
@@ -43,6 +55,13 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000)
         return reduce(operator.or_, [(F.col("g") == F.lit(nm)) & (F.col("s") >= F.lit(state[nm]["lo"]))
                                      & (F.col("s") < F.lit(state[nm]["hi"])) for nm in names])
 
+    if known_rows is not None and known_rows <= max_exact:
+        for nm in active:
+            if known_rows < state[nm]["need"]:
+                result[nm] = (SCORE_LIMIT, (1 << 63) - 1)
+            else:
+                final.append(nm)
+        active = []
     while active:
         for nm in active:
             st = state[nm]
@@ -77,7 +96,7 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000)
                                        for nm in final])
         for r in rows.filter(in_range(final)).withColumn("__rn", F.row_number().over(w)).filter(wanted).collect():
             result[r.g] = (int(r.s), int(r.k))
-    return result
+    return {name: result.get(str(name)) for name in original_names}
 
 
 def rank_cutoff(df: DataFrame, score: str, key: str, n: int, buckets: int = 4096,
@@ -130,6 +149,40 @@ def global_rank(df: DataFrame, score: str, key: str, name: str = "rank",
             .drop("__pid", "__pos", "__p0", "__off"))
 
 
+def rank_in_sample(df: DataFrame, score: str, key: str, cutoff: tuple[int, int] | None, n: int,
+                   name: str = "rank", max_group: int = 50_000) -> DataFrame:
+    """Rows of the sample ``(score, key) <= cutoff`` with their 0-based rank in that order.
+
+    Hash scores are uniform, so fixed-width score buckets hold about ``n / buckets`` rows
+    each.  One grouped count gives the rows per bucket (one row per bucket, a bounded
+    table that is broadcast as cumulative offsets); the rank is the bucket's offset
+    plus ``row_number()`` inside the bucket.  No global sort, no single task.
+    """
+    spark = df.sparkSession
+    if cutoff is None:
+        return df.limit(0).withColumn(name, F.lit(0).cast("long"))
+    if n <= max_group:
+        # The whole sample is at most ``max_group`` rows: one bounded window suffices.
+        w1 = Window.partitionBy(F.lit(0)).orderBy(score, key)
+        return (df.filter(at_or_below(score, key, cutoff))
+                .withColumn(name, (F.row_number().over(w1) - F.lit(1)).cast("long")))
+    n_buckets = max(1, -(-n // max_group) * 4)
+    width = cutoff[0] // n_buckets + 1
+    sample = (df.filter(at_or_below(score, key, cutoff))
+              .withColumn("__b", F.expr(f"`{score}` div {width}")))
+    counts = sorted((int(r["__b"]), int(r["__c"])) for r in
+                    sample.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).collect())
+    offsets, acc = [], 0
+    for b, c in counts:
+        offsets.append((b, acc))
+        acc += c
+    table = spark.createDataFrame(offsets or [(0, 0)], "__b long, __off long")
+    w = Window.partitionBy("__b").orderBy(score, key)
+    return (sample.join(F.broadcast(table), "__b")
+            .withColumn(name, (F.col("__off") + F.row_number().over(w) - F.lit(1)).cast("long"))
+            .drop("__b", "__off"))
+
+
 def hash_order(df: DataFrame, score: Column) -> DataFrame:
     """Rows in a pseudo-random but reproducible order (for file output only)."""
     return df.withColumn("__order", score).orderBy("__order").drop("__order")

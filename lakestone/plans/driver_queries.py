@@ -608,7 +608,7 @@ def _injected_readings(spark, sf_dir):
     idx, n = _event_index(spark, sf_dir)
     nps = n // 5
     base = G.readings_from_index(idx, nps)
-    return G.inject_reading_errors(base, G.error_count(nps * 5, 0.10, 8))
+    return G.inject_reading_errors(base, G.error_count(nps * 5, 0.10, 8), n_rows=nps * 5)
 
 
 def injected_readings(spark, sf_dir):

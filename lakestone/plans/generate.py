@@ -17,7 +17,7 @@ from lakestone.functions.draws import (choice, hash_score, randint, std_normal,
                                        weighted_choice)
 from lakestone.functions.numeric import round_half_away as rh
 from lakestone.functions.text import ISO_SECONDS
-from lakestone.operators.sampling import at_or_below, global_rank, rank_cutoffs
+from lakestone.operators.sampling import at_or_below, rank_cutoffs, rank_in_sample
 from lakestone.plans import observatory as obs
 
 READING_COLUMNS = ["sensor_id", "timestamp", "ubicacion", "temperatura_c", "humedad_pct",
@@ -76,7 +76,8 @@ def future_text(key: F.Column, salt: str, hour: F.Column | None = None, minute:
     return F.format_string(obs.FUTURE_PREFIX + "-%02d-%02dT%02d:%02d:00", month, day, hh, mm)
 
 
-def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str = "i") -> DataFrame:
+def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str = "i",
+                          n_rows: int | None = None) -> DataFrame:
     """Seven error types on ``n_err`` hash-chosen rows each, then ``n_err`` exact copies.
 
     Membership depends only on the row index, so all eight samples are found together.
@@ -93,7 +94,7 @@ def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str =
         ("transparencia", lambda: rh(uniform(key, f"{s}:v7", 1.5, 3.0), 3)),
     ]
     score = {k: hash_score(key, f"{s}:pick{k}") for k in range(1, 9)}
-    cuts = rank_cutoffs({k: (base, score[k], i) for k in score}, n_err)
+    cuts = rank_cutoffs({k: (base, score[k], i) for k in score}, n_err, known_rows=n_rows)
     out = base
     for k, (column, value) in enumerate(replacements, start=1):
         hit = at_or_below(score[k], key, cuts[k])
@@ -106,8 +107,9 @@ def generate_readings(spark: SparkSession, n_total: int, error_rate: float = 0.1
     n_per_sensor = n_total // len(obs.SENSORS)
     idx = spark.range(n_per_sensor * len(obs.SENSORS)).withColumnRenamed("id", "i")
     base = readings_from_index(idx, n_per_sensor, seed)
-    n_err = error_count(n_per_sensor * len(obs.SENSORS), error_rate, 8)
-    return inject_reading_errors(base, n_err, seed).select(*READING_COLUMNS)
+    n_rows = n_per_sensor * len(obs.SENSORS)
+    n_err = error_count(n_rows, error_rate, 8)
+    return inject_reading_errors(base, n_err, seed, n_rows=n_rows).select(*READING_COLUMNS)
 
 
 # -------------------------------------------------------------------------------- events
@@ -147,13 +149,13 @@ def inject_event_errors(base: DataFrame, n_rows: int, n_err: int, seed: int = 42
         base.sparkSession.range(n_rows, n_rows + n_copies).withColumnRenamed("id", i))
     parts = {k: (base, score[k], i) for k in range(1, 5)}
     parts[5] = (grown, score[5], i)
-    cuts = rank_cutoffs(parts, n_err)
+    cuts = rank_cutoffs(parts, n_err, known_rows=n_rows + n_copies)
     out = base
     for k, (column, value) in enumerate(edits, start=1):
         out = out.withColumn(column, F.when(at_or_below(score[k], key, cuts[k]), value()).otherwise(F.col(column)))
     # The r-th copy (in hash order of the chosen rows) takes the id of event r + 1.
-    chosen = out.filter(at_or_below(score[4], key, cuts[4])).withColumn("__s4", score[4])
-    copies = (global_rank(chosen, "__s4", i, "__r")
+    chosen = out.withColumn("__s4", score[4])
+    copies = (rank_in_sample(chosen, "__s4", i, cuts[4], n_copies, "__r")
               .withColumn("obs_id", F.format_string("OBS-2024-%04d", F.col("__r") + F.lit(1)))
               .withColumn(i, F.lit(n_rows) + F.col("__r"))
               .drop("__s4", "__r"))

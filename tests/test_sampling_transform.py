@@ -36,6 +36,15 @@ def test_batched_cutoffs_match_single(spark):
     assert both["b"] == SM.rank_cutoff(df, "b", "id", 3999)
 
 
+def test_rank_in_sample_is_exact(spark):
+    df = spark.range(20000).withColumn("s", hash_score("id", "q"))
+    cut = SM.rank_cutoff(df, "s", "id", 3000)
+    ranked = SM.rank_in_sample(df, "s", "id", cut, 3000, "r", max_group=100).collect()
+    assert len(ranked) == 3000
+    want = {k: i for i, (_, k) in enumerate(sorted((r.s, r.id) for r in ranked))}
+    assert all(r.r == want[r.id] for r in ranked)
+
+
 def test_global_rank_is_exact(spark):
     df = spark.range(3000).withColumn("s", hash_score("id", "g"))
     ranked = SM.global_rank(df, "s", "id", "r", partitions=5).collect()

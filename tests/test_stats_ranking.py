@@ -61,4 +61,5 @@ def test_reference_matrix_ranking(spark):
     labels = spark.createDataFrame([(k, f"support {i}") for i, k in enumerate(scores)], "alt string, soporte string")
     out = K.weighted_ranking(spark, wide, "alt", weights, labels).collect()
     assert [round(r.score_total, 2) for r in out] == [4.25, 3.89, 3.76, 3.54, 2.16]
-    assert out[0].alt == "Pipeline Docker columnar" and out[0].soporte == "support 1"
+    assert out[0].alt == "Cloud/Híbrida" and out[0].soporte == "support 4"
+    assert [r.alt for r in out][1:3] == ["Data Lake/Lakehouse", "Pipeline Docker columnar"]
