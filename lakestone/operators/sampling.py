@@ -46,14 +46,32 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
         rows = part if rows is None else rows.unionByName(part)
     parts = {str(name): v for name, v in parts.items()}
     sizes = {str(name): v for name, v in sizes.items()}
-    state = {name: {"lo": 0, "hi": SCORE_LIMIT, "need": sizes[name]} for name in parts}
+    # Each sample refines a score range, and when one score value alone holds more than
+    # ``max_exact`` rows (a hot value), a key range inside that value (keys are unique).
+    state = {name: {"lo": 0, "hi": SCORE_LIMIT, "need": sizes[name], "phase": "s"} for name in parts}
     result: dict = {name: None for name in parts if sizes[name] <= 0}
     active = [name for name in parts if sizes[name] > 0]
     final: list = []
+    KEY_LO, KEY_HI = -(1 << 63), 1 << 63
 
     def in_range(names):
-        return reduce(operator.or_, [(F.col("g") == F.lit(nm)) & (F.col("s") >= F.lit(state[nm]["lo"]))
-                                     & (F.col("s") < F.lit(state[nm]["hi"])) for nm in names])
+        conds = []
+        for nm in names:
+            st = state[nm]
+            c = (F.col("g") == F.lit(nm))
+            if st["phase"] == "s":
+                c = c & (F.col("s") >= F.lit(st["lo"])) & (F.col("s") < F.lit(st["hi"]))
+            else:
+                c = c & (F.col("s") == F.lit(st["s"])) & (F.col("k") >= F.lit(st["lo"]))
+                if st["hi"] < KEY_HI:
+                    c = c & (F.col("k") < F.lit(st["hi"]))
+            conds.append(c)
+        return reduce(operator.or_, conds)
+
+    def bucket_sql(nm):
+        st = state[nm]
+        col = "s" if st["phase"] == "s" else "CAST(k AS DECIMAL(20,0))"
+        return f"WHEN g = '{nm}' THEN CAST(({col} - {st['lo']}) div {st['width']} AS BIGINT)"
 
     if known_rows is not None and known_rows <= max_exact:
         for nm in active:
@@ -67,8 +85,7 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
             st = state[nm]
             st["width"] = max(1, -(-(st["hi"] - st["lo"]) // buckets))
         # Integer division: a double quotient could put a boundary row in the wrong bucket.
-        bucket = F.expr("CASE " + " ".join(
-            f"WHEN g = '{nm}' THEN (s - {state[nm]['lo']}) div {state[nm]['width']}" for nm in active) + " END")
+        bucket = F.expr("CASE " + " ".join(bucket_sql(nm) for nm in active) + " END")
         hist: dict = {nm: [] for nm in active}
         for r in rows.filter(in_range(active)).groupBy("g", bucket.alias("b")).agg(
                 F.count(F.lit(1)).alias("c")).collect():
@@ -88,7 +105,14 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
                 acc += c
             st["need"] -= acc
             st["lo"], st["hi"] = st["lo"] + b * st["width"], min(st["lo"] + (b + 1) * st["width"], st["hi"])
-            (final if c <= max_exact or st["width"] == 1 else still).append(nm)
+            if c <= max_exact:
+                final.append(nm)
+            elif st["phase"] == "s" and st["width"] == 1:
+                # One hot score value: continue on the key inside it.
+                st.update(phase="k", s=st["lo"], lo=KEY_LO, hi=KEY_HI)
+                still.append(nm)
+            else:
+                still.append(nm)
         active = still
     if final:
         w = Window.partitionBy("g").orderBy("s", "k")
