@@ -337,6 +337,17 @@ def quadratic_reference(spark, sf_dir):
                         round_half_away(F.col("t_mean") / F.col("t_pred"), 6).alias("ratio"))
 
 
+def quadratic_curve(spark, sf_dir):
+    """100 evenly spaced sizes between the smallest and largest quantity, each with the
+    quadratic reference time from the smallest size's mean price."""
+    li = _t(spark, sf_dir, "lineitem")
+    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(F.avg("l_extendedprice").alias("t_mean"))
+    bounds = per_n.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"),
+                       F.min_by("t_mean", "n").alias("t_ref"))
+    curve = S.reference_curve(spark, bounds, "n_min", "n_max", "t_ref")
+    return curve.select("k", round_half_away("n", 6).alias("n"), round_half_away("t_pred", 4).alias("t_pred"))
+
+
 # -------------------------------------------------------------- transform
 def heavy_transform(spark, sf_dir):
     from lakestone.operators.partitioning import spread
@@ -378,6 +389,7 @@ QUERIES.update({
     "throughput_measures": throughput_measures,
     "baseline_relative": baseline_relative,
     "quadratic_reference": quadratic_reference,
+    "quadratic_curve": quadratic_curve,
     "heavy_transform": heavy_transform,
     "weighted_scorecard": weighted_scorecard,
 })

@@ -7,6 +7,8 @@ thresholds, output column names).  They are listed plainly and together.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lakestone.operators.rules import (above, below, duplicated, equals, is_null, not_in,
                                        outside, starts_with)
 from lakestone.operators.summarize import Measure
@@ -148,8 +150,15 @@ def write_raw_sources(spark, raw_uri: str, n_readings: int = 10_000, n_events: i
     and an NDJSON file set (explicit nulls kept, non-ASCII kept)."""
     from lakestone.plans.generate import generate_events, generate_readings
     from lakestone.sources.sinks import write_csv, write_ndjson
+    from lakestone.functions.draws import hash_score
+    from lakestone.operators.sampling import hash_order
+    # Rows are written in a reproducible pseudo-random order, so errors are not grouped.
     readings = generate_readings(spark, n_readings, error_rate, seed)
+    readings = hash_order(readings, hash_score(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
+                                                                  for c in readings.columns]), f"{seed}:mix"))
     events = generate_events(spark, n_events, error_rate, seed)
+    events = hash_order(events, hash_score(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
+                                                              for c in events.columns]), f"{seed}:mix"))
     paths = {"readings": f"{raw_uri.rstrip('/')}/{RAW_READINGS}",
              "events": f"{raw_uri.rstrip('/')}/{RAW_EVENTS}"}
     write_csv(readings, paths["readings"])

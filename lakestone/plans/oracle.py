@@ -277,6 +277,15 @@ SELECT n, ROUND(t_mean, 4) AS t_mean, ROUND(t_pred, 4) AS t_pred, ROUND(t_mean /
 """
 
 
+ORACLE["quadratic_curve"] = """
+WITH g AS (SELECT l_quantity AS n, AVG(l_extendedprice) AS t_mean FROM lineitem GROUP BY l_quantity),
+b AS (SELECT MIN(n) AS n_min, MAX(n) AS n_max, arg_min(t_mean, n) AS t_ref FROM g),
+c AS (SELECT r.range AS k, b.n_min + (b.n_max - b.n_min) * (r.range / 99.0) AS n, b.n_min, b.t_ref
+      FROM range(100) r CROSS JOIN b)
+SELECT k, ROUND(n, 6) AS n, ROUND(t_ref * pow(n / n_min, 2.0), 4) AS t_pred FROM c
+"""
+
+
 def _trig_sql(x: str, terms: int = 50) -> str:
     acc = "0.0"
     for i in range(terms):

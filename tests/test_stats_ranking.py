@@ -63,3 +63,29 @@ def test_reference_matrix_ranking(spark):
     assert [round(r.score_total, 2) for r in out] == [4.25, 3.89, 3.76, 3.54, 2.16]
     assert out[0].alt == "Cloud/Híbrida" and out[0].soporte == "support 4"
     assert [r.alt for r in out][1:3] == ["Data Lake/Lakehouse", "Pipeline Docker columnar"]
+
+
+def test_measurement_table_csv(spark, tmp_path):
+    """The measurement table shape: three scenario kinds with different columns in one CSV."""
+    from lakestone.schemas import MEASUREMENTS
+    from lakestone.sources import read_csv_tokens
+    header = ",".join(f.name for f in MEASUREMENTS.fields)
+    lines = [header,
+             "cpu_nbody,1500.0,1124250.0,1,0.25,0.1,4500000.0,,,",
+             "cpu_nbody,1500.0,1124250.0,2,0.26,0.1,4300000.0,,,",
+             "cpu_nbody,3000.0,4498500.0,1,1.0,0.2,4498500.0,,,",
+             "memoria_secuencial,,,1,0.01,,,250000.0,1.9,190.0",
+             "memoria_aleatorio,,,1,0.03,,,250000.0,1.9,63.3",
+             "disco_escritura_csv,,,1,16.0,,,,200.0,12.5",
+             "disco_escritura_binario,,,1,0.1,,,,2500.0,2000.0"]
+    path = tmp_path / "m.csv"
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    df = read_csv_tokens(spark, str(path), MEASUREMENTS)
+    cpu = S.group_stats(df.filter("escenario = 'cpu_nbody'"), ["tamano_n"], "tiempo_s", order="repeticion").collect()
+    assert [(r.tamano_n, r.tiempo_s_count, r.tiempo_s_first) for r in cpu] == [(1500.0, 2, 0.25), (3000.0, 1, 1.0)]
+    mem = S.pattern_ratio(df, "tamano_mb", "escenario", "throughput_mb_s", "memoria_secuencial",
+                          "memoria_aleatorio").filter("tamano_mb = 1.9").first()
+    assert abs(mem.ratio - 190.0 / 63.3) < 1e-12
+    ratio = df.agg((S.conditional_mean("throughput_mb_s", F.col("escenario") == "disco_escritura_binario")
+                    / S.conditional_mean("throughput_mb_s", F.col("escenario") == "disco_escritura_csv")).alias("r")).first().r
+    assert ratio == 160.0
