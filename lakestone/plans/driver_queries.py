@@ -539,37 +539,40 @@ def field_catalog(spark, sf_dir):
 
 
 def evidence_summary(spark, sf_dir):
-    """Eight findings as text rows, from the tables and the run's own documents."""
+    """Eight findings as text rows, from the tables and the run's own documents.
+
+    Every source is a one-row aggregate; they are cross-joined (one row each) and the
+    eight findings are unpivoted with ``inline``, so each source is computed once.
+    """
     from lakestone.functions.numeric import round_half_away as rh
     runinfo = events_run(spark, sf_dir)
-    ev = _t(spark, sf_dir, "events")
     two = lambda c: F.format_string("%.2f", rh(c, 2))
-    means = ev.agg(
+    means = _t(spark, sf_dir, "events").agg(
         two(S.conditional_mean("value", F.col("event_type") == "click")).alias("click_mean"),
         two(S.conditional_mean("value", F.col("event_type") == "purchase")
             / S.conditional_mean("value", F.col("event_type") == "view")).alias("ratio"))
     qpath = C.write_document(spark, C.quality_document(runinfo), scratch_path(spark, "evidence_quality"))
     lpath = C.write_document(spark, C.lineage_document(runinfo, "events_pipeline"), scratch_path(spark, "evidence_lineage"))
-    quality = io.read_json_document(spark, qpath).select("fuentes.events_clean.*")
+    quality = io.read_json_document(spark, qpath).select(
+        F.col("fuentes.events_clean.filas_validas").alias("valid"),
+        F.col("fuentes.events_clean.filas_entrada").alias("rows_in"),
+        F.col("fuentes.events_clean.tasa_error_pct").alias("rate"))
     lineage = io.read_json_document(spark, lpath).select(F.size("etapas.gold").alias("n_gold"))
-    lake = gold.table_totals(spark, sf_dir, ["events", "orders"])
-    row = lambda src, what, val, unit: (F.lit(src).alias("fuente"), F.lit(what).alias("hallazgo"),
-                                       val.cast("string").alias("valor"), F.lit(unit).alias("unidad"))
-    parts = [
-        means.select(*row("events", "mean click value", F.col("click_mean"), "value")),
-        means.select(*row("events", "purchase/view mean ratio", F.col("ratio"), "x")),
-        quality.select(*row("pipeline", "valid rows in silver", F.col("filas_validas"), "rows")),
-        quality.select(*row("pipeline", "rows in bronze", F.col("filas_entrada"), "rows")),
-        quality.select(*row("pipeline", "error rate", F.format_string("%.2f%%", F.col("tasa_error_pct")), "percent")),
-        lineage.select(*row("pipeline", "gold tables", F.col("n_gold"), "tables")),
-        lake.filter(F.col("tabla") == "total").select(*row("lake", "rows in lake", F.col("filas"), "rows")),
-        lake.filter(F.col("tabla") != "total").agg(F.count(F.lit(1)).alias("n"))
-            .select(*row("lake", "parquet datasets", F.col("n"), "files")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lake = gold.table_totals(spark, sf_dir, ["events", "orders"]).agg(
+        F.max(F.when(F.col("tabla") == "total", F.col("filas"))).alias("lake_rows"),
+        F.count_if(F.col("tabla") != "total").alias("datasets"))
+    one = means.crossJoin(quality).crossJoin(lineage).crossJoin(lake)
+    row = lambda src, what, val, unit: F.struct(F.lit(src).alias("fuente"), F.lit(what).alias("hallazgo"),
+                                               val.cast("string").alias("valor"), F.lit(unit).alias("unidad"))
+    return one.select(F.inline(F.array(
+        row("events", "mean click value", F.col("click_mean"), "value"),
+        row("events", "purchase/view mean ratio", F.col("ratio"), "x"),
+        row("pipeline", "valid rows in silver", F.col("valid"), "rows"),
+        row("pipeline", "rows in bronze", F.col("rows_in"), "rows"),
+        row("pipeline", "error rate", F.format_string("%.2f%%", F.col("rate")), "percent"),
+        row("pipeline", "gold tables", F.col("n_gold"), "tables"),
+        row("lake", "rows in lake", F.col("lake_rows"), "rows"),
+        row("lake", "parquet datasets", F.col("datasets"), "files"))))
 
 
 QUERIES.update({

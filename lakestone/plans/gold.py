@@ -33,18 +33,18 @@ def lake_by_instrument(spark: SparkSession, lake_uri: str, table: str = "eventos
 
 def table_totals(spark: SparkSession, lake_uri: str, tables: list[str],
                  total_label: str = "total") -> DataFrame:
-    """Rows per table plus a total row: tagged one-row counts, unioned, then summed.
+    """Rows per table plus a total row.
 
-    Each count is a metadata-friendly aggregate (Parquet footers can answer it); the
-    union is a handful of rows.
+    One tagged count per table, unioned, then a ``rollup`` adds the total from the same
+    counts (the tables are scanned once; the union is one row per table).
     """
     counts = None
     for t in tables:
-        c = spark.read.parquet(table_path(lake_uri, t)).agg(F.count(F.lit(1)).cast("long").alias("filas"))
-        c = c.select(F.lit(t).alias("tabla"), "filas")
+        c = (spark.read.parquet(table_path(lake_uri, t)).agg(F.count(F.lit(1)).cast("long").alias("filas"))
+             .select(F.lit(t).alias("tabla"), "filas"))
         counts = c if counts is None else counts.unionByName(c)
-    total = counts.agg(F.sum("filas").cast("long").alias("filas")).select(F.lit(total_label).alias("tabla"), "filas")
-    return counts.unionByName(total)
+    rolled = counts.rollup("tabla").agg(F.sum("filas").cast("long").alias("filas"))
+    return rolled.select(F.coalesce(F.col("tabla"), F.lit(total_label)).alias("tabla"), "filas")
 
 
 def top_row(df: DataFrame, order_col: str, ascending: bool = True, keys: list[str] | None = None) -> DataFrame:
