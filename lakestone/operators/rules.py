@@ -186,6 +186,43 @@ def rule_counts(flagged: DataFrame, rule_names: Sequence[str], any_name: str = A
     return flagged.agg(*report_aggregates(rule_names, any_name))
 
 
+def rule_counts_grouped(df: DataFrame, rules: Mapping[str, Column | Duplicated]) -> DataFrame:
+    """The count row of ``rule_counts`` computed without joining duplicate flags back.
+
+    With at most one duplicate rule, every count follows from one aggregate grouped by
+    the duplicate key: a group with more than one row is entirely duplicate (TRUE for
+    that rule, so its any-flag is TRUE); a single-row group's any-flag is the Kleene OR
+    of the other rules.  The shuffle carries one partially aggregated row per key
+    instead of the table, and a hot key collapses before it.  Falls back to flags plus
+    a join for several duplicate rules.
+    """
+    dups = [(n, r) for n, r in rules.items() if isinstance(r, Duplicated)]
+    if len(dups) > 1:
+        return rule_counts(apply_rules(df, rules), list(rules))
+    column_rules = {n: r for n, r in rules.items() if not isinstance(r, Duplicated)}
+    others = any_flag(list(column_rules)) if column_rules else F.lit(False)
+    flagged = df.withColumns(column_rules).withColumn("__other", others)
+    if not dups:
+        return rule_counts(flagged.withColumn(ANY_ERROR, F.col("__other")), list(rules))
+    dup_name, dup = dups[0]
+    per_key = flagged.groupBy(*dup.keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.count_if(F.col(n)).alias(n) for n in column_rules],
+        F.count_if(F.col("__other")).alias("__other_true"),
+        F.count_if(~F.col("__other")).alias("__other_false"))
+    many = F.col("__n") > 1
+    aggs = [F.sum("__n").alias("total_filas")]
+    for n in rules:
+        if n == dup_name:
+            aggs.append(F.sum(F.when(many, F.col("__n")).otherwise(F.lit(0))).alias(n))
+        else:
+            aggs.append(F.sum(n).alias(n))
+    aggs += [F.sum(F.when(many, F.col("__n")).otherwise(F.col("__other_true"))).alias("filas_invalidas"),
+             F.sum(F.when(many, F.lit(0)).otherwise(F.col("__other_false"))).alias("filas_conservadas")]
+    out = per_key.agg(*aggs)
+    return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns])
+
+
 def report_from_counts(counts: DataFrame, rule_names: Sequence[str]) -> DataFrame:
     """Long form of a count row: (regla, total_invalidos, porcentaje, total_filas).
 

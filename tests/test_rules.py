@@ -85,3 +85,17 @@ def test_digest_method_equals_grouping_by_text(spark):
     a = {r.id: r.dup for r in R.flag_duplicates(df, ["text"], "dup", method="digest").collect()}
     b = {r.id: r.dup for r in R.flag_duplicates(df, ["text"], "dup").collect()}
     assert a == b == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: True, 9: False}
+
+
+def test_grouped_counts_equal_flag_counts(spark):
+    rows = [("S1", "t1", 150.0), ("S1", "t1", 1.0), (None, "t2", None), (None, "t2", 5.0), ("S3", "t3", None),
+            ("S4", "t4", 1.0), ("S5", "t5", 101.0), (None, "t6", 3.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    rules = {"sensor_null": R.is_null("sensor_id"), "v_high": R.above("v", 100.0),
+             "repeated": R.duplicated("sensor_id", "ts")}
+    a = R.rule_counts(R.apply_rules(df, rules), list(rules)).first().asDict()
+    b = R.rule_counts_grouped(df, rules).first().asDict()
+    assert a == b
+    assert a["filas_invalidas"] == 6 and a["filas_conservadas"] == 1
+    empty = spark.createDataFrame([], SCHEMA)
+    assert R.rule_counts_grouped(empty, rules).first().total_filas == 0
