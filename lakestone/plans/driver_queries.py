@@ -641,7 +641,40 @@ def injection_counts(spark, sf_dir):
     return G.injected_counts(_injected_readings(spark, sf_dir))
 
 
+def observatory_quality(spark, sf_dir):
+    """The source system's own pipeline and 13 rules, end to end, on generated raw files.
+
+    Readings (one per events row) and events (one per ten rows) with injected errors are
+    written as CSV and NDJSON, ingested to bronze, refined to silver with the exact rule
+    registries, and the per-rule quality report is returned.
+    """
+    from lakestone.plans import observatory as obs
+    from lakestone.sources.sinks import write_csv, write_ndjson
+    idx, n = _event_index(spark, sf_dir)
+    nps = n // 5
+    readings = G.inject_reading_errors(G.readings_from_index(idx, nps), G.error_count(nps * 5, 0.10, 8),
+                                       n_rows=nps * 5).select(*G.READING_COLUMNS)
+    n_ev = n // 10
+    ev_idx = idx.filter(F.col("i") < F.lit(n_ev))
+    events = G.inject_event_errors(G.events_from_index(ev_idx), n_ev, G.error_count(n_ev, 0.10, 5)).select(
+        *G.EVENT_COLUMNS)
+    raw = scratch_path(spark, "observatory_raw")
+    paths = {"readings": write_csv(readings, f"{raw}/{obs.RAW_READINGS}"),
+             "events": write_ndjson(events, f"{raw}/{obs.RAW_EVENTS}")}
+    runinfo = M.run(spark, obs.sources(paths), [], scratch_path(spark, "observatory_zones"))
+    rows = []
+    for s_ in runinfo.silver:
+        stem = s_["destino"].rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        for rule, v in s_["reporte_calidad"].items():
+            count = v.get("total_invalidos", v.get("filas_invalidas"))
+            pct = v.get("porcentaje", v.get("tasa_error_pct"))
+            rows.append((stem, rule, int(count), float(pct), int(s_["filas_entrada"]), int(s_["filas_validas"])))
+    return spark.createDataFrame(rows, "fuente string, regla string, total_invalidos long, porcentaje double, "
+                                       "filas_entrada long, filas_validas long")
+
+
 QUERIES.update({
+    "observatory_quality": observatory_quality,
     "generated_readings": generated_readings,
     "generated_events": generated_events,
     "generated_records": generated_records,

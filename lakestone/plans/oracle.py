@@ -531,12 +531,12 @@ SELECT tipo, filas, CASE WHEN rows_ > 0 THEN ROUND(filas / rows_ * 100.0, 1) ELS
 """
 
 
-def _events_base_sql() -> str:
+def _events_base_sql(where: str = "") -> str:
     s = "42:o"
     offset = f"({D.uniform('i', s + ':h', 0.0, 10.0)} + {D.randint('i', s + ':night', 0, 6)} * 24)"
     ts = f"(TIMESTAMP '{_obs.EVENTS_START}' + to_seconds(CAST(floor({offset} * {D.dbl(3600.0)}) AS BIGINT)))"
     return f"""
-idx AS (SELECT event_id AS i FROM events),
+idx AS (SELECT event_id AS i FROM events {where}),
 base AS (
   SELECT i,
     printf('OBS-2024-%04d', i + 1) AS obs_id,
@@ -559,14 +559,14 @@ _EVENT_COLS = ("obs_id, sensor_id, timestamp, objeto_observado, magnitud, ascens
 ORACLE["generated_events"] = "WITH " + _events_base_sql() + f"\nSELECT i, {_EVENT_COLS} FROM base"
 
 
-def _injected_events_sql() -> str:
+def _injected_events_sql(where: str = "") -> str:
     s = "42:x"
     steps = [
         ("instrumento", D.choice("i", s + ":v1", _obs.INVALID_INSTRUMENTS)),
         ("declinacion", _rh(D.uniform("i", s + ":v2", 91.0, 180.0), 4)),
         ("timestamp", _future_sql("i", s + ":v3", "21", "0")),
     ]
-    ctes = [_events_base_sql().strip(),
+    ctes = [_events_base_sql(where).strip(),
             "k AS (SELECT COUNT(*) AS nrows, GREATEST(1, CAST(floor(COUNT(*) * 0.1::DOUBLE / 5.0::DOUBLE) AS BIGINT)) "
             "AS nerr FROM idx)"]
     prev = "base"
@@ -595,3 +595,50 @@ SELECT event_id AS i,
   TIMESTAMP '2020-01-01 00:00:00' + to_seconds(event_id) AS timestamp
 FROM events
 """
+
+
+def _report_sql(source: str, flags: dict, keyed: str) -> str:
+    """Per-rule report rows of one source from a CTE ``t`` of its rows (SQL text)."""
+    cols = ",\n    ".join(f"{expr} AS {name}" for name, expr in flags.items())
+    anyf = " OR ".join(flags)
+    lines = [f"SELECT '{source}' AS fuente, '{name}' AS regla, c_{name} AS total_invalidos, "
+             f"CASE WHEN n > 0 THEN ROUND(c_{name} / n * 100.0, 2) ELSE 0.0 END AS porcentaje, n AS filas_entrada, "
+             f"kept AS filas_validas FROM c" for name in flags]
+    lines.append(f"SELECT '{source}', '__resumen__', inv, CASE WHEN n > 0 THEN ROUND(inv / n * 100.0, 2) "
+                 f"ELSE 0.0 END, n, kept FROM c")
+    counts = ", ".join(f"COUNT(*) FILTER (WHERE {name}) AS c_{name}" for name in flags)
+    return f"""SELECT * FROM (
+  {keyed},
+  f AS (SELECT {cols} FROM t),
+  c AS (SELECT COUNT(*) AS n, {counts}, COUNT(*) FILTER (WHERE {anyf}) AS inv,
+               COUNT(*) FILTER (WHERE NOT ({anyf})) AS kept FROM f)
+  {" UNION ALL ".join(lines)}
+)"""
+
+
+_READING_FLAGS = {
+    "error_temperatura_fuera_rango": "temperatura_c = -999.0",
+    "error_humedad_fuera_rango": "humedad_pct > 100.0",
+    "error_sensor_id_nulo": "sensor_id IS NULL",
+    "error_timestamp_futuro": "starts_with(timestamp, '2027')",
+    "error_seeing_negativo": "seeing_arcsec < 0.0",
+    "error_presion_nivel_mar": "presion_hpa > 900.0",
+    "error_transparencia_invalida": "transparencia > 1.0",
+    "error_lectura_duplicada": "COUNT(*) OVER (PARTITION BY sensor_id, timestamp) > 1",
+}
+_EVENT_FLAGS = {
+    "error_instrumento_invalido": "instrumento NOT IN ('CCD', 'Espectrógrafo', 'Fotómetro')",
+    "error_declinacion_invalida": "(declinacion < -90.0 OR declinacion > 90.0)",
+    "error_timestamp_futuro": "starts_with(timestamp, '2027')",
+    "error_sensor_id_nulo": "sensor_id IS NULL",
+    "error_obs_id_duplicado": "COUNT(*) OVER (PARTITION BY obs_id) > 1",
+}
+
+ORACLE["observatory_quality"] = (
+    _report_sql("lecturas_limpias", _READING_FLAGS,
+                _injected_readings_sql() + f", t AS (SELECT {_READING_COLS} FROM allr)")
+    + "\nUNION ALL\n"
+    + _report_sql("eventos_limpios", _EVENT_FLAGS,
+                  _injected_events_sql("WHERE event_id < (SELECT COUNT(*) // 10 FROM events)")
+                  + f", t AS (SELECT {_EVENT_COLS} FROM e5)")
+)
