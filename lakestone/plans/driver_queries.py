@@ -10,11 +10,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from lakestone.functions.text import ISO_SECONDS, iso_seconds
+from lakestone import sources as io
+from lakestone.functions.numeric import mebibytes, pairs, round_half_away
+from lakestone.functions.text import iso_seconds
 from lakestone.operators import rules as R
+from lakestone.operators import stats as S
 from lakestone.operators.summarize import Measure, summarize
+from lakestone.plans import catalog as C
+from lakestone.plans import generate as G
 from lakestone.plans import gold
+from lakestone.plans import medallion as M
+from lakestone.session import scratch_path
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,7 +177,6 @@ LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 
 
 def silver_lineitem(spark, sf_dir):
-    from lakestone.plans.medallion import silver_table
     bronze = _t(spark, sf_dir, "lineitem").select(*LINEITEM_COLS, iso_seconds("l_shipdate").alias("l_shipdate"))
     rules = {
         "quantity_above": R.above("l_quantity", 45.0),
@@ -178,11 +185,10 @@ def silver_lineitem(spark, sf_dir):
         "ship_future": R.starts_with("l_shipdate", "2001"),
     }
     casts = {"l_shipdate": "timestamp_ntz", "l_quantity": "double", "l_linenumber": "int"}
-    return silver_table(bronze, rules, casts)
+    return M.silver_table(bronze, rules, casts)
 
 
 def silver_events(spark, sf_dir):
-    from lakestone.plans.medallion import silver_table
     bronze = _t(spark, sf_dir, "events").select(
         "event_id", iso_seconds("ts").alias("ts"), "user_id", "event_type", "value", "props")
     rules = {
@@ -192,7 +198,7 @@ def silver_events(spark, sf_dir):
         "event_repeated": R.duplicated("event_id"),
     }
     casts = {"ts": "timestamp_ntz", "value": "double", "user_id": "int"}
-    return silver_table(bronze, rules, casts)
+    return M.silver_table(bronze, rules, casts)
 
 
 def null_flag_semantics(spark, sf_dir):
@@ -237,8 +243,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 # ------------------------------------------------------------ statistics
-from lakestone.functions.numeric import mebibytes, pairs, round_half_away  # noqa: E402
-from lakestone.operators import stats as S  # noqa: E402
 
 
 def scenario_stats(spark, sf_dir):
@@ -397,9 +401,6 @@ QUERIES.update({
 
 
 # ------------------------------------------------ sources and sinks
-from lakestone import sources as io  # noqa: E402
-from lakestone.session import scratch_path  # noqa: E402
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType  # noqa: E402
 
 CUSTOMER_SCHEMA = StructType([
     StructField("c_custkey", LongType()), StructField("c_name", StringType()),
@@ -453,8 +454,6 @@ def object_inventory(spark, sf_dir):
 
 
 # --------------------------------------------------- pipeline, catalog, lineage (M1-M8)
-from lakestone.plans import catalog as C  # noqa: E402
-from lakestone.plans import medallion as M  # noqa: E402
 
 _RUNS: dict = {}
 
@@ -591,7 +590,6 @@ QUERIES.update({
 
 
 # --------------------------------------------- generation and injection
-from lakestone.plans import generate as G  # noqa: E402
 
 
 def _event_index(spark, sf_dir):
@@ -644,9 +642,9 @@ def injection_counts(spark, sf_dir):
 def observatory_quality(spark, sf_dir):
     """The source system's own pipeline and 13 rules, end to end, on generated raw files.
 
-    Readings (one per events row) and events (one per ten rows) with injected errors are
-    written as CSV and NDJSON, ingested to bronze, refined to silver with the exact rule
-    registries, and the per-rule quality report is returned.
+    Readings and observation events (one of each per events row, over the whole table)
+    with injected errors are written as CSV and NDJSON, ingested to bronze, refined to
+    silver with the exact rule registries, and the per-rule quality report is returned.
     """
     from lakestone.plans import observatory as obs
     from lakestone.sources.sinks import write_csv, write_ndjson
@@ -654,9 +652,7 @@ def observatory_quality(spark, sf_dir):
     nps = n // 5
     readings = G.inject_reading_errors(G.readings_from_index(idx, nps), G.error_count(nps * 5, 0.10, 8),
                                        n_rows=nps * 5).select(*G.READING_COLUMNS)
-    n_ev = n // 10
-    ev_idx = idx.filter(F.col("i") < F.lit(n_ev))
-    events = G.inject_event_errors(G.events_from_index(ev_idx), n_ev, G.error_count(n_ev, 0.10, 5)).select(
+    events = G.inject_event_errors(G.events_from_index(idx), n, G.error_count(n, 0.10, 5)).select(
         *G.EVENT_COLUMNS)
     raw = scratch_path(spark, "observatory_raw")
     paths = {"readings": write_csv(readings, f"{raw}/{obs.RAW_READINGS}"),

@@ -639,6 +639,6 @@ ORACLE["observatory_quality"] = (
                 _injected_readings_sql() + f", t AS (SELECT {_READING_COLS} FROM allr)")
     + "\nUNION ALL\n"
     + _report_sql("eventos_limpios", _EVENT_FLAGS,
-                  _injected_events_sql("WHERE event_id < (SELECT COUNT(*) // 10 FROM events)")
+                  _injected_events_sql()
                   + f", t AS (SELECT {_EVENT_COLS} FROM e5)")
 )
