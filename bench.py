@@ -58,6 +58,9 @@ def main() -> None:
     jobs = {name: Q.QUERIES[name] for name in HEADLINE}
     jobs["transform_lineitem"] = lineitem_transform
     jobs["medallion_run"] = medallion_run
+    # The source system's own pipeline: generate raw CSV + NDJSON with injected errors
+    # (one reading and one event per events row), bronze, silver with the 13 rules.
+    jobs["observatory_pipeline"] = Q.QUERIES["observatory_quality"]
 
     timings = {}
     for name, fn in jobs.items():
