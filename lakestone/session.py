@@ -44,6 +44,29 @@ def get_spark(master: str | None = None, app: str = "lakestone",
     return spark
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a large input (e.g. 100 TB on ~1000 executors).
+
+    Initial shuffle partitions are sized so each holds about ``target_partition_bytes``
+    of the input (at least two waves of the cluster's cores); AQE then coalesces small
+    ones toward the advisory size and splits skewed join partitions.  Scan splits stay
+    at 128-256 MB so a task's input fits executor memory with room for its shuffle
+    buffers.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 256 << 20)),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
@@ -71,4 +94,4 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["get_spark", "shared_dir", "scratch_path", "local_path", "DEFAULT_CONF"]
+__all__ = ["get_spark", "cluster_conf", "shared_dir", "scratch_path", "local_path", "DEFAULT_CONF"]

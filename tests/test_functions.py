@@ -60,3 +60,10 @@ def test_draws_do_not_depend_on_partitioning(spark):
     assert ks == {1, 2, 3, 4, 5, 6}
     ws = [r[5] for r in a]
     assert 0.6 < ws.count("p") / len(ws) < 0.8
+
+
+def test_cluster_conf_sizes_partitions():
+    from lakestone.session import cluster_conf
+    conf = cluster_conf(100 * (1 << 40), total_cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert cluster_conf(1 << 20, total_cores=8)["spark.sql.shuffle.partitions"] == "16"
