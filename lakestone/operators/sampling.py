@@ -174,13 +174,14 @@ def global_rank(df: DataFrame, score: str, key: str, name: str = "rank",
 
 
 def rank_in_sample(df: DataFrame, score: str, key: str, cutoff: tuple[int, int] | None, n: int,
-                   name: str = "rank", max_group: int = 50_000) -> DataFrame:
+                   name: str = "rank", max_group: int = 50_000, max_buckets: int = 4096) -> DataFrame:
     """Rows of the sample ``(score, key) <= cutoff`` with their 0-based rank in that order.
 
     Hash scores are uniform, so fixed-width score buckets hold about ``n / buckets`` rows
-    each.  One grouped count gives the rows per bucket (one row per bucket, a bounded
-    table that is broadcast as cumulative offsets); the rank is the bucket's offset
-    plus ``row_number()`` inside the bucket.  No global sort, no single task.
+    each.  One grouped count gives the rows per bucket (at most ``max_buckets`` rows reach
+    the driver and are broadcast back as cumulative offsets); the rank is the bucket's
+    offset plus ``row_number()`` inside the bucket, a sort of about n / buckets rows per
+    task (spillable).  No global sort, no single task for the whole sample.
     """
     spark = df.sparkSession
     if cutoff is None:
@@ -190,7 +191,7 @@ def rank_in_sample(df: DataFrame, score: str, key: str, cutoff: tuple[int, int]
         w1 = Window.partitionBy(F.lit(0)).orderBy(score, key)
         return (df.filter(at_or_below(score, key, cutoff))
                 .withColumn(name, (F.row_number().over(w1) - F.lit(1)).cast("long")))
-    n_buckets = max(1, -(-n // max_group) * 4)
+    n_buckets = min(max_buckets, max(1, -(-n // max_group) * 4))
     width = cutoff[0] // n_buckets + 1
     sample = (df.filter(at_or_below(score, key, cutoff))
               .withColumn("__b", F.expr(f"`{score}` div {width}")))
