@@ -51,8 +51,10 @@ def global_bounds(df: DataFrame, column: str, prefix: str | None = None) -> Data
 
 
 def with_bounds(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
-    """Attach the global min/max of ``column`` to every row (one-row broadcast join)."""
-    return df.crossJoin(F.broadcast(global_bounds(df, column, prefix)))
+    """Attach the global min/max of ``column`` to every row (scalar subqueries)."""
+    p = prefix or column
+    return df.withColumns({f"{p}_min": df.select(F.min(column)).scalar(),
+                           f"{p}_max": df.select(F.max(column)).scalar()})
 
 
 def pattern_ratio(df: DataFrame, size: str, scenario: str, value: str,
@@ -81,36 +83,32 @@ def scaling_table(df: DataFrame, p: str = "p", time: str = "time_s") -> DataFram
     T1 is the time of the smallest p (one-row aggregate).  speedup = T1/Tp,
     efficiency = speedup/p, overhead = Tp - T1/p, useful = Tp - overhead.
     """
-    base = df.agg(F.min_by(F.col(time), F.col(p)).alias("__t1"))
-    t1 = F.col("__t1")
-    return (df.crossJoin(F.broadcast(base))
-            .withColumn("speedup", t1 / F.col(time))
+    t1 = df.select(F.min_by(F.col(time), F.col(p))).scalar()
+    return (df.withColumn("speedup", t1 / F.col(time))
             .withColumn("efficiency", F.col("speedup") / F.col(p))
             .withColumn("overhead_s", F.col(time) - t1 / F.col(p))
             .withColumn("useful_time_s", F.col(time) - F.col("overhead_s"))
-            .drop("__t1")
             .orderBy(p))
 
 
 def quadratic_reference(df: DataFrame, n: str, t: str, exponent: float = 2.0,
                         name: str = "t_pred") -> DataFrame:
     """Reference curve ``t_ref * (n / n_ref) ** exponent`` from the smallest n."""
-    base = df.agg(F.min(n).alias("__n_ref"), F.min_by(F.col(t), F.col(n)).alias("__t_ref"))
-    return (df.crossJoin(F.broadcast(base))
-            .withColumn(name, F.col("__t_ref") * F.pow(F.col(n) / F.col("__n_ref"), F.lit(exponent)))
-            .drop("__n_ref", "__t_ref"))
+    n_ref = df.select(F.min(n)).scalar()
+    t_ref = df.select(F.min_by(F.col(t), F.col(n))).scalar()
+    return df.withColumn(name, t_ref * F.pow(F.col(n) / n_ref, F.lit(exponent)))
 
 
 def reference_curve(spark, bounds: DataFrame, n_min: str, n_max: str, t_ref: str,
                     points: int = 100, exponent: float = 2.0) -> DataFrame:
-    """``points`` evenly spaced sizes between the bounds with the reference time each."""
-    grid = spark.range(points).withColumnRenamed("id", "k")
+    """``points`` evenly spaced sizes between the bounds with the reference time each.
+
+    ``bounds`` is a one-row frame; its values enter as scalar subqueries.
+    """
+    lo, hi, t0 = (bounds.select(n_min).scalar(), bounds.select(n_max).scalar(), bounds.select(t_ref).scalar())
     frac = F.col("k") / F.lit(float(points - 1))
-    return (grid.crossJoin(F.broadcast(bounds))
-            .select(F.col("k"), (F.col(n_min) + (F.col(n_max) - F.col(n_min)) * frac).alias("n"),
-                    F.col(n_min), F.col(t_ref))
-            .withColumn("t_pred", F.col(t_ref) * F.pow(F.col("n") / F.col(n_min), F.lit(exponent)))
-            .drop(n_min, t_ref))
+    grid = spark.range(points).withColumnRenamed("id", "k").withColumn("n", lo + (hi - lo) * frac)
+    return grid.withColumn("t_pred", t0 * F.pow(F.col("n") / lo, F.lit(exponent)))
 
 
 def union_tables(frames: Sequence[DataFrame]) -> DataFrame:

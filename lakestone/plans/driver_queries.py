@@ -320,10 +320,8 @@ def baseline_relative(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
     monthly = (li.groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("month"))
                .agg(F.sum("l_extendedprice").alias("time_s")))
-    first = monthly.agg(F.min("month").alias("__first"))
-    with_p = (monthly.crossJoin(F.broadcast(first))
-              .withColumn("p", (F.months_between("month", "__first").cast("int") + 1))
-              .drop("__first"))
+    first = monthly.select(F.min("month")).scalar()
+    with_p = monthly.withColumn("p", F.months_between("month", first).cast("int") + 1)
     table = S.scaling_table(with_p, "p", "time_s")
     return table.select("month", "p",
                         round_half_away("time_s", 2).alias("time_s"),
@@ -376,9 +374,7 @@ def weighted_scorecard(spark, sf_dir):
         F.avg("l_quantity").alias("avg_quantity"),
         (F.lit(1.0) - F.avg("l_discount")).alias("low_discount"))
     crit = list(SCORECARD_WEIGHTS)
-    maxima = metrics.agg(*[F.max(c).alias(f"__max_{c}") for c in crit])
-    scores = (metrics.crossJoin(F.broadcast(maxima))
-              .select("s_suppkey", *[(F.col(c) / F.col(f"__max_{c}")).alias(c) for c in crit]))
+    scores = metrics.select("s_suppkey", *[(F.col(c) / metrics.select(F.max(c)).scalar()).alias(c) for c in crit])
     labels = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     ranked = K.weighted_ranking(spark, scores, "s_suppkey", SCORECARD_WEIGHTS, labels)
     return ranked.select("s_suppkey", "s_name", round_half_away("score_total", 6).alias("score_total"))
@@ -561,7 +557,8 @@ def evidence_summary(spark, sf_dir):
     lake = gold.table_totals(spark, sf_dir, ["events", "orders"]).agg(
         F.max(F.when(F.col("tabla") == "total", F.col("filas"))).alias("lake_rows"),
         F.count_if(F.col("tabla") != "total").alias("datasets"))
-    one = means.crossJoin(quality).crossJoin(lineage).crossJoin(lake)
+    one = means.select("*", *[frame.select(c).scalar().alias(c) for frame in (quality, lineage, lake)
+                              for c in frame.columns])
     row = lambda src, what, val, unit: F.struct(F.lit(src).alias("fuente"), F.lit(what).alias("hallazgo"),
                                                val.cast("string").alias("valor"), F.lit(unit).alias("unidad"))
     return one.select(F.inline(F.array(
