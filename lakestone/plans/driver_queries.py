@@ -205,7 +205,8 @@ def null_flag_semantics(spark, sf_dir):
     """NULLs derived from the data: signup rows lose the user key, error rows the measure."""
     ev = _t(spark, sf_dir, "events").select(
         "event_id",
-        F.date_trunc("hour", "ts").alias("ts_hour"),
+        # Hour as text: a zone-free key (date_trunc would turn the naive time into an instant).
+        F.date_format("ts", "yyyy-MM-dd HH").alias("ts_hour"),
         F.when(F.col("event_type") != "signup", F.col("user_id")).alias("user_key"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("measure"))
     rules = {

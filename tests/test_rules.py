@@ -99,3 +99,17 @@ def test_grouped_counts_equal_flag_counts(spark):
     assert a["filas_invalidas"] == 6 and a["filas_conservadas"] == 1
     empty = spark.createDataFrame([], SCHEMA)
     assert R.rule_counts_grouped(empty, rules).first().total_filas == 0
+
+
+def test_strict_casts_fail_on_bad_text(spark):
+    import pytest
+    from lakestone.plans.medallion import cast_columns
+    good = spark.createDataFrame([("2024-03-01T00:05:00", "1.5", "7")], "t string, x string, d string")
+    row = cast_columns(good, {"t": "timestamp_ntz", "x": "double", "d": "int"}).first()
+    assert str(row.t) == "2024-03-01 00:05:00" and row.x == 1.5 and row.d == 7
+    bad = spark.createDataFrame([("abc",)], "x string")
+    with pytest.raises(Exception):
+        cast_columns(bad, {"x": "double"}).collect()
+    bad_ts = spark.createDataFrame([("2024-03-01 00:05",)], "t string")
+    with pytest.raises(Exception):
+        cast_columns(bad_ts, {"t": "timestamp_ntz"}).collect()
