@@ -23,7 +23,7 @@ def ingest_files(spark: SparkSession, source_dir: str, fmt: str, schema: StructT
                  available_now: bool = True):
     """Append every new raw file of ``source_dir`` to the Parquet table ``target``.
 
-    ``fmt`` is ``csv`` (header, null tokens, strict casts) or ``ndjson``.  With
+    ``fmt`` is ``csv`` (header, null tokens, strict casts), ``ndjson`` or ``parquet``.  With
     ``available_now`` the query processes what is there and stops (a scheduled job);
     otherwise it keeps running.  Returns the ``StreamingQuery``.
     """
@@ -35,6 +35,8 @@ def ingest_files(spark: SparkSession, source_dir: str, fmt: str, schema: StructT
         rows = _typed(raw, schema, null_tokens)
     elif fmt == "ndjson":
         rows = reader.option("mode", "FAILFAST").schema(schema).json(source_dir)
+    elif fmt == "parquet":
+        rows = reader.schema(schema).parquet(source_dir)
     else:
         raise ValueError(f"unsupported raw format: {fmt}")
     writer = (rows.writeStream.format("parquet").option("path", target)

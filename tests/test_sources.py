@@ -52,3 +52,15 @@ def test_discover_inventory_upload(spark, scratch):
     io.upload_tables(spark, found, lake)
     totals = {r.tabla: r.filas for r in table_totals(spark, lake, ["a", "b"]).collect()}
     assert totals == {"a": 5, "b": 3, "total": 8}
+
+
+def test_lake_options_reach_the_session(spark):
+    from lakestone.sources.lake import configure_lake, s3a_options
+    opts = s3a_options("storage:9000", "user", "secret", ssl=False, path_style=True)
+    assert opts["fs.s3a.connection.ssl.enabled"] == "false" and opts["fs.s3a.path.style.access"] == "true"
+    configure_lake(spark, opts)
+    assert spark.conf.get("fs.s3a.endpoint") == "storage:9000"
+    from lakestone.sources.readers import table_path
+    assert table_path("s3a://bucket/prefix/", "lecturas_limpias") == "s3a://bucket/prefix/lecturas_limpias.parquet"
+    for k in opts:
+        spark.conf.unset(k)

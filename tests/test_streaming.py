@@ -23,3 +23,13 @@ def test_incremental_bronze_appends_new_files_once(spark, scratch):
     assert rows.count() == 3
     assert rows.filter("sensor_id IS NULL").count() == 1
     assert rows.filter("humedad_pct IS NULL").count() == 1
+
+
+def test_incremental_parquet_source(spark, scratch):
+    from lakestone.sources.sinks import write_parquet
+    from lakestone.schemas import EVENTS_RAW
+    src, target, ckpt = scratch("pq_stream_src"), scratch("pq_stream_dst"), scratch("pq_stream_ckpt")
+    rows = [("OBS-2024-0001", "SENS-001", "2024-03-01T20:00:00", "M42", 1.0, 2.0, -3.0, 30, "CCD", "completada")]
+    write_parquet(spark.createDataFrame(rows, EVENTS_RAW), src, mode="append")
+    ingest_files(spark, src, "parquet", EVENTS_RAW, target, ckpt).awaitTermination()
+    assert spark.read.parquet(target).count() == 1
