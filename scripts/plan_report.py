@@ -65,7 +65,11 @@ def main() -> None:
             "  bounded histogram rounds (separate small jobs, not shown here), ranks by bucketed windows.",
             "- Windows appear only over bounded inputs: ranks inside one hash bucket, per-sample boundary",
             "  rows, or the SQL-style duplicate window kept as an option (not used by these queries).",
-            "- No query runs Python per row; the only Python stage is the optional `map_records` hook."]
+            "- Scalars (baselines, bounds, maxima, document values) are scalar subqueries, planned as",
+            "  separate one-row subquery stages and not counted in the columns above; no query cross-joins.",
+            "- No query runs Python per row; the only Python stage is the optional `map_records` hook.",
+            "- `tests/test_plan_guards.py` keeps these properties: no cartesian or nested-loop joins, no",
+            "  Python evaluation, pruned scans, silver filters pushed into the scan."]
     with open("PLANS.md", "w") as f:
         f.write("\n".join(out) + "\n")
     spark.stop()
