@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # a session without RDD access (Spark Connect): leave the plan as is
+        return df
+    if current >= target:
         return df
     # Round-robin; Spark sorts each input partition first, so a retried task sends
     # every row to the same target again (deterministic under executor loss).

@@ -73,7 +73,13 @@ def shared_dir(spark: SparkSession) -> str:
     Read from the session; only when it is unset (unit tests, a laptop) a local one is
     created and registered, so ``DataFrame.checkpoint()`` and scratch tables work.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the session configuration is visible
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
