@@ -57,3 +57,14 @@ def test_query_matches_oracle(spark, con, name):
     a = sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=key)
     b = sorted((tuple(_norm(r[i]) for i in oorder) for r in orows), key=key)
     assert a == b
+
+
+def test_object_inventory_matches_file_system(spark):
+    """No SQL oracle (file sizes are not visible to SQL): compare with os.stat."""
+    got = {(r.object_name, r.size_bytes, r.size_kb) for r in E.queries()["object_inventory"](spark, SF).collect()}
+    want = set()
+    for name in os.listdir(SF):
+        if name.endswith(".parquet"):
+            size = os.stat(os.path.join(SF, name)).st_size
+            want.add((name, size, size / 1024))
+    assert got == want
