@@ -120,6 +120,11 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
                                        for nm in final])
         for r in rows.filter(in_range(final)).withColumn("__rn", F.row_number().over(w)).filter(wanted).collect():
             result[r.g] = (int(r.s), int(r.k))
+        for nm in final:
+            if result.get(nm) is None:
+                # Fewer rows in range than asked (a ``known_rows`` bound above the real
+                # count): every row is selected.
+                result[nm] = (SCORE_LIMIT, (1 << 63) - 1)
     return {name: result.get(str(name)) for name in original_names}
 
 

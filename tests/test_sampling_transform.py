@@ -30,6 +30,14 @@ def test_rank_cutoff_with_hot_score(spark):
         assert cut == ordered[n - 1], n
 
 
+def test_known_rows_bound_above_real_count_selects_all(spark):
+    df = spark.range(50).withColumn("s", hash_score("id", "z"))
+    cut = SM.rank_cutoffs({"a": (df, "s", "id")}, 80, known_rows=100)["a"]
+    assert df.filter(SM.at_or_below("s", "id", cut)).count() == 50
+    cut = SM.rank_cutoffs({"a": (df, "s", "id")}, 20, known_rows=100)["a"]
+    assert df.filter(SM.at_or_below("s", "id", cut)).count() == 20
+
+
 def test_batched_cutoffs_match_single(spark):
     df = spark.range(4000).withColumn("a", hash_score("id", "a")).withColumn("b", hash_score("id", "b"))
     both = SM.rank_cutoffs({"a": (df, "a", "id"), "b": (df, "b", "id")}, {"a": 10, "b": 3999}, buckets=16, max_exact=20)
