@@ -642,3 +642,50 @@ ORACLE["observatory_quality"] = (
                   _injected_events_sql()
                   + f", t AS (SELECT {_EVENT_COLS} FROM e5)")
 )
+
+
+def _silver_sql(flagged_cte: str, flags: dict, select: str) -> str:
+    """Rows with every flag FALSE (a NULL flag drops the row), typed like silver."""
+    cols = ", ".join(f"{expr} AS {name}" for name, expr in flags.items())
+    anyf = " OR ".join(flags)
+    return f"""{flagged_cte},
+  fl AS (SELECT t.*, {cols} FROM t),
+  silver AS (SELECT {select} FROM fl WHERE NOT ({anyf}))"""
+
+
+_SILVER_READINGS = _silver_sql(
+    _injected_readings_sql() + f", t AS (SELECT {_READING_COLS} FROM allr)", _READING_FLAGS,
+    f"sensor_id, CAST(strptime(timestamp, {ISO}) AS TIMESTAMP) AS ts, ubicacion, temperatura_c, humedad_pct, "
+    "velocidad_viento_ms, presion_hpa, seeing_arcsec, transparencia")
+
+_SILVER_EVENTS = _silver_sql(
+    _injected_events_sql() + f", t AS (SELECT {_EVENT_COLS} FROM e5)", _EVENT_FLAGS,
+    f"obs_id, sensor_id, CAST(strptime(timestamp, {ISO}) AS TIMESTAMP) AS ts, objeto_observado, magnitud, "
+    "ascension_recta, declinacion, CAST(duracion_min AS INTEGER) AS duracion_min, instrumento, estado")
+
+ORACLE["observatory_nightly"] = _SILVER_READINGS + """
+SELECT sensor_id, ubicacion, CAST(ts AS DATE) AS fecha,
+       ROUND(AVG(seeing_arcsec), 3) AS seeing_promedio, ROUND(MIN(seeing_arcsec), 3) AS seeing_minimo,
+       ROUND(AVG(temperatura_c), 2) AS temperatura_promedio, ROUND(AVG(humedad_pct), 2) AS humedad_promedio,
+       ROUND(AVG(velocidad_viento_ms), 2) AS viento_promedio, ROUND(AVG(transparencia), 3) AS transparencia_promedio,
+       COUNT(*) AS n_lecturas
+FROM silver GROUP BY sensor_id, ubicacion, CAST(ts AS DATE)
+"""
+
+ORACLE["observatory_sensors"] = _SILVER_READINGS + """
+SELECT sensor_id, ubicacion, COUNT(*) AS total_lecturas,
+       ROUND(AVG(seeing_arcsec), 3) AS seeing_promedio, ROUND(STDDEV_SAMP(seeing_arcsec), 3) AS seeing_desv_std,
+       ROUND(MIN(seeing_arcsec), 3) AS seeing_minimo, ROUND(AVG(transparencia), 3) AS transparencia_promedio,
+       ROUND(MIN(temperatura_c), 2) AS temp_minima, ROUND(MAX(temperatura_c), 2) AS temp_maxima,
+       ROUND(AVG(humedad_pct), 2) AS humedad_promedio
+FROM silver GROUP BY sensor_id, ubicacion
+"""
+
+ORACLE["observatory_instruments"] = _SILVER_EVENTS + """
+SELECT instrumento, estado, COUNT(*) AS total_observaciones,
+       ROUND(AVG(duracion_min), 1) AS duracion_promedio_min,
+       MIN(duracion_min) AS duracion_minima_min, MAX(duracion_min) AS duracion_maxima_min,
+       ROUND(AVG(magnitud), 2) AS magnitud_promedio,
+       COUNT(DISTINCT objeto_observado) AS objetos_unicos, COUNT(DISTINCT sensor_id) AS telescopios_activos
+FROM silver GROUP BY instrumento, estado
+"""
