@@ -50,3 +50,16 @@ def per_unit(work, time) -> Column:
 def mebibytes(elements, bytes_per_element: int = 8) -> Column:
     """Array size in MB (1024^2 bytes) for ``elements`` values of ``bytes_per_element``."""
     return _col(elements) * F.lit(float(bytes_per_element)) / F.lit(1024.0 ** 2)
+
+
+def exact_mean(c, scale: int = 6) -> Column:
+    """Mean from an exact decimal sum: ``CAST(SUM(CAST(x AS DECIMAL(38, scale))) AS DOUBLE) / COUNT(x)``.
+
+    A double sum depends on the order rows are added, which on a cluster depends on
+    partitioning and on the order shuffle blocks arrive, so a mean that falls on a
+    rounding tie could round differently from run to run.  Summing the values as
+    decimals (exact for inputs with at most ``scale`` decimals) makes the mean, and any
+    rounding of it, the same for every partitioning and every engine.
+    """
+    c = _col(c)
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double") / F.count(c)

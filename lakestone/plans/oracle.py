@@ -689,3 +689,20 @@ SELECT instrumento, estado, COUNT(*) AS total_observaciones,
        COUNT(DISTINCT objeto_observado) AS objetos_unicos, COUNT(DISTINCT sensor_id) AS telescopios_activos
 FROM silver GROUP BY instrumento, estado
 """
+
+
+# Means of the summaries: exact decimal sum divided by the count (same on any engine and
+# any partitioning; see lakestone.functions.numeric.exact_mean).
+import re as _re  # noqa: E402
+
+_AVG = _re.compile(r"\bAVG\(((?:[^()]|\([^()]*\))*)\)")
+
+
+def _exact_avg(sql: str) -> str:
+    return _AVG.sub(lambda m: f"(CAST(SUM(CAST({m.group(1)} AS DECIMAL(38,6))) AS DOUBLE) / COUNT({m.group(1)}))", sql)
+
+
+for _k in ["nightly_conditions", "sensor_summary", "observations_by_instrument", "lake_query_sensor",
+           "lake_query_instrument", "top_answers", "observatory_nightly", "observatory_sensors",
+           "observatory_instruments"]:
+    ORACLE[_k] = _exact_avg(ORACLE[_k])
