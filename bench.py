@@ -58,9 +58,14 @@ def main() -> None:
     jobs = {name: Q.QUERIES[name] for name in HEADLINE}
     jobs["transform_lineitem"] = lineitem_transform
     jobs["medallion_run"] = medallion_run
-    # The source system's own pipeline: generate raw CSV + NDJSON with injected errors
-    # (one reading and one event per events row), bronze, silver with the 13 rules.
-    jobs["observatory_pipeline"] = Q.QUERIES["observatory_quality"]
+    def observatory_pipeline(spark, sf_dir):
+        # The source system's own pipeline: generate raw CSV + NDJSON with injected errors
+        # (one reading and one event per events row), bronze, silver with the 13 rules,
+        # the three gold tables.  The memoized run is cleared so every repetition runs it.
+        Q._OBSERVATORY.clear()
+        return Q.QUERIES["observatory_quality"](spark, sf_dir)
+
+    jobs["observatory_pipeline"] = observatory_pipeline
 
     timings = {}
     for name, fn in jobs.items():
