@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lakestone import sources as io
-from lakestone.functions.numeric import mebibytes, pairs, round_half_away
+from lakestone.functions.numeric import mebibytes, pairs, per_unit, round_half_away
 from lakestone.functions.text import iso_seconds
 from lakestone.operators import rules as R
 from lakestone.operators import stats as S
@@ -312,7 +312,7 @@ def throughput_measures(spark, sf_dir):
     n = F.col("l_quantity").cast("long")
     return li.select("l_orderkey", "l_linenumber",
                      pairs(n).alias("n_pairs"),
-                     round_half_away(S.F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 4).alias("unit_price"),
+                     round_half_away(per_unit("l_extendedprice", "l_quantity"), 4).alias("unit_price"),
                      round_half_away(mebibytes(n * 1000), 6).alias("size_mb"),
                      F.abs(F.col("l_discount") - F.lit(0.05)).alias("discount_gap"))
 
