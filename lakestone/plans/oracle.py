@@ -691,15 +691,17 @@ FROM silver GROUP BY instrumento, estado
 """
 
 
-# Means of the summaries: exact decimal sum divided by the count (same on any engine and
-# any partitioning; see lakestone.functions.numeric.exact_mean).
+# Means of the summaries: the exact integer sum of the values in millionths, divided by
+# 10^6 and by the count (same on any engine and any partitioning; see
+# lakestone.functions.numeric.exact_mean).
 import re as _re  # noqa: E402
 
 _AVG = _re.compile(r"\bAVG\(((?:[^()]|\([^()]*\))*)\)")
 
 
 def _exact_avg(sql: str) -> str:
-    return _AVG.sub(lambda m: f"(CAST(SUM(CAST({m.group(1)} AS DECIMAL(38,6))) AS DOUBLE) / COUNT({m.group(1)}))", sql)
+    return _AVG.sub(lambda m: (f"(CAST(SUM(CAST(round_even(({m.group(1)}) * 1000000.0, 0) AS BIGINT)) AS DOUBLE)"
+                               f" / 1000000.0 / COUNT({m.group(1)}))"), sql)
 
 
 for _k in ["nightly_conditions", "sensor_summary", "observations_by_instrument", "lake_query_sensor",

@@ -67,3 +67,20 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 * (1 << 40), total_cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert cluster_conf(1 << 20, total_cores=8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_exact_mean_is_exact_and_order_free(spark):
+    from decimal import Decimal
+    from lakestone.functions.numeric import exact_mean
+    vals = [11.545, -2.5, 0.001, 123456.789012, None, 7.0, -0.003]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.agg(exact_mean("x").alias("m")).first().m
+    present = [v for v in vals if v is not None]
+    exact = sum(Decimal(repr(v)) for v in present) / len(present)
+    assert abs(got - float(exact)) <= 1e-12 * abs(float(exact))
+    many = spark.range(20000).select(((F.col("id") % 1000) / F.lit(1000.0) + F.lit(11.5)).alias("x"))
+    a = many.repartition(7).agg(exact_mean("x").alias("m")).first().m
+    b = many.coalesce(1).agg(exact_mean("x").alias("m")).first().m
+    assert a == b
+    nulls = spark.createDataFrame([(None,), (None,)], "x double")
+    assert nulls.agg(exact_mean("x").alias("m")).first().m is None
