@@ -1,6 +1,5 @@
 """Every registered query against its SQL oracle on the smallest scale factor."""
 
-import math
 import os
 
 import duckdb

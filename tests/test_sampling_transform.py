@@ -4,7 +4,6 @@ import math
 from pyspark.sql import functions as F
 
 from lakestone.functions.draws import hash_score
-from lakestone.functions.transform import hash_prefix, trig_score
 from lakestone.operators import sampling as SM
 from lakestone.operators.transform import heavy_transform, map_records
 
