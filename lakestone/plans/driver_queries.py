@@ -73,7 +73,7 @@ def observations_by_instrument(spark, sf_dir):
 
 def lake_query_sensor(spark, sf_dir):
     # The lake base URI is a parameter: a local folder here, s3a://bucket/prefix on a cluster.
-    li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    li = io.read_table(spark, sf_dir, "lineitem")
     return summarize(li, ["l_returnflag", "l_linestatus"],
                      [Measure("avg_discount", "avg", "l_discount", 3),
                       Measure("min_price", "min", "l_extendedprice", 3),
@@ -82,7 +82,7 @@ def lake_query_sensor(spark, sf_dir):
 
 
 def lake_query_instrument(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    o = io.read_table(spark, sf_dir, "orders")
     return summarize(o, ["o_orderstatus", "o_orderpriority"],
                      [Measure("n_orders", "count"), Measure("avg_price", "avg", "o_totalprice", 1)],
                      [("o_orderstatus", "asc"), ("n_orders", "desc")])
