@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestone.functions.numeric import exact_mean
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -33,7 +35,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, order: str | Non
     from lakestone.functions.numeric import round_half_away
     p = prefix if prefix is not None else value
     r = (lambda c: round_half_away(c, scale)) if scale is not None else (lambda c: c)
-    aggs = [r(F.avg(value)).alias(f"{p}_mean"),
+    aggs = [r(exact_mean(value)).alias(f"{p}_mean"),
             r(F.stddev_samp(value)).alias(f"{p}_std"),
             F.count(value).cast("long").alias(f"{p}_count")]
     if order is not None:
@@ -63,18 +65,18 @@ def pattern_ratio(df: DataFrame, size: str, scenario: str, value: str,
 
     The pivot values are given, so Spark does not run a distinct job to find them.
     """
-    wide = (df.groupBy(size).pivot(scenario, [numerator, denominator]).agg(F.avg(value)))
+    wide = (df.groupBy(size).pivot(scenario, [numerator, denominator]).agg(exact_mean(value)))
     return wide.withColumn(ratio_name, F.col(numerator) / F.col(denominator))
 
 
 def coefficient_of_variation(value) -> Column:
     """Sample standard deviation over mean."""
-    return F.stddev_samp(_col(value)) / F.avg(_col(value))
+    return F.stddev_samp(_col(value)) / exact_mean(_col(value))
 
 
 def conditional_mean(value, condition: Column) -> Column:
     """Mean of ``value`` over the rows where ``condition`` holds (NULL elsewhere)."""
-    return F.avg(F.when(condition, _col(value)))
+    return exact_mean(F.when(condition, _col(value)))
 
 
 def scaling_table(df: DataFrame, p: str = "p", time: str = "time_s") -> DataFrame:

@@ -209,8 +209,8 @@ ORACLE["scenario_cv_ratio"] = """
 WITH e AS (SELECT *, user_id % 10 AS size_bucket FROM events),
 p AS (
   SELECT size_bucket,
-         AVG(value) FILTER (WHERE event_type = 'view') AS v,
-         AVG(value) FILTER (WHERE event_type = 'purchase') AS pu,
+         AVG(CASE WHEN event_type = 'view' THEN value END) AS v,
+         AVG(CASE WHEN event_type = 'purchase' THEN value END) AS pu,
          STDDEV_SAMP(value) / AVG(value) AS cv
   FROM e GROUP BY size_bucket
 )
@@ -706,5 +706,6 @@ def _exact_avg(sql: str) -> str:
 
 for _k in ["nightly_conditions", "sensor_summary", "observations_by_instrument", "lake_query_sensor",
            "lake_query_instrument", "top_answers", "observatory_nightly", "observatory_sensors",
-           "observatory_instruments"]:
+           "observatory_instruments", "scenario_stats", "scenario_cv_ratio", "conditional_mean_ratio",
+           "evidence_summary"]:
     ORACLE[_k] = _exact_avg(ORACLE[_k])
