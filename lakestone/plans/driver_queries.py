@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lakestone import sources as io
-from lakestone.functions.numeric import mebibytes, pairs, per_unit, round_half_away
+from lakestone.functions.numeric import exact_mean, mebibytes, pairs, per_unit, round_half_away
 from lakestone.functions.text import iso_seconds
 from lakestone.operators import rules as R
 from lakestone.operators import stats as S
@@ -294,11 +294,11 @@ def conditional_mean_ratio(spark, sf_dir):
 def scenario_union(spark, sf_dir):
     ev = (_t(spark, sf_dir, "events").groupBy("event_type")
           .agg(F.count(F.lit(1)).cast("double").alias("tamano_n"),
-               round_half_away(F.avg("value"), 4).alias("tiempo_s"))
+               round_half_away(exact_mean("value"), 4).alias("tiempo_s"))
           .select(F.concat(F.lit("events_"), "event_type").alias("escenario"), "tamano_n", "tiempo_s"))
     li = (_t(spark, sf_dir, "lineitem").groupBy("l_returnflag")
           .agg(round_half_away(mebibytes(F.sum("l_quantity")), 6).alias("tamano_mb"),
-               round_half_away(F.avg("l_extendedprice"), 4).alias("throughput_mb_s"))
+               round_half_away(exact_mean("l_extendedprice"), 4).alias("throughput_mb_s"))
           .select(F.concat(F.lit("lineitem_"), "l_returnflag").alias("escenario"), "tamano_mb", "throughput_mb_s"))
     o = (_t(spark, sf_dir, "orders").groupBy("o_orderstatus")
          .agg(pairs(F.count(F.lit(1))).cast("double").alias("tamano_pares"),
@@ -334,7 +334,7 @@ def baseline_relative(spark, sf_dir):
 
 def quadratic_reference(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
-    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(F.avg("l_extendedprice").alias("t_mean"))
+    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(exact_mean("l_extendedprice").alias("t_mean"))
     curve = S.quadratic_reference(per_n, "n", "t_mean")
     return curve.select("n", round_half_away("t_mean", 4).alias("t_mean"),
                         round_half_away("t_pred", 4).alias("t_pred"),
@@ -345,7 +345,7 @@ def quadratic_curve(spark, sf_dir):
     """100 evenly spaced sizes between the smallest and largest quantity, each with the
     quadratic reference time from the smallest size's mean price."""
     li = _t(spark, sf_dir, "lineitem")
-    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(F.avg("l_extendedprice").alias("t_mean"))
+    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(exact_mean("l_extendedprice").alias("t_mean"))
     bounds = per_n.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"),
                        F.min_by("t_mean", "n").alias("t_ref"))
     curve = S.reference_curve(spark, bounds, "n_min", "n_max", "t_ref")
@@ -372,8 +372,8 @@ def weighted_scorecard(spark, sf_dir):
     metrics = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
         F.count(F.lit(1)).cast("double").alias("n_lines"),
-        F.avg("l_quantity").alias("avg_quantity"),
-        (F.lit(1.0) - F.avg("l_discount")).alias("low_discount"))
+        exact_mean("l_quantity").alias("avg_quantity"),
+        (F.lit(1.0) - exact_mean("l_discount")).alias("low_discount"))
     crit = list(SCORECARD_WEIGHTS)
     scores = metrics.select("s_suppkey", *[(F.col(c) / metrics.select(F.max(c)).scalar()).alias(c) for c in crit])
     labels = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")

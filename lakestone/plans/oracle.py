@@ -707,5 +707,6 @@ def _exact_avg(sql: str) -> str:
 for _k in ["nightly_conditions", "sensor_summary", "observations_by_instrument", "lake_query_sensor",
            "lake_query_instrument", "top_answers", "observatory_nightly", "observatory_sensors",
            "observatory_instruments", "scenario_stats", "scenario_cv_ratio", "conditional_mean_ratio",
-           "evidence_summary"]:
+           "evidence_summary", "scenario_union", "quadratic_reference", "quadratic_curve",
+           "weighted_scorecard"]:
     ORACLE[_k] = _exact_avg(ORACLE[_k])
