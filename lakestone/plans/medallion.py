@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakestone.functions.numeric import percent
 from lakestone.functions.text import ISO_SECONDS
 from lakestone.operators import rules as R
 from lakestone.operators.summarize import summarize
@@ -182,4 +181,4 @@ def run_summary(spark: SparkSession, runinfo: PipelineRun) -> DataFrame:
 
 
 __all__ = ["cast_columns", "silver_table", "SourceSpec", "GoldSpec", "PipelineRun", "ingest",
-           "refine", "build_gold", "run", "run_summary", "zone", "percent"]
+           "refine", "build_gold", "run", "run_summary", "zone"]
