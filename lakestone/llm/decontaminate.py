@@ -42,7 +42,8 @@ def _winnowed(g: Column, n: Column, window: int, k: int) -> Column:
 
 def _exploded(rows: DataFrame, ids: list[str], marks: Column) -> DataFrame:
     """(ids, hash, pos) from an array of marks; a position beyond the low bits is tried at every wrap."""
-    out = rows.withColumn("_marks", marks).select(*ids, "_n", F.explode("_marks").alias("_v"))
+    # An inner explode would push a size test, with the whole expression in it, below the words.
+    out = rows.withColumn("_marks", marks).select(*ids, "_n", F.explode_outer("_marks").alias("_v"))
     low = F.col("_v").bitwiseAND(F.lit(_MASK)).cast("int")
     out = out.select(*ids, "_n", F.col("_v").bitwiseAND(F.lit(~_MASK)).alias("hash"), low.alias("pos"))
     far = F.col("_n") > _MASK
