@@ -37,3 +37,10 @@ def op2_winnow_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("_w").cast("long").alias("n_words"), F.size("_hit").cast("long").alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_hit") > 0).alias("contaminated"))
+
+
+@query
+def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    from .fingerprint import compare_edited
+    return compare_edited(_table(spark, sf_dir, "documents"))
