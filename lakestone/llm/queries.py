@@ -44,3 +44,28 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness."""
     from .fingerprint import compare_edited
     return compare_edited(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bucket, batch and place under the optimal bucket boundaries."""
+    from .packing import pack
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page the digests and links of its response, metadata and conversion records."""
+    from .warc import derivatives, responses
+    made = derivatives(responses(_table(spark, sf_dir, "pages")))
+    return made.select("page_id", "type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest",
+                       "content_length", "title", "n_links", F.length("text").cast("long").alias("n_chars"),
+                       F.sha2("text", 256).alias("text_sha256"), F.sha2("record", 256).alias("record_sha256"))
+
+
+@query
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, from flat token files without an index."""
+    from .tokencount import document_counts
+    return document_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_tokens", "ordinal", "start")
