@@ -69,3 +69,10 @@ def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import document_counts
     return document_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_tokens", "ordinal", "start")
+
+
+@query
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a bigram automaton trained on those not held out."""
+    from .lm import score
+    return score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
