@@ -76,3 +76,13 @@ def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a bigram automaton trained on those not held out."""
     from .lm import score
     return score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with the number and offsets of its toxic spans."""
+    from .toxicity import held_out, score, train
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                         F.size("spans").cast("long").alias("n_spans"), "spans")
