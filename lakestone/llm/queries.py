@@ -86,3 +86,10 @@ def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(docs, train(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
                          F.size("spans").cast("long").alias("n_spans"), "spans")
+
+
+@query
+def op3_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, its rows and its text's links."""
+    from .neardup import classes
+    return classes(_table(spark, sf_dir, "documents")).drop("node")
