@@ -25,15 +25,15 @@ ANSWER = "block long, range long, level int, answers binary"
 ANSWER_ARROW = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("level", pa.int32()), ("answers", pa.binary())])
 
 
-def dealt(docs: DataFrame, block_chars: int = BLOCK_CHARS, text: str = "text") -> tuple[DataFrame, int]:
-    """``docs`` with a ``block`` column and partitioned by it, and the number of key ranges.
+def dealt(docs: DataFrame, block_chars: int = BLOCK_CHARS, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, int]:
+    """``docs`` with a ``_block`` column and partitioned by it, and the number of key ranges.
 
-    The number of blocks follows the total length of the texts, a row's block its values.
+    The number of blocks follows the total length of the texts, a row's block its key and text.
     """
     chars = docs.agg(F.sum(F.length(F.col(text)) + 1)).first()[0] or 0
     blocks, ranges = max(1, -(-chars // block_chars)), max(1, -(-chars // (block_chars * (RANGE_CHARS // BLOCK_CHARS))))
-    keyed = docs.withColumn("block", F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).cast("long"))
-    return keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block"), ranges
+    keyed = docs.withColumn("_block", F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("long"))
+    return keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_block"), ranges
 
 
 def split(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .textops import U64, Words, pieces, shingles
 
@@ -77,9 +78,11 @@ def sketches(texts: pa.Array, k: int = K, size: int = SHINGLE) -> list[np.ndarra
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, size: int = SHINGLE) -> DataFrame:
     """``docs`` plus ``fingerprint`` (base64 of big-endian hashes, ascending).
 
-    Null and empty texts give the empty string; equal texts equal fingerprints; every row stays.
+    Null and empty texts give the empty string; equal texts equal fingerprints; every row
+    stays; a column of that name is replaced.
     """
-    schema = docs.schema.add("fingerprint", "string")
+    docs = docs.drop("fingerprint")
+    schema = StructType([*docs.schema.fields, StructField("fingerprint", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -89,7 +89,7 @@ def _emit(order: int, ranges: int):
         for n, keys in enumerate(_ngrams(tokens, first, order), 1):
             distinct, at = np.unique(keys, return_inverse=True)
             levels.append((n, distinct, np.bincount(at, weights=train, minlength=len(distinct)).astype(_KINDS)))
-        return blocks.send(table["block"][0].as_py(), ranges, levels)
+        return blocks.send(table["_block"][0].as_py(), ranges, levels)
     return run
 
 
@@ -165,9 +165,9 @@ def score(docs: DataFrame, order: int = 2, weight: float = 0.5, block_chars: int
                        held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
     dealt, ranges = blocks.dealt(rows, block_chars)
     n, v, texts = _training_size(rows, ranges)
-    sent = dealt.groupBy("block").applyInArrow(_emit(order, ranges), blocks.SENT)
+    sent = dealt.groupBy("_block").applyInArrow(_emit(order, ranges), blocks.SENT)
     answers = blocks.answered(sent, _total, _KINDS)
-    return (dealt.groupBy("block").cogroup(answers.groupBy("block"))
+    return (dealt.groupBy("_block").cogroup(answers.groupBy("block"))
             .applyInArrow(_score(order, weight, n, v, texts), _SCORES))
 
 

@@ -93,3 +93,16 @@ def op3_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, its rows and its text's links."""
     from .neardup import classes
     return classes(_table(spark, sf_dir, "documents")).drop("node")
+
+
+@query
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its repeated passages; ``class_id`` is the smallest document that has one of them, or itself."""
+    from .substring import repeated
+    found = repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    inside = F.size(F.array_distinct(F.flatten(F.transform(
+        "_passages", lambda p: F.sequence(p["start_word"], p["end_word"] - 1)))))
+    return found.select(
+        "doc_id", F.least("_owner", F.array_min(F.transform("_passages", lambda p: p["first_doc"]))).alias("class_id"),
+        F.col("_n_words").alias("n_words"), inside.cast("long").alias("n_repeated_words"),
+        F.size("_passages").cast("long").alias("n_passages"), F.col("_passages").alias("passages"))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .textops import U64, Words, pieces
 
@@ -252,12 +253,12 @@ def _spans(words: Words, data: np.ndarray, offsets: np.ndarray, p: np.ndarray, l
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, span_threshold: float = 0.5) -> DataFrame:
     """``docs`` plus ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on) and ``spans`` (offending offsets).
 
-    Null and empty texts score as texts without evidence; equal texts score alike; every row stays.
+    Null and empty texts score as texts without evidence; equal texts score alike; every row
+    stays; columns of these names are replaced.
     """
+    docs = docs.drop("score", "predicted", "spans")
     extra = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
-    schema = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).schema
-    for field in docs.sparkSession.createDataFrame([], extra).schema:
-        schema = schema.add(field)
+    schema = StructType([*docs.schema.fields, *docs.sparkSession.createDataFrame([], extra).schema.fields])
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,3 +276,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 names=[*names, "score", "predicted", "spans"])
 
     return docs.mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``, columns unchanged; null and empty texts score like clean ones."""
+    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for _, _, data, offsets in pieces(b.column(at), 1 << 22):
+                words = Words(data, offsets)
+                kept.append(shared.value.scores(shared.value.marginals(words), words.first) < threshold)
+            yield b.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
