@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from .textops import U64, Words, pieces
 
 #: Labelled rows of each class that the model is fitted to, at most; the lowest hashes of their ids.
-SAMPLE_PER_CLASS = 2000
+SAMPLE_PER_CLASS = 1000
 #: Byte lengths of the prefix features; the whole word comes first.
 PREFIXES = (4, 6, 8)
 _FILTER_BITS = 20
@@ -153,9 +153,16 @@ def fit(texts: pa.Array, toxic: np.ndarray, class_weights: tuple[float, float],
     keys, ratios = _evidence(found, doc, toxic[own], least_docs, ratio)
     if not len(keys):
         return flat
-    place = np.stack([np.minimum(np.searchsorted(keys, h), len(keys) - 1) for h in found])
-    has = np.stack([keys[p] == h for p, h in zip(place, found, strict=True)])
-    strong = np.where(has, ratios[place], 0).max(0) >= label_ratio
+    # Of each kind of feature, only the tokens whose feature has a weight are kept.
+    slots, place, strong = [], [], np.zeros(len(doc), bool)
+    for kind in range(len(found)):
+        h, found[kind] = found[kind], None
+        p = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        s = np.flatnonzero(keys[p] == h)
+        slots.append(s.astype(np.int32))
+        place.append(p[s].astype(np.int32))
+        strong[s[ratios[p[s]] >= label_ratio]] = True
+    del words, h, p, s
     label = toxic[own][doc] & strong
     # For the fit alone, texts are read in segments, all side by side.
     cuts = np.unique(np.concatenate((np.cumsum(sizes), [0], np.arange(0, len(doc), _SEGMENT))))
@@ -166,17 +173,16 @@ def fit(texts: pa.Array, toxic: np.ndarray, class_weights: tuple[float, float],
     seen = np.bincount(2 * label[at - 1] + label[at], minlength=4).reshape(2, 2).astype(float)
     theta = np.concatenate((np.zeros(len(keys)), [-4.0], [0.0, 0.0, 1.0]))  # weights, bias, steps 01, 10, 11
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    slots = [np.flatnonzero(h) for h in has]
     for i in range(1, rounds + 1):
         e = np.full(len(doc), theta[len(keys)])
         for s, p in zip(slots, place, strict=True):
-            e[s] += theta[p[s]]
+            e[s] += theta[p]
         step = np.exp(np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]]))
         p1, pair = forward_backward(np.exp(np.clip(e, -30, 30)), first, step, pairs=True)
         miss = p1 - label
         grad = np.zeros_like(theta)
         for s, p in zip(slots, place, strict=True):
-            grad[:len(keys)] += np.bincount(p[s], weights=miss[s], minlength=len(keys))
+            grad[:len(keys)] += np.bincount(p, weights=miss[s], minlength=len(keys))
         grad[len(keys)] = miss.sum()
         grad[-3:] = (pair - seen).ravel()[1:]
         grad = grad / len(toxic) + penalty * theta * (np.arange(len(theta)) < len(keys))
