@@ -50,29 +50,3 @@ def per_unit(work, time) -> Column:
 def mebibytes(elements, bytes_per_element: int = 8) -> Column:
     """Array size in MB (1024^2 bytes) for ``elements`` values of ``bytes_per_element``."""
     return _col(elements) * F.lit(float(bytes_per_element)) / F.lit(1024.0 ** 2)
-
-
-def exact_mean(c, scale: int = 6) -> Column:
-    """Mean from an exact integer sum of the values in units of 10^-scale.
-
-    A double sum depends on the order rows are added, which on a cluster depends on
-    partitioning and on the order shuffle blocks arrive, so a mean that falls on a
-    rounding tie could round differently from run to run.  Here each value becomes the
-    integer ``k = rint(x * 10^scale)`` (exact for inputs with at most ``scale``
-    decimals, |x| < 9.2e12), and ``k`` is summed as three 21-bit pieces in plain longs:
-    each piece sum stays below 2^63 for up to 4.4e12 rows in one group, so even a group
-    holding a third of a 100 TB table cannot overflow.  The pieces are recombined
-    exactly (decimal arithmetic once per group), so the mean is the same for any
-    partitioning, and the per-row work stays primitive arithmetic (no decimal buffers).
-    Result: ``double(sum(k)) / 10^scale / count(x)``.
-    """
-    c = _col(c)
-    k = F.rint(c * F.lit(10.0 ** scale)).cast("long")
-    low = F.pmod(k, F.lit(1 << 21))
-    mid = F.pmod(F.shiftright(k, 21), F.lit(1 << 21))
-    high = F.shiftright(k, 42)
-    dec = "decimal(38,0)"
-    total = (F.sum(high).cast(dec) * F.lit(1 << 42).cast(dec)
-             + F.sum(mid).cast(dec) * F.lit(1 << 21).cast(dec)
-             + F.sum(low).cast(dec))
-    return total.cast("double") / F.lit(10.0 ** scale) / F.count(c)

@@ -10,14 +10,16 @@ metadata, and no job runs to find it.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """``df`` over at least ``min_partitions`` (default: one for each core) partitions."""
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
-    except Exception:  # a session without RDD access (Spark Connect): leave the plan as is
+    except PySparkNotImplementedError:  # Spark Connect has no RDDs: leave the plan as is
         return df
     if current >= target:
         return df

@@ -1,31 +1,19 @@
-"""Weighted multi-criteria scoring.
-
-Scores come in long form (alternative, criterion, score); the weights are a small
-literal table (one row per criterion, so its size is known) joined by broadcast; the
-weighted sum is a grouped aggregate, and labels are attached by a left join on the key.
-"""
+"""Weighted multi-criteria scoring: one projection over one column per criterion."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import operator
+from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def weights_frame(spark: SparkSession, weights: Mapping[str, float]) -> DataFrame:
-    return spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "criterion string, weight double")
-
-
-def to_long(wide: DataFrame, key: str, criteria: Sequence[str]) -> DataFrame:
-    """Wide scores (one column per criterion) to (key, criterion, score) rows."""
-    return wide.unpivot([key], list(criteria), "criterion", "score")
-
-
-def weighted_total(long: DataFrame, weights: DataFrame, key: str, name: str = "score_total") -> DataFrame:
-    """Sum of score x weight per key; a NULL score adds nothing (like a skipping sum)."""
-    joined = long.join(F.broadcast(weights), "criterion")
-    return joined.groupBy(key).agg(F.sum(F.col("score") * F.col("weight")).alias(name))
+def weighted_total(weights: Mapping[str, float]) -> Column:
+    """Sum of score x weight; a NULL score adds nothing, so a row without scores has 0.0."""
+    return reduce(operator.add, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(w))
+                                 for c, w in weights.items()])
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -39,11 +27,9 @@ def ranked(df: DataFrame, score: str = "score_total", key: str | None = None) ->
     return df.orderBy(*cols)
 
 
-def weighted_ranking(spark: SparkSession, wide: DataFrame, key: str, weights: Mapping[str, float],
+def weighted_ranking(wide: DataFrame, key: str, weights: Mapping[str, float],
                      labels: DataFrame | None = None) -> DataFrame:
-    long = to_long(wide, key, list(weights))
-    total = weighted_total(long, weights_frame(spark, weights), key)
-    out = wide.join(total, key, "left")
+    out = wide.withColumn("score_total", weighted_total(weights))
     if labels is not None:
         out = attach_labels(out, labels, key)
     return ranked(out, "score_total", key)

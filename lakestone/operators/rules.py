@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestone.functions.numeric import percent
@@ -79,17 +79,15 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], name: str, method: str =
     pre-aggregated before the shuffle, and the join back is planned by AQE from the real
     size of the key set (broadcast when small, skew-split sort-merge otherwise).
 
-    ``window``: ``count(*) OVER (PARTITION BY keys)``; one shuffle, but a hot key is one
-    task holding the whole group.
-
-    ``digest`` (one long text key, e.g. a whole document): see
-    ``_flag_duplicates_by_digest``; only 32-byte digests and the candidate rows' texts
-    are shuffled, never every text.
+    ``digest`` (wide keys, e.g. a whole document) does the same on SHA-256 digests of the
+    keys: see ``_flag_duplicates_by_digest``.
     """
-    if method == "window":
-        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)) > F.lit(1))
     if method == "digest":
         return _flag_duplicates_by_digest(df, keys, name)
+    return _flag_duplicates(df, keys, name)
+
+
+def _flag_duplicates(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     aliases = [f"__dup_k{i}" for i in range(len(keys))]
     repeated = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__dup_n"))
                 .filter(F.col("__dup_n") > 1)
@@ -102,37 +100,16 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], name: str, method: str =
 
 
 def _flag_duplicates_by_digest(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Exact duplicate flag for one wide text key, shuffling digests instead of texts.
-
-    1. Digests seen more than once are candidates (aggregate over 32-byte values).
-    2. Candidate rows (semi join against those digests) are counted per (digest, text);
-       only candidate rows' texts move.  A digest with a single text is a duplicate
-       group as a whole; a digest with several texts (a hash collision) keeps only its
-       (digest, text) pairs seen more than once.
-    3. Flags join back on the digest, and on (digest, text) for collision pairs only.
-    Result equals grouping by the text itself; NULL texts count as equal.
+    """Duplicate flag for wide keys, such as whole documents, without moving them.
+
+    Each key is replaced by its SHA-256 and its length before anything is shuffled, so the
+    count and the join back carry a fixed number of bytes a row.  No two different texts
+    with one SHA-256 are known, so equal digests are taken as equal texts.  NULL is equal
+    to NULL and differs from the empty text.
     """
-    if len(keys) != 1:
-        raise ValueError("digest duplicates take exactly one text key")
-    key = keys[0]
-    with_d = df.withColumn("__dg", F.sha2(F.col(key).cast("string"), 256))
-    cand = (with_d.groupBy("__dg").agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") > 1).select(F.col("__dg").alias("__cdg")))
-    rows = with_d.select("__dg", F.col(key).alias("__t"))
-    cand_rows = rows.join(cand, rows["__dg"].eqNullSafe(cand["__cdg"]), "left_semi")
-    pairs = cand_rows.groupBy("__dg", "__t").agg(F.count(F.lit(1)).alias("__n"))
-    per_digest = pairs.groupBy("__dg").agg(F.count(F.lit(1)).alias("__texts"))
-    pure = (per_digest.filter(F.col("__texts") == 1)
-            .select(F.col("__dg").alias("__pdg"), F.lit(True).alias("__pure")))
-    mixed = per_digest.filter(F.col("__texts") > 1).select(F.col("__dg").alias("__mdg"))
-    collided = (pairs.filter(F.col("__n") > 1)
-                .join(mixed, pairs["__dg"].eqNullSafe(mixed["__mdg"]), "left_semi")
-                .select(F.col("__dg").alias("__xdg"), F.col("__t").alias("__xt"), F.lit(True).alias("__coll")))
-    out = with_d.join(pure, with_d["__dg"].eqNullSafe(pure["__pdg"]), "left")
-    out = out.join(collided, out["__dg"].eqNullSafe(collided["__xdg"]) & out[key].eqNullSafe(collided["__xt"]),
-                   "left")
-    flag = F.coalesce(F.col("__pure"), F.lit(False)) | F.coalesce(F.col("__coll"), F.lit(False))
-    return out.withColumn(name, flag).drop("__dg", "__pdg", "__pure", "__xdg", "__xt", "__coll")
+    marks = {f"__dg{i}": F.sha2(F.col(k).cast("string"), 256) for i, k in enumerate(keys)}
+    marks |= {f"__ln{i}": F.octet_length(F.col(k).cast("string")) for i, k in enumerate(keys)}
+    return _flag_duplicates(df.withColumns(marks), list(marks), name).drop(*marks)
 
 
 # --------------------------------------------------------------------------- application

@@ -19,17 +19,15 @@ from pyspark.sql import functions as F
 SCORE_LIMIT = 1 << 60   # hash_score values are in [0, 2^60)
 
 
-def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
-                 known_rows: int | None = None) -> dict:
+def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000) -> dict:
     """Cutoffs of several samples at once: ``parts`` maps a name to ``(df, score, key)``.
 
     ``n`` is one size for all, or a dict of sizes.  Every refinement round is one
     grouped count over all samples (at most ``buckets`` rows per sample come back), and
     one final job orders the boundary rows of every sample (at most ``max_exact`` rows
     per sample, or one hash value) with a window partitioned by sample.
-    Returns name -> (score, key) of the n-th row, or None when n <= 0.
-    When every input is known to hold at most ``max_exact`` rows (``known_rows``), the
-    histogram rounds are skipped and the exact step runs directly.
+    Returns name -> (score, key) of the n-th row, or None when n <= 0.  Fewer rows than
+    asked for are all selected.
     """
     original_names = list(parts)
     sizes = n if isinstance(n, dict) else {name: n for name in parts}
@@ -73,13 +71,6 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
         col = "s" if st["phase"] == "s" else "CAST(k AS DECIMAL(20,0))"
         return f"WHEN g = '{nm}' THEN CAST(({col} - {st['lo']}) div {st['width']} AS BIGINT)"
 
-    if known_rows is not None and known_rows <= max_exact:
-        for nm in active:
-            if known_rows < state[nm]["need"]:
-                result[nm] = (SCORE_LIMIT, (1 << 63) - 1)
-            else:
-                final.append(nm)
-        active = []
     while active:
         for nm in active:
             st = state[nm]
@@ -120,11 +111,6 @@ def rank_cutoffs(parts: dict, n, buckets: int = 4096, max_exact: int = 100_000,
                                        for nm in final])
         for r in rows.filter(in_range(final)).withColumn("__rn", F.row_number().over(w)).filter(wanted).collect():
             result[r.g] = (int(r.s), int(r.k))
-        for nm in final:
-            if result.get(nm) is None:
-                # Fewer rows in range than asked (a ``known_rows`` bound above the real
-                # count): every row is selected.
-                result[nm] = (SCORE_LIMIT, (1 << 63) - 1)
     return {name: result.get(str(name)) for name in original_names}
 
 
@@ -144,61 +130,22 @@ def at_or_below(score, key, cutoff: tuple[int, int] | None) -> Column:
     return (s < cs) | ((s == cs) & (k <= ck))
 
 
-def sample_flag(df: DataFrame, n: int, score: Column, key: str, name: str) -> DataFrame:
-    """Add boolean ``name``: TRUE on exactly min(n, rows) rows chosen by hash order."""
-    tmp = f"__score_{name}"
-    scored = df.withColumn(tmp, score)
-    cut = rank_cutoff(scored, tmp, key, n)
-    return scored.withColumn(name, at_or_below(tmp, key, cut)).drop(tmp)
-
-
-def global_rank(df: DataFrame, score: str, key: str, name: str = "rank",
-                partitions: int | None = None) -> DataFrame:
-    """0-based rank of each row in (score, key) order, computed without one big task.
-
-    Rows are range-partitioned and sorted, positions are taken per partition, and the
-    checkpoint (in the shared ``spark.checkpoint.dir``) pins that layout so the
-    per-partition offsets stay valid even if an executor is lost afterwards.  The
-    offsets table has one row per partition.
-    """
-    spark = df.sparkSession
-    from lakestone.session import shared_dir
-    shared_dir(spark)
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = (df.repartitionByRange(nparts, score, key).sortWithinPartitions(score, key)
-            .withColumn("__pid", F.spark_partition_id())
-            .withColumn("__pos", F.monotonically_increasing_id())
-            .checkpoint(eager=True))
-    sizes = laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__p0"))
-    offsets = sizes.withColumn(
-        "__off", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0)))
-    return (laid.join(F.broadcast(offsets.select("__pid", "__p0", "__off")), "__pid")
-            .withColumn(name, (F.col("__off") + F.col("__pos") - F.col("__p0")).cast("long"))
-            .drop("__pid", "__pos", "__p0", "__off"))
-
-
 def rank_in_sample(df: DataFrame, score: str, key: str, cutoff: tuple[int, int] | None, n: int,
-                   name: str = "rank", max_group: int = 50_000, max_buckets: int = 4096) -> DataFrame:
-    """Rows of the sample ``(score, key) <= cutoff`` with their 0-based rank in that order.
-
-    Hash scores are uniform, so fixed-width score buckets hold about ``n / buckets`` rows
-    each.  One grouped count gives the rows per bucket (at most ``max_buckets`` rows reach
-    the driver and are broadcast back as cumulative offsets); the rank is the bucket's
-    offset plus ``row_number()`` inside the bucket, a sort of about n / buckets rows per
-    task (spillable).  No global sort, no single task for the whole sample.
+                   name: str = "rank", group_rows: int = 50_000) -> DataFrame:
+    """(``key``, ``name``) of the sample ``(score, key) <= cutoff``: its 0-based rank in that order.
+
+    Hash scores are uniform, so ``n / group_rows`` fixed-width score buckets hold about
+    ``group_rows`` rows each at any sample size.  One grouped count gives the rows per
+    bucket (that many numbers reach the driver and go back as cumulative offsets); the
+    rank is the bucket's offset plus ``row_number()`` inside the bucket.  Only score and
+    key move: join the rank back by the key.
     """
     spark = df.sparkSession
+    pairs = df.select(score, key)
     if cutoff is None:
-        return df.limit(0).withColumn(name, F.lit(0).cast("long"))
-    if n <= max_group:
-        # The whole sample is at most ``max_group`` rows: one bounded window suffices.
-        w1 = Window.partitionBy(F.lit(0)).orderBy(score, key)
-        return (df.filter(at_or_below(score, key, cutoff))
-                .withColumn(name, (F.row_number().over(w1) - F.lit(1)).cast("long")))
-    n_buckets = min(max_buckets, max(1, -(-n // max_group) * 4))
-    width = cutoff[0] // n_buckets + 1
-    sample = (df.filter(at_or_below(score, key, cutoff))
+        return pairs.limit(0).select(key, F.lit(0).cast("long").alias(name))
+    width = cutoff[0] // max(1, -(-n // group_rows)) + 1
+    sample = (pairs.filter(at_or_below(score, key, cutoff))
               .withColumn("__b", F.expr(f"`{score}` div {width}")))
     counts = sorted((int(r["__b"]), int(r["__c"])) for r in
                     sample.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).collect())
@@ -209,8 +156,7 @@ def rank_in_sample(df: DataFrame, score: str, key: str, cutoff: tuple[int, int]
     table = spark.createDataFrame(offsets or [(0, 0)], "__b long, __off long")
     w = Window.partitionBy("__b").orderBy(score, key)
     return (sample.join(F.broadcast(table), "__b")
-            .withColumn(name, (F.col("__off") + F.row_number().over(w) - F.lit(1)).cast("long"))
-            .drop("__b", "__off"))
+            .select(key, (F.col("__off") + F.row_number().over(w) - F.lit(1)).cast("long").alias(name)))
 
 
 def hash_order(df: DataFrame, score: Column) -> DataFrame:

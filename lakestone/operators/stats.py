@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestone.functions.numeric import exact_mean
+from lakestone.functions.numeric import round_half_away
 
 
 def _col(c) -> Column:
@@ -32,10 +32,9 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, order: str | Non
 
     Rows with a NULL key are left out (they form no group), keys come out sorted.
     """
-    from lakestone.functions.numeric import round_half_away
     p = prefix if prefix is not None else value
     r = (lambda c: round_half_away(c, scale)) if scale is not None else (lambda c: c)
-    aggs = [r(exact_mean(value)).alias(f"{p}_mean"),
+    aggs = [r(F.avg(value)).alias(f"{p}_mean"),
             r(F.stddev_samp(value)).alias(f"{p}_std"),
             F.count(value).cast("long").alias(f"{p}_count")]
     if order is not None:
@@ -46,17 +45,21 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, order: str | Non
     return kept.groupBy(*keys).agg(*aggs).orderBy(*[F.col(k).asc() for k in keys])
 
 
-def global_bounds(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
-    """One row: min and max of a column (e.g. plot bounds)."""
-    p = prefix or column
-    return df.agg(F.min(column).alias(f"{p}_min"), F.max(column).alias(f"{p}_max"))
+def scalars(df: DataFrame, **values: Column) -> Column:
+    """Aggregates of ``df`` as one struct scalar.
+
+    It also reads every column, so an aggregate that ``df`` ends in is planned as it is in
+    the main query, and its shuffle is reused: the fact table is scanned once.
+    """
+    whole = F.max(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("whole")
+    return df.select(F.struct(*[v.alias(k) for k, v in values.items()], whole)).scalar()
 
 
 def with_bounds(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
-    """Attach the global min/max of ``column`` to every row (scalar subqueries)."""
+    """Attach the global min/max of ``column`` to every row (one scalar subquery)."""
     p = prefix or column
-    return df.withColumns({f"{p}_min": df.select(F.min(column)).scalar(),
-                           f"{p}_max": df.select(F.max(column)).scalar()})
+    both = scalars(df, lo=F.min(column), hi=F.max(column))
+    return df.withColumns({f"{p}_min": both["lo"], f"{p}_max": both["hi"]})
 
 
 def pattern_ratio(df: DataFrame, size: str, scenario: str, value: str,
@@ -65,27 +68,27 @@ def pattern_ratio(df: DataFrame, size: str, scenario: str, value: str,
 
     The pivot values are given, so Spark does not run a distinct job to find them.
     """
-    wide = (df.groupBy(size).pivot(scenario, [numerator, denominator]).agg(exact_mean(value)))
+    wide = (df.groupBy(size).pivot(scenario, [numerator, denominator]).agg(F.avg(value)))
     return wide.withColumn(ratio_name, F.col(numerator) / F.col(denominator))
 
 
 def coefficient_of_variation(value) -> Column:
     """Sample standard deviation over mean."""
-    return F.stddev_samp(_col(value)) / exact_mean(_col(value))
+    return F.stddev_samp(_col(value)) / F.avg(_col(value))
 
 
 def conditional_mean(value, condition: Column) -> Column:
     """Mean of ``value`` over the rows where ``condition`` holds (NULL elsewhere)."""
-    return exact_mean(F.when(condition, _col(value)))
+    return F.avg(F.when(condition, _col(value)))
 
 
-def scaling_table(df: DataFrame, p: str = "p", time: str = "time_s") -> DataFrame:
+def scaling_table(df: DataFrame, p: str = "p", time: str = "time_s", t1: Column | None = None) -> DataFrame:
     """Speedup, efficiency and overhead of each run against the smallest ``p``.
 
-    T1 is the time of the smallest p (one-row aggregate).  speedup = T1/Tp,
+    T1 is the time of the smallest p (a scalar, or ``t1`` where the caller has it).  speedup = T1/Tp,
     efficiency = speedup/p, overhead = Tp - T1/p, useful = Tp - overhead.
     """
-    t1 = df.select(F.min_by(F.col(time), F.col(p))).scalar()
+    t1 = scalars(df, t=F.min_by(F.col(time), F.col(p)))["t"] if t1 is None else t1
     return (df.withColumn("speedup", t1 / F.col(time))
             .withColumn("efficiency", F.col("speedup") / F.col(p))
             .withColumn("overhead_s", F.col(time) - t1 / F.col(p))
@@ -96,9 +99,8 @@ def scaling_table(df: DataFrame, p: str = "p", time: str = "time_s") -> DataFram
 def quadratic_reference(df: DataFrame, n: str, t: str, exponent: float = 2.0,
                         name: str = "t_pred") -> DataFrame:
     """Reference curve ``t_ref * (n / n_ref) ** exponent`` from the smallest n."""
-    n_ref = df.select(F.min(n)).scalar()
-    t_ref = df.select(F.min_by(F.col(t), F.col(n))).scalar()
-    return df.withColumn(name, t_ref * F.pow(F.col(n) / n_ref, F.lit(exponent)))
+    ref = scalars(df, n=F.min(n), t=F.min_by(F.col(t), F.col(n)))
+    return df.withColumn(name, ref["t"] * F.pow(F.col(n) / ref["n"], F.lit(exponent)))
 
 
 def reference_curve(spark, bounds: DataFrame, n_min: str, n_max: str, t_ref: str,
@@ -107,7 +109,8 @@ def reference_curve(spark, bounds: DataFrame, n_min: str, n_max: str, t_ref: str
 
     ``bounds`` is a one-row frame; its values enter as scalar subqueries.
     """
-    lo, hi, t0 = (bounds.select(n_min).scalar(), bounds.select(n_max).scalar(), bounds.select(t_ref).scalar())
+    one = bounds.select(F.struct(n_min, n_max, t_ref)).scalar()
+    lo, hi, t0 = one[n_min], one[n_max], one[t_ref]
     frac = F.col("k") / F.lit(float(points - 1))
     grid = spark.range(points).withColumnRenamed("id", "k").withColumn("n", lo + (hi - lo) * frac)
     return grid.withColumn("t_pred", t0 * F.pow(F.col("n") / lo, F.lit(exponent)))

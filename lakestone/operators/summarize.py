@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
-from lakestone.functions.numeric import exact_mean, round_half_away
+from lakestone.functions.numeric import round_half_away
 
 _AGGS = {
     "count": lambda c: F.count(F.lit(1)),
     "count_nonnull": lambda c: F.count(c),
-    # Exact decimal sum / count: the same mean for any partitioning (see exact_mean).
-    "avg": exact_mean,
+    "avg": F.avg,
     "min": F.min,
     "max": F.max,
     "sum": F.sum,

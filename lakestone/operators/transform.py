@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakestone.functions.transform import hash_prefix, trig_score
 
@@ -28,7 +29,7 @@ def map_records(df: DataFrame, fn: Callable[[dict], tuple], schema: str,
 
     Only for logic that has no column-expression form; ``heavy_transform`` is the fast path.
     """
-    names = [f.strip().split()[0] for f in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lakestone import sources as io
-from lakestone.functions.numeric import exact_mean, mebibytes, pairs, per_unit, round_half_away
+from lakestone.functions.numeric import mebibytes, pairs, per_unit, round_half_away
 from lakestone.functions.text import iso_seconds
 from lakestone.operators import rules as R
 from lakestone.operators import stats as S
+from lakestone.operators.sampling import SCORE_LIMIT, rank_in_sample
 from lakestone.operators.summarize import Measure, summarize
 from lakestone.plans import catalog as C
 from lakestone.plans import generate as G
@@ -139,7 +140,7 @@ def rule_prefix(spark, sf_dir):
 
 def rule_duplicate_key(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    # Whole texts are compared; only digests and candidate texts are shuffled.
+    # Digests of the whole texts are compared; no text is shuffled.
     return _rule_query(docs, ["doc_id"], "text_repeated", R.duplicated("text", method="digest"))
 
 
@@ -272,9 +273,10 @@ def top_answers(spark, sf_dir):
 
 def scenario_cv_ratio(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").withColumn("size_bucket", (F.col("user_id") % 10).cast("long"))
-    ratio = S.pattern_ratio(ev, "size_bucket", "event_type", "value", "view", "purchase")
-    cv = ev.groupBy("size_bucket").agg(S.coefficient_of_variation("value").alias("cv"))
-    return ratio.join(cv, "size_bucket").select(
+    means = ev.groupBy("size_bucket").agg(
+        *[S.conditional_mean("value", F.col("event_type") == k).alias(k) for k in ("view", "purchase")],
+        S.coefficient_of_variation("value").alias("cv"))
+    return means.withColumn("ratio", F.col("view") / F.col("purchase")).select(
         "size_bucket",
         round_half_away("view", 4).alias("avg_view"),
         round_half_away("purchase", 4).alias("avg_purchase"),
@@ -294,11 +296,11 @@ def conditional_mean_ratio(spark, sf_dir):
 def scenario_union(spark, sf_dir):
     ev = (_t(spark, sf_dir, "events").groupBy("event_type")
           .agg(F.count(F.lit(1)).cast("double").alias("tamano_n"),
-               round_half_away(exact_mean("value"), 4).alias("tiempo_s"))
+               round_half_away(F.avg("value"), 4).alias("tiempo_s"))
           .select(F.concat(F.lit("events_"), "event_type").alias("escenario"), "tamano_n", "tiempo_s"))
     li = (_t(spark, sf_dir, "lineitem").groupBy("l_returnflag")
           .agg(round_half_away(mebibytes(F.sum("l_quantity")), 6).alias("tamano_mb"),
-               round_half_away(exact_mean("l_extendedprice"), 4).alias("throughput_mb_s"))
+               round_half_away(F.avg("l_extendedprice"), 4).alias("throughput_mb_s"))
           .select(F.concat(F.lit("lineitem_"), "l_returnflag").alias("escenario"), "tamano_mb", "throughput_mb_s"))
     o = (_t(spark, sf_dir, "orders").groupBy("o_orderstatus")
          .agg(pairs(F.count(F.lit(1))).cast("double").alias("tamano_pares"),
@@ -321,9 +323,9 @@ def baseline_relative(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
     monthly = (li.groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("month"))
                .agg(F.sum("l_extendedprice").alias("time_s")))
-    first = monthly.select(F.min("month")).scalar()
-    with_p = monthly.withColumn("p", F.months_between("month", first).cast("int") + 1)
-    table = S.scaling_table(with_p, "p", "time_s")
+    ref = S.scalars(monthly, month=F.min("month"), time=F.min_by("time_s", "month"))
+    with_p = monthly.withColumn("p", F.months_between("month", ref["month"]).cast("int") + 1)
+    table = S.scaling_table(with_p, "p", "time_s", ref["time"])
     return table.select("month", "p",
                         round_half_away("time_s", 2).alias("time_s"),
                         round_half_away("speedup", 6).alias("speedup"),
@@ -334,7 +336,7 @@ def baseline_relative(spark, sf_dir):
 
 def quadratic_reference(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
-    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(exact_mean("l_extendedprice").alias("t_mean"))
+    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(F.avg("l_extendedprice").alias("t_mean"))
     curve = S.quadratic_reference(per_n, "n", "t_mean")
     return curve.select("n", round_half_away("t_mean", 4).alias("t_mean"),
                         round_half_away("t_pred", 4).alias("t_pred"),
@@ -345,7 +347,7 @@ def quadratic_curve(spark, sf_dir):
     """100 evenly spaced sizes between the smallest and largest quantity, each with the
     quadratic reference time from the smallest size's mean price."""
     li = _t(spark, sf_dir, "lineitem")
-    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(exact_mean("l_extendedprice").alias("t_mean"))
+    per_n = li.groupBy(F.col("l_quantity").alias("n")).agg(F.avg("l_extendedprice").alias("t_mean"))
     bounds = per_n.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"),
                        F.min_by("t_mean", "n").alias("t_ref"))
     curve = S.reference_curve(spark, bounds, "n_min", "n_max", "t_ref")
@@ -372,12 +374,13 @@ def weighted_scorecard(spark, sf_dir):
     metrics = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
         F.count(F.lit(1)).cast("double").alias("n_lines"),
-        exact_mean("l_quantity").alias("avg_quantity"),
-        (F.lit(1.0) - exact_mean("l_discount")).alias("low_discount"))
+        F.avg("l_quantity").alias("avg_quantity"),
+        (F.lit(1.0) - F.avg("l_discount")).alias("low_discount"))
     crit = list(SCORECARD_WEIGHTS)
-    scores = metrics.select("s_suppkey", *[(F.col(c) / metrics.select(F.max(c)).scalar()).alias(c) for c in crit])
+    top = S.scalars(metrics, **{c: F.max(c) for c in crit})
+    scores = metrics.select("s_suppkey", *[(F.col(c) / top[c]).alias(c) for c in crit])
     labels = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    ranked = K.weighted_ranking(spark, scores, "s_suppkey", SCORECARD_WEIGHTS, labels)
+    ranked = K.weighted_ranking(scores, "s_suppkey", SCORECARD_WEIGHTS, labels)
     return ranked.select("s_suppkey", "s_name", round_half_away("score_total", 6).alias("score_total"))
 
 
@@ -406,7 +409,9 @@ CUSTOMER_SCHEMA = StructType([
 ])
 
 # Raw-text tokens written for three market segments (each must read back as NULL).
-SEGMENT_TOKENS = {"HOUSEHOLD": "NA", "MACHINERY": "null", "BUILDING": ""}
+SEGMENT_TOKENS = {"HOUSEHOLD": "NA", "MACHINERY": "null", "BUILDING": "", "FURNITURE": "NULL"}
+# Text with leading and trailing blanks, quotes, a comma and a last backslash.
+NAME_BEFORE, NAME_AFTER = '  "', '", said \\ '
 
 
 def bronze_csv_roundtrip(spark, sf_dir):
@@ -415,7 +420,9 @@ def bronze_csv_roundtrip(spark, sf_dir):
     token = seg
     for value, tok in SEGMENT_TOKENS.items():
         token = F.when(F.col("c_mktsegment") == value, F.lit(tok)).otherwise(token)
-    raw = cu.select(*[F.col(c).cast("string") for c in ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]],
+    name = F.concat(F.lit(NAME_BEFORE), "c_name", F.lit(NAME_AFTER)).alias("c_name")
+    raw = cu.select(F.col("c_custkey").cast("string"), name,
+                    *[F.col(c).cast("string") for c in ["c_nationkey", "c_acctbal"]],
                     token.alias("c_mktsegment"))
     path = io.write_csv(raw, scratch_path(spark, "customer_csv"))
     return io.read_csv_tokens(spark, path, CUSTOMER_SCHEMA)
@@ -452,9 +459,6 @@ def object_inventory(spark, sf_dir):
 
 # --------------------------------------------------- pipeline, catalog, lineage (M1-M8)
 
-_RUNS: dict = {}
-
-
 def events_sources(sf_dir: str) -> list:
     rules = {
         "type_unknown": R.not_in("event_type", ["view", "click", "purchase", "signup"]),
@@ -480,11 +484,8 @@ def events_golds() -> list:
             M.GoldSpec("events_by_type", "events_clean", by_type, "which event types are most common")]
 
 
-def events_run(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RUNS:
-        _RUNS[key] = M.run(spark, events_sources(sf_dir), events_golds(), scratch_path(spark, "medallion"))
-    return _RUNS[key]
+def events_run(spark, sf_dir, with_gold=True):
+    return M.run(spark, events_sources(sf_dir), events_golds() if with_gold else [], scratch_path(spark, "medallion"))
 
 
 def medallion_summary(spark, sf_dir):
@@ -496,8 +497,8 @@ def lineage_table(spark, sf_dir):
 
 
 def quality_document(spark, sf_dir):
-    runinfo = events_run(spark, sf_dir)
-    path = C.write_document(spark, C.quality_document(runinfo), scratch_path(spark, "quality_doc"))
+    runinfo = events_run(spark, sf_dir, with_gold=False)
+    path = io.write_json_document(C.quality_document(spark, runinfo), scratch_path(spark, "quality_doc"))
     doc = io.read_json_document(spark, path)
     out = None
     for source in doc.schema["fuentes"].dataType.fieldNames():
@@ -515,7 +516,7 @@ def quality_document(spark, sf_dir):
 
 
 EVENTS_CATALOG = {
-    "events": ("User events.", [
+    "events": C.Table("User events.", [
         C.Field("event_id", "bigint", True, "Not null. Unique."),
         C.Field("ts", "timestamp", True, "Not null."),
         C.Field("user_id", "bigint", True, "Not null."),
@@ -548,8 +549,8 @@ def evidence_summary(spark, sf_dir):
         two(S.conditional_mean("value", F.col("event_type") == "click")).alias("click_mean"),
         two(S.conditional_mean("value", F.col("event_type") == "purchase")
             / S.conditional_mean("value", F.col("event_type") == "view")).alias("ratio"))
-    qpath = C.write_document(spark, C.quality_document(runinfo), scratch_path(spark, "evidence_quality"))
-    lpath = C.write_document(spark, C.lineage_document(runinfo, "events_pipeline"), scratch_path(spark, "evidence_lineage"))
+    qpath = io.write_json_document(C.quality_document(spark, runinfo), scratch_path(spark, "evidence_quality"))
+    lpath = io.write_json_document(C.lineage_document(spark, runinfo, "events_pipeline"), scratch_path(spark, "evidence_lineage"))
     quality = io.read_json_document(spark, qpath).select(
         F.col("fuentes.events_clean.filas_validas").alias("valid"),
         F.col("fuentes.events_clean.filas_entrada").alias("rows_in"),
@@ -598,7 +599,10 @@ def _event_index(spark, sf_dir):
     """
     from lakestone.operators.partitioning import spread
     idx = _t(spark, sf_dir, "events").select(F.col("event_id").alias("i"))
-    return spread(idx), idx.count()
+    n, low, high = idx.agg(F.count("i"), F.min("i"), F.max("i")).first()
+    if n and (low, high) != (0, n - 1):
+        raise ValueError(f"event ids must be 0..{n - 1} without gaps, found {low}..{high}")
+    return spread(idx), n
 
 
 def generated_readings(spark, sf_dir):
@@ -620,7 +624,7 @@ def _injected_readings(spark, sf_dir):
     idx, n = _event_index(spark, sf_dir)
     nps = n // 5
     base = G.readings_from_index(idx, nps)
-    return G.inject_reading_errors(base, G.error_count(nps * 5, 0.10, 8), n_rows=nps * 5)
+    return G.inject_reading_errors(base, G.error_count(nps * 5, 0.10, 8))
 
 
 def injected_readings(spark, sf_dir):
@@ -637,37 +641,36 @@ def injection_counts(spark, sf_dir):
     return G.injected_counts(_injected_readings(spark, sf_dir))
 
 
-_OBSERVATORY: dict = {}
-
-
-def observatory_run(spark, sf_dir):
-    """The source system's own pipeline end to end on generated raw files (memoized).
+def observatory_run(spark, sf_dir, kinds=("readings", "events"), tables=None):
+    """The source system's own pipeline on generated raw files, as far as it is asked for.
 
     Readings and observation events (one of each per events row, over the whole table)
     with injected errors are written as CSV and NDJSON, ingested to bronze, refined to
-    silver with the exact rule registries, and summarized into the three gold tables.
+    silver with the exact rule registries, and summarized into the gold ``tables``
+    (default: all of the given kinds).  Returns the stage records and the zones' folder.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OBSERVATORY:
-        from lakestone.plans import observatory as obs
-        from lakestone.sources.sinks import write_csv, write_ndjson
-        idx, n = _event_index(spark, sf_dir)
-        nps = n // 5
-        readings = G.inject_reading_errors(G.readings_from_index(idx, nps), G.error_count(nps * 5, 0.10, 8),
-                                           n_rows=nps * 5).select(*G.READING_COLUMNS)
-        events = G.inject_event_errors(G.events_from_index(idx), n, G.error_count(n, 0.10, 5)).select(
-            *G.EVENT_COLUMNS)
-        raw = scratch_path(spark, "observatory_raw")
-        paths = {"readings": write_csv(readings, f"{raw}/{obs.RAW_READINGS}"),
-                 "events": write_ndjson(events, f"{raw}/{obs.RAW_EVENTS}")}
-        base = scratch_path(spark, "observatory_zones")
-        _OBSERVATORY[key] = (M.run(spark, obs.sources(paths), obs.golds(), base), base)
-    return _OBSERVATORY[key]
+    from lakestone.plans import observatory as obs
+    idx, n = _event_index(spark, sf_dir)
+    nps = n // 5
+    raw = scratch_path(spark, "observatory_raw")
+
+    def readings():
+        out = G.inject_reading_errors(G.readings_from_index(idx, nps), G.error_count(nps * 5, 0.10, 8))
+        return io.write_csv(out.select(*G.READING_COLUMNS), f"{raw}/{obs.RAW_READINGS}")
+
+    def events():
+        out = G.inject_event_errors(G.events_from_index(idx), n, G.error_count(n, 0.10, 5))
+        return io.write_ndjson(out.select(*G.EVENT_COLUMNS), f"{raw}/{obs.RAW_EVENTS}")
+
+    paths = dict(zip(kinds, M.side_by_side([{"readings": readings, "events": events}[k] for k in kinds]), strict=True))
+    golds = [g for g in obs.golds(kinds) if tables is None or g.name in tables]
+    base = scratch_path(spark, "observatory_zones")
+    return M.run(spark, obs.sources(paths), golds, base), base
 
 
 def observatory_quality(spark, sf_dir):
     """Per-rule quality report of both silver tables (the 13 rules)."""
-    runinfo, _ = observatory_run(spark, sf_dir)
+    runinfo, _ = observatory_run(spark, sf_dir, tables=())
     rows = []
     for s_ in runinfo.silver:
         stem = s_["destino"].rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -679,21 +682,61 @@ def observatory_quality(spark, sf_dir):
                                        "filas_entrada long, filas_validas long")
 
 
-def _observatory_gold(spark, sf_dir, table):
-    _, base = observatory_run(spark, sf_dir)
+def _observatory_gold(spark, sf_dir, kind, table):
+    _, base = observatory_run(spark, sf_dir, (kind,), (table,))
     return spark.read.parquet(f"{base}/gold/{table}.parquet")
 
 
 def observatory_nightly(spark, sf_dir):
-    return _observatory_gold(spark, sf_dir, "condiciones_por_noche")
+    return _observatory_gold(spark, sf_dir, "readings", "condiciones_por_noche")
 
 
 def observatory_sensors(spark, sf_dir):
-    return _observatory_gold(spark, sf_dir, "resumen_sensores")
+    return _observatory_gold(spark, sf_dir, "readings", "resumen_sensores")
 
 
 def observatory_instruments(spark, sf_dir):
-    return _observatory_gold(spark, sf_dir, "observaciones_por_instrumento")
+    return _observatory_gold(spark, sf_dir, "events", "observaciones_por_instrumento")
+
+
+def shipped_catalog(spark, sf_dir):
+    """The 19 declared fields of the two sources, checked against readings and events
+    generated (with errors) from the events table."""
+    base = C.field_table(C.catalog_frame(spark, C.SHIPPED))
+    checked = [C.check_catalog(base, injected(spark, sf_dir), table)
+               for table, injected in (("lecturas_sensores", injected_readings), ("eventos_observacion", injected_events))]
+    return checked[0].unionByName(checked[1]).select("tabla", "nombre", "tipo", "obligatorio", "filas", "nulos", "cumple",
+                                                     (F.length("descripcion") > 0).alias("descrito"))
+
+
+def shuffled_readings(spark, sf_dir):
+    """The readings in the reproducible order in which they are written to a file, with their place in it."""
+    from lakestone.functions.draws import hash_score
+    idx, n = _event_index(spark, sf_dir)
+    base = G.readings_from_index(idx, n // 5).withColumn("__s", hash_score("i", "42:mix"))
+    place = rank_in_sample(base, "__s", "i", (SCORE_LIMIT, (1 << 63) - 1), n, "place")
+    return base.join(place, "i").select("i", "place", "sensor_id", "timestamp")
+
+
+MEASUREMENT_SCHEMA = StructType([
+    StructField("escenario", StringType()), StructField("repeticion", LongType()), StructField("tiempo_s", DoubleType())])
+
+
+def measurement_csv(spark, sf_dir):
+    """Measurements written as CSV, read with an explicit schema, and grouped: times of up to 17 digits."""
+    li = _t(spark, sf_dir, "lineitem").select(
+        F.concat_ws("/", "l_returnflag", "l_linestatus").alias("escenario"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("repeticion"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice") / F.lit(7.0e9)).alias("tiempo_s"))
+    back = io.read_csv_tokens(spark, io.write_csv(li, scratch_path(spark, "measurements_csv")), MEASUREMENT_SCHEMA)
+    return S.group_stats(back, ["escenario"], "tiempo_s", order="repeticion", rows_name="filas")
+
+
+def object_sizes(spark, sf_dir):
+    """The object inventory in a form that SQL can check: every table's file is there and its KB are bytes / 1024."""
+    inv = io.inventory(spark, sf_dir, "*.parquet")
+    return inv.select("object_name", (F.col("size_bytes") > 0).alias("has_size"),
+                      (F.col("size_kb") * 1024 == F.col("size_bytes")).alias("kb_is_bytes_over_1024"))
 
 
 QUERIES.update({
@@ -707,4 +750,8 @@ QUERIES.update({
     "injected_readings": injected_readings,
     "injected_events": injected_events,
     "injection_counts": injection_counts,
+    "shipped_catalog": shipped_catalog,
+    "shuffled_readings": shuffled_readings,
+    "measurement_csv": measurement_csv,
+    "object_sizes": object_sizes,
 })

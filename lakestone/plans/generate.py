@@ -46,20 +46,20 @@ def readings_from_index(idx: DataFrame, n_per_sensor: int, seed: int = 42, i: st
     ts = F.timestamp_add("MINUTE", step * F.lit(obs.READINGS_STEP_MINUTES),
                          F.lit(obs.READINGS_START).cast("timestamp_ntz"))
     hour = F.hour(ts)
-    adj = F.when((hour >= 2) & (hour <= 5), F.lit(-1.5)).otherwise(F.lit(0.0))
+    adj = F.when(hour.between(*obs.COLD_HOURS), F.lit(obs.COLD_BY)).otherwise(F.lit(0.0))
     s = f"{seed}:r"
     return (idx.filter((key >= 0) & (key < F.lit(n_sensors * n_per_sensor)))
             .select(
                 key.alias(i),
                 _pick(sensor, obs.SENSORS).alias("sensor_id"),
                 F.date_format(ts, ISO_SECONDS).alias("timestamp"),
-                _pick(sensor, obs.LOCATIONS).alias("ubicacion"),
-                rh((F.lit(16.8) + adj) + F.lit(1.5) * std_normal(key, f"{s}:temp"), 2).alias("temperatura_c"),
-                rh(uniform(key, f"{s}:hum", 3.0, 20.0), 1).alias("humedad_pct"),
-                rh(F.abs(F.lit(5.3) + F.lit(2.1) * std_normal(key, f"{s}:wind")), 2).alias("velocidad_viento_ms"),
-                rh(F.lit(745.0) + F.lit(2.5) * std_normal(key, f"{s}:pres"), 2).alias("presion_hpa"),
-                rh(F.abs(F.lit(0.64) + F.lit(0.25) * std_normal(key, f"{s}:see")), 3).alias("seeing_arcsec"),
-                rh(uniform(key, f"{s}:tra", 0.65, 1.0), 3).alias("transparencia")))
+                _pick(sensor, list(obs.SENSOR_PLACES.values())).alias("ubicacion"),
+                rh((F.lit(obs.TEMPERATURE[0]) + adj) + F.lit(obs.TEMPERATURE[1]) * std_normal(key, f"{s}:temp"), 2).alias("temperatura_c"),
+                rh(uniform(key, f"{s}:hum", *obs.HUMIDITY), 1).alias("humedad_pct"),
+                rh(F.abs(F.lit(obs.WIND[0]) + F.lit(obs.WIND[1]) * std_normal(key, f"{s}:wind")), 2).alias("velocidad_viento_ms"),
+                rh(F.lit(obs.PRESSURE[0]) + F.lit(obs.PRESSURE[1]) * std_normal(key, f"{s}:pres"), 2).alias("presion_hpa"),
+                rh(F.abs(F.lit(obs.SEEING[0]) + F.lit(obs.SEEING[1]) * std_normal(key, f"{s}:see")), 3).alias("seeing_arcsec"),
+                rh(uniform(key, f"{s}:tra", *obs.TRANSPARENCY), 3).alias("transparencia")))
 
 
 def error_count(n_rows: int, rate: float, kinds: int) -> int:
@@ -76,8 +76,7 @@ def future_text(key: F.Column, salt: str, hour: F.Column | None = None, minute:
     return F.format_string(obs.FUTURE_PREFIX + "-%02d-%02dT%02d:%02d:00", month, day, hh, mm)
 
 
-def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str = "i",
-                          n_rows: int | None = None) -> DataFrame:
+def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str = "i") -> DataFrame:
     """Seven error types on ``n_err`` hash-chosen rows each, then ``n_err`` exact copies.
 
     Membership depends only on the row index, so all eight samples are found together.
@@ -86,15 +85,17 @@ def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str =
     s = f"{seed}:e"
     replacements = [
         ("temperatura_c", lambda: F.lit(obs.TEMPERATURE_SENTINEL)),
-        ("humedad_pct", lambda: rh(uniform(key, f"{s}:v2", 105.0, 200.0), 1)),
+        ("humedad_pct", lambda: rh(uniform(key, f"{s}:v2", *obs.BAD_HUMIDITY), 1)),
         ("sensor_id", lambda: F.lit(None).cast("string")),
         ("timestamp", lambda: future_text(key, f"{s}:v4")),
-        ("seeing_arcsec", lambda: rh(uniform(key, f"{s}:v5", -2.0, -0.1), 3)),
-        ("presion_hpa", lambda: rh(uniform(key, f"{s}:v6", 1010.0, 1020.0), 2)),
-        ("transparencia", lambda: rh(uniform(key, f"{s}:v7", 1.5, 3.0), 3)),
+        ("seeing_arcsec", lambda: rh(uniform(key, f"{s}:v5", *obs.BAD_SEEING), 3)),
+        ("presion_hpa", lambda: rh(uniform(key, f"{s}:v6", *obs.BAD_PRESSURE), 2)),
+        ("transparencia", lambda: rh(uniform(key, f"{s}:v7", *obs.BAD_TRANSPARENCY), 3)),
     ]
     score = {k: hash_score(key, f"{s}:pick{k}") for k in range(1, 9)}
-    cuts = rank_cutoffs({k: (base, score[k], i) for k in score}, n_err, known_rows=n_rows)
+    # The searches need the index only.
+    ids = base.select(i)
+    cuts = rank_cutoffs({k: (ids, score[k], i) for k in score}, n_err)
     out = base
     for k, (column, value) in enumerate(replacements, start=1):
         hit = at_or_below(score[k], key, cuts[k])
@@ -109,7 +110,7 @@ def generate_readings(spark: SparkSession, n_total: int, error_rate: float = 0.1
     base = readings_from_index(idx, n_per_sensor, seed)
     n_rows = n_per_sensor * len(obs.SENSORS)
     n_err = error_count(n_rows, error_rate, 8)
-    return inject_reading_errors(base, n_err, seed, n_rows=n_rows).select(*READING_COLUMNS)
+    return inject_reading_errors(base, n_err, seed).select(*READING_COLUMNS)
 
 
 # -------------------------------------------------------------------------------- events
@@ -125,10 +126,10 @@ def events_from_index(idx: DataFrame, seed: int = 42, i: str = "i") -> DataFrame
         choice(key, f"{s}:sensor", obs.SENSORS).alias("sensor_id"),
         F.date_format(ts, ISO_SECONDS).alias("timestamp"),
         choice(key, f"{s}:obj", obs.CELESTIAL_OBJECTS).alias("objeto_observado"),
-        rh(uniform(key, f"{s}:mag", -1.5, 15.0), 2).alias("magnitud"),
-        rh(uniform(key, f"{s}:ra", 0.0, 360.0), 4).alias("ascension_recta"),
-        rh(uniform(key, f"{s}:dec", -90.0, 0.0), 4).alias("declinacion"),
-        randint(key, f"{s}:dur", 15, 120).alias("duracion_min"),
+        rh(uniform(key, f"{s}:mag", *obs.MAGNITUDE), 2).alias("magnitud"),
+        rh(uniform(key, f"{s}:ra", *obs.RIGHT_ASCENSION), 4).alias("ascension_recta"),
+        rh(uniform(key, f"{s}:dec", *obs.DECLINATION), 4).alias("declinacion"),
+        randint(key, f"{s}:dur", *obs.DURATION_MIN).alias("duracion_min"),
         choice(key, f"{s}:ins", obs.VALID_INSTRUMENTS).alias("instrumento"),
         weighted_choice(key, f"{s}:state", obs.STATES, obs.STATE_WEIGHTS).alias("estado"))
 
@@ -139,7 +140,7 @@ def inject_event_errors(base: DataFrame, n_rows: int, n_err: int, seed: int = 42
     s = f"{seed}:x"
     edits = [
         ("instrumento", lambda: choice(key, f"{s}:v1", obs.INVALID_INSTRUMENTS)),
-        ("declinacion", lambda: rh(uniform(key, f"{s}:v2", 91.0, 180.0), 4)),
+        ("declinacion", lambda: rh(uniform(key, f"{s}:v2", *obs.BAD_DECLINATION), 4)),
         ("timestamp", lambda: future_text(key, f"{s}:v3", F.lit(21), F.lit(0))),
     ]
     n_copies = min(n_err, n_rows)
@@ -147,18 +148,19 @@ def inject_event_errors(base: DataFrame, n_rows: int, n_err: int, seed: int = 42
     # Keys of the grown table: the base rows and the copies, which take n_rows + rank.
     grown = base.select(i).unionByName(
         base.sparkSession.range(n_rows, n_rows + n_copies).withColumnRenamed("id", i))
-    parts = {k: (base, score[k], i) for k in range(1, 5)}
+    ids = base.select(i)
+    parts = {k: (ids, score[k], i) for k in range(1, 5)}
     parts[5] = (grown, score[5], i)
-    cuts = rank_cutoffs(parts, n_err, known_rows=n_rows + n_copies)
+    cuts = rank_cutoffs(parts, n_err)
     out = base
     for k, (column, value) in enumerate(edits, start=1):
         out = out.withColumn(column, F.when(at_or_below(score[k], key, cuts[k]), value()).otherwise(F.col(column)))
     # The r-th copy (in hash order of the chosen rows) takes the id of event r + 1.
-    chosen = out.withColumn("__s4", score[4])
-    copies = (rank_in_sample(chosen, "__s4", i, cuts[4], n_copies, "__r")
+    place = rank_in_sample(ids.withColumn("__s4", score[4]), "__s4", i, cuts[4], n_copies, "__r")
+    copies = (out.join(place, i)
               .withColumn("obs_id", F.format_string("OBS-2024-%04d", F.col("__r") + F.lit(1)))
               .withColumn(i, F.lit(n_rows) + F.col("__r"))
-              .drop("__s4", "__r"))
+              .drop("__r"))
     out = out.unionByName(copies)
     # NULL sensor on n_err rows of the grown table (copies included).
     return out.withColumn("sensor_id", F.when(at_or_below(score[5], key, cuts[5]), F.lit(None).cast("string"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime as _dt
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -153,16 +154,22 @@ def build_gold(spark: SparkSession, spec: GoldSpec, base_uri: str) -> dict:
             "pregunta": spec.question, "timestamp_proceso": _now()}
 
 
+def side_by_side(jobs: Sequence) -> list:
+    """Results of independent driver-side jobs, run from as many threads, in order."""
+    if not jobs:
+        return []
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def run(spark: SparkSession, sources: Sequence[SourceSpec], golds: Sequence[GoldSpec],
         base_uri: str) -> PipelineRun:
     """The whole pipeline; returns the stage records (small dicts of counts and paths)."""
     runinfo = PipelineRun(start=_now())
-    for s in sources:
-        runinfo.bronze.append(ingest(spark, s, base_uri))
-    for s in sources:
-        runinfo.silver.append(refine(spark, s, base_uri))
-    for g in golds:
-        runinfo.gold.append(build_gold(spark, g, base_uri))
+    # Sources don't depend on each other, nor do gold tables: their jobs share the cluster.
+    stages = side_by_side([lambda s=s: (ingest(spark, s, base_uri), refine(spark, s, base_uri)) for s in sources])
+    runinfo.bronze, runinfo.silver = [b for b, _ in stages], [s for _, s in stages]
+    runinfo.gold = side_by_side([lambda g=g: build_gold(spark, g, base_uri) for g in golds])
     runinfo.end = _now()
     runinfo.paths = {"base": base_uri}
     return runinfo
@@ -181,4 +188,4 @@ def run_summary(spark: SparkSession, runinfo: PipelineRun) -> DataFrame:
 
 
 __all__ = ["cast_columns", "silver_table", "SourceSpec", "GoldSpec", "PipelineRun", "ingest",
-           "refine", "build_gold", "run", "run_summary", "zone"]
+           "refine", "build_gold", "run", "run_summary", "side_by_side", "zone"]

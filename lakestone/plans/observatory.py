@@ -14,8 +14,7 @@ from lakestone.operators.rules import (above, below, duplicated, equals, is_null
 from lakestone.operators.summarize import Measure
 
 # ============================== FIXED VALUES =====================================
-SENSORS = ["SENS-001", "SENS-002", "SENS-003", "SENS-004", "SENS-005"]
-LOCATIONS = ["Norte", "Sur", "Este", "Oeste", "Centro"]          # one per sensor, same order
+SENSOR_PLACES = {"SENS-001": "Norte", "SENS-002": "Sur", "SENS-003": "Este", "SENS-004": "Oeste", "SENS-005": "Centro"}
 VALID_INSTRUMENTS = ["CCD", "Espectrógrafo", "Fotómetro"]
 INVALID_INSTRUMENTS = ["RADAR", "LIDAR", "SONAR", "ULTRASONIDO"]
 STATES = ["completada", "fallida", "cancelada"]
@@ -37,7 +36,27 @@ DECLINATION_RANGE = (-90.0, 90.0)
 READINGS_START = "2024-03-01 00:00:00"
 READINGS_STEP_MINUTES = 5
 EVENTS_START = "2024-03-01 20:00:00"
+# Distributions of the generated readings: normal (mean, deviation) or uniform (low, high).
+TEMPERATURE = (16.8, 1.5)
+COLD_HOURS = (2, 5)                # these hours are colder by
+COLD_BY = -1.5
+HUMIDITY = (3.0, 20.0)
+WIND = (5.3, 2.1)
+PRESSURE = (745.0, 2.5)
+SEEING = (0.64, 0.25)
+TRANSPARENCY = (0.65, 1.0)
+# Ranges of the injected errors and of the generated events.
+BAD_HUMIDITY = (105.0, 200.0)
+BAD_SEEING = (-2.0, -0.1)
+BAD_PRESSURE = (1010.0, 1020.0)
+BAD_TRANSPARENCY = (1.5, 3.0)
+BAD_DECLINATION = (91.0, 180.0)
+MAGNITUDE = (-1.5, 15.0)
+RIGHT_ASCENSION = (0.0, 360.0)
+DECLINATION = (-90.0, 0.0)
+DURATION_MIN = (15, 120)
 # =================================================================================
+SENSORS = list(SENSOR_PLACES)
 
 
 def readings_rules(future_prefix: str = FUTURE_PREFIX) -> dict:
@@ -131,11 +150,11 @@ LAKE_BY_INSTRUMENT = (
 
 GOLD_TABLES = {
     "condiciones_por_noche": ("readings", CONDITIONS_BY_NIGHT,
-                              "¿Cuándo y dónde hubo mejores condiciones de observación?"),
+                              "Condiciones medias de cada sensor por noche, de mejor a peor."),
     "resumen_sensores": ("readings", SENSOR_SUMMARY,
-                         "¿Qué sensor tiene mejor rendimiento de seeing?"),
+                         "Comparación de los sensores por su seeing."),
     "observaciones_por_instrumento": ("events", OBSERVATIONS_BY_INSTRUMENT,
-                                      "¿Qué instrumento completó más observaciones exitosas?"),
+                                      "Observaciones de cada instrumento según su estado final."),
 }
 
 
@@ -169,31 +188,30 @@ def write_raw_sources(spark, raw_uri: str, n_readings: int = 10_000, n_events: i
 def sources(raw_paths: dict, future_prefix: str = FUTURE_PREFIX) -> list:
     from lakestone.plans.medallion import SourceSpec
     from lakestone.schemas import EVENTS_RAW, EVENTS_SILVER_CASTS, READINGS_RAW, READINGS_SILVER_CASTS
-    return [
-        SourceSpec(RAW_READINGS, raw_paths["readings"], "csv", READINGS_RAW, "lecturas_raw",
-                   "lecturas_limpias", readings_rules(future_prefix), READINGS_SILVER_CASTS),
-        SourceSpec(RAW_EVENTS, raw_paths["events"], "ndjson", EVENTS_RAW, "eventos_raw",
-                   "eventos_limpios", events_rules(future_prefix), EVENTS_SILVER_CASTS),
-    ]
+    made = {
+        "readings": lambda path: SourceSpec(RAW_READINGS, path, "csv", READINGS_RAW, "lecturas_raw", "lecturas_limpias",
+                                            readings_rules(future_prefix), READINGS_SILVER_CASTS),
+        "events": lambda path: SourceSpec(RAW_EVENTS, path, "ndjson", EVENTS_RAW, "eventos_raw", "eventos_limpios",
+                                          events_rules(future_prefix), EVENTS_SILVER_CASTS),
+    }
+    return [made[kind](path) for kind, path in raw_paths.items()]
 
 
-def golds() -> list:
+def golds(kinds=("readings", "events")) -> list:
     from lakestone.plans.medallion import GoldSpec
     silver = {"readings": "lecturas_limpias", "events": "eventos_limpios"}
-    return [GoldSpec(name, silver[src], spec, question) for name, (src, spec, question) in GOLD_TABLES.items()]
+    return [GoldSpec(name, silver[src], spec, question) for name, (src, spec, question) in GOLD_TABLES.items()
+            if src in kinds]
 
 
 def run_observatory(spark, raw_paths: dict, base_uri: str):
     """Bronze, silver, gold, then catalog, lineage and quality documents under ``base_uri``."""
     from lakestone.plans import catalog as C
     from lakestone.plans.medallion import run
+    from lakestone.sources.sinks import write_json_document
     runinfo = run(spark, sources(raw_paths), golds(), base_uri)
     base = base_uri.rstrip("/")
-    cat = C.catalog_frame(spark, {"lecturas_sensores": ("Mediciones periódicas de condiciones ambientales (cada 5 min).",
-                                                        C.READINGS_FIELDS),
-                                  "eventos_observacion": ("Registro de eventos de observación telescópica.",
-                                                          C.EVENTS_FIELDS)})
-    cat.coalesce(1).write.mode("overwrite").json(f"{base}/metadata/catalogo")
-    C.write_document(spark, C.lineage_document(runinfo, "pipeline_astronomico_v1"), f"{base}/metadata/linaje")
-    C.write_document(spark, C.quality_document(runinfo), f"{base}/metrics/reporte_calidad")
+    C.catalog_frame(spark, C.SHIPPED, base).coalesce(1).write.mode("overwrite").json(f"{base}/metadata/catalogo")
+    write_json_document(C.lineage_document(spark, runinfo, "pipeline_astronomico_v1"), f"{base}/metadata/linaje")
+    write_json_document(C.quality_document(spark, runinfo), f"{base}/metrics/reporte_calidad")
     return runinfo

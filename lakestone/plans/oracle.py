@@ -319,8 +319,8 @@ FROM s LEFT JOIN supplier p ON p.s_suppkey = s.s_suppkey
 """
 
 ORACLE["bronze_csv_roundtrip"] = """
-SELECT c_custkey, c_name, c_nationkey, c_acctbal,
-       CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY', 'BUILDING') THEN NULL ELSE c_mktsegment END
+SELECT c_custkey, '  "' || c_name || '", said \\ ' AS c_name, c_nationkey, c_acctbal,
+       CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY', 'BUILDING', 'FURNITURE') THEN NULL ELSE c_mktsegment END
          AS c_mktsegment
 FROM customer
 """
@@ -452,7 +452,7 @@ base AS (
   SELECT i,
     {D.pick(sensor, _obs.SENSORS)} AS sensor_id,
     strftime({ts}, {ISO}) AS timestamp,
-    {D.pick(sensor, _obs.LOCATIONS)} AS ubicacion,
+    {D.pick(sensor, list(_obs.SENSOR_PLACES.values()))} AS ubicacion,
     {_rh(f"({D.dbl(16.8)} + {adj}) + {D.dbl(1.5)} * {D.std_normal('i', s + ':temp')}", 2)} AS temperatura_c,
     {_rh(D.uniform('i', s + ':hum', 3.0, 20.0), 1)} AS humedad_pct,
     {_rh(f"abs({D.dbl(5.3)} + {D.dbl(2.1)} * {D.std_normal('i', s + ':wind')})", 2)} AS velocidad_viento_ms,
@@ -690,23 +690,31 @@ SELECT instrumento, estado, COUNT(*) AS total_observaciones,
 FROM silver GROUP BY instrumento, estado
 """
 
+ORACLE["measurement_csv"] = """
+WITH m AS (SELECT l_returnflag || '/' || l_linestatus AS escenario, l_orderkey * 8 + l_linenumber AS repeticion,
+  CASE WHEN l_linenumber <> 7 THEN l_extendedprice / 7.0e9::DOUBLE END AS tiempo_s FROM lineitem)
+SELECT escenario, AVG(tiempo_s) AS tiempo_s_mean, STDDEV_SAMP(tiempo_s) AS tiempo_s_std, COUNT(tiempo_s) AS tiempo_s_count,
+  ARG_MIN(tiempo_s, repeticion) FILTER (tiempo_s IS NOT NULL) AS tiempo_s_first, COUNT(*) AS filas
+FROM m GROUP BY escenario
+"""
 
-# Means of the summaries: the exact integer sum of the values in millionths, divided by
-# 10^6 and by the count (same on any engine and any partitioning; see
-# lakestone.functions.numeric.exact_mean).
-import re as _re  # noqa: E402
+ORACLE["object_sizes"] = ("SELECT object_name || '.parquet' AS object_name, TRUE AS has_size, TRUE AS kb_is_bytes_over_1024 "
+                          "FROM (VALUES " + ", ".join(f"('{t}')" for t in _ALL_TABLES) + ") t(object_name)")
 
-_AVG = _re.compile(r"\bAVG\(((?:[^()]|\([^()]*\))*)\)")
+ORACLE["shuffled_readings"] = "WITH " + _readings_base_sql() + f"""
+SELECT i, ROW_NUMBER() OVER (ORDER BY {D.score("i", "42:mix")}, i) - 1 AS place, sensor_id, "timestamp" FROM base"""
 
 
-def _exact_avg(sql: str) -> str:
-    return _AVG.sub(lambda m: (f"(CAST(SUM(CAST(round_even(({m.group(1)}) * 1000000.0, 0) AS BIGINT)) AS DOUBLE)"
-                               f" / 1000000.0 / COUNT({m.group(1)}))"), sql)
+def _shipped_catalog_sql() -> str:
+    from lakestone.plans import catalog as C
+    parts = []
+    for table, sql, rows in (("lecturas_sensores", _injected_readings_sql(), "allr"),
+                             ("eventos_observacion", _injected_events_sql(), "e5")):
+        fields = " UNION ALL ".join(
+            f"SELECT '{f.nombre}' AS nombre, '{f.tipo}' AS tipo, {str(f.obligatorio).lower()} AS obligatorio, "
+            f"COUNT(*) AS filas, COUNT(*) - COUNT(\"{f.nombre}\") AS nulos FROM t" for f in C.SHIPPED[table].campos)
+        parts.append(f"SELECT '{table}' AS tabla, * FROM ({sql}, t AS (SELECT * FROM {rows}) {fields})")
+    return ("SELECT *, NOT obligatorio OR nulos = 0 AS cumple, TRUE AS descrito FROM (" + " UNION ALL ".join(parts) + ")")
 
 
-for _k in ["nightly_conditions", "sensor_summary", "observations_by_instrument", "lake_query_sensor",
-           "lake_query_instrument", "top_answers", "observatory_nightly", "observatory_sensors",
-           "observatory_instruments", "scenario_stats", "scenario_cv_ratio", "conditional_mean_ratio",
-           "evidence_summary", "scenario_union", "quadratic_reference", "quadratic_curve",
-           "weighted_scorecard"]:
-    ORACLE[_k] = _exact_avg(ORACLE[_k])
+ORACLE["shipped_catalog"] = _shipped_catalog_sql()

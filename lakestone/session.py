@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,8 +71,10 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (unit tests, a laptop) a local one is
-    created and registered, so ``DataFrame.checkpoint()`` and scratch tables work.
+    Read from the session.  Where it is unset, a session whose driver and executors are one
+    process (master ``local[...]``) gets a folder of its own, registered so that
+    ``DataFrame.checkpoint()`` works too; any other session raises, as its executors
+    would each write to their own disk.
     """
     try:
         sc = spark.sparkContext
@@ -85,6 +88,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="lakestone-ckpt-")
     sc.setCheckpointDir(configured)
     return (sc.getCheckpointDir() or configured).rstrip("/")

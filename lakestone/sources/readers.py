@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +29,23 @@ def read_table(spark: SparkSession, base_uri: str, table: str) -> DataFrame:
 
 def read_csv_tokens(spark: SparkSession, path: str, schema: StructType,
                     null_tokens: Sequence[str] = NULL_TOKENS, header: bool = True,
-                    sep: str = ",") -> DataFrame:
+                    sep: str = ",", multi_line: bool = False) -> DataFrame:
     """CSV with a header where any of ``null_tokens`` means NULL in any column.
 
     Spark's ``nullValue`` takes a single token, so every field is read as text, the
     tokens are nulled, and each column is then cast to its declared type.  The cast is
     strict (ANSI): a value that is not a token and does not parse fails the job, like a
-    typed reader would.
+    typed reader would.  Inside quotes a quote is doubled and a backslash is itself; blanks
+    are kept.  ``multi_line`` allows line breaks inside quotes; a file is then one task,
+    as its lines can't be found from the middle.
     """
-    raw = (spark.read.option("header", header).option("sep", sep)
-           .option("mode", "FAILFAST").schema(string_schema(schema)).csv(path))
+    raw = (spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
+           .option("multiLine", multi_line).option("mode", "FAILFAST").schema(string_schema(schema)).csv(path))
+    return typed_columns(raw, schema, null_tokens)
+
+
+def typed_columns(raw: DataFrame, schema: StructType, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """Text columns with the tokens nulled, cast strictly to ``schema``."""
     cols = []
     for f in schema.fields:
         cleaned = clean_null_tokens(F.col(f.name), null_tokens)
@@ -66,15 +74,21 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> li
 
     A single file (``x.parquet``) and a dataset folder written by Spark
     (``x.parquet/part-*.parquet``) are both one entry.  Only file metadata is read (the
-    content column is pruned), and only the distinct entry names reach the driver.
+    content column is pruned), and only the distinct entry names reach the driver.  The
+    folder may be a bare path, ``file:/``, ``file:///`` or any other URI.  An empty listing
+    raises.
     """
-    import re
     base = folder.rstrip("/")
     listing = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
                .option("recursiveFileLookup", True).load(base).select("path"))
-    entry = F.regexp_extract("path", re.escape(base.split(":", 1)[-1] if base.startswith("file:") else base)
-                             + r"/([^/]+)", 1)
-    names = listing.select(entry.alias("e")).filter(F.col("e") != "").distinct().collect()
+    # Both sides without scheme and authority, which listings spell in their own way.
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", base)
+    entry = F.regexp_extract(F.substr(plain, F.lit(len(root) + 1)), r"^/([^/]+)", 1)
+    names = (listing.filter(plain.startswith(f"{root}/")).select(entry.alias("e"))
+             .filter(F.col("e") != "").distinct().collect())
+    if not names:
+        raise FileNotFoundError(f"no {pattern} below {folder}")
     return sorted(f"{base}/{r.e}" for r in names)
 
 

@@ -17,8 +17,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True) -> str:
-    """CSV with a header; NULL is written as an empty field."""
-    df.write.mode(mode).option("header", header).option("nullValue", "").csv(path)
+    """CSV with a header; NULL is written as an empty field, blanks are kept, quotes doubled."""
+    (df.write.mode(mode).option("header", header).option("nullValue", "").option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -32,9 +33,10 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "overwrite", keep_nulls:
 def write_json_document(df: DataFrame, path: str) -> str:
     """A small nested document (catalog, lineage, report) as JSON.
 
-    The frame is one row per document; ``coalesce(1)`` only merges those few rows.
+    The frame is one row per document; ``coalesce(1)`` only merges those few rows.  Absent
+    values are left out.
     """
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", True).json(path)
     return path
 
 

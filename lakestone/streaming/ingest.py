@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
-from lakestone.functions.text import NULL_TOKENS, clean_null_tokens
+from lakestone.functions.text import NULL_TOKENS
 from lakestone.schemas import string_schema
-
-
-def _typed(df: DataFrame, schema: StructType, null_tokens) -> DataFrame:
-    cols = []
-    for f in schema.fields:
-        cleaned = clean_null_tokens(F.col(f.name), null_tokens)
-        cols.append((cleaned if isinstance(f.dataType, StringType) else cleaned.cast(f.dataType)).alias(f.name))
-    return df.select(*cols)
+from lakestone.sources.readers import typed_columns
 
 
 def ingest_files(spark: SparkSession, source_dir: str, fmt: str, schema: StructType, target: str,
@@ -31,8 +23,9 @@ def ingest_files(spark: SparkSession, source_dir: str, fmt: str, schema: StructT
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        raw = reader.option("header", True).option("mode", "FAILFAST").schema(string_schema(schema)).csv(source_dir)
-        rows = _typed(raw, schema, null_tokens)
+        raw = (reader.option("header", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+               .schema(string_schema(schema)).csv(source_dir))
+        rows = typed_columns(raw, schema, null_tokens)
     elif fmt == "ndjson":
         rows = reader.option("mode", "FAILFAST").schema(schema).json(source_dir)
     elif fmt == "parquet":

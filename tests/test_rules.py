@@ -31,7 +31,7 @@ def test_null_measure_with_violation_is_true(spark):
 
 
 def test_null_keys_are_equal_for_duplicates(spark):
-    for method in ("aggregate", "window"):
+    for method in ("aggregate", "digest"):
         flagged, _ = flags(spark, [(None, "t1", 1.0), (None, "t1", 2.0), ("S1", "t1", 1.0)], method)
         got = sorted((r.v, r.sensor_id or "", r.repeated) for r in flagged.collect())
         assert got == [(1.0, "", True), (1.0, "S1", False), (2.0, "", True)]
@@ -74,7 +74,7 @@ def test_hot_key_keeps_every_row(spark):
     out = R.flag_duplicates(df, ["k"], "dup")
     assert out.count() == 3000
     assert out.filter("dup").count() == 1000
-    same = R.flag_duplicates(df, ["k"], "dup", method="window")
+    same = R.flag_duplicates(df, ["k"], "dup", method="digest")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, same.collect()))
 
 

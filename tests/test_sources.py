@@ -29,15 +29,47 @@ def test_ndjson_roundtrip_keeps_nulls_and_accents(spark, scratch):
     assert back.collect() == df.collect()
 
 
+def test_csv_written_by_other_tools(spark, tmp_path):
+    schema = "t string, n int"
+    from pyspark.sql.types import StructType
+    schema = StructType.fromDDL(schema)
+    path = tmp_path / "c.csv"
+    path.write_text('t,n\n"say ""hi""",1\n"say ""hi"", ok",2\n"ends in \\",3\n  pad ,4\nNA,5\n', encoding="utf-8")
+    got = {r.n: r.t for r in io.read_csv_tokens(spark, str(path), schema).collect()}
+    assert got == {1: 'say "hi"', 2: 'say "hi", ok', 3: "ends in \\", 4: "  pad ", 5: None}
+    lines = tmp_path / "l.csv"
+    lines.write_text('t,n\n"two\nlines",1\n', encoding="utf-8")
+    assert [tuple(r) for r in io.read_csv_tokens(spark, str(lines), schema, multi_line=True).collect()] == [("two\nlines", 1)]
+
+
+def test_csv_keeps_blanks_and_quotes(spark, scratch):
+    from pyspark.sql.types import StructType
+    schema = StructType.fromDDL("t string, n int")
+    rows = [("  pad ", 1), ('"q", x', 2), ("back\\", 3), (None, 4), ('\\"', 5)]
+    path = io.write_csv(spark.createDataFrame(rows, schema), scratch("csv"))
+    assert sorted(tuple(r) for r in io.read_csv_tokens(spark, path, schema).collect() if r.t) == sorted(r for r in rows if r[0])
+
+
 def test_json_document_nested_access(spark, scratch):
-    from lakestone.plans.catalog import write_document
-    doc = {"fuentes": {"t": {"filas_validas": 7}}, "etapas": {"gold": [{"a": 1}, {"a": 2}, {"a": 3}]}}
-    path = write_document(spark, doc, scratch("doc"))
+    doc = spark.sql("SELECT map('t', named_struct('filas_validas', 7)) AS fuentes, named_struct('gold', array(1, 2, 3)) AS etapas")
+    path = io.write_json_document(doc, scratch("doc"))
     got = io.read_json_document(spark, path).select(F.col("fuentes.t.filas_validas").alias("v"),
                                                     F.size("etapas.gold").alias("n")).first()
     assert (got.v, got.n) == (7, 3)
 
 
+def test_discover_takes_every_form_of_a_folder(spark, scratch):
+    import pytest
+    base = local_path(scratch("forms"))
+    base = "/" + base.lstrip("/")
+    for name in ("b", "a"):
+        io.write_parquet(spark.range(3), f"{base}/{name}.parquet")
+    for form in (base, f"file:{base}", f"file://{base}", base + "/"):
+        assert [p.rsplit("/", 1)[-1] for p in io.discover(spark, form, "*.parquet")] == ["a.parquet", "b.parquet"], form
+    with pytest.raises(FileNotFoundError):
+        io.discover(spark, base, "*.orc")
+
+
 def test_discover_inventory_upload(spark, scratch):
     base = scratch("lake_src")
     for name in ("b", "a"):

@@ -58,12 +58,18 @@ def test_reference_matrix_ranking(spark):
     }
     wide = spark.createDataFrame([(k, *v) for k, v in scores.items()], ["alt"] + list(weights))
     labels = spark.createDataFrame([(k, f"support {i}") for i, k in enumerate(scores)], "alt string, soporte string")
-    out = K.weighted_ranking(spark, wide, "alt", weights, labels).collect()
+    out = K.weighted_ranking(wide, "alt", weights, labels).collect()
     assert [round(r.score_total, 2) for r in out] == [4.25, 3.89, 3.76, 3.54, 2.16]
     assert out[0].alt == "Cloud/Híbrida" and out[0].soporte == "support 4"
     assert [r.alt for r in out][1:3] == ["Data Lake/Lakehouse", "Pipeline Docker columnar"]
 
 
+def test_ranking_without_scores_is_zero(spark):
+    wide = spark.createDataFrame([("a", None, None), ("b", 1.0, None)], "alt string, x double, y double")
+    got = {r.alt: r.score_total for r in K.weighted_ranking(wide, "alt", {"x": 0.6, "y": 0.4}).collect()}
+    assert got == {"a": 0.0, "b": 0.6}
+
+
 def test_measurement_table_csv(spark, tmp_path):
     """The measurement table shape: three scenario kinds with different columns in one CSV."""
     from lakestone.schemas import MEASUREMENTS
