@@ -111,8 +111,9 @@ def _document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(size)), np.log1p(total), most, np.log1p(100 * share)], 1)
 
 
-def _evidence(found: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, least_docs: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features of ``least_docs`` toxic documents or more, and how much oftener toxic documents have them, if ``ratio`` times."""
+def _evidence(found: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, ratio: float, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features that toxic documents have ``ratio`` times as often, and by ``deviations`` standard deviations more often
+    than chance would let them, and their ratios."""
     n1, n0 = toxic.sum(), (~toxic).sum()
     keys, ratios = [], []
     for hashes in found:
@@ -125,7 +126,9 @@ def _evidence(found: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, least
         in1 = np.bincount(at, weights=toxic[d], minlength=len(distinct))
         in0 = np.bincount(at, minlength=len(distinct)) - in1
         r = ((in1 + 0.5) / (n1 + 1)) / ((in0 + 0.5) / (n0 + 1))
-        kept = (in1 >= least_docs) & (r >= ratio)
+        share = (in1 + in0) / (n1 + n0)
+        sure = (in1 / n1 - in0 / n0) >= deviations * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+        kept = sure & (r >= ratio)
         keys.append(distinct[kept])
         ratios.append(r[kept])
     keys, ratios = np.concatenate(keys), np.concatenate(ratios)
@@ -133,7 +136,7 @@ def _evidence(found: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, least
     return distinct, ratios[at]
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, class_weights: tuple[float, float], least_docs: int = 4, ratio: float = 3.0,
+def fit(texts: pa.Array, toxic: np.ndarray, class_weights: tuple[float, float], ratio: float = 3.0, deviations: float = 3.0,
         label_ratio: float = 6.0, rounds: int = 60, penalty: float = 1e-3) -> Model:
     """Model from labelled texts; ``class_weights`` undo the stratified sampling in the calibration.
 
@@ -150,7 +153,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, class_weights: tuple[float, float],
     sizes = np.concatenate([w.count() for w in words])
     found = [np.concatenate(x) for x in zip(*(features(w) for w in words), strict=True)]
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    keys, ratios = _evidence(found, doc, toxic[own], least_docs, ratio)
+    keys, ratios = _evidence(found, doc, toxic[own], ratio, deviations)
     if not len(keys):
         return flat
     # Of each kind of feature, only the tokens whose feature has a weight are kept.
