@@ -198,15 +198,19 @@ def _near(at: np.ndarray, partner: np.ndarray, passage: int, similarity: float)
         p = at[a:b]
         breaks = np.flatnonzero(np.diff(p) > 1) + 1
         begin, end = p[np.r_[0, breaks]], p[np.r_[breaks, len(p)] - 1] + UNIT
-        # The longest stretch from run i to run j that matches well enough, from the left, then on from there.
+        # The longest stretch from run i to run j that matches well enough, from the left, then on
+        # from there: matched(i..j) >= need * shingles(i..j), with the terms of j and of i on two sides.
+        matched = np.concatenate(([0], np.cumsum(end - begin - SHINGLE + 1)))
+        upto = matched[1:] - need * end
+        best = np.maximum.accumulate(upto[::-1])  # of the last runs; its first place above a bound is the largest j
+        bound = matched[:-1] - need * (begin + SHINGLE - 1) - 1e-9
+        last = len(begin) - 1 - np.searchsorted(best, bound, "left")
         i = 0
         while i < len(begin):
-            for j in range(len(begin) - 1, i - 1, -1):
-                whole = end[j] - begin[i] - SHINGLE + 1
-                if end[j] - begin[i] >= passage and (end[i:j + 1] - begin[i:j + 1] - SHINGLE + 1).sum() >= need * whole:
-                    out.append((int(begin[i]), int(end[j]), int(partner[a])))
-                    i = j
-                    break
+            j = int(last[i])
+            if j >= i and end[j] - begin[i] >= passage:
+                out.append((int(begin[i]), int(end[j]), int(partner[a])))
+                i = j
             i += 1
     return out
 
