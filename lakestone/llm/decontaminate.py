@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestone.session import scratch_path
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Low bits of a fingerprint that hold its position; texts of more words are tried at each wrap.
@@ -110,6 +112,10 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                            F.col("_rep") == F.col("_r"))
                 .groupBy(F.col("_k1").alias("_s1"), F.col("_k2").alias("_s2"))
                 .agg(F.collect_list(F.struct("words", "_ids", "diag")).alias("_seeds")))
+    # Written, so that the join deals both sides anew and can split a text that many rows share.
+    seen = scratch_path(docs.sparkSession, "seeds")
+    per_text.write.parquet(seen)
+    per_text = docs.sparkSession.read.schema(per_text.schema).parquet(seen)
     out = (keyed.join(per_text, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
            .withColumn("_w", words(F.col(text))).withColumn("_n", F.size("_w")))
     found = F.transform("_seeds", lambda s: F.struct(
