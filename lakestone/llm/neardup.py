@@ -164,7 +164,8 @@ def links(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, ba
              .groupBy("x", "y").agg(F.min("leader").alias("leader"))
              .select("leader", F.when(F.col("leader") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")))
     pairs = _kept(pairs, "pairs")
-    groups = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    # Written, so that the join deals both sides anew and can split a leader of many members.
+    groups = _kept(pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups")), "groups")
     members = pairs.join(groups, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("groups")).alias("group"), "node")
     heads = groups.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"),
                           F.col("leader").alias("node"))

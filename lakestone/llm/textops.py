@@ -45,7 +45,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(16, (n - 1).bit_length()))
 
 
-def pieces(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of a stretch: just below a power of two, which the tables of hash powers are as long as.
+STRETCH = (1 << 21) - 2
+
+
+def pieces(texts: pa.Array, limit: int = STRETCH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets) of stretches of about ``limit`` bytes; null is empty.
 
     A longer text is a stretch of its own.

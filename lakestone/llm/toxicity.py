@@ -274,7 +274,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         fitted = shared.value
         for b in batches:
             scores, spans = [], []
-            for _, _, data, offsets in pieces(b.column(names.index(text)), 1 << 22):
+            for _, _, data, offsets in pieces(b.column(names.index(text))):
                 words = Words(data, offsets)
                 p = fitted.marginals(words)
                 scores.append(fitted.scores(p, words.first))
@@ -294,7 +294,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
-            for _, _, data, offsets in pieces(b.column(at), 1 << 22):
+            for _, _, data, offsets in pieces(b.column(at)):
                 words = Words(data, offsets)
                 kept.append(shared.value.scores(shared.value.marginals(words), words.first) < threshold)
             yield b.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
