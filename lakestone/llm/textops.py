@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +31,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, _BASE, U64), np.full(n, _BASE_INV, U64)
-        up[0] = down[0] = 1
-        return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+class _Tables(dict):
+    """A cache that stays where it is: copies sent to tasks are empty."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
+_TABLES = _Tables()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for n bytes at least."""
-    return _powers(1 << max(16, (n - 1).bit_length()))
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _TABLES:
+        with np.errstate(over="ignore"):
+            up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INV, U64)
+            up[0] = down[0] = 1
+            found = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+        _TABLES.clear()
+        _TABLES[size] = found
+    return _TABLES[size]
 
 
 #: Bytes of a stretch: just below a power of two, which the tables of hash powers are as long as.

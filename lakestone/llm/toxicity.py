@@ -25,7 +25,7 @@ from .textops import U64, Words, pieces
 SAMPLE_PER_CLASS = 1000
 #: Byte lengths of the prefix features; the whole word comes first.
 PREFIXES = (4, 6, 8)
-_FILTER_BITS = 20
+_FILTER_BITS = 18
 _SEGMENT = 512
 
 
@@ -268,16 +268,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     docs = docs.drop("score", "predicted", "spans")
     extra = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
     schema = StructType([*docs.schema.fields, *docs.sparkSession.createDataFrame([], extra).schema.fields])
-    names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
         for b in batches:
             scores, spans = [], []
             for _, _, data, offsets in pieces(b.column(names.index(text))):
                 words = Words(data, offsets)
-                p = fitted.marginals(words)
-                scores.append(fitted.scores(p, words.first))
+                p = model.marginals(words)
+                scores.append(model.scores(p, words.first))
                 spans += _spans(words, data, offsets, p, span_threshold)
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
@@ -289,14 +288,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, columns unchanged; null and empty texts score like clean ones."""
-    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
             for _, _, data, offsets in pieces(b.column(at)):
                 words = Words(data, offsets)
-                kept.append(shared.value.scores(shared.value.marginals(words), words.first) < threshold)
+                kept.append(model.scores(model.marginals(words), words.first) < threshold)
             yield b.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)
