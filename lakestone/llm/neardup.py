@@ -12,7 +12,8 @@ and a document's first (ln registers + 3) / weight of time nearly always fills a
 so a signature costs the same for long texts as for short ones beyond one draw a shingle.
 
 Registers are banded.  Documents that share a band are compared with the smallest and the
-largest text id of the band, exactly, on their shingle bags.  Links make classes by
+largest text id of the band, exactly, on their shingle bags; in bands of more than two also
+with those of the texts that share the next band or the next two with them.  Links make classes by
 connected components.  Copies of a text are one node throughout.
 """
 
@@ -33,6 +34,8 @@ from .textops import U64, Words, mix, pieces, shingles
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
+#: Bands that the longest runs of registers in crowded bands consist of.
+FINER = 3
 #: Members that one verification group holds besides its leader.
 GROUP = 256
 
@@ -156,9 +159,21 @@ def links(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, ba
                        F.coalesce("text", F.lit("")).alias("text"))
     signed = _kept(base.mapInArrow(_signed(shingle, bands, rows), "node long, doc_id long, size long, bands array<long>"), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
-    banded = _kept(nodes.select("node", "first_doc", F.explode("bands").alias("key")), "bands")
-    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    pairs = (banded.join(shared, "key").select("node", F.explode(F.array("low", "high")).alias("leader"))
+    ring = F.transform(F.sequence(F.lit(0), F.size("bands") - 1), lambda i: F.struct(
+        *[F.get("bands", (i + j) % F.size("bands")).alias(f"key{j}") for j in range(FINER)]))
+    banded = _kept(nodes.filter(F.size("bands") > 0).select("node", F.inline(ring)), "bands")
+    shared = (banded.groupBy(F.col("key0").alias("key"))
+              .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"))
+              .filter("low < high"))
+    members = _kept(banded.join(shared, F.col("key0") == F.col("key")), "members")
+    # In a crowded band, also by longer runs of registers: their groups are closer, so are their leaders.
+    finer = members.filter("members > 2").select("node", F.explode(F.array(
+        *[F.xxhash64(*[f"key{i}" for i in range(j + 1)]) for j in range(1, FINER)])).alias("fine"))
+    leads = (finer.groupBy(F.col("fine").alias("_fine")).agg(F.min("node").alias("low"), F.max("node").alias("high"))
+             .filter("low < high"))
+    near = finer.join(leads, F.col("fine") == F.col("_fine")).select("node", "low", "high")
+    pairs = (members.select("node", "low", "high").unionByName(near)
+             .select("node", F.explode(F.array("low", "high")).alias("leader"))
              .filter("node <> leader")
              .select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y"), "node", "leader")
              .groupBy("x", "y").agg(F.min("leader").alias("leader"))
