@@ -36,6 +36,26 @@ def dealt(docs: DataFrame, block_chars: int = BLOCK_CHARS, text: str = "text", k
     return keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_block"), ranges
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes first: leading zeros then lie together, where compression finds them."""
+    a = np.ascontiguousarray(a)
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str | type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as byte planes of their differences."""
+    return planes(np.diff(keys, prepend=U64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, U64), dtype=U64)
+
+
 def split(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
     """The stretches of ascending distinct keys that fall into each key range."""
     if not len(keys):
@@ -50,7 +70,7 @@ def send(block: int, ranges: int, levels: list[tuple[int, np.ndarray, np.ndarray
     rows: list[list] = [[], [], [], [], []]
     for level, keys, values in levels:
         for r, s in split(keys, ranges):
-            for column, x in zip(rows, (r, block, level, keys[s].tobytes(), np.ascontiguousarray(values[s]).tobytes()), strict=True):
+            for column, x in zip(rows, (r, block, level, pack_keys(keys[s]), planes(values[s])), strict=True):
                 column.append(x)
     return pa.table([pa.array(c, f.type) for c, f in zip(rows, SENT_ARROW, strict=True)], schema=SENT_ARROW)
 
@@ -64,14 +84,14 @@ def answered(sent: DataFrame, reduce: Callable[[int, np.ndarray, list[np.ndarray
     """
     def run(table: pa.Table) -> pa.Table:
         level = table["level"][0].as_py()
-        packets = [np.frombuffer(x, U64) for x in table["keys"].to_pylist()]
-        values = [np.frombuffer(x, value_type) for x in table["values"].to_pylist()]
+        packets = [unpack_keys(x) for x in table["keys"].to_pylist()]
+        values = [from_planes(x, value_type) for x in table["values"].to_pylist()]
         values = [v.reshape(-1, width) for v in values] if width > 1 else values
         distinct, place = np.unique(np.concatenate(packets), return_inverse=True)
         ends = np.cumsum([len(p) for p in packets])
         answers = reduce(level, distinct, np.split(place, ends[:-1]), values)
         return pa.table([table["block"], table["range"], table["level"],
-                         pa.array([np.ascontiguousarray(a).tobytes() for a in answers], pa.binary())], schema=ANSWER_ARROW)
+                         pa.array([planes(a) for a in answers], pa.binary())], schema=ANSWER_ARROW)
 
     return sent.groupBy("range", "level").applyInArrow(run, ANSWER)
 
@@ -80,7 +100,7 @@ def joined(table: pa.Table, kinds: dict[int, str], widths: dict[int, int] | None
     """A block's answers by level, in the order of its ascending keys."""
     out: dict[int, list] = {level: [] for level in kinds}
     for level, _, data in sorted(zip(table["level"].to_pylist(), table["range"].to_pylist(), table["answers"].to_pylist(), strict=True)):
-        out[level].append(np.frombuffer(data, kinds[level]))
+        out[level].append(from_planes(data, kinds[level]))
     found = {level: np.concatenate(x) if x else np.zeros(0, kinds[level]) for level, x in out.items()}
     return {level: x.reshape(-1, w) if (w := (widths or {}).get(level, 1)) > 1 else x for level, x in found.items()}
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .textops import TOKEN_BYTES, U64, Words, pieces
+from .textops import TOKEN_BYTES, U64, Words, mix, pieces
 
 #: Hashes of the end token and of what stands before a text's first token.
 END, START = U64(0x8A5CD789635D2DFF), U64(0x121FD2155C472F96)
@@ -47,7 +47,6 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _ngrams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
     """Keys of the n-grams that end at each token, for n = 1 to ``order``; before a text stand START words."""
-    from .textops import mix
     place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
     out, acc = [tokens], tokens.copy()
     with np.errstate(over="ignore"):
@@ -187,8 +186,8 @@ def _training_size(rows: DataFrame, ranges: int) -> tuple[int, int, int]:
     sent = train.mapInArrow(words, blocks.SENT)
 
     def measure(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.frombuffer(x, U64) for x in table["keys"].to_pylist()]))
-        total = sum(int(np.frombuffer(x, np.int64).sum()) for x in table["values"].to_pylist())
+        keys = np.unique(np.concatenate([blocks.unpack_keys(x) for x in table["keys"].to_pylist()]))
+        total = sum(int(blocks.from_planes(x, np.int64).sum()) for x in table["values"].to_pylist())
         return pa.table({"tokens": [total], "distinct": [len(keys)]})
 
     x = (sent.select("range", "keys", "values").groupBy("range").applyInArrow(measure, "tokens long, distinct long")
