@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from lakestone.session import get_spark
-    import __spark_entry__ as E
+    from lakestone.plans.driver_queries import QUERIES
     spark = get_spark("local[8]", shuffle_partitions=8,
                       extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,11 +29,11 @@ def main() -> None:
            "at run time AQE may turn a sort-merge join into a broadcast from measured sizes and",
            "reuses identical exchanges). `shuffles` counts hash/range/round-robin exchanges,",
            "`bcast` broadcast exchanges. Every broadcast is either of bounded size (one-row",
-           "baselines, weights, per-column counts, offsets) or chosen by Spark from size statistics.",
+           "baselines, per-column counts, offsets) or chosen by Spark from size statistics.",
            "",
            "| query | shuffles | bcast | scans | window | python | scan columns (pushed filters) |",
            "|---|---|---|---|---|---|---|"]
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
@@ -64,7 +64,7 @@ def main() -> None:
             "- Generators and injection: pure projections over the index; exact samples are found by",
             "  bounded histogram rounds (separate small jobs, not shown here), ranks by bucketed windows.",
             "- Windows appear only over bounded inputs: ranks inside one hash bucket, per-sample boundary",
-            "  rows, or the SQL-style duplicate window kept as an option (not used by these queries).",
+            "  rows.",
             "- Scalars (baselines, bounds, maxima, document values) are scalar subqueries, planned as",
             "  separate one-row subquery stages and not counted in the columns above; no query cross-joins.",
             "- No query runs Python per row; the only Python stage is the optional `map_records` hook.",
