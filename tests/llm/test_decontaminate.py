@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import sentence, words
+from llm_cases import sentence, words
 
 from lakestone.llm import decontaminate as D
 

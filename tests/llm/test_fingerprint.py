@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import hard_rows, make, sentence, words
+from llm_cases import hard_rows, make, sentence, words
 
 from lakestone.llm import fingerprint as P
 

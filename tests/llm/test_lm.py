@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import re
-from conftest import LOWER, make, sentence
+from llm_cases import LOWER, make, sentence
 
 from lakestone.llm import lm
 

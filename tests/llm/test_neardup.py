@@ -2,7 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import make, sentence, words
+from llm_cases import make, sentence, words
 
 from lakestone.llm import neardup as N
 from lakestone.llm.components import components

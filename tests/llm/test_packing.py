@@ -3,7 +3,7 @@ import random
 import re
 from collections import defaultdict
 
-from conftest import make
+from llm_cases import make
 from pyspark.sql import functions as F
 
 from lakestone.llm import packing as P

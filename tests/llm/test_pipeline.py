@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import make, sentence, words
+from llm_cases import make, sentence, words
 from test_neardup import got_classes
 from test_substring import repeated_words
 

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import make
+from llm_cases import make
 
 from lakestone.llm import tokencount as T
 from lakestone.session import local_path, scratch_path

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import make, sentence
+from llm_cases import make, sentence
 
 from lakestone.llm import toxicity as T
 from lakestone.llm.textops import Words, pieces
