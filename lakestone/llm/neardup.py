@@ -13,7 +13,7 @@ so a signature costs the same for long texts as for short ones beyond one draw a
 
 Registers are banded.  Documents that share a band are compared with the smallest and the
 largest text id of the band, exactly, on their shingle bags; in bands of more than two also
-with those of the texts that share the next band or the next two with them.  Links make classes by
+with one drawn from the texts that share the next band, or the next two, with them.  Links make classes by
 connected components.  Copies of a text are one node throughout.
 """
 
@@ -169,12 +169,12 @@ def links(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, ba
     # In a crowded band, also by longer runs of registers: their groups are closer, so are their leaders.
     finer = members.filter("members > 2").select("node", F.explode(F.array(
         *[F.xxhash64(*[f"key{i}" for i in range(j + 1)]) for j in range(1, FINER)])).alias("fine"))
-    leads = (finer.groupBy(F.col("fine").alias("_fine")).agg(F.min("node").alias("low"), F.max("node").alias("high"))
-             .filter("low < high"))
-    near = finer.join(leads, F.col("fine") == F.col("_fine")).select("node", "low", "high")
-    pairs = (members.select("node", "low", "high").unionByName(near)
-             .select("node", F.explode(F.array("low", "high")).alias("leader"))
-             .filter("node <> leader")
+    # Their leaders are drawn anew for each run, so that a text meets many different ones.
+    leads = (finer.withColumn("draw", F.xxhash64("fine", "node")).groupBy(F.col("fine").alias("_fine"))
+             .agg(F.min_by("node", "draw").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    near = finer.join(leads, F.col("fine") == F.col("_fine")).select("node", "leader")
+    ends = members.select("node", F.explode(F.array("low", "high")).alias("leader"))
+    pairs = (ends.unionByName(near).filter("node <> leader")
              .select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y"), "node", "leader")
              .groupBy("x", "y").agg(F.min("leader").alias("leader"))
              .select("leader", F.when(F.col("leader") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")))
