@@ -132,4 +132,5 @@ def document_counts(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int =
     write_token_files(docs, folder, bpe_encoder(vocabulary), end_id, width).write.parquet(manifest)
     listed = spark.read.schema(_MANIFEST).parquet(manifest)
     counted = count_tokens(listed, end_id, width, block)
-    return listed.join(counted, ["path", "ordinal"]).select("doc_id", "path", "ordinal", "start", "n_tokens")
+    # The manifest's file is far smaller than its rows, so Spark would take it for one to broadcast.
+    return listed.hint("merge").join(counted, ["path", "ordinal"]).select("doc_id", "path", "ordinal", "start", "n_tokens")
