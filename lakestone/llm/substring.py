@@ -143,14 +143,18 @@ class _Block:
             l, c, r = l[hit], c[hit], r[hit] + SHINGLE  # r: the word after the window
             np.add.at(runs, np.maximum(l, c + SHINGLE - passage), 1)
             np.add.at(runs, np.minimum(c, r - passage) + 1, -1)
-            np.add.at(units, np.maximum(l, c - 2 * passage), 1)
-            np.add.at(units, np.minimum(c + 2 * passage, r - UNIT) + 1, -1)
+            np.add.at(units, np.maximum(l, c - passage), 1)
+            np.add.at(units, np.minimum(c + passage, r - UNIT) + 1, -1)
         return (np.flatnonzero((np.cumsum(runs[:n]) > 0) & self.room(passage)),
                 np.flatnonzero((np.cumsum(units[:n]) > 0) & self.room(UNIT)))
 
 
 def _two_owners(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
-    """The two smallest documents of each key; twice the same number for keys of one document."""
+    """The two smallest documents of each key; twice the same number for keys of one document.
+
+    Of windows only whether there are two is asked, and of long runs the smallest: the rest
+    of their answers is constant.
+    """
     low = np.full(len(keys), _NONE)
     for at, v in zip(where, values, strict=True):
         low[at] = np.minimum(low[at], v[:, 0])
@@ -159,6 +163,9 @@ def _two_owners(level: int, keys: np.ndarray, where: list[np.ndarray], values: l
         for i in (0, 1):
             second[at] = np.minimum(second[at], np.where(v[:, i] > low[at], v[:, i], _NONE))
     alone = second == _NONE
+    if level != _UNITS:
+        second = np.full(len(keys), -1)
+        low = low if level == _RUNS else np.zeros(len(keys), np.int64)
     both = np.stack([np.where(alone, 0, low), np.where(alone, 0, second)], 1)
     return [both[at] for at in where]
 
