@@ -15,23 +15,38 @@ exception.  For passages that differ in places, runs of ``UNIT`` words are looke
 stretches of at least ``passage`` words whose shingles match one other document to
 ``similarity`` are near copies.  All lookups go through ``blocks``: a passage of a third
 of the corpus costs an entry a block, and no pairs are made.
+
+The lookup tells which runs stand elsewhere, not in how many documents.  Where all runs
+found together could make a near copy, the windows around it are grouped by their min-hash,
+and each is matched with every distinct text of its group, in squares of ``MEMBERS`` texts.
+Texts whose runs can't add up to a near copy, or that stand in an earlier document word for
+word, look for no partner; equal texts are compared as one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakestone.session import scratch_path
+
 from . import blocks
 from .textops import U64, Words, grams, mix, pieces
 
 SHINGLE, PASSAGE, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 3
+#: A window's near copies are matched within so many passages around its centre.
+REACH = 2
 #: Words of the runs that near copies are matched by.
 UNIT = 10
-_RUNS, _UNITS = 100, 101
+_RUNS, _UNITS, _STRETCHES = 100, 101, 102
+#: Distinct texts on a side of a square of comparisons, and members that a task of small groups has, about.
+MEMBERS, TASK_MEMBERS = 1024, 16384
+SALTS = 1024
+_ASKED = 200
 _NONE = np.iinfo(np.int64).max
 
 
@@ -100,6 +115,13 @@ class _Block:
         self.start, self.end, self.chars = np.concatenate(starts), np.concatenate(ends), np.concatenate(chars)
         self.text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def signs(self) -> np.ndarray:
+        """A number for each text's sequence of words."""
+        place = np.arange(len(self.hash)) - self.first[self.text]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(self.hash + mix(place.astype(U64))), dtype=U64)))
+            return (sums[self.first[1:]] - sums[self.first[:-1]]).view(np.int64)
+
     def room(self, size: int) -> np.ndarray:
         """Whether ``size`` words from each word on are of its own text."""
         return np.arange(len(self.hash)) + size <= self.first[self.text + 1]
@@ -222,44 +244,311 @@ def _near(at: np.ndarray, partner: np.ndarray, passage: int, similarity: float)
     return out
 
 
-def passages(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int, similarity: float) -> list[list[dict]]:
-    """Repeated passages of each text: words and code points, the smallest document that has them, whether a near copy."""
-    out: list[list[dict]] = [[] for _ in range(len(b.first) - 1)]
+def _least(passage: int, similarity: float) -> float:
+    """Shingles that the shortest near copy shares."""
+    return 2 * similarity / (1 + similarity) * (passage - SHINGLE + 1) - 1e-6
+
+
+def _covered(b: _Block, at: np.ndarray, size: int) -> np.ndarray:
+    """Which words are in a run of ``size`` words from one of ``at`` on."""
+    steps = np.zeros(len(b.hash) + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + size, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _looked_up(b: _Block, answers: dict[int, np.ndarray], level: int, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``at`` whose run of ``size`` words stands in two documents, and the two."""
+    if not len(at):
+        return at, np.zeros((0, 2), np.int64)
+    keys = grams(b.hash, size)[at]
+    found = answers[level][np.searchsorted(np.unique(keys), keys)]
+    hit = found[:, 0] != found[:, 1]
+    return at[hit], found[hit]
+
+
+def _partners(b: _Block, answers: dict[int, np.ndarray], units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``units`` that stand in another document, and the smallest such document."""
+    at, found = _looked_up(b, answers, _UNITS, UNIT, units)
+    return at, np.where(found[:, 0] == b.owner[b.text[at]], found[:, 1], found[:, 0])
+
+
+def _credited(b: _Block, at: np.ndarray, partner: np.ndarray, passage: int, similarity: float) -> dict[int, list[tuple[int, int, int]]]:
+    """By text the near copies that the runs' smallest documents make."""
+    text = b.text[at]
+    starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(at) else np.zeros(0, np.int64)
+    return {int(text[i]): _near(at[i:j], partner[i:j], passage, similarity)
+            for i, j in zip(starts, np.r_[starts[1:], len(at)], strict=True)}
+
+
+def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int, similarity: float) -> list[tuple]:
+    """For each function, of the windows that a near copy can stand in: min-hash, first run, run after the last, and
+    whether a partner is looked for.  Last which runs stand in another document.
+
+    Left out are windows whose runs found elsewhere hold too few shingles, and those that one
+    earlier document has word for word, with a window around them, to be compared in their place.
+    """
     runs, units = b.candidates(windows, answers, passage)
+    at, found = _looked_up(b, answers, _RUNS, passage, runs)
+    early = found[:, 0] < b.owner[b.text[at]]
+    done = _covered(b, at[early], passage)
+    source = np.full(len(b.hash), _NONE)
+    source[at[early]] = found[early, 0]
+    new = np.concatenate(([0], np.cumsum((source == _NONE) | np.r_[True, source[1:] != source[:-1]])))
+    known = _covered(b, at, passage)
+    at, partner = _partners(b, answers, units)
+    for t, near in _credited(b, at, partner, passage, similarity).items():
+        for a, z, p in near:
+            known[a:z] = True
+            done[a:z] |= p < b.owner[t]
+
+    def hoped(at: np.ndarray) -> np.ndarray:
+        """The words of near copies, if one document had all of ``at``."""
+        steps = np.zeros(len(b.hash) + 1, np.int64)
+        for a, z, _ in _near(at, b.text[at], passage, similarity):
+            steps[a] += 1
+            steps[z] -= 1
+        return np.cumsum(steps[:-1]) > 0
+
+    # What is known from an earlier document is settled, and so is what is known from a later one and can be in no earlier one.
+    hope = (hoped(at) & ~known) | (hoped(at[partner < b.owner[b.text[at]]]) & ~done)
+    wanted = np.concatenate(([0], np.cumsum(hope)))
+    elsewhere = np.zeros(len(b.hash), bool)
+    elsewhere[at] = True
+    hits = np.concatenate(([0], np.cumsum(elsewhere)))
+    begun = np.concatenate(([0], np.cumsum(elsewhere & ~np.r_[False, elsewhere[:-1]])))
+    least = _least(passage, similarity)
+    out = []
+    for k, (l, c, r, value) in enumerate(windows):
+        found = answers[k][np.searchsorted(np.unique(value), value)] if len(value) else np.zeros((0, 2), np.int64)
+        first = np.maximum(l, c - REACH * passage)
+        after = np.minimum(c + REACH * passage, r + SHINGLE - UNIT) + 1
+        shared = hits[after] - hits[first] + (UNIT - SHINGLE) * (begun[after] - begun[first + 1] + elsewhere[first])
+        last = after + UNIT - 1 - passage
+        copied = (source[first] != _NONE) & (new[last + 1] == new[first + 1])
+        on = (found[:, 0] != found[:, 1]) & (shared >= least) & ~copied
+        first, after = first[on], after[on]
+        out.append((value[on], first, after, wanted[after + UNIT - 1] > wanted[first]))
+    return [*out, elsewhere]
+
+
+def _asked(text: str, ranges: int, passage: int, functions: int, similarity: float):
+    """Sends the windows' min-hashes, and whether one of the block's texts looks for partners there."""
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return blocks.SENT_ARROW.empty_table()
+        b = _Block(table, text)
+        found = _members(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS, _UNITS]), passage, similarity)
+        levels = []
+        for k, (value, _, _, wanting) in enumerate(found[:-1]):
+            keys, at = np.unique(value, return_inverse=True)
+            if len(keys):
+                levels.append((k, keys, (np.bincount(at, weights=wanting) > 0).astype(np.uint8)))
+        return blocks.send(b.block, ranges, levels)
+    return run
+
+
+def _any(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    some = np.zeros(len(keys), np.uint8)
+    for at, v in zip(where, values, strict=True):
+        some[at] |= v
+    return [some[at] for at in where]
 
-    def looked_up(level: int, size: int, at: np.ndarray) -> np.ndarray:
-        keys = grams(b.hash, size)[at]
-        return answers[level][np.searchsorted(np.unique(keys), keys)] if len(at) else np.zeros((0, 2), np.int64)
+
+_MEMBER = "level int, value long, runs binary, owner long, block long, sign long, first long, wanting boolean"
+
+
+def _members_sent(text: str, passage: int, functions: int, similarity: float):
+    """The runs around the windows of min-hashes where a text looks for partners; 0 for runs that stand nowhere else."""
+    names = [f.split()[0] for f in _MEMBER.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if len(table):
+            b = _Block(table, text)
+            asked = answers.filter(pc.greater_equal(answers["level"], _ASKED))
+            found = _members(b, b.windows(passage, functions), _answers(answers.filter(pc.less(answers["level"], _ASKED)),
+                             [*range(functions), _RUNS, _UNITS]), passage, similarity)
+            flags = blocks.joined(asked, {_ASKED + k: "<u1" for k in range(functions)})
+            keys = np.zeros(len(b.hash), U64)
+            whole = grams(b.hash, UNIT)
+            keys[:len(whole)] = np.where(found[-1][:len(whole)], whole, U64(0))
+            signs = b.signs()
+            for k, (value, first, after, wanting) in enumerate(found[:-1]):
+                if len(value):
+                    on = flags[_ASKED + k][np.searchsorted(np.unique(value), value)] > 0
+                    for v, a, z, w in zip(value[on].view(np.int64).tolist(), first[on].tolist(), after[on].tolist(), wanting[on].tolist(), strict=True):
+                        t = b.text[a]
+                        rows.append((k, v, keys[a:z].tobytes(), int(b.owner[t]), b.block, int(signs[t]), int(a - b.first[t]), w))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+    return run
+
+
+def _stretches(runs: list[np.ndarray], owners: np.ndarray, wanting: list[tuple[int | None, np.ndarray]], passage: int,
+               similarity: float) -> list[list[tuple[int, int, int]]]:
+    """For each of ``wanting`` (owner, runs) the stretches that match a text of another owner, smallest owners first.
+
+    A stretch without a word that a smaller owner's stretches lack is left out.
+    """
+    place = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
+    keys = np.concatenate(runs)
+    shown = keys != 0
+    pairs = np.unique(np.stack([keys[shown], owners[place[shown]].view(U64)], 1), axis=0)
+    keys, holder = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]).view(np.int64)
+    least = _least(passage, similarity)
+    out = []
+    for own, mine in wanting:
+        lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+        many = np.where(mine != 0, hi - lo, 0)
+        at = np.repeat(np.arange(len(mine)), many)
+        partner = holder[np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        if own is not None:
+            other = partner != own
+            at, partner = at[other], partner[other]
+        order = np.lexsort((at, partner))
+        at, partner = at[order], partner[order]
+        found: list[tuple[int, int, int]] = []
+        out.append(found)
+        if not len(at):
+            continue
+        new = np.r_[True, partner[1:] != partner[:-1]]
+        begin = np.flatnonzero(new)
+        end = np.r_[begin[1:], len(at)]
+        breaks = np.add.reduceat((new | np.r_[True, np.diff(at) > 1]).astype(np.int64), begin)
+        # A run of u places in a row holds u + UNIT - SHINGLE shingles.
+        could = end - begin + (UNIT - SHINGLE) * breaks >= least
+        covered = np.zeros(len(mine) + UNIT, bool)
+        for i, j in zip(begin[could].tolist(), end[could].tolist(), strict=True):
+            if not covered[at[i]:at[j - 1] + UNIT].all():
+                for a, z, p in _near(at[i:j], partner[i:j], passage, similarity):
+                    if not covered[a:z].all():
+                        covered[a:z] = True
+                        found.append((a, z, p))
+    return out
+
+
+def _compared(passage: int, similarity: float):
+    """Stretches of a task's groups, one answer a block; ``part`` is 0 for partners, 1 for texts that look for them."""
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[int, list] = {}
+        level, value = table["level"].to_numpy(), table["value"].to_numpy()
+        low, high = (pc.fill_null(table[c], 0).to_numpy() for c in ("low", "high"))
+        looks = table["looks"].to_numpy()
+        runs, seekers = table["runs"].combine_chunks(), table["seekers"].combine_chunks()
+        order = np.lexsort((level, value))
+        cuts = np.flatnonzero((np.diff(level[order]) != 0) | (np.diff(value[order]) != 0)) + 1
+        for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(order)], strict=True):
+            rows = order[i:j]
+            heads, tails = rows[looks[rows]], rows[~looks[rows]]
+            if not len(heads) or not len(tails):
+                continue
+            texts = [np.frombuffer(runs[x].as_py(), U64) for x in tails]
+            owners = np.concatenate((low[tails], high[tails]))
+            known = set(owners.tolist())
+            # Seekers of equal texts that own no text of the other side have the same answer.
+            wanting: dict[tuple, list] = {}
+            for x in heads:
+                mine = runs[x].as_py()
+                for q in seekers[x].as_py():
+                    wanting.setdefault((q["owner"] if q["owner"] in known else None, mine), []).append(q)
+            found = _stretches(texts * 2, owners, [(o, np.frombuffer(m, U64)) for o, m in wanting], passage, similarity)
+            for asking, stretches in zip(wanting.values(), found, strict=True):
+                for q in asking if stretches else ():
+                    out.setdefault(q["block"], []).extend(
+                        (q["owner"], q["sign"], q["first"] + a, q["first"] + z, p) for a, z, p in stretches)
+        return pa.table([pa.array(list(out), pa.int64()), pa.array([0] * len(out), pa.int64()), pa.array([_STRETCHES] * len(out), pa.int32()),
+                         pa.array([np.asarray(x, np.int64).tobytes() for x in out.values()], pa.binary())], schema=blocks.ANSWER_ARROW)
+    return run
+
+
+def _matched(members: DataFrame, passage: int, similarity: float) -> DataFrame:
+    """Answers (level _STRETCHES) of rows (owner, sign, first word, word after, partner).
+
+    Equal texts are compared as one, of the smallest and the largest document that have it:
+    the largest is a partner of the smallest, all others have the smallest.
+    """
+    spark = members.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    members = kept(members, "members")
+    group = ["level", "value"]
+    ends = F.min("owner").alias("low"), F.max("owner").alias("high")
+    texts = members.groupBy(*group, "runs").agg(*ends)
+    # A text of very many documents has up to SALTS rows of them.
+    seekers = (members.filter("wanting").groupBy(*group, "runs", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).alias("salt"))
+               .agg(F.collect_set(F.struct("owner", "block", "sign", "first")).alias("seekers")))
+    sizes = (members.groupBy(*group, F.xxhash64("runs").alias("mark")).agg(*ends, F.max("wanting").alias("wanting")).groupBy(*group)
+             .agg(F.count(F.lit(1)).alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("wanting").alias("wanting"))
+             .filter("low < high and wanting"))
+    sizes = kept(sizes.select(F.col("level").alias("_level"), F.col("value").alias("_value"),
+                              F.ceil(F.col("size") / MEMBERS).alias("side"), "size"), "groups")
+    tasks = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // TASK_MEMBERS))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        met = df.join(sizes, (F.col("level") == F.col("_level")) & (F.col("value") == F.col("_value")))
+        return met.withColumn(own, F.pmod(F.xxhash64("runs"), F.col("side"))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
+
+    columns = [*group, "runs", "low", "high", "seekers", "side", "x", "y", "looks"]
+    none = F.lit(None)
+    looks = dealt(seekers, "x", "y").withColumns(
+        {"low": none.cast("long"), "high": none.cast("long"), "looks": F.lit(True)}).select(columns)
+    looked = dealt(texts, "y", "x").withColumns(
+        {"seekers": none.cast(seekers.schema["seekers"].dataType), "looks": F.lit(False)}).select(columns)
+    both = looks.unionByName(looked).withColumn("task", F.when(F.col("side") == 1, F.pmod(F.xxhash64("level", "value"), F.lit(tasks)))
+                                                .otherwise(F.xxhash64("level", "value", "x", "y")))
+    return both.groupBy("task", F.col("side") == 1).applyInArrow(_compared(passage, similarity), blocks.ANSWER)
+
+
+def passages(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int, similarity: float,
+             stretches: np.ndarray) -> list[list[dict]]:
+    """Repeated passages of each text: words and code points, the smallest document that has them, whether a near copy.
+
+    ``stretches`` has rows (owner, sign, first word, word after, partner) of near copies.
+    """
+    out: list[list[dict]] = [[] for _ in range(len(b.first) - 1)]
+    runs, units = b.candidates(windows, answers, passage)
 
     def add(text: int, a: int, z: int, first_doc: int, near: bool) -> None:
         base = b.first[text]
         out[text].append({"start_word": int(a - base), "end_word": int(z - base), "start": int(b.start[a]),
                           "end": int(b.end[z - 1]), "first_doc": first_doc, "near": near})
 
-    covered = np.zeros(len(b.hash) + 1, np.int64)
-    found = looked_up(_RUNS, passage, runs)
-    hit = found[:, 0] != found[:, 1]
-    at, first_doc = runs[hit], found[hit, 0]
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + passage, -1)
-    exact = np.cumsum(covered[:-1]) > 0
+    at, found = _looked_up(b, answers, _RUNS, passage, runs)
+    first_doc = found[:, 0]
+    exact = _covered(b, at, passage)
+    earlier = _covered(b, at[first_doc < b.owner[b.text[at]]], passage)
     if len(at):
         text = b.text[at]
         cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(text) != 0) | (np.diff(first_doc) != 0)) + 1
         for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
             add(int(text[i]), int(at[i]), int(at[j - 1]) + passage, int(first_doc[i]), False)
-    found = looked_up(_UNITS, UNIT, units)
-    hit = found[:, 0] != found[:, 1]
-    at, found = units[hit], found[hit]
-    text = b.text[at]
-    partner = np.where(found[:, 0] == b.owner[text], found[:, 1], found[:, 0])
-    starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(at) else []
-    for i, j in zip(starts, np.r_[starts[1:], len(at)], strict=True):
-        t = int(text[i])
-        if not exact[at[i]:at[j - 1] + UNIT].all():
-            for a, z, p in _near(at[i:j], partner[i:j], passage, similarity):
-                if not exact[a:z].all():
-                    add(t, a, z, min(p, int(b.owner[t])), True)
+    near = _credited(b, *_partners(b, answers, units), passage, similarity)
+    places: dict[tuple[int, int], list[int]] = {}
+    for t, mark in enumerate(zip(b.owner.tolist(), b.signs().tolist(), strict=True)):
+        places.setdefault(mark, []).append(t)
+    for owner, sign, a, z, p in stretches.tolist():
+        for t in places[owner, sign]:
+            near.setdefault(t, []).append((int(b.first[t]) + a, int(b.first[t]) + z, p))
+    for t, found in near.items():
+        own, whole = int(b.owner[t]), []
+        for a, z, p in sorted(found, key=lambda x: (x[2], x[0], x[1])):
+            if whole and whole[-1][2] == p and a <= whole[-1][1]:
+                whole[-1] = (whole[-1][0], max(z, whole[-1][1]), p)
+            else:
+                whole.append((a, z, p))
+        for a, z, p in whole:
+            known = earlier if p < own else exact
+            if not known[a:z].all():
+                add(t, a, z, min(p, own), True)
+                exact[a:z] = True
+                earlier[a:z] |= p < own
     return out
 
 
@@ -288,17 +577,28 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", passage:
         _windows_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
     runs = blocks.answered(dealt.groupBy("_block").cogroup(windows.groupBy("block")).applyInArrow(
         _runs_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
+    both = windows.unionByName(runs)
+    asked = blocks.answered(dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(
+        _asked(text, ranges, passage, functions, similarity), blocks.SENT), _any, "<u1")
+    members = dealt.groupBy("_block").cogroup(
+        both.unionByName(asked.withColumn("level", F.col("level") + _ASKED)).groupBy("block")).applyInArrow(
+        _members_sent(text, passage, functions, similarity), _MEMBER)
+    stretches = _matched(members, passage, similarity)
     names = rows.columns
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        b = _Block(table, text) if len(table) else None
-        found = passages(b, b.windows(passage, functions), _answers(answers, levels), passage, similarity) if b else []
-        return table.select(names).append_column("_n_words", pa.array(np.diff(b.first) if b else [], pa.int64())) \
+        found = []
+        if len(table):
+            b = _Block(table, text)
+            near = answers.filter(pc.equal(answers["level"], _STRETCHES))["answers"].to_pylist()
+            found = passages(b, b.windows(passage, functions), _answers(answers.filter(pc.not_equal(answers["level"], _STRETCHES)), levels),
+                             passage, similarity, np.frombuffer(b"".join(near), np.int64).reshape(-1, 5))
+        return table.select(names).append_column("_n_words", pa.array(np.diff(b.first) if len(table) else [], pa.int64())) \
             .append_column("_passages", pa.array(found, _ARROW))
 
     schema = StructType([*rows.schema.fields, *docs.sparkSession.createDataFrame(
         [], f"_n_words long, _passages {_PASSAGES}").schema.fields])
-    return dealt.groupBy("_block").cogroup(windows.unionByName(runs).groupBy("block")).applyInArrow(finish, schema)
+    return dealt.groupBy("_block").cogroup(both.unionByName(stretches).groupBy("block")).applyInArrow(finish, schema)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw) -> DataFrame:

@@ -98,3 +98,28 @@ def test_hard_rows(spark, hard, empty):
     kept = S.deduplicate(hard).collect()
     assert {r.doc_id for r in kept} >= {1, 4, 5, 6, 9, 10, 11} and 2 not in {r.doc_id for r in kept}
     assert S.repeated(empty).count() == 0 and S.deduplicate(empty).count() == 0
+
+
+def test_every_partner_of_a_family_is_tried(spark):
+    """Each copy differs in other words, so that the smallest owners of its runs are many documents."""
+    rng = random.Random(12)
+    passage = sentence(rng, 60, 9000).split()
+
+    def copy(*edits):
+        out = list(passage)
+        for at in edits:
+            out[at] = f"edit{rng.randrange(10**6)}"
+        return out
+
+    rows = [(1, copy(15, 35)), (2, copy()), (3, copy(25))]
+    for family in range(1, 6):
+        passage = sentence(rng, 60, 9000).split()
+        edits = rng.sample(range(12, 48), 12)
+        rows += [(family * 100 + i, copy(*edits[2 * i:2 * i + 2])) for i in range(5)] + [(family * 100 + 50, copy())]
+        rows += [(family * 100 + 60 + i, copy(edits[10 + i])) for i in range(2)]
+    rows = [(i, " ".join([sentence(rng, 60, 9000), *w, sentence(rng, 60, 9000)])) for i, w in rows]
+    got = {r.doc_id: r for r in S.repeated(make(spark, rows)).collect()}
+    for i, whole in [(3, 2), *((f * 100 + 60 + k, f * 100 + 50) for f in range(1, 6) for k in range(2))]:
+        assert any(p.near and p.first_doc <= whole and p.end_word - p.start_word >= 50 for p in got[i]._passages), i
+    left = {r.doc_id: len(words(r.text)) for r in S.deduplicate(make(spark, rows)).collect()}
+    assert left[1] == 180 and left[3] <= 130
