@@ -14,7 +14,10 @@ so a signature costs the same for long texts as for short ones beyond one draw a
 Registers are banded.  Documents that share a band are compared with the smallest and the
 largest text id of the band, exactly, on their shingle bags; in bands of more than two also
 with one drawn from the texts that share the next band, or the next two, with them.  Links make classes by
-connected components.  Copies of a text are one node throughout.
+connected components.  What that leaves in different components of one band is then compared
+pair by pair, in squares of ``GROUP`` texts, and the components are made anew: texts of one
+component need no comparison, so no link between classes is lost among texts that share a band.
+Copies of a text are one node throughout.
 """
 
 from __future__ import annotations
@@ -145,6 +148,73 @@ def _verified(shingle: int, least: float):
     return run
 
 
+def _across(shingle: int, least: float):
+    """Links between the two sides of a square (``side`` 0 and 1; on the diagonal, 2 is both) whose components differ."""
+    def run(table: pa.Table) -> pa.Table:
+        nodes, side, label = (table[c].to_numpy() for c in ("node", "side", "component"))
+        found: list[tuple[int, int, float]] = []
+        known: list = [None] * len(nodes)
+        for lo, hi, data, offsets in pieces(table["text"].combine_chunks()):
+            hashes, first = shingles(Words(data, offsets), shingle)
+            text, h, w = bags(hashes, first)
+            cuts = np.searchsorted(text, np.arange(len(first)))
+            known[lo:hi] = [(h[cuts[i]:cuts[i + 1]], w[cuts[i]:cuts[i + 1]]) for i in range(hi - lo)]
+        size = np.asarray([int(x[1].sum()) for x in known])
+        # Within the task, texts that a link joins are of one component.
+        parent = {int(x): int(x) for x in label}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i in np.flatnonzero(side != 1).tolist():
+            other = np.flatnonzero((side == 1) if side[i] == 0 else (side == 2) & (np.arange(len(nodes)) > i))
+            fits = np.minimum(size[other], size[i]) >= least * np.maximum(size[other], size[i])
+            for j in other[fits].tolist():
+                x, y = root(int(label[i])), root(int(label[j]))
+                if x != y and (s := similarity(known[i], known[j])) >= least:
+                    parent[x] = y
+                    found.append((int(nodes[i]), int(nodes[j]), s))
+        a, b, s = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+    return run
+
+
+def _left_over(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links between texts that share a band and that ``found`` leaves in different components.
+
+    In each band the texts are dealt into cells of about GROUP; each pair of cells is a group,
+    where a pair of one component is passed over.  The band's largest component is not
+    compared with itself, so that a large group with few others around costs little.
+    """
+    spark = members.sparkSession
+    labels = components(found)
+    in_band = _kept(members.select("key", "node").join(labels, F.col("node") == F.col("id"), "left")
+                    .select("key", "node", F.coalesce("component", "node").alias("component")), "left")
+    parts = in_band.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = (parts.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"))
+             .filter(F.col("all") > F.col("main.size"))
+             .select(F.col("key").alias("_key"), F.col("main.component").alias("main"), F.ceil(F.col("main.size") / GROUP).alias("mains"),
+                     F.ceil((F.col("all") - F.col("main.size")) / GROUP).alias("rests")))
+    # The same texts often meet in several bands: a band of the same members is compared once.
+    open_ = _kept(in_band.join(mixed, F.col("key") == F.col("_key")).select("key", "node", "component", "main", "mains", "rests"), "open")
+    same = (open_.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("size"),
+                                     F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark"))
+            .groupBy("sum", "size", "mark").agg(F.min("key").alias("_key")))
+    once = open_.join(same.select("_key"), F.col("key") == F.col("_key")).drop("_key")
+    # The largest component's cells come after the rest's, and only meet those.
+    in_main = F.col("component") == F.col("main")
+    cell = once.withColumn("cell", F.when(in_main, F.col("rests") + F.pmod(F.xxhash64("node"), F.col("mains")))
+                           .otherwise(F.pmod(F.xxhash64("node"), F.col("rests"))))
+    last = F.col("rests") - 1 + F.when(in_main, F.lit(0)).otherwise(F.col("mains"))
+    square = cell.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
+        "key", "node", "component", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"),
+        F.when(F.col("cell") == F.col("other"), 2).when(F.col("cell") < F.col("other"), 0).otherwise(1).alias("side"))
+    carried = square.join(texts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
+    return _kept(carried.groupBy("key", "x", "y").applyInArrow(_across(shingle, least), "a long, b long, similarity double"), "across")
+
+
 def _kept(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -190,14 +260,19 @@ def links(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, ba
                          (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
                .select("leader", "group", "node", "text").dropDuplicates(["leader", "group", "node"]))
     verified = carried.groupBy("leader", "group").applyInArrow(_verified(shingle, least), "a long, b long, similarity double")
-    return signed.select("node", "doc_id", "size"), _kept(verified, "links")
+    found = _kept(verified, "links")
+    texts = (base.join(firsts.withColumnsRenamed({"node": "_node"}), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
+             .select("node", "text").dropDuplicates(["node"]))
+    shared_bands = banded.join(shared.filter("members > 2"), F.col("key0") == F.col("key")).select("key", "node")
+    more = _left_over(shared_bands, found, texts, shingle, least)
+    return signed.select("node", "doc_id", "size"), found.unionByName(more)
 
 
 def classes(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, node, class_id, class_size, n_links, n_shingles) for every row of ``docs``.
 
     ``class_id`` is the smallest doc_id of the class, ``class_size`` its rows, ``n_links``
-    the verified links of the row's text to other texts.  Equal texts are one class; a text
+    the verified links of the row's text to other texts, as many as join the class, not all.  Equal texts are one class; a text
     of fewer than five words is one shingle; wordless texts are alike only if equal, null
     counts as empty; null ids are no class id unless the class has no other.
     """

@@ -101,3 +101,38 @@ def test_components_of_a_chain(spark):
     got = {r.id: r.component for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(101)) and got[501] == 500
     assert components(links.limit(0)).count() == 0
+
+
+def test_no_link_between_classes_is_lost_in_a_crowded_band(spark):
+    """Many texts share bands at similarities below 0.8; the close pairs among them must be found."""
+    rng = random.Random(7)
+    base = sentence(rng, 120, 3000).split()
+    rows = []
+    for i in range(150):
+        a = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 3, 4, 5))):
+            a[at] = f"p{rng.randrange(10**6)}"
+        b = list(a)
+        for at in rng.sample(range(120), 2):
+            b[at] = f"q{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = N.classes(make(spark, rows)).collect()
+    assert got_classes(got) == brute_classes(rows)
+
+
+def test_left_over_pairs_are_compared(spark):
+    """Texts that no leader joins: the links within the band are found in squares of cells."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(30):
+        w = sentence(rng, 100, 5000).split()
+        texts += [" ".join(w), " ".join(w[:50] + ["edit"] + w[51:])]
+    members = spark.createDataFrame([(1, n) for n in range(60)] + [(2, n) for n in range(60)], "key long, node long")
+    none = spark.createDataFrame([], "a long, b long, similarity double")
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    size, N.GROUP = N.GROUP, 16
+    try:
+        found = {tuple(sorted((r.a, r.b))) for r in N._left_over(members, none, table, 5, 0.8).collect()}
+    finally:
+        N.GROUP = size
+    assert found == {(2 * i, 2 * i + 1) for i in range(30)}
