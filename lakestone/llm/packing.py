@@ -2,9 +2,8 @@
 
 A dynamic program over the global length histogram picks the bucket boundaries that
 minimise padding; inside a bucket, documents form batches of at most ``token_budget``
-padded tokens.  The histogram is the only thing the driver sees.  Its lengths lie on a grid
-that is exact to ``EXACT`` tokens and has ``EXACT / 2`` steps an octave above, so it has a
-few thousand entries at any corpus size and any document length.
+padded tokens.  The histogram is the only thing the driver sees: exact, one entry for each
+length that occurs, so no more than the longest document has tokens.
 """
 
 from __future__ import annotations
@@ -83,14 +82,15 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65536, text: st
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), token_count(F.col(text)).alias("_n"),
-                       F.crc32(body.cast("binary")).alias("_crc")).withColumn("_grid", on_grid(F.col("_n")))
-    histogram = sorted((x["_grid"], x["rows"]) for x in rows.groupBy("_grid").agg(F.count(F.lit(1)).alias("rows")).collect())
+                       F.crc32(body.cast("binary")).alias("_crc"))
+    histogram = sorted((x["_n"], x["rows"]) for x in rows.groupBy("_n").agg(F.count(F.lit(1)).alias("rows")).collect())
     tops = boundaries([g for g, _ in histogram], [c for _, c in histogram], buckets)
     total = sum(c for _, c in histogram)
-    table = spark.createDataFrame(
-        [(g, b, t) for g, _ in histogram for b, t in [next((b, t) for b, t in enumerate(tops) if t >= g)]],
-        "g long, bucket int, bucket_len long")
-    placed = rows.join(F.broadcast(table), F.col("_grid") == F.col("g"))
+    bucket = F.lit(None).cast("int")
+    for b, t in reversed(list(enumerate(tops))):
+        bucket = F.when(F.col("_n") <= t, F.lit(b)).otherwise(bucket)
+    tops_of = F.array(*[F.lit(t).cast("long") for t in tops]) if tops else F.array().cast("array<bigint>")
+    placed = rows.withColumn("bucket", bucket).withColumn("bucket_len", F.get(tops_of, F.col("bucket")))
     order = ["_key", "_n", "_crc"]
     cell = F.pmod(F.xxhash64(*order), F.lit(total // CELL_ROWS + 1)).cast("long")
     out = ranked(placed, ["bucket", "bucket_len"], order, cell)

@@ -51,3 +51,13 @@ def test_every_row_has_one_place(spark, hard, empty):
 def test_repeated_rows_share_no_place(spark):
     got = P.pack(make(spark, [(1, "a b c")] * 500), token_budget=40).collect()
     assert len({(r.bucket, r.batch, r.place) for r in got}) == 500
+
+
+def test_long_documents_are_padded_to_a_length_that_occurs(spark):
+    sizes = [1001, 1001, 5001, 700, 21845, 21845, 21845]
+    got = {r.doc_id: r for r in P.pack(make(spark, [(i, "x " * (n - 1)) for i, n in enumerate(sizes)]), buckets=4).collect()}
+    assert all(got[i].n_tokens == got[i].bucket_len == n for i, n in enumerate(sizes))
+    assert len({got[i].batch for i in (4, 5, 6)}) == 1  # three to the budget of 65,536
+    tops = sorted(set(sizes))
+    best = min(sum(min(t for t in (*cut, tops[-1]) if t >= n) for n in sizes) for cut in itertools.combinations(tops[:-1], 1))
+    assert sum(r.bucket_len for r in P.pack(make(spark, [(i, "x " * (n - 1)) for i, n in enumerate(sizes)]), buckets=2).collect()) == best
