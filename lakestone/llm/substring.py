@@ -165,8 +165,8 @@ class _Block:
             l, c, r = l[hit], c[hit], r[hit] + SHINGLE  # r: the word after the window
             np.add.at(runs, np.maximum(l, c + SHINGLE - passage), 1)
             np.add.at(runs, np.minimum(c, r - passage) + 1, -1)
-            np.add.at(units, np.maximum(l, c - passage), 1)
-            np.add.at(units, np.minimum(c + passage, r - UNIT) + 1, -1)
+            np.add.at(units, np.maximum(l, c - REACH * passage), 1)
+            np.add.at(units, np.minimum(c + REACH * passage, r - UNIT) + 1, -1)
         return (np.flatnonzero((np.cumsum(runs[:n]) > 0) & self.room(passage)),
                 np.flatnonzero((np.cumsum(units[:n]) > 0) & self.room(UNIT)))
 
@@ -186,8 +186,8 @@ def _two_owners(level: int, keys: np.ndarray, where: list[np.ndarray], values: l
             second[at] = np.minimum(second[at], np.where(v[:, i] > low[at], v[:, i], _NONE))
     alone = second == _NONE
     if level != _UNITS:
-        second = np.full(len(keys), -1)
         low = low if level == _RUNS else np.zeros(len(keys), np.int64)
+        second = np.where(low == -1, -2, -1)  # any number but the smallest document's
     both = np.stack([np.where(alone, 0, low), np.where(alone, 0, second)], 1)
     return [both[at] for at in where]
 

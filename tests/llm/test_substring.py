@@ -123,3 +123,11 @@ def test_every_partner_of_a_family_is_tried(spark):
         assert any(p.near and p.first_doc <= whole and p.end_word - p.start_word >= 50 for p in got[i]._passages), i
     left = {r.doc_id: len(words(r.text)) for r in S.deduplicate(make(spark, rows)).collect()}
     assert left[1] == 180 and left[3] <= 130
+
+
+def test_any_number_can_be_the_smallest_document(spark):
+    rng = random.Random(14)
+    passage = sentence(rng, 60, 9000)
+    for first in (-2, -1, 0):
+        got = {r.doc_id: r for r in S.repeated(make(spark, [(first, passage), (5, sentence(rng, 40, 9000) + " " + passage)])).collect()}
+        assert [p.first_doc for p in got[5]._passages if not p.near] == [first]
