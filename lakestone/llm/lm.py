@@ -76,7 +76,7 @@ def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
 
 
-_KINDS = "<u4"
+_KINDS = "<u8"
 
 
 def _emit(order: int, ranges: int):
@@ -93,10 +93,10 @@ def _emit(order: int, ranges: int):
 
 
 def _total(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
-    counts = np.zeros(len(keys), np.float64)
+    counts = np.zeros(len(keys), _KINDS)
     for at, v in zip(where, values, strict=True):
         counts[at] += v
-    return [np.minimum(counts[at], 2.0**32 - 1).astype(_KINDS) for at in where]
+    return [counts[at] for at in where]
 
 
 class Automaton:

@@ -74,3 +74,13 @@ def test_hard_rows_and_empty_table(spark, hard, empty):
     assert lm.score(empty).count() == 0
     one = make(hard.sparkSession, [(next(i for i in range(99) if held(i)), "only held out")])
     assert [(r.n_known, r.train_tokens, r.score) for r in lm.score(one).collect()] == [(0, 0, 0.0)]
+
+
+def test_counts_beyond_four_bytes():
+    import numpy as np
+
+    from lakestone.llm import lm
+    kind = np.dtype(lm._KINDS)
+    at = np.zeros(1, np.int64)
+    got = lm._total(1, np.zeros(1, np.uint64), [at, at], [np.array([2**32 - 1], kind), np.array([5], kind)])
+    assert [int(x[0]) for x in got] == [2**32 + 4] * 2
