@@ -46,23 +46,49 @@ def build(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+class Headers(list):
+    """[name, value] of each header in order; a name stands for its first value, in any case."""
+
+    def __init__(self, lines: list[str]):
+        super().__init__()
+        for line in lines:
+            name, colon, value = line.partition(":")
+            if line[:1] in (" ", "\t") and self:  # goes on from the line before
+                self[-1][1] += " " + line.strip(" \t")
+            elif colon:
+                self.append([name.rstrip(" \t"), value.strip(" \t")])
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return next((v for k, v in self if k.lower() == name.lower()), default)
+
+    def __getitem__(self, at):
+        if not isinstance(at, str):
+            return super().__getitem__(at)
+        if (found := self.get(at)) is None:
+            raise KeyError(at)
+        return found
+
+    def __contains__(self, name: object) -> bool:
+        return self.get(name) is not None if isinstance(name, str) else super().__contains__(name)
+
+
+def parse(record: bytes) -> tuple[Headers, bytes]:
     """Headers and block of one record; a malformed one raises ValueError."""
     head, found, rest = record.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not found or not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) for line in lines if ": " in line)
+    headers = Headers(lines)
     size = int(headers.get("Content-Length", "-1"))
     if size < 0 or len(rest) < size:
         raise ValueError("block shorter than Content-Length")
     return headers, rest[:size]
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def split_http(block: bytes) -> tuple[str, Headers, bytes]:
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
-    return status, dict(line.split(": ", 1) for line in lines if ": " in line), payload
+    return status, Headers(lines), payload
 
 
 def plain_text(page: str) -> str:

@@ -57,3 +57,14 @@ def test_pages(spark):
         want = {x["type"]: x for x in W.derive(W.response(*[(u, h) for i, u, h in rows if i == r.page_id][0]))}[r.type]
         assert (r.record, r.refers_to, r.text) == (want["record"], want["refers_to"], want["text"])
     assert W.derivatives(W.responses(pages.limit(0))).count() == 0
+
+
+def test_repeated_and_tight_headers_are_kept():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie:b=2\r\nVia:\tx\r\n y\r\n\r\n<p>t"
+    made = W.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Concurrent-To", "<urn:1>"),
+                    ("WARC-Concurrent-To", "<urn:2>")], block).replace(b"WARC-Record-ID: ", b"warc-record-id:")
+    meta, text = W.derive(made)
+    about = json.loads(meta["text"])
+    assert about["http"]["headers"] == [["Set-Cookie", "a=1"], ["set-cookie", "b=2"], ["Via", "x y"]]
+    assert [v for k, v in about["warc"] if k == "WARC-Concurrent-To"] == ["<urn:1>", "<urn:2>"]
+    assert meta["refers_to"] == text["refers_to"] == "<urn:x>"
