@@ -136,6 +136,27 @@ def _edited(k: int, size: int):
     return run
 
 
+def _bounds(rows: DataFrame, ranges: int, top: int | None) -> np.ndarray:
+    """Ascending ids of the table, ``top`` last, that cut it into about ``ranges`` ranges."""
+    if top is None:
+        return np.array([-(1 << 63)], np.int64)
+    ids = rows.filter(F.col("doc_id").isNotNull()).select("doc_id")
+    cuts = ids.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
+    found = {int(c) for c in cuts}
+    if any(abs(c) >= 1 << 53 for c in found):  # quantiles come back as doubles: the smallest id from each on stands for it
+        at = np.array(sorted(c for c in found if c < 1 << 63), np.int64)
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.sort(b.column(0).to_numpy())
+                cell = np.searchsorted(at, x, "right")
+                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(x) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[first], pa.int64()), pa.array(x[first], pa.int64())], names=["cell", "id"])
+
+        found = {r["id"] for r in ids.mapInArrow(least, "cell long, id long").groupBy("cell").agg(F.min("id").alias("id")).collect()}
+    return np.array(sorted({c for c in found if c < top} | {top}), np.int64)
+
+
 def compare_edited(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
     """Fingerprint of every text and of its edited text: the last half of its code points
     replaced by the first as many of the next document's, by descending doc_id (after the
@@ -152,10 +173,7 @@ def compare_edited(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     top = rows.agg(F.max("doc_id")).first()[0]
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.filter(F.col("doc_id").isNotNull()).stat.approxQuantile(
-        "doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if top is not None else []
-    # Quantiles come back as doubles: an id beyond 2**53 may be rounded, then its range has no head of that id.
-    bounds = np.array(sorted({int(c) for c in cuts if abs(c) < 1 << 53 and c < top} | {lowest if top is None else top}), np.int64)
+    bounds = _bounds(rows, ranges, top)
     last = len(bounds) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,19 @@ def test_equal_texts_have_equal_sketches_anywhere():
     texts = ["a b c d e f g", None, "", "x", "a b c d e f g", "A, b c d e f G!"]
     s = P.sketches(pa.array(texts))
     assert (s[0] == s[4]).all() and (s[0] == s[5]).all() and len(s[1]) == len(s[2]) == 0 and len(s[3]) == 1
+
+
+def test_cuts_of_ids_beyond_doubles(spark):
+    import numpy as np
+    from llm_cases import make
+
+    from lakestone.llm import fingerprint
+    big = (1 << 60) + 1
+    rows = make(spark, [(big + 2 * i * 1001, "a b c d e f") for i in range(400)])
+    got = fingerprint._bounds(rows, 16, big + 2 * 399 * 1001)
+    assert len(got) > 10 and {int(x) for x in got} <= {big + 2 * i * 1001 for i in range(400)}
+    assert (np.diff(got) > 0).all()
+    texts = [f"w{i} a b c d e f g {i}" for i in range(400)]
+    small, large = (fingerprint.compare_edited(make(spark, [(f(i), t) for i, t in enumerate(texts)])).collect()
+                    for f in (lambda i: i, lambda i: big + 2 * i * 1001))
+    assert sorted(tuple(r)[1:] for r in small) == sorted(tuple(r)[1:] for r in large)
