@@ -10,8 +10,10 @@ with h' the context without its first word, so every Pk sums to one over the voc
 and one unknown word.  As an automaton the states are contexts.  A state's arc for a seen
 n-gram carries the whole log Pk; its failure arc carries log(1 - weight), or 0 where the
 context is unseen, to the state of h'; the unigram state has an arc for every word.  A text
-is read once from left to right: the state is the context, each token follows failure arcs
-down to an arc that exists and adds up the weights met.
+read from left to right would have its context as the state, and each token would follow
+failure arcs down to an arc that exists and add up the weights met.  No states and arcs are
+built: the context of each token is known from the text, so the same scores are evaluated in
+closed form, order by order for all tokens at once.
 
 Counts are taken over all training texts.  A block of documents asks the corpus for the
 counts of its own n-grams (``blocks``), so it holds just the part of the automaton that its
