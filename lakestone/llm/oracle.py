@@ -75,3 +75,85 @@ found AS (SELECT rid, count(DISTINCT item_id) AS n_items,
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(f.n_items, 0)::BIGINT AS n_items,
   coalesce(f.h, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit h USING (rid) LEFT JOIN found f USING (rid)"""
+
+
+#: CRC-32 is not a DuckDB function: its table, and a fold over the bytes of a text.
+_CRC_TABLE = """SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)),
+  lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM (SELECT unnest(range(0, 256)) AS i))"""
+_CRC = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda a, b: xor(a >> 8, t.crcs[xor(a & 255, b) + 1])))"""
+
+
+def _merkle_sql(levels: int = 21) -> str:
+    """Trees of up to 3 ** 21 leaves, level by level; ``tree`` is the source, ``#`` before it in the tree of sources."""
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    hashed = "sha256({} || {})"
+    up = []
+    for name, first in (("n", "leaves"), ("m", "tops")):
+        up.append(f"{name}0 AS MATERIALIZED (SELECT tree, pos, d, count(*) OVER (PARTITION BY tree) AS size FROM {first})")
+        for k in range(levels):  # a tree of one node is through: it goes up unchanged
+            up.append(f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT tree, pos // 3 AS pos, CASE WHEN any_value(size) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d,
+         (any_value(size) + 2) // 3 AS size FROM {name}{k} GROUP BY tree, pos // 3)""")
+        if name == "n":
+            up.append(f"""tops AS (SELECT '#' AS tree, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, d, s.tree AS own
+  FROM (SELECT DISTINCT source, tree FROM docs) s JOIN n{levels} r ON r.tree = s.tree)""")
+    steps = []
+    for name, offset in (("n", 0), ("m", levels)):
+        steps += [f"""SELECT tree, pos, {offset + k} AS k,
+  coalesce(string_agg(d, '' ORDER BY pos) OVER (PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+  coalesce(string_agg(d, '' ORDER BY pos) OVER (PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM {name}{k} WHERE size > 1""" for k in range(levels)]
+    return f"""
+WITH crc_table AS ({_CRC_TABLE}),
+docs AS (
+  SELECT doc_id, source, {field("source")} AS tree, {hashed.format(head, field("text"))} AS leaf, {_CRC.format(text="doc_id::VARCHAR")} AS crc,
+         {hashed.format(head, field("replace(text, chr(10), '')"))} AS bare FROM documents, crc_table t),
+leaves AS MATERIALIZED (SELECT *, leaf AS d, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs),
+{", ".join(up)},
+steps AS MATERIALIZED ({" UNION ALL ".join(steps)}),
+levels AS (SELECT unnest(range({2 * levels})) AS k),
+ways AS (
+  SELECT l.tree, l.pos, list(s.a || '|' || s.b ORDER BY s.k) AS way, string_agg(s.a || s.b, '' ORDER BY s.k) AS proof
+  FROM leaves l JOIN tops p ON p.own = l.tree CROSS JOIN levels v
+  JOIN steps s ON s.k = v.k AND s.tree = CASE WHEN v.k < {levels} THEN l.tree ELSE '#' END
+    AND s.pos = CASE WHEN v.k < {levels} THEN l.pos ELSE p.pos END // (3 ** (v.k % {levels}))::BIGINT
+  GROUP BY l.tree, l.pos),
+folded AS (
+  SELECT l.doc_id, l.leaf, p.d AS subroot, r.d AS root, sha256(coalesce(w.proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(CASE WHEN l.crc % 2 = 0 THEN l.bare ELSE l.leaf END, coalesce(w.way, [])),
+           lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM leaves l JOIN tops p ON p.own = l.tree CROSS JOIN m{levels} r LEFT JOIN ways w ON w.tree = l.tree AND w.pos = l.pos)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+
+ORACLE["op11_merkle_manifest"] = _merkle_sql()
+
+ORACLE["op13_importance_resampling"] = rf"""
+WITH crc_table AS ({_CRC_TABLE}),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+split AS (SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT side, rid, unnest(w) AS f FROM split),
+counted AS (SELECT side, rid, f, count(*) AS n FROM runs GROUP BY ALL),
+vocabulary AS (SELECT f, {_CRC.format(text="f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), crc_table t),
+hashed AS (SELECT side, rid, bucket, sum(n)::BIGINT AS n FROM counted JOIN vocabulary USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM hashed GROUP BY 1),
+whole AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln(((x.t + 1)::DOUBLE * (y.s + 10000)::DOUBLE) / ((x.s + 1)::DOUBLE * (y.t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM sums x, whole y),
+weights AS (SELECT rid, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+  FROM hashed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY 1),
+scored AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (rid) WHERE side = 'd'),
+ranks AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (
+    PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) END AS r,
+    count(*) FILTER (words >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * able // 100 THEN r END AS rank FROM ranks"""

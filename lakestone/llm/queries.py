@@ -106,3 +106,37 @@ def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.least("_owner", F.array_min(F.transform("_passages", lambda p: p["first_doc"]))).alias("class_id"),
         F.col("_n_words").alias("n_words"), inside.cast("long").alias("n_repeated_words"),
         F.size("_passages").cast("long").alias("n_passages"), F.col("_passages").alias("passages"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that its text without line breaks folds to.
+
+    Documents without an id stay as they are.
+    """
+    from .merkle import leaf, manifest, proof_digest
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    bare = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    made = manifest(docs, leaf(*fields, F.col("text")), F.when(tampered, leaf(*fields, bare)))
+    return made.select("doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of 150 % takes of every document, with its source's size and target."""
+    from .mixing import mix, taken
+    mixed = mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    targets = mixed.sources.select("source", F.col("size").alias("source_size"), "target")
+    return (taken(mixed).join(targets, "source")
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document; the target is the benchmark's texts."""
+    from .importance import resample
+    return resample(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                    _table(spark, sf_dir, "benchmark").select("text"))

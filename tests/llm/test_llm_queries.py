@@ -17,11 +17,14 @@ COLUMNS = {
     5: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     8: ["doc_id", "held_out", "score", "predicted"],
     10: ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    11: ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    12: ["doc_id", "size", "source_size", "target", "taken"],
+    13: ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
