@@ -169,7 +169,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
              .withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})"))))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("words"))
-    spans = (parts.join(slot_rows, ["source", "block"]).withColumn("_n", end - begin).where("_n > 0")
+    # Both sides grow with the corpus, though Spark can't tell it of rows that a function makes.
+    spans = (parts.join(slot_rows.hint("merge"), ["source", "block"]).withColumn("_n", end - begin).where("_n > 0")
              .select("shard", "place", "source", "pass", "block", F.col("_key").alias(key), "size", "start",
                      (begin - F.col("start")).alias("first_word"), F.col("_n").alias("n_words")))
     return Mixed(placed.select(F.col("_key").alias(key), "source", "size", "start"),
