@@ -428,6 +428,18 @@ def bronze_csv_roundtrip(spark, sf_dir):
     return io.read_csv_tokens(spark, path, CUSTOMER_SCHEMA)
 
 
+DOCUMENT_SCHEMA = StructType([
+    StructField("doc_id", LongType()), StructField("text", StringType()), StructField("source", StringType()),
+    StructField("n_chars", LongType())])
+
+
+def bronze_quoted_csv(spark, sf_dir):
+    """Whole texts with quotes, separators and line breaks through CSV; a file is read by as many tasks as it has blocks."""
+    raw = _t(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    path = io.write_csv(raw, scratch_path(spark, "documents_csv"))
+    return io.read_csv_tokens(spark, path, DOCUMENT_SCHEMA, multi_line=True)
+
+
 EVENTS_SCHEMA = StructType([
     StructField("event_id", LongType()), StructField("ts", StringType()), StructField("user_id", LongType()),
     StructField("event_type", StringType()), StructField("value", DoubleType()), StructField("props", StringType()),
@@ -576,6 +588,7 @@ def evidence_summary(spark, sf_dir):
 
 QUERIES.update({
     "bronze_csv_roundtrip": bronze_csv_roundtrip,
+    "bronze_quoted_csv": bronze_quoted_csv,
     "bronze_ndjson_roundtrip": bronze_ndjson_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
     "lake_upload": lake_upload,

@@ -325,6 +325,10 @@ SELECT c_custkey, '  "' || c_name || '", said \\ ' AS c_name, c_nationkey, c_acc
 FROM customer
 """
 
+ORACLE["bronze_quoted_csv"] = """
+SELECT doc_id, CASE WHEN text IN ('', 'NULL', 'null', 'NA') THEN NULL ELSE text END AS text, source, n_chars FROM documents
+"""
+
 ORACLE["bronze_ndjson_roundtrip"] = f"""
 SELECT event_id, strftime(ts, {ISO}) AS ts, user_id, event_type, value, props FROM events
 """

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructType
 
 from lakestone.functions.text import NULL_TOKENS, clean_null_tokens
 from lakestone.schemas import string_schema
+from lakestone.sources.quoted_csv import read_quoted_csv
 
 
 def table_path(base_uri: str, table: str, ext: str = ".parquet") -> str:
@@ -36,11 +37,13 @@ def read_csv_tokens(spark: SparkSession, path: str, schema: StructType,
     tokens are nulled, and each column is then cast to its declared type.  The cast is
     strict (ANSI): a value that is not a token and does not parse fails the job, like a
     typed reader would.  Inside quotes a quote is doubled and a backslash is itself; blanks
-    are kept.  ``multi_line`` allows line breaks inside quotes; a file is then one task,
-    as its lines can't be found from the middle.
+    are kept.  ``multi_line`` allows line breaks inside quotes; record starts are then found
+    by a scan of the file's blocks (see ``quoted_csv``), so a file is still many tasks.
     """
+    if multi_line:
+        return typed_columns(read_quoted_csv(spark, path, string_schema(schema), header, sep), schema, null_tokens)
     raw = (spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
-           .option("multiLine", multi_line).option("mode", "FAILFAST").schema(string_schema(schema)).csv(path))
+           .option("mode", "FAILFAST").schema(string_schema(schema)).csv(path))
     return typed_columns(raw, schema, null_tokens)
 
 
