@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lakestone.functions.numeric import percent
 
 ANY_ERROR = "tiene_error"          # fixed value: name of the any-error flag column
+#: Bits of a filter of repeated key hashes (8 MB as 64-bit words), the same for any table.
+FILTER_BITS = 1 << 26
 SUMMARY_RULE = "__resumen__"       # fixed value: name of the summary entry of a report
 
 
@@ -72,22 +74,59 @@ def duplicated(*keys: str, method: str = "aggregate") -> Duplicated:
 
 # ------------------------------------------------------------------------------ duplicates
 def flag_duplicates(df: DataFrame, keys: Sequence[str], name: str, method: str = "aggregate") -> DataFrame:
-    """Add boolean ``name``: TRUE on every row whose key occurs more than once.
+    """Add boolean ``name``: TRUE on every row whose key occurs more than once (see ``flag_all_duplicates``).
+
+    ``digest`` (wide keys, e.g. a whole document) compares SHA-256 digests of the keys: see
+    ``_flag_duplicates_by_digest``.
+    """
+    return flag_all_duplicates(df, {name: Duplicated(tuple(keys), method)})
 
-    ``aggregate`` (default): count rows per key with a partial (map-side) aggregate, keep
-    the keys seen twice or more, and join that key set back null-safely.  A hot key is
-    pre-aggregated before the shuffle, and the join back is planned by AQE from the real
-    size of the key set (broadcast when small, skew-split sort-merge otherwise).
 
-    ``digest`` (wide keys, e.g. a whole document) does the same on SHA-256 digests of the
-    keys: see ``_flag_duplicates_by_digest``.
+def repeated_hashes(df: DataFrame, rules: Mapping[str, Duplicated], bits: int = FILTER_BITS) -> DataFrame:
+    """(rule, word, mask): per rule a filter of ``bits`` bits, set for the key hashes that occur more than once.
+
+    The keys of all rules go through one exchange, eight bytes a key, counted before it: a
+    hot key is one row a task.  What follows holds repeated keys only.
+    """
+    tagged = [F.struct(F.lit(i).alias("rule"), F.xxhash64(F.lit(i), *r.keys).alias("hash")) for i, r in enumerate(rules.values())]
+    repeated = (df.select(F.inline(F.array(*tagged))).groupBy("rule", "hash").agg(F.count(F.lit(1)).alias("n"))
+                .where(F.col("n") > 1))
+    slot = F.pmod(F.col("hash"), F.lit(bits))
+    return (repeated.select("rule", F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit"))
+            .repartition("rule", "word").groupBy("rule", "word")
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask")))
+
+
+def flag_all_duplicates(df: DataFrame, rules: Mapping[str, Duplicated], bits: int = FILTER_BITS) -> DataFrame:
+    """Add one boolean a rule: TRUE on every row whose key occurs more than once.
+
+    Rows whose key hash is not in the filter of repeated hashes surely occur once: their
+    flags are FALSE on the spot, and they are neither shuffled nor joined.  The others are
+    counted and joined by their exact keys.  The filter has ``bits`` bits a rule whatever the
+    table holds, so it may be sent to every task; it fills with repeated keys, not with
+    keys, and where it is full every row is compared.
     """
-    if method == "digest":
-        return _flag_duplicates_by_digest(df, keys, name)
-    return _flag_duplicates(df, keys, name)
+    names = list(rules)
+    filters = repeated_hashes(df, rules, bits)
+    marked = df
+    for i, rule in enumerate(rules.values()):
+        own = F.broadcast(filters.where(F.col("rule") == i).select(F.col("word").alias(f"__w{i}"), F.col("mask").alias(f"__m{i}")))
+        slot = F.pmod(F.xxhash64(F.lit(i), *[F.col(k) for k in rule.keys]), F.lit(bits))
+        marked = (marked.withColumn(f"__s{i}", slot)
+                  .join(own, F.shiftright(F.col(f"__s{i}"), 6) == F.col(f"__w{i}"), "left")
+                  .withColumn(f"__c{i}", F.coalesce(F.getbit(F.col(f"__m{i}"), (F.col(f"__s{i}") % 64).cast("int")) == 1, F.lit(False)))
+                  .drop(f"__s{i}", f"__w{i}", f"__m{i}"))
+    hits = [f"__c{i}" for i in range(len(names))]
+    candidate = reduce(operator.or_, [F.col(c) for c in hits])
+    once = marked.where(~candidate).drop(*hits).withColumns({n: F.lit(False) for n in names})
+    exact = marked.where(candidate).drop(*hits)
+    for n, rule in rules.items():
+        exact = (_flag_duplicates_by_digest if rule.method == "digest" else _flag_duplicates)(exact, rule.keys, n)
+    return once.unionByName(exact)
 
 
 def _flag_duplicates(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Counts per key, pre-aggregated, joined back null-safely; AQE splits a hot key's join."""
     aliases = [f"__dup_k{i}" for i in range(len(keys))]
     repeated = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__dup_n"))
                 .filter(F.col("__dup_n") > 1)
@@ -122,12 +161,10 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Column | Duplicated],
                 any_name: str = ANY_ERROR) -> DataFrame:
     """One boolean column per rule (TRUE = error) plus the any-error column.
 
-    Duplicate rules become aggregate+join steps; all column rules are one projection.
+    The keys of all duplicate rules share one exchange; all column rules are one projection.
     """
-    out = df
-    for name, rule in rules.items():
-        if isinstance(rule, Duplicated):
-            out = flag_duplicates(out, rule.keys, name, rule.method)
+    repeats = {n: r for n, r in rules.items() if isinstance(r, Duplicated)}
+    out = flag_all_duplicates(df, repeats) if repeats else df
     column_rules = {n: r for n, r in rules.items() if not isinstance(r, Duplicated)}
     if column_rules:
         out = out.withColumns(column_rules)

@@ -130,33 +130,51 @@ def at_or_below(score, key, cutoff: tuple[int, int] | None) -> Column:
     return (s < cs) | ((s == cs) & (k <= ck))
 
 
+#: Nodes whose counts one window task adds up.
+FANOUT = 1024
+
+
+def bucket_offsets(counts: DataFrame, n_buckets: int, fanout: int = FANOUT) -> DataFrame:
+    """(``bucket``, ``offset``) of (``bucket``, ``n``): the sum of ``n`` over all smaller buckets.
+
+    A tree of prefix sums: a node's offset is its parent's plus its smaller siblings' totals.
+    No window holds more than ``fanout`` rows, and no number passes through the driver.
+    """
+    if n_buckets <= 1:
+        return counts.select("bucket", F.lit(0).cast("long").alias("offset"))
+    parent = F.expr(f"bucket div {fanout}")
+    siblings = Window.partitionBy(parent).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    local = counts.select("bucket", parent.alias("parent"), F.coalesce(F.sum("n").over(siblings), F.lit(0)).alias("local"))
+    totals = counts.groupBy(parent.alias("bucket")).agg(F.sum("n").alias("n"))
+    above = bucket_offsets(totals, -(-n_buckets // fanout), fanout)
+    return (local.join(above.select(F.col("bucket").alias("parent"), "offset"), "parent")
+            .select("bucket", (F.col("offset") + F.col("local")).cast("long").alias("offset")))
+
+
 def rank_in_sample(df: DataFrame, score: str, key: str, cutoff: tuple[int, int] | None, n: int,
                    name: str = "rank", group_rows: int = 50_000) -> DataFrame:
     """(``key``, ``name``) of the sample ``(score, key) <= cutoff``: its 0-based rank in that order.
 
     Hash scores are uniform, so ``n / group_rows`` fixed-width score buckets hold about
-    ``group_rows`` rows each at any sample size.  One grouped count gives the rows per
-    bucket (that many numbers reach the driver and go back as cumulative offsets); the
-    rank is the bucket's offset plus ``row_number()`` inside the bucket.  Only score and
-    key move: join the rank back by the key.
+    ``group_rows`` rows each at any sample size.  The rank is the bucket's offset (see
+    ``bucket_offsets``) plus ``row_number()`` inside the bucket; both are partitioned by the
+    bucket, so offsets meet rows without another shuffle.  Only score and key move: join the
+    rank back by the key.
     """
-    spark = df.sparkSession
     pairs = df.select(score, key)
     if cutoff is None:
         return pairs.limit(0).select(key, F.lit(0).cast("long").alias(name))
-    width = cutoff[0] // max(1, -(-n // group_rows)) + 1
+    buckets = max(1, -(-n // group_rows))
+    width = cutoff[0] // buckets + 1
     sample = (pairs.filter(at_or_below(score, key, cutoff))
               .withColumn("__b", F.expr(f"`{score}` div {width}")))
-    counts = sorted((int(r["__b"]), int(r["__c"])) for r in
-                    sample.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).collect())
-    offsets, acc = [], 0
-    for b, c in counts:
-        offsets.append((b, acc))
-        acc += c
-    table = spark.createDataFrame(offsets or [(0, 0)], "__b long, __off long")
     w = Window.partitionBy("__b").orderBy(score, key)
-    return (sample.join(F.broadcast(table), "__b")
-            .select(key, (F.col("__off") + F.row_number().over(w) - F.lit(1)).cast("long").alias(name)))
+    placed = sample.withColumn("__place", (F.row_number().over(w) - F.lit(1)).cast("long"))
+    if buckets == 1:
+        return placed.select(key, F.col("__place").alias(name))
+    counts = sample.groupBy(F.col("__b").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = bucket_offsets(counts, buckets).select(F.col("bucket").alias("__b"), "offset")
+    return placed.join(offsets, "__b").select(key, (F.col("offset") + F.col("__place")).alias(name))
 
 
 def hash_order(df: DataFrame, score: Column) -> DataFrame:

@@ -113,3 +113,72 @@ def test_strict_casts_fail_on_bad_text(spark):
     bad_ts = spark.createDataFrame([("2024-03-01 00:05",)], "t string")
     with pytest.raises(Exception):
         cast_columns(bad_ts, {"t": "timestamp_ntz"}).collect()
+
+
+def _nodes(plan):
+    """A physical plan's nodes, those of adaptive stages and reused exchanges included."""
+    yield plan
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _nodes(plan.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from _nodes(plan.plan())
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def _rows_shuffled(df, column):
+    """Rows written by the exchanges that carry ``column``."""
+    found = 0
+    for node in _nodes(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec" and f"{column}#" in node.output().toString():
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+    return found
+
+
+def _rows_of_two_keys(spark):
+    """3,000 rows of which keys a and b repeat in ten and in six rows."""
+    rows = [(i, i if i >= 10 else i // 5, f"k{i}" if i < 2994 else "same", "x" * 50) for i in range(3000)]
+    return spark.createDataFrame(rows, "id long, a long, b string, payload string"), rows
+
+
+def test_rows_that_occur_once_are_not_shuffled(spark):
+    df, rows = _rows_of_two_keys(spark)
+    rules = {"a_repeated": R.duplicated("a"), "b_repeated": R.duplicated("b", method="digest")}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for some in (rules, {"a_repeated": rules["a_repeated"]}, {"b_repeated": rules["b_repeated"]}):
+            flagged = R.apply_rules(df, some)
+            got = {r.id: tuple(r[n] for n in some) for r in flagged.collect()}
+            want = {"a_repeated": lambda i: i < 10, "b_repeated": lambda i: i >= 2994}
+            assert got == {i: tuple(want[n](i) for n in some) for i, *_ in rows}
+            assert 0 < _rows_shuffled(flagged, "payload") <= 16 * len(some)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_two_duplicate_rules_share_one_exchange_of_keys(spark):
+    df, _ = _rows_of_two_keys(spark)
+    rules = {"a_repeated": R.duplicated("a"), "b_repeated": R.duplicated("b"), "long": R.above("a", 2990)}
+    plan = R.repeated_hashes(df, {n: rules[n] for n in ("a_repeated", "b_repeated")})._jdf.queryExecution().executedPlan()
+    kinds = [n.getClass().getSimpleName() for n in _nodes(plan)]
+    assert kinds.count("ShuffleExchangeExec") == 2  # all keys, then the repeated ones
+    counts = R.rule_counts_grouped(df, rules).first()
+    assert (counts.total_filas, counts.a_repeated, counts.b_repeated, counts.filas_invalidas) == (3000, 10, 6, 19)
+
+
+def test_full_filter_still_compares_keys(spark):
+    """A filter of few bits marks every row: flags come from the keys alone, also for a hot and a null key."""
+    rows = [(i, None if i % 3 == 0 else i // 2, f"t{i % 40}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a long, b string")
+    rules = {"x": R.duplicated("a"), "y": R.duplicated("a", "b"), "z": R.duplicated("b", method="digest")}
+    keys = {"x": lambda r: r[1], "y": lambda r: r[1:], "z": lambda r: r[2]}
+    from collections import Counter
+    seen = {n: Counter(map(k, rows)) for n, k in keys.items()}
+    for bits in (1, 64, 1 << 12):
+        got = {r.id: (r.x, r.y, r.z) for r in R.flag_all_duplicates(df, rules, bits).collect()}
+        assert got == {r[0]: tuple(seen[n][k(r)] > 1 for n, k in keys.items()) for r in rows}

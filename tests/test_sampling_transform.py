@@ -47,6 +47,44 @@ def test_rank_in_sample_is_exact(spark):
         assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bucket_offsets_are_prefix_sums(spark):
+    counts = [(b, (b * 7) % 11) for b in range(200) if b % 13]
+    df = spark.createDataFrame(counts, "bucket long, n long").repartition(5)
+    want = {b: sum(n for c, n in counts if c < b) for b, _ in counts}
+    for fanout in (2, 3, 1024):
+        got = SM.bucket_offsets(df, 200, fanout)
+        assert {r.bucket: r.offset for r in got.collect()} == want
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_need_neither_collect_nor_broadcast(spark, monkeypatch):
+    df = spark.range(20000).withColumn("s", hash_score("id", "q"))
+    cut = SM.rank_cutoff(df, "s", "id", 15_000)
+
+    def refuse(*_):
+        raise AssertionError("collected")
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", refuse)
+        m.setattr(type(df), "first", refuse)
+        ranked = SM.rank_in_sample(df, "s", "id", cut, 15_000, "r", group_rows=10)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "Broadcast" not in ranked._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.r for r in ranked.collect()) == list(range(15_000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hash_order_is_the_order_of_the_scores(spark):
+    df = spark.range(500).withColumn("s", hash_score("id", "file"))
+    want = [i for _, i in sorted((r.s, r.id) for r in df.collect())]
+    for parts in (1, 7):
+        assert [r.id for r in SM.hash_order(df.repartition(parts), F.col("s")).collect()] == want
+    assert SM.hash_order(df, F.col("s")).columns == df.columns
+
+
 def test_record_hook_takes_any_schema_text(spark):
     out = map_records(spark.range(2), lambda r: (__import__("decimal").Decimal(r["id"]), "x"), "v decimal(10,2), t string")
     assert sorted(float(r.v) for r in out.collect()) == [0.0, 1.0] and out.columns == ["v", "t"]
