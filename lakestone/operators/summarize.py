@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import FractionalType
+from pyspark.sql.types import DataType, FractionalType
 
 from lakestone.functions.numeric import round_half_away
 
@@ -39,14 +39,17 @@ class Measure:
 def _aggregate(df: DataFrame, m: Measure) -> Column:
     col = F.col(m.column) if m.column else None
     value = _AGGS[m.agg](col)
+    return rounded(value, m, df.schema[m.column].dataType if m.column else None).alias(m.name)
+
+
+def rounded(value: Column, m: Measure, kind: DataType | None) -> Column:
+    """``value`` as the measure returns it; ``kind`` is the input column's type."""
     if m.agg in ("count", "count_nonnull", "count_distinct"):
-        return value.cast("long").alias(m.name)
-    if m.scale is not None:
-        # ROUND of an integer stays an integer: only round fractional results.
-        fractional = m.agg in ("avg", "stddev") or isinstance(df.schema[m.column].dataType, FractionalType)
-        if fractional:
-            value = round_half_away(value, m.scale)
-    return value.alias(m.name)
+        return value.cast("long")
+    # ROUND of an integer stays an integer: only round fractional results.
+    if m.scale is not None and (m.agg in ("avg", "stddev") or isinstance(kind, FractionalType)):
+        return round_half_away(value, m.scale)
+    return value
 
 
 def order_columns(order: Sequence[tuple[str, str]], keys: Sequence[str]) -> list[Column]:

@@ -18,12 +18,13 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakestone.functions.text import ISO_SECONDS
 from lakestone.operators import rules as R
+from lakestone.operators import states
 from lakestone.operators.summarize import summarize
 from lakestone.sources.readers import read_csv_tokens, read_ndjson
 from lakestone.sources.sinks import write_parquet
@@ -154,6 +155,20 @@ def build_gold(spark: SparkSession, spec: GoldSpec, base_uri: str) -> dict:
             "pregunta": spec.question, "timestamp_proceso": _now()}
 
 
+def refresh_gold(spark: SparkSession, spec: GoldSpec, base_uri: str, arrived: DataFrame, batch: Column) -> dict:
+    """Add the silver rows that ``arrived`` (all rows of their batches) to a gold table, from stored states.
+
+    Neither the silver rows of other batches nor the old gold table are read.
+    """
+    target = zone(base_uri, f"gold/{spec.name}.parquet")
+    folder = zone(base_uri, f"gold_states/{spec.name}")
+    states.add_batches(arrived, spec.spec, folder, batch)
+    obs = Observation(f"gold_{spec.name}")
+    write_parquet(states.from_batches(spark, spec.spec, folder).observe(obs, F.count(F.lit(1)).alias("rows")), target)
+    return {"tabla": spec.name, "origen": folder, "destino": target, "filas": int(obs.get["rows"]),
+            "pregunta": spec.question, "timestamp_proceso": _now()}
+
+
 def side_by_side(jobs: Sequence) -> list:
     """Results of independent driver-side jobs, run from as many threads, in order."""
     if not jobs:
@@ -188,4 +203,4 @@ def run_summary(spark: SparkSession, runinfo: PipelineRun) -> DataFrame:
 
 
 __all__ = ["cast_columns", "silver_table", "SourceSpec", "GoldSpec", "PipelineRun", "ingest",
-           "refine", "build_gold", "run", "run_summary", "side_by_side", "zone"]
+           "refine", "build_gold", "refresh_gold", "run", "run_summary", "side_by_side", "zone"]

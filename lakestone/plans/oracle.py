@@ -39,6 +39,11 @@ SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n_orders,
 FROM orders GROUP BY o_orderstatus, o_orderpriority ORDER BY o_orderstatus, n_orders DESC
 """
 
+# Summaries from stored states of batches are those over all rows.
+for _name, _whole in (("nightly_from_batches", "nightly_conditions"), ("sensors_from_batches", "sensor_summary"),
+                      ("instruments_from_batches", "observations_by_instrument")):
+    ORACLE[_name] = ORACLE[_whole]
+
 ORACLE["lake_query_sensor"] = """
 SELECT l_returnflag, l_linestatus, ROUND(AVG(l_discount), 3) AS avg_discount,
        ROUND(MIN(l_extendedprice), 3) AS min_price, COUNT(*) AS n_rows
@@ -133,6 +138,25 @@ SELECT regla, total_invalidos,
 FROM l
 """
 
+ORACLE["quality_report_two_keys"] = """
+WITH f AS (
+  SELECT l_discount = 0.0 AS a, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS b,
+         COUNT(*) OVER (PARTITION BY l_partkey, l_suppkey, l_quantity) > 1 AS c FROM lineitem
+), n AS (
+  SELECT COUNT(*) AS total_filas, COUNT(*) FILTER (WHERE a) AS a, COUNT(*) FILTER (WHERE b) AS b,
+         COUNT(*) FILTER (WHERE c) AS c, COUNT(*) FILTER (WHERE a OR b OR c) AS d FROM f
+), l AS (
+  SELECT 'discount_sentinel' AS regla, a AS total_invalidos, total_filas FROM n
+  UNION ALL SELECT 'line_repeated', b, total_filas FROM n
+  UNION ALL SELECT 'purchase_repeated', c, total_filas FROM n
+  UNION ALL SELECT '__resumen__', d, total_filas FROM n
+)
+SELECT regla, total_invalidos,
+       CASE WHEN total_filas > 0 THEN ROUND(total_invalidos / total_filas * 100.0, 2) ELSE 0.0 END AS porcentaje,
+       total_filas
+FROM l
+"""
+
 ORACLE["silver_lineitem"] = f"""
 WITH b AS (
   SELECT {LINEITEM_COLS}, strftime(l_shipdate, {ISO}) AS l_shipdate FROM lineitem
