@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestone.functions.text import file_stem
+from lakestone.operators import constraints as X
+from lakestone.plans import observatory as obs
 
 FIELD_TYPE = ("struct<nombre:string,tipo:string,descripcion:string,fuente:string,"
               "obligatorio:boolean,regla:string>")
@@ -29,33 +31,57 @@ class Field:
     regla: str
     descripcion: str | None = None
     fuente: str | None = None
+    restricciones: tuple[X.Constraint, ...] = ()
+
+    def constraints(self) -> list[X.Constraint]:
+        """All that is declared of the field: its type, whether it is required, and its own constraints."""
+        return [X.typed(self.tipo), *([X.required()] if self.obligatorio else []), *self.restricciones]
 
 
 # Declared fields of the two observatory sources.  Names, types and whether a value is
-# required must equal the source system's; descriptions and rules are this package's words.
+# required must equal the source system's, and so must the ranges, formats and domains (fixed
+# values); descriptions and rules are this package's words.
+NOT_FUTURE = X.before(f"{obs.FUTURE_PREFIX}-01-01")
 STATION, OBSERVER = "estación del sensor", "sistema de control del telescopio"
 READINGS_FIELDS = [
-    Field("sensor_id", "string", True, "Obligatorio; identifica al sensor.", "Código del sensor.", STATION),
-    Field("timestamp", "datetime", True, "Obligatorio; anterior al momento de la carga.", "Hora de la lectura.", STATION),
-    Field("ubicacion", "string", True, "Uno de los cinco puntos del sitio.", "Punto del sitio donde está el sensor.", STATION),
-    Field("temperatura_c", "float64", True, "El centinela -999 marca una falla.", "Temperatura del aire en grados Celsius.", STATION),
-    Field("humedad_pct", "float64", True, "Un porcentaje: de 0 a 100.", "Humedad relativa.", STATION),
-    Field("velocidad_viento_ms", "float64", False, "No es negativa.", "Viento en metros por segundo.", STATION),
-    Field("presion_hpa", "float64", False, "Por encima de 900 hPa el sensor no está calibrado.", "Presión en hectopascales.", STATION),
-    Field("seeing_arcsec", "float64", True, "Mayor que cero.", "Seeing en segundos de arco.", STATION),
-    Field("transparencia", "float64", False, "Fracción de 0 a 1.", "Transparencia del cielo.", STATION),
+    Field("sensor_id", "string", True, "Obligatorio; identifica al sensor.", "Código del sensor.", STATION,
+          (X.matches(r"SENS-\w{3}"),)),
+    Field("timestamp", "datetime", True, "Obligatorio; anterior al momento de la carga.", "Hora de la lectura.", STATION,
+          (NOT_FUTURE,)),
+    Field("ubicacion", "string", True, "Uno de los cinco puntos del sitio.", "Punto del sitio donde está el sensor.", STATION,
+          (X.one_of(list(obs.SENSOR_PLACES.values())),)),
+    Field("temperatura_c", "float64", True, "De 14 a 20 grados; el centinela -999 marca una falla.", "Temperatura del aire en grados Celsius.", STATION,
+          (X.between(14.0, 20.0),)),
+    Field("humedad_pct", "float64", True, "Un porcentaje: de 0 a 100.", "Humedad relativa.", STATION,
+          (X.between(0.0, 100.0),)),
+    Field("velocidad_viento_ms", "float64", False, "No es negativa.", "Viento en metros por segundo.", STATION,
+          (X.between(0.0),)),
+    Field("presion_hpa", "float64", False, "De 700 a 900 hPa; por encima el sensor no está calibrado.", "Presión en hectopascales.", STATION,
+          (X.between(700.0, 900.0),)),
+    Field("seeing_arcsec", "float64", True, "Mayor que cero.", "Seeing en segundos de arco.", STATION,
+          (X.between(0.0, above=True),)),
+    Field("transparencia", "float64", False, "Fracción de 0 a 1.", "Transparencia del cielo.", STATION,
+          (X.between(0.0, 1.0),)),
 ]
 EVENTS_FIELDS = [
-    Field("obs_id", "string", True, "Obligatorio y sin repetir.", "Código de la observación.", OBSERVER),
+    Field("obs_id", "string", True, "Obligatorio y sin repetir.", "Código de la observación.", OBSERVER,
+          (X.unique(), X.matches(r"OBS-\d{4}-\d{4,}"),)),
     Field("sensor_id", "string", True, "Obligatorio.", "Sensor asociado.", OBSERVER),
-    Field("timestamp", "datetime", True, "Obligatorio; anterior al momento de la carga.", "Comienzo de la observación.", OBSERVER),
+    Field("timestamp", "datetime", True, "Obligatorio; anterior al momento de la carga.", "Comienzo de la observación.", OBSERVER,
+          (NOT_FUTURE,)),
     Field("objeto_observado", "string", True, "Obligatorio.", "Objeto del cielo.", OBSERVER),
-    Field("magnitud", "float64", False, "Sin límite declarado.", "Brillo aparente.", OBSERVER),
-    Field("ascension_recta", "float64", False, "Ángulo de 0 a 360 grados.", "Ascensión recta.", OBSERVER),
-    Field("declinacion", "float64", False, "Ángulo de -90 a 90 grados.", "Declinación.", OBSERVER),
-    Field("duracion_min", "int32", True, "Mayor que cero.", "Minutos de observación.", OBSERVER),
-    Field("instrumento", "string", True, "Uno de los tres instrumentos instalados.", "Instrumento usado.", OBSERVER),
-    Field("estado", "string", True, "Cómo terminó: completada, fallida o cancelada.", "Resultado de la observación.", OBSERVER),
+    Field("magnitud", "float64", False, "De -1.5 a 15.", "Brillo aparente.", OBSERVER,
+          (X.between(-1.5, 15.0),)),
+    Field("ascension_recta", "float64", False, "Ángulo de 0 a 360 grados.", "Ascensión recta.", OBSERVER,
+          (X.between(0.0, 360.0),)),
+    Field("declinacion", "float64", False, "Ángulo de -90 a 90 grados.", "Declinación.", OBSERVER,
+          (X.between(-90.0, 90.0),)),
+    Field("duracion_min", "int32", True, "Mayor que cero.", "Minutos de observación.", OBSERVER,
+          (X.between(0, above=True),)),
+    Field("instrumento", "string", True, "Uno de los tres instrumentos instalados.", "Instrumento usado.", OBSERVER,
+          (X.one_of(obs.VALID_INSTRUMENTS),)),
+    Field("estado", "string", True, "Cómo terminó: completada, fallida o cancelada.", "Resultado de la observación.", OBSERVER,
+          (X.one_of(obs.STATES),)),
 ]
 
 
@@ -113,6 +139,12 @@ def check_catalog(fields: DataFrame, data: DataFrame, table: str) -> DataFrame:
     return out.withColumn("cumple", F.coalesce(~F.col("obligatorio") | (F.col("nulos") == 0), F.lit(False)))
 
 
+def violations(data: DataFrame, table: str, declared: Table) -> DataFrame:
+    """(tabla, campo, restriccion, violaciones, filas) of everything that the catalog declares of ``table``."""
+    found = X.violations(data, {f.nombre: f.constraints() for f in declared.campos})
+    return found.select(F.lit(table).alias("tabla"), "campo", "restriccion", "violaciones", "filas")
+
+
 # ------------------------------------------------------------------ lineage / quality
 def lineage_rows(spark: SparkSession, runinfo) -> DataFrame:
     """One row per stage output: stage, source and target (file stems), rows in and out."""

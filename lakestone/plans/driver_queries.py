@@ -763,6 +763,13 @@ def shipped_catalog(spark, sf_dir):
                                                      (F.length("descripcion") > 0).alias("descrito"))
 
 
+def catalog_violations(spark, sf_dir):
+    """Rows that break each constraint of the 19 declared fields, in generated data with errors."""
+    found = [C.violations(injected(spark, sf_dir), table, C.SHIPPED[table])
+             for table, injected in (("lecturas_sensores", injected_readings), ("eventos_observacion", injected_events))]
+    return found[0].unionByName(found[1])
+
+
 def shuffled_readings(spark, sf_dir):
     """The readings in the reproducible order in which they are written to a file, with their place in it."""
     from lakestone.functions.draws import hash_score
@@ -805,6 +812,7 @@ QUERIES.update({
     "injected_events": injected_events,
     "injection_counts": injection_counts,
     "shipped_catalog": shipped_catalog,
+    "catalog_violations": catalog_violations,
     "shuffled_readings": shuffled_readings,
     "measurement_csv": measurement_csv,
     "object_sizes": object_sizes,

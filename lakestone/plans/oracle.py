@@ -746,3 +746,49 @@ def _shipped_catalog_sql() -> str:
 
 
 ORACLE["shipped_catalog"] = _shipped_catalog_sql()
+
+
+def _violations_sql() -> str:
+    """What the catalog's constraints say, as conditions on the generated rows."""
+    number, instant = "TRY_CAST({0} AS DOUBLE)", "TRY_CAST({0} AS TIMESTAMP)"
+    readings = {
+        "sensor_id": {"required": "{0} IS NULL", "format": "NOT regexp_full_match({0}, 'SENS-[0-9A-Za-z_]{{3}}')"},
+        "timestamp": {"required": "{0} IS NULL", "past": instant + " >= TIMESTAMP '2027-01-01'"},
+        "ubicacion": {"required": "{0} IS NULL", "domain": "{0} NOT IN ('Norte', 'Sur', 'Este', 'Oeste', 'Centro')"},
+        "temperatura_c": {"required": "{0} IS NULL", "range": "{0} NOT BETWEEN 14 AND 20"},
+        "humedad_pct": {"required": "{0} IS NULL", "range": "{0} NOT BETWEEN 0 AND 100"},
+        "velocidad_viento_ms": {"range": "{0} < 0"},
+        "presion_hpa": {"range": "{0} NOT BETWEEN 700 AND 900"},
+        "seeing_arcsec": {"required": "{0} IS NULL", "range": "{0} <= 0"},
+        "transparencia": {"range": "{0} NOT BETWEEN 0 AND 1"}}
+    events = {
+        "obs_id": {"required": "{0} IS NULL", "unique": "COUNT(*) OVER (PARTITION BY {0}) > 1",
+                   "format": "NOT regexp_full_match({0}, 'OBS-[0-9]{{4}}-[0-9]{{4,}}')"},
+        "sensor_id": {"required": "{0} IS NULL"},
+        "timestamp": {"required": "{0} IS NULL", "past": instant + " >= TIMESTAMP '2027-01-01'"},
+        "objeto_observado": {"required": "{0} IS NULL"},
+        "magnitud": {"range": "{0} NOT BETWEEN -1.5 AND 15"},
+        "ascension_recta": {"range": "{0} NOT BETWEEN 0 AND 360"},
+        "declinacion": {"range": "{0} NOT BETWEEN -90 AND 90"},
+        "duracion_min": {"required": "{0} IS NULL", "range": "{0} <= 0"},
+        "instrumento": {"required": "{0} IS NULL", "domain": "{0} NOT IN ('CCD', 'Espectrógrafo', 'Fotómetro')"},
+        "estado": {"required": "{0} IS NULL", "domain": "{0} NOT IN ('completada', 'fallida', 'cancelada')"}}
+    numbers = {"temperatura_c", "humedad_pct", "velocidad_viento_ms", "presion_hpa", "seeing_arcsec", "transparencia",
+               "magnitud", "ascension_recta", "declinacion"}
+    parts = []
+    for table, sql, rows, fields in (("lecturas_sensores", _injected_readings_sql(), "allr", readings),
+                                     ("eventos_observacion", _injected_events_sql(), "e5", events)):
+        lines, flags = [], []
+        for name, rules in fields.items():
+            parse = instant if name == "timestamp" else number if name in numbers else (
+                "TRY_CAST({0} AS INTEGER)" if name == "duracion_min" else "{0}")
+            for kind, rule in (("type", "{0} IS NOT NULL AND " + parse + " IS NULL"), *rules.items()):
+                col = f'"{name}|{kind}"'
+                flags.append(f'({rule.format(chr(34) + name + chr(34))}) AS {col}')
+                lines.append(f"SELECT '{name}' AS campo, '{kind}' AS restriccion, COUNT(*) FILTER (WHERE {col}) AS violaciones, "
+                             f"COUNT(*) AS filas FROM f")
+        parts.append(f"SELECT '{table}' AS tabla, * FROM ({sql}, f AS (SELECT {', '.join(flags)} FROM {rows}) {' UNION ALL '.join(lines)})")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["catalog_violations"] = _violations_sql()
