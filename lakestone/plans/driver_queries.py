@@ -552,20 +552,13 @@ def lineage_table(spark, sf_dir):
 def quality_document(spark, sf_dir):
     runinfo = events_run(spark, sf_dir, with_gold=False)
     path = io.write_json_document(C.quality_document(spark, runinfo), scratch_path(spark, "quality_doc"))
-    doc = io.read_json_document(spark, path)
-    out = None
-    for source in doc.schema["fuentes"].dataType.fieldNames():
-        base = f"fuentes.`{source}`"
-        rules = doc.schema["fuentes"].dataType[source].dataType["por_regla"].dataType.fieldNames()
-        entries = [F.struct(F.lit(r).alias("regla"),
-                            F.col(f"{base}.por_regla.`{r}`.total_invalidos").cast("long").alias("total_invalidos"),
-                            F.col(f"{base}.por_regla.`{r}`.porcentaje").cast("double").alias("porcentaje"))
-                   for r in rules if r != R.SUMMARY_RULE]
-        part = doc.select(F.lit(source).alias("fuente"),
-                          F.col(f"{base}.filas_validas").cast("long").alias("filas_validas"),
-                          F.inline(F.array(*entries)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    doc = io.read_variant_document(spark, path)
+    sources = io.members(doc, F.variant_get("doc", "$.fuentes", "variant"), "fuente", "__source")
+    rules = io.members(sources, F.variant_get("__source", "$.por_regla", "variant"), "regla", "__rule")
+    return rules.where(F.col("regla") != R.SUMMARY_RULE).select(
+        "fuente", F.variant_get("__source", "$.filas_validas", "long").alias("filas_validas"), "regla",
+        F.variant_get("__rule", "$.total_invalidos", "long").alias("total_invalidos"),
+        F.variant_get("__rule", "$.porcentaje", "double").alias("porcentaje"))
 
 
 EVENTS_CATALOG = {
@@ -604,11 +597,12 @@ def evidence_summary(spark, sf_dir):
             / S.conditional_mean("value", F.col("event_type") == "view")).alias("ratio"))
     qpath = io.write_json_document(C.quality_document(spark, runinfo), scratch_path(spark, "evidence_quality"))
     lpath = io.write_json_document(C.lineage_document(spark, runinfo, "events_pipeline"), scratch_path(spark, "evidence_lineage"))
-    quality = io.read_json_document(spark, qpath).select(
-        F.col("fuentes.events_clean.filas_validas").alias("valid"),
-        F.col("fuentes.events_clean.filas_entrada").alias("rows_in"),
-        F.col("fuentes.events_clean.tasa_error_pct").alias("rate"))
-    lineage = io.read_json_document(spark, lpath).select(F.size("etapas.gold").alias("n_gold"))
+    quality = io.read_variant_document(spark, qpath).select(
+        F.variant_get("doc", "$.fuentes.events_clean.filas_validas", "long").alias("valid"),
+        F.variant_get("doc", "$.fuentes.events_clean.filas_entrada", "long").alias("rows_in"),
+        F.variant_get("doc", "$.fuentes.events_clean.tasa_error_pct", "double").alias("rate"))
+    lineage = io.read_variant_document(spark, lpath).select(
+        F.size(F.variant_get("doc", "$.etapas.gold", "array<variant>")).alias("n_gold"))
     lake = gold.table_totals(spark, sf_dir, ["events", "orders"]).agg(
         F.max(F.when(F.col("tabla") == "total", F.col("filas"))).alias("lake_rows"),
         F.count_if(F.col("tabla") != "total").alias("datasets"))
@@ -753,6 +747,24 @@ def observatory_instruments(spark, sf_dir):
     return _observatory_gold(spark, sf_dir, "events", "observaciones_por_instrumento")
 
 
+def _observatory_lake(spark, sf_dir, kind, silver):
+    """A lake that holds the silver table of one source, uploaded from the pipeline's zones."""
+    _, base = observatory_run(spark, sf_dir, (kind,), ())
+    lake = scratch_path(spark, "observatory_lake")
+    io.upload_tables(spark, [f"{base}/silver/{silver}.parquet"], lake)
+    return lake
+
+
+def observatory_lake_sensors(spark, sf_dir):
+    """The lake query by sensor, with its own columns, over the uploaded silver readings."""
+    return gold.lake_seeing_by_sensor(spark, _observatory_lake(spark, sf_dir, "readings", "lecturas_limpias"))
+
+
+def observatory_lake_instruments(spark, sf_dir):
+    """The lake query by instrument and state, with its own columns, over the uploaded silver events."""
+    return gold.lake_by_instrument(spark, _observatory_lake(spark, sf_dir, "events", "eventos_limpios"))
+
+
 def shipped_catalog(spark, sf_dir):
     """The 19 declared fields of the two sources, checked against readings and events
     generated (with errors) from the events table."""
@@ -805,6 +817,8 @@ QUERIES.update({
     "observatory_nightly": observatory_nightly,
     "observatory_sensors": observatory_sensors,
     "observatory_instruments": observatory_instruments,
+    "observatory_lake_sensors": observatory_lake_sensors,
+    "observatory_lake_instruments": observatory_lake_instruments,
     "generated_readings": generated_readings,
     "generated_events": generated_events,
     "generated_records": generated_records,

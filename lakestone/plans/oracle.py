@@ -718,6 +718,17 @@ SELECT instrumento, estado, COUNT(*) AS total_observaciones,
 FROM silver GROUP BY instrumento, estado
 """
 
+ORACLE["observatory_lake_sensors"] = _SILVER_READINGS + """
+SELECT sensor_id, ubicacion, ROUND(AVG(seeing_arcsec), 3) AS seeing_promedio, ROUND(MIN(seeing_arcsec), 3) AS seeing_minimo,
+       COUNT(*) AS n_lecturas
+FROM silver GROUP BY sensor_id, ubicacion
+"""
+
+ORACLE["observatory_lake_instruments"] = _SILVER_EVENTS + """
+SELECT instrumento, estado, COUNT(*) AS total, ROUND(AVG(duracion_min), 1) AS duracion_promedio_min
+FROM silver GROUP BY instrumento, estado
+"""
+
 ORACLE["measurement_csv"] = """
 WITH m AS (SELECT l_returnflag || '/' || l_linestatus AS escenario, l_orderkey * 8 + l_linenumber AS repeticion,
   CASE WHEN l_linenumber <> 7 THEN l_extendedprice / 7.0e9::DOUBLE END AS tiempo_s FROM lineitem)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -72,6 +72,20 @@ def read_json_document(spark: SparkSession, path: str, schema: StructType | None
     return reader.json(path)
 
 
+def read_variant_document(spark: SparkSession, path: str, name: str = "doc") -> DataFrame:
+    """A whole JSON document per file as one VARIANT column: read as it is, no schema declared or inferred."""
+    return spark.read.format("json").option("singleVariantColumn", name).option("multiLine", True).load(path)
+
+
+def members(df: DataFrame, variant: Column, key: str, value: str) -> DataFrame:
+    """``df`` with one row for each member of an object (or element of an array): its ``key`` and VARIANT ``value``.
+
+    An array's elements have a NULL key.  Rows whose ``variant`` is NULL or a plain value give none.
+    """
+    found = df.sparkSession.tvf.variant_explode(variant.outer())
+    return df.lateralJoin(found.select(F.col("key").alias(key), F.col("value").alias(value)))
+
+
 def discover(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> list[str]:
     """Sorted top-level entries of ``folder`` holding files that match ``pattern``.
 

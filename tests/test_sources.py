@@ -96,3 +96,18 @@ def test_lake_options_reach_the_session(spark):
     assert table_path("s3a://bucket/prefix/", "lecturas_limpias") == "s3a://bucket/prefix/lecturas_limpias.parquet"
     for k in opts:
         spark.conf.unset(k)
+
+
+def test_variant_document_needs_no_schema(spark, tmp_path):
+    (tmp_path / "doc").mkdir()
+    (tmp_path / "doc" / "a.json").write_text('{"s": {"x": {"n": 5, "r": {"a.b": {"p": 2}, "c": {"p": 2.5, "q": [1, 2]}}},\n "y": null, "z": {"n": 1}}}')
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    doc = io.read_variant_document(spark, str(tmp_path / "doc"))
+    sources = io.members(doc, F.variant_get("doc", "$.s", "variant"), "source", "v")
+    rules = io.members(sources, F.variant_get("v", "$.r", "variant"), "rule", "w")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before  # nothing has run so far
+    got = rules.select("source", "rule", F.variant_get("v", "$.n", "int"), F.variant_get("w", "$.p", "double"),
+                       F.size(F.variant_get("w", "$.q", "array<variant>"))).collect()
+    calls = sorted(tuple(r) for r in got)
+    assert [c[:4] for c in calls] == [("x", "a.b", 5, 2.0), ("x", "c", 5, 2.5)] and calls[1][4] == 2
+    assert sorted(r.source for r in sources.collect()) == ["x", "y", "z"]
