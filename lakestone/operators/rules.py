@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestone.functions.numeric import percent
+from lakestone.operators.key_filter import FILTER_BITS, filter_words, with_possible
 
 ANY_ERROR = "tiene_error"          # fixed value: name of the any-error flag column
-#: Bits of a filter of repeated key hashes (8 MB as 64-bit words), the same for any table.
-FILTER_BITS = 1 << 26
 SUMMARY_RULE = "__resumen__"       # fixed value: name of the summary entry of a report
 
 
@@ -91,10 +90,7 @@ def repeated_hashes(df: DataFrame, rules: Mapping[str, Duplicated], bits: int =
     tagged = [F.struct(F.lit(i).alias("rule"), F.xxhash64(F.lit(i), *r.keys).alias("hash")) for i, r in enumerate(rules.values())]
     repeated = (df.select(F.inline(F.array(*tagged))).groupBy("rule", "hash").agg(F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") > 1))
-    slot = F.pmod(F.col("hash"), F.lit(bits))
-    return (repeated.select("rule", F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit"))
-            .repartition("rule", "word").groupBy("rule", "word")
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask")))
+    return filter_words(repeated, ["rule"], bits)
 
 
 def flag_all_duplicates(df: DataFrame, rules: Mapping[str, Duplicated], bits: int = FILTER_BITS) -> DataFrame:
@@ -110,12 +106,8 @@ def flag_all_duplicates(df: DataFrame, rules: Mapping[str, Duplicated], bits: in
     filters = repeated_hashes(df, rules, bits)
     marked = df
     for i, rule in enumerate(rules.values()):
-        own = F.broadcast(filters.where(F.col("rule") == i).select(F.col("word").alias(f"__w{i}"), F.col("mask").alias(f"__m{i}")))
-        slot = F.pmod(F.xxhash64(F.lit(i), *[F.col(k) for k in rule.keys]), F.lit(bits))
-        marked = (marked.withColumn(f"__s{i}", slot)
-                  .join(own, F.shiftright(F.col(f"__s{i}"), 6) == F.col(f"__w{i}"), "left")
-                  .withColumn(f"__c{i}", F.coalesce(F.getbit(F.col(f"__m{i}"), (F.col(f"__s{i}") % 64).cast("int")) == 1, F.lit(False)))
-                  .drop(f"__s{i}", f"__w{i}", f"__m{i}"))
+        hashed = F.xxhash64(F.lit(i), *[F.col(k) for k in rule.keys])
+        marked = with_possible(marked, filters.where(F.col("rule") == i), hashed, f"__c{i}", bits)
     hits = [f"__c{i}" for i in range(len(names))]
     candidate = reduce(operator.or_, [F.col(c) for c in hits])
     once = marked.where(~candidate).drop(*hits).withColumns({n: F.lit(False) for n in names})
