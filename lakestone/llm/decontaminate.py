@@ -3,9 +3,12 @@
 Of every ``window`` consecutive words the k-gram with the smallest hash is kept.  Two
 texts that share ``window`` words keep the same k-gram of them, so a join of the kept
 fingerprints of documents and benchmark items finds every shared window.  Each hit is then
-extended along its diagonal by comparing words, which alone decides: a hash collision only
-costs a comparison.  An item of fewer words is one window of its own length m, winnowed
-with k = m.
+extended to the windows around it, which are joined to the items' windows word for word: a
+hash collision only costs a comparison.  An item of fewer words is one window of its own
+length m, winnowed with k = m.
+
+The plan is the same at every size.  Documents' fingerprints and texts pass fixed-size filters
+of the benchmark's fingerprints and of the hit texts' keys, so what is shuffled is what is hit.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestone.operators.key_filter import filter_words, with_possible
 from lakestone.session import scratch_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,14 +77,80 @@ def item_fingerprints(items: DataFrame, ids: list[str], window: int, k: int, sho
     return _exploded(rows, ids, F.coalesce(marks, F.array().cast(_NONE)))
 
 
-def _matched(seed: Column, w: Column, n: Column, window: int) -> Column:
-    """Windows of the seed's item that stand on its diagonal in the document."""
-    size = F.least(F.lit(window), F.size(seed["words"]))
-    low = F.greatest(F.lit(0), -seed["diag"])
-    high = F.least(F.size(seed["words"]) - size, n - size - seed["diag"])
-    found = F.filter(F.sequence(low, F.greatest(low, high)),
-                     lambda j: F.slice(w, seed["diag"] + j + 1, size) == F.slice(seed["words"], j + 1, size))
-    return F.when(high >= low, found).otherwise(F.array().cast("array<int>"))
+def _windows(n: Column, size: Column) -> Column:
+    """First positions of all windows of ``size`` words of a text of ``n`` >= ``size`` words."""
+    return F.sequence(F.lit(0), n - size)
+
+
+def _text_of(w: Column, at: Column, size: Column, sizes: list[int]) -> Column:
+    """The words of a window, word by word (``slice`` would copy the whole text for each)."""
+    made = F.lit(None).cast("string")
+    for m in sizes:
+        made = F.when(size == m, F.concat_ws(" ", *[F.get(w, at + j) for j in range(m)])).otherwise(made)
+    return made
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def found_texts(texts: DataFrame, bench: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """(_k1, _k2, _hit, _items) of the texts, given as (_k1, _k2, _body), that hold a window of an item."""
+    marked = fingerprints(texts.select("_k1", "_k2", words(F.col("_body")).alias("_w")).withColumn("_n", F.size("_w")),
+                          ["_k1", "_k2"], window, k, short)
+    bench = bench.withColumn("_m", F.least(F.lit(window), F.col("_n")))
+    kept = _kept(item_fingerprints(bench.select("_m", "_w", "_n"), ["_m"], window, k, short).select("_m", "hash").distinct(),
+                 "item-marks")
+    near = with_possible(marked, filter_words(kept.select("hash")), F.col("hash"), "_near").where("_near").drop("_near")
+    # Which marks of a text stand in some item, whichever: words that repeat cost one row a position.
+    seeds = _kept(near.join(kept.hint("merge"), "hash").groupBy("_k1", "_k2")
+                  .agg(F.collect_set(F.struct("pos", "_m")).alias("_seeds")), "seeds")
+    seeded = with_possible(texts, filter_words(seeds.select(F.col("_k1").alias("hash"))), F.col("_k1"), "_near").where("_near")
+    one = seeded.groupBy("_k1", "_k2").agg(F.first("_body").alias("_body"))
+    # Words stand below the join: in a projection of their own they would be split anew inside each lambda call.
+    split = one.select("_k1", "_k2", words(F.col("_body")).alias("_w")).withColumn("_n", F.size("_w"))
+    own = split.join(seeds.hint("merge"), ["_k1", "_k2"])
+    # A window is its first position and size in one number, which array_distinct hashes.
+    around = F.transform("_seeds", lambda s: F.transform(
+        F.sequence(F.when(s["_m"] == window, F.greatest(s["pos"] - (window - k), F.lit(0))).otherwise(s["pos"]), s["pos"]),
+        lambda p: p.cast("long") * (window + 1) + s["_m"]))
+    at, size = (lambda x: F.floor(x / (window + 1)).cast("int")), (lambda x: (x % (window + 1)).cast("int"))
+    sizes = [*short, window]
+    # Windows are cut out before they are exploded: a row then holds one, not all words of its text.
+    tried = (own.withColumn("_at", F.filter(F.array_distinct(F.flatten(around)), lambda x: at(x) + size(x) <= F.col("_n")))
+             .select("_k1", "_k2", F.explode(F.transform("_at", lambda x: F.struct(
+                 at(x).alias("p"), size(x).alias("m"), _text_of(F.col("_w"), at(x), size(x), sizes).alias("text")))).alias("_x"))
+             .select("_k1", "_k2", F.col("_x.p").alias("_p"), F.col("_x.m").alias("_m"), F.col("_x.text").alias("_text")))
+    of_items = (bench.select("_ids", F.explode(F.array_distinct(F.transform(
+        _windows(F.col("_n"), F.col("_m")), lambda p: _text_of(F.col("_w"), p, F.col("_m"), sizes)))).alias("_text")).distinct())
+    hit = _kept(tried.join(of_items.select("_text").distinct(), "_text"), "hit-windows")
+    places = hit.groupBy("_k1", "_k2").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(
+        F.collect_list(F.struct("_p", "_m")), lambda a: F.sequence(a["_p"], a["_p"] + a["_m"] - 1))))).alias("_hit"))
+    ids = (hit.select("_k1", "_k2", "_text").distinct().join(of_items, "_text")
+           .select("_k1", "_k2", F.explode_outer("_ids").alias("_id")).groupBy("_k1", "_k2")
+           .agg(F.array_sort(F.collect_set("_id")).alias("_items")))
+    return _kept(places.join(ids, ["_k1", "_k2"]), "hit-texts")
+
+
+def _hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, k: int) -> DataFrame:
+    """(_row, _w, _hit, _items): a document as a struct, so that its columns may have any name."""
+    if not 1 <= k <= window:
+        raise ValueError("k must be between 1 and window")
+    bench = (items.select(words(F.col(item_text)).alias("_w"), F.col(item_id).cast("string").alias("_id"))
+             .filter(F.size("_w") > 0).groupBy("_w").agg(F.collect_set("_id").alias("_ids")).withColumn("_n", F.size("_w")))
+    short = sorted(x["_n"] for x in bench.filter(F.col("_n") < window).select("_n").distinct().collect())  # < window values
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), body.alias("_body"),
+                        F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2"))
+    found = found_texts(keyed.select("_k1", "_k2", "_body"), bench, window, k, short)
+    marked = with_possible(keyed, filter_words(found.select(F.col("_k1").alias("hash"))), F.col("_k1"), "_near")
+    w, no_hit, no_item = words(F.col("_body")).alias("_w"), F.array().cast("array<int>"), F.array().cast("array<string>")
+    clean = marked.where(~F.col("_near")).select("_row", w, no_hit.alias("_hit"), no_item.alias("_items"))
+    rest = (marked.where("_near").join(found.hint("merge"), ["_k1", "_k2"], "left")
+            .select("_row", w, F.coalesce("_hit", no_hit).alias("_hit"), F.coalesce("_items", no_item).alias("_items")))
+    return clean.unionByName(rest)
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -91,51 +161,22 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 
     Null and empty texts have no words and no hits; items without words are ignored;
     items with equal words are matched once and all reported (null ids are not); copies of
-    a document share one lookup; repeated rows stay; extra columns are kept (names
-    starting with an underscore are the operator's own).
+    a document share one lookup; repeated rows stay; extra columns are kept, whatever their
+    names, but for these three, which are refused.
     """
-    if not 1 <= k <= window:
-        raise ValueError("k must be between 1 and window")
-    bench = (items.select(words(F.col(item_text)).alias("_w"), F.col(item_id).cast("string").alias("_id"))
-             .filter(F.size("_w") > 0).groupBy("_w").agg(F.collect_set("_id").alias("_ids"))
-             .withColumn("_n", F.size("_w")).withColumn("_rep", F.md5(F.array_join("_w", " "))))
-    short = sorted(x["_n"] for x in bench.filter(F.col("_n") < window).select("_n").distinct().collect())  # < window values
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_k1", F.xxhash64(body)).withColumn("_k2", F.xxhash64(F.lit(1), body))
-    marked = fingerprints(keyed.select("_k1", "_k2", words(F.col(text)).alias("_w")).withColumn("_n", F.size("_w")),
-                          ["_k1", "_k2"], window, k, short)
-    kept = item_fingerprints(bench.select("_rep", "_w", "_n"), ["_rep"], window, k, short)
-    seeds = (marked.join(kept.select("_rep", F.col("hash").alias("_ih"), F.col("pos").alias("_ip")),
-                         F.col("hash") == F.col("_ih"))
-             .select("_k1", "_k2", "_rep", (F.col("pos") - F.col("_ip")).alias("diag")).distinct())
-    per_text = (seeds.join(bench.select(F.col("_rep").alias("_r"), F.col("_w").alias("words"), "_ids"),
-                           F.col("_rep") == F.col("_r"))
-                .groupBy(F.col("_k1").alias("_s1"), F.col("_k2").alias("_s2"))
-                .agg(F.collect_list(F.struct("words", "_ids", "diag")).alias("_seeds")))
-    # Written, so that the join deals both sides anew and can split a text that many rows share.
-    seen = scratch_path(docs.sparkSession, "seeds")
-    per_text.write.parquet(seen)
-    per_text = docs.sparkSession.read.schema(per_text.schema).parquet(seen)
-    out = (keyed.join(per_text, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
-           .withColumn("_w", words(F.col(text))).withColumn("_n", F.size("_w")))
-    found = F.transform("_seeds", lambda s: F.struct(
-        s["_ids"].alias("ids"), s["diag"].alias("diag"), F.least(F.lit(window), F.size(s["words"])).alias("size"),
-        _matched(s, F.col("_w"), F.col("_n"), window).alias("at")))
-    out = out.withColumn("_found", F.filter(found, lambda s: F.size(s["at"]) > 0))
-    hit = F.flatten(F.transform("_found", lambda s: F.flatten(F.transform(
-        s["at"], lambda j: F.sequence(s["diag"] + j, s["diag"] + j + s["size"] - 1)))))
-    return (out.withColumn("_hit", F.coalesce(F.array_sort(F.array_distinct(hit)), F.array().cast("array<int>")))
-            .withColumn("_items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(
-                "_found", lambda s: s["ids"])))), F.array().cast("array<string>")))
-            .drop("_k1", "_k2", "_s1", "_s2", "_seeds", "_found", "_n"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, max_hit_share: float = 0.0, **kw) -> DataFrame:
-    """Rows of ``docs`` whose share of hit words is at most ``max_hit_share``, columns unchanged.
+    taken = {"_w", "_hit", "_items"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"docs has columns that hits() adds: {sorted(taken)}")
+    return _hits(docs, items, text, item_id, item_text, window, k).select("_row.*", "_w", "_hit", "_items")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, max_hit_share: float = 0.0, text: str = "text", item_id: str = "item_id",
+                  item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+    """Rows of ``docs`` whose share of hit words is at most ``max_hit_share``, columns unchanged, whatever their names.
 
     With the default any occurrence of a benchmark window removes a document.  Null and
     empty texts stay.
     """
     n_hit, n = F.size("_hit"), F.size("_w")
-    return (hits(docs, items, **kw).filter((n == 0) | (n_hit / F.greatest(n, F.lit(1)) <= max_hit_share))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = _hits(docs, items, text, item_id, item_text, window, k)
+    return kept.filter((n == 0) | (n_hit / F.greatest(n, F.lit(1)) <= max_hit_share)).select("_row.*")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from llm_cases import sentence, words
@@ -59,3 +60,43 @@ def test_clean_documents_stay(spark, hard, empty):
     assert sorted(map(repr, D.decontaminate(hard, bench).collect())) == sorted(map(repr, hard.collect()))
     assert D.decontaminate(empty, bench).count() == 0
     assert D.decontaminate(hard, bench.limit(0)).count() == hard.count()
+
+
+def test_repeated_words_cost_a_row_a_position(spark):
+    """A long text of one word against an item of the same word: no words in seeds, no pair of positions."""
+    docs = spark.createDataFrame([(1, "x " * 40_000), (2, "x y " * 20_000), (3, "x " * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x " * 1000), (2, "x y " * 500)], "item_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: (len(r._hit), list(r._items)) for r in D.hits(docs, items).collect()}
+    assert got == {1: (40_000, ["1"]), 2: (40_000, ["2"]), 3: (0, [])}
+    assert time.monotonic() - start < 60  # a few seconds alone
+
+
+def test_columns_may_have_any_name_but_the_three_it_adds(spark, case):
+    rows, items = case
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    names = ["_k1", "_k2", "_seeds", "_body", "_row", "_near", "__slot", "__mask", "pos", "hash"]
+    docs = spark.createDataFrame([(i, t, *range(10)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = D.decontaminate(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(map(repr, D.decontaminate(plain, bench).collect()))
+    assert D.hits(docs, bench).count() == len(rows)
+    clash = plain.withColumnRenamed("doc_id", "_hit")
+    assert D.decontaminate(clash, bench).columns == ["_hit", "text"]
+    with pytest.raises(ValueError, match="_hit"):
+        D.hits(clash, bench)
+
+
+def test_only_hit_texts_are_shuffled_at_any_size(spark, case):
+    """Joins with texts are sort-merge joins behind a filter, whatever the broadcast threshold says."""
+    rows, items = case
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans = []
+    for limit in ("-1", "100m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        plans.append(D.hits(docs, bench)._jdf.queryExecution().executedPlan().toString())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [p.count("SortMergeJoin") for p in plans] == [1, 1]
