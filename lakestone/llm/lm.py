@@ -7,13 +7,12 @@ The model interpolates n-gram estimates of order 1 to n:
     Pk(w | h) = Pk-1(w | h')                                            for others
 
 with h' the context without its first word, so every Pk sums to one over the vocabulary
-and one unknown word.  As an automaton the states are contexts.  A state's arc for a seen
-n-gram carries the whole log Pk; its failure arc carries log(1 - weight), or 0 where the
-context is unseen, to the state of h'; the unigram state has an arc for every word.  A text
-read from left to right would have its context as the state, and each token would follow
-failure arcs down to an arc that exists and add up the weights met.  No states and arcs are
-built: the context of each token is known from the text, so the same scores are evaluated in
-closed form, order by order for all tokens at once.
+and one unknown word.  As an automaton the states are the seen contexts.  A state's arc for a
+seen n-gram carries the whole log Pk and leads to the longest context of the new history; its
+failure arc carries log(1 - weight) to the state of h'; the unigram state has an arc for every
+word.  Texts are read from left to right, all of a block side by side: each carries its
+state, follows failure arcs down to a state with an arc for the token, and adds up the
+weights met.
 
 Counts are taken over all training texts.  A block of documents asks the corpus for the
 counts of its own n-grams (``blocks``), so it holds just the part of the automaton that its
@@ -101,30 +100,106 @@ def _total(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[n
     return [counts[at] for at in where]
 
 
-class Automaton:
-    """The states and arcs that a block's texts can reach, from the counts of its n-grams."""
+#: Tokens of a text that are walked in a row; a longer text is walked in several places at once.
+STRIDE = 1024
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], tokens: int, vocabulary: int, train_texts: int,
-                 weight: float = 0.5):
-        self.counts, self.size, self.texts, self.weight = counts, tokens + vocabulary + 1, train_texts, weight
 
-    def _count(self, level: int, keys: np.ndarray) -> np.ndarray:
-        known, counts = self.counts[level - 1]
-        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-        found = counts[at].astype(np.float64) if len(known) else np.zeros(len(keys))
-        return np.where(known[at] == keys, found, 0.0) if len(known) else found
+class Automaton:
+    """The states and arcs that a block's texts can reach, from the counts of its n-grams.
+
+    State 0 is that of unigrams.  ``fail`` holds each state's failure target, ``arcs`` the ascending
+    codes (state, word) of all arcs, ``weights`` and ``targets`` what they carry and where they lead.
+    """
 
-    def run(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P of each token, its history being the state reached so far."""
-        order = len(self.counts)
+    def __init__(self, tokens: np.ndarray, first: np.ndarray, counts: list[np.ndarray], size: int, train_texts: int,
+                 weight: float = 0.5):
+        order = len(counts)
+        self.order, self.down = order, float(np.log10(1 - weight))
+        self.words, self.word = np.unique(tokens, return_inverse=True)
         grams = _ngrams(tokens, first, order)
-        p = (self._count(1, grams[0]) + 1) / self.size
-        for n, before in enumerate(_contexts(grams, first), 2):
-            seen = np.where(before == START, float(self.texts), self._count(n - 1, before))
-            state = seen > 0  # the context is a state: its arc, or its failure arc and what lies below
-            arc = np.divide(self._count(n, grams[n - 1]), seen, out=np.zeros(len(tokens)), where=state)
-            p = np.where(state, self.weight * arc + (1 - self.weight) * p, p)
-        return np.log10(p)
+        count = [c[np.unique(g, return_inverse=True)[1]].astype(np.float64) for g, c in zip(grams, counts, strict=True)]
+        # Per level the state of each token's context, and how often training has the context.
+        states, fails = [np.zeros(len(tokens), np.int64)], [np.zeros(1, np.int64)]
+        seen = [np.full(len(tokens), float(size))]
+        keys: list[np.ndarray] = [np.zeros(0, U64)]
+        total = 1
+        for level, before in enumerate(_contexts(grams, first), 1):
+            often = np.empty(len(tokens))
+            often[1:] = count[level - 1][:-1]
+            often[before == START] = train_texts
+            real = np.flatnonzero(often > 0)
+            known, at, place = np.unique(before[real], return_index=True, return_inverse=True)
+            state = np.full(len(tokens), -1)
+            state[real] = total + place
+            fails.append(states[-1][real[at]])
+            states.append(state)
+            seen.append(often)
+            keys.append(known)
+            total += len(known)
+        self.fail = np.concatenate(fails)
+        self.start = int(total - len(keys[-1]) + np.searchsorted(keys[-1], START)) if order > 1 and train_texts and len(tokens) else 0
+        base = np.cumsum([1, *[len(k) for k in keys[1:]]])
+        codes, weights, targets = [], [], []
+        p = (count[0] + 1) / size
+        for level in range(order):
+            if level:
+                inside = states[level] >= 0
+                ratio = np.divide(count[level], seen[level], out=np.zeros(len(tokens)), where=inside)
+                p = np.where(inside, weight * ratio + (1 - weight) * p, p)
+            at = np.flatnonzero((states[level] >= 0) & ((count[level] > 0) | (level == 0)))
+            code, one = np.unique(states[level][at] * len(self.words) + self.word[at], return_index=True)
+            at = at[one]
+            # After the n-gram the history is known to its last words: the longest context that can be a state.
+            longest = min(level + 1, order - 1)
+            target = np.zeros(len(at), np.int64)
+            if longest and len(keys[longest]):
+                place = np.minimum(np.searchsorted(keys[longest], grams[longest - 1][at]), len(keys[longest]) - 1)
+                target = np.where(keys[longest][place] == grams[longest - 1][at], base[longest - 1] + place, 0)
+            codes.append(code)
+            weights.append(np.log10(p[at]))
+            targets.append(target)
+        by = np.argsort(np.concatenate(codes), kind="stable")
+        self.arcs, self.weights, self.targets = (np.concatenate(x)[by] for x in (codes, weights, targets))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state reached, weights met) of walkers that read one word each."""
+        state, met = state.copy(), np.zeros(len(state))
+        todo = np.arange(len(state))
+        while len(todo):
+            code = state[todo] * len(self.words) + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
+            there = self.arcs[at] == code
+            met[todo[there]] += self.weights[at[there]]
+            state[todo[there]] = self.targets[at[there]]
+            todo = todo[~there]
+            met[todo] += self.down
+            state[todo] = self.fail[state[todo]]
+        return state, met
+
+    def run(self, first: np.ndarray) -> np.ndarray:
+        """log10 P of each token of the block.
+
+        A walker reads ``STRIDE`` tokens.  One that begins inside a text reads the words of a
+        context before, from the unigram state: that alone decides its state.
+        """
+        out = np.zeros(first[-1])
+        size = np.diff(first)
+        pieces_of = -(-size // STRIDE)
+        text = np.repeat(np.arange(len(size)), pieces_of)
+        begin = first[:-1][text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of))
+        end = np.minimum(begin + STRIDE, first[1:][text])
+        at = np.maximum(begin - (self.order - 1), first[:-1][text])
+        state = np.where(at == first[:-1][text], self.start, 0)
+        by = np.argsort(at - end, kind="stable")  # the longest first, so walkers end from the back
+        begin, end, at, state = begin[by], end[by], at[by], state[by]
+        live = len(at)
+        while live:
+            state[:live], met = self.step(state[:live], self.word[at[:live]])
+            own = at[:live] >= begin[:live]
+            out[at[:live][own]] = met[own]
+            at[:live] += 1
+            live = int(np.searchsorted(at[:live] - end[:live], 0))
+        return out
 
 
 _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -135,10 +210,8 @@ def _score(order: int, weight: float, n: int, v: int, texts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         counts = blocks.joined(answers, dict.fromkeys(range(1, order + 1), _KINDS))
         tokens, first = _tokens(docs["text"])
-        grams = _ngrams(tokens, first, order)
-        known = [(np.unique(g), counts[k]) for k, g in enumerate(grams, 1)]
-        machine = Automaton(known, n, v, texts, weight)
-        c = machine._count(1, tokens)
+        machine = Automaton(tokens, first, [counts[k] for k in range(1, order + 1)], n + v + 1, texts, weight)
+        c = counts[1][machine.word].astype(np.float64)
         base = np.log10((c + 1) / (n + v + 1))
 
         def per_text(x: np.ndarray) -> np.ndarray:
@@ -146,13 +219,11 @@ def _score(order: int, weight: float, n: int, v: int, texts: int):
 
         return pa.table([docs["doc_id"], docs["held_out"], pa.array(np.diff(first), pa.int64()),
                          pa.array(per_text((c > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(len(docs), n)),
-                         pa.array(per_text(base)), pa.array(per_text(machine.run(tokens, first)))],
+                         pa.array(per_text(base)), pa.array(per_text(machine.run(first)))],
                         names=[f.split()[0] for f in _SCORES.split(", ")])
     return run
 
 
-
-
 def score(docs: DataFrame, order: int = 2, weight: float = 0.5, block_chars: int = blocks.BLOCK_CHARS,
           modulus: int = 7, remainder: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.

@@ -84,3 +84,54 @@ def test_counts_beyond_four_bytes():
     at = np.zeros(1, np.int64)
     got = lm._total(1, np.zeros(1, np.uint64), [at, at], [np.array([2**32 - 1], kind), np.array([5], kind)])
     assert [int(x[0]) for x in got] == [2**32 + 4] * 2
+
+
+def _machine(rows, order, weight=0.5):
+    """The automaton of all rows as one block, its tokens and the first token of each text."""
+    import pyarrow as pa
+    tokens_, first = lm._tokens(pa.array([t for _, t in rows]))
+    train = np.repeat([not held(i) for i, _ in rows], np.diff(first))
+    counts = []
+    for g in lm._ngrams(tokens_, first, order):
+        known, at = np.unique(g, return_inverse=True)
+        counts.append(np.bincount(at, weights=train, minlength=len(known)).astype(np.uint64))
+    n, v = int(counts[0].sum()), int((counts[0] > 0).sum())
+    return lm.Automaton(tokens_, first, counts, n + v + 1, sum(not held(i) for i, _ in rows), weight), tokens_, first
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_arc_by_arc_walk_equals_the_direct_formula(order):
+    """One text at a time, one arc at a time, from dictionaries: arcs met, failure arcs followed, states carried."""
+    rng = random.Random(order)
+    rows = [(i, sentence(rng, rng.randrange(0, 40), 25)) for i in range(60)] + [(60, ""), (61, "unknown never"), (62, "w1 w2 w3 w1 w2 w3")]
+    machine, tokens_, first = _machine(rows, order)
+    arcs = {(int(c) // len(machine.words), int(c) % len(machine.words)): (w, int(t))
+            for c, w, t in zip(machine.arcs, machine.weights, machine.targets)}
+    assert len(arcs) == len(machine.arcs)
+    failures, scores, per_token = 0, [], machine.run(first)
+    for a, b in zip(first[:-1], first[1:]):
+        state, total = machine.start, 0.0
+        for word in machine.word[a:b]:
+            while (state, int(word)) not in arcs:
+                assert state != 0
+                total, state, failures = total + machine.down, int(machine.fail[state]), failures + 1
+            weight, state = arcs[state, int(word)]
+            total += weight
+        scores.append(total)
+        assert abs(total - per_token[a:b].sum()) < 1e-9
+    want = {x[0]: x[-1] for x in brute(rows, order)[0]}
+    assert {str(i): round(x, 6) for (i, _), x in zip(rows, scores)} == want
+    assert (failures > 0) == (order > 1)
+
+
+def test_long_texts_are_walked_in_several_places(monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, n, 40)) for i, n in enumerate([500, 0, 3, 77, 200])]
+    for order in (1, 2, 3, 4):
+        whole = None
+        for stride in (10_000, 64, 5, 1):
+            monkeypatch.setattr(lm, "STRIDE", stride)
+            machine, _, first = _machine(rows, order)
+            got = machine.run(first)
+            whole = got if whole is None else whole
+            assert np.allclose(got, whole, atol=1e-12)
