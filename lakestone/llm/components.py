@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakestone.session import scratch_path
 
 
+#: Links that one task thins out.
+FOREST_LINKS = 1 << 16
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's links those that join two of its components: the others say nothing new.
+
+    What is kept is at most one link a member, and joins the same members.
+    """
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        keep = []
+        for i, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
+            x, y = root(a), root(b)
+            if x != y or a == b:
+                parent[max(x, y)] = min(x, y)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b: long); the component is its smallest id.
 
-    Each round takes the smallest label among neighbours and then the label of that label,
+    Links are dealt to tasks of ``FOREST_LINKS``, which keep a forest of theirs each, so that what
+    follows grows with the members of a group rather than with its links.  Each round takes the smallest label among neighbours and then the label of that label,
     so the rounds needed grow with the logarithm of the longest chain.  Labels are written
     to the shared folder after every round, which cuts the lineage and survives lost
     executors.  No links give an empty table.
@@ -23,7 +53,10 @@ def components(links: DataFrame) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    tasks = -(-max(1, edges.count()) // FOREST_LINKS)
+    forest = kept(edges.repartition(tasks).mapInArrow(_forest, "a long, b long"), "forest")
+    both = kept(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
     labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))

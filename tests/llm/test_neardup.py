@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from llm_cases import make, sentence, words
 
 from lakestone.llm import neardup as N
@@ -136,3 +137,25 @@ def test_left_over_pairs_are_compared(spark):
     finally:
         N.GROUP = size
     assert found == {(2 * i, 2 * i + 1) for i in range(30)}
+
+
+@pytest.mark.parametrize("limit", [7, 50, 1 << 16])
+def test_forest_keeps_components_and_thins_links(spark, monkeypatch, limit):
+    from lakestone.llm import components as C
+    monkeypatch.setattr(C, "FOREST_LINKS", limit)
+    rng = random.Random(limit)
+    pairs = [(rng.randrange(c * 40, c * 40 + 40), rng.randrange(c * 40, c * 40 + 40)) for c in range(6) for _ in range(150)] + [(999, 999)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    links = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.id: r.component for r in C.components(links).collect()} == {x: root(x) for x in list(parent)}
+    tasks = -(-links.distinct().count() // limit)
+    kept = links.distinct().repartition(tasks).mapInArrow(C._forest, "a long, b long").count()
+    assert kept <= min(links.distinct().count(), tasks * len(parent))
