@@ -103,7 +103,9 @@ def found_texts(texts: DataFrame, bench: DataFrame, window: int, k: int, short:
     bench = bench.withColumn("_m", F.least(F.lit(window), F.col("_n")))
     kept = _kept(item_fingerprints(bench.select("_m", "_w", "_n"), ["_m"], window, k, short).select("_m", "hash").distinct(),
                  "item-marks")
-    near = with_possible(marked, filter_words(kept.select("hash")), F.col("hash"), "_near").where("_near").drop("_near")
+    # The low bits of a fingerprint are its position's, so the filter takes a hash of it.
+    of_item = filter_words(kept.select(F.xxhash64("hash").alias("hash")))
+    near = with_possible(marked, of_item, F.xxhash64("hash"), "_near").where("_near").drop("_near")
     # Which marks of a text stand in some item, whichever: words that repeat cost one row a position.
     seeds = _kept(near.join(kept.hint("merge"), "hash").groupBy("_k1", "_k2")
                   .agg(F.collect_set(F.struct("pos", "_m")).alias("_seeds")), "seeds")
