@@ -40,8 +40,10 @@ from .textops import U64, Words, grams, mix, pieces
 SHINGLE, PASSAGE, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 3
 #: A window's near copies are matched within so many passages around its centre.
 REACH = 2
-#: Words of the runs that near copies are matched by.
-UNIT = 10
+#: Words of the runs that near copies are matched by: one shingle, so that words between close edits count, too.
+UNIT = SHINGLE
+#: Words that may stand between two matched runs of one stretch.
+GAP = 25
 _RUNS, _UNITS, _STRETCHES = 100, 101, 102
 #: Distinct texts on a side of a square of comparisons, and members that a task of small groups has, about.
 MEMBERS, TASK_MEMBERS = 1024, 16384
@@ -221,7 +223,7 @@ def _near(at: np.ndarray, partner: np.ndarray, passage: int, similarity: float)
     out = []
     order = np.lexsort((at, partner))
     at, partner = at[order], partner[order]
-    cuts = np.flatnonzero((np.diff(partner) != 0) | (np.diff(at) > 2 * UNIT + SHINGLE)) + 1
+    cuts = np.flatnonzero((np.diff(partner) != 0) | (np.diff(at) > GAP)) + 1
     need = 2 * similarity / (1 + similarity)  # matched / all shingles of stretches of equal length
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
         p = at[a:b]

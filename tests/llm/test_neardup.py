@@ -144,7 +144,8 @@ def test_forest_keeps_components_and_thins_links(spark, monkeypatch, limit):
     from lakestone.llm import components as C
     monkeypatch.setattr(C, "FOREST_LINKS", limit)
     rng = random.Random(limit)
-    pairs = [(rng.randrange(c * 40, c * 40 + 40), rng.randrange(c * 40, c * 40 + 40)) for c in range(6) for _ in range(150)] + [(999, 999)]
+    pairs = [(rng.randrange(c * 40, c * 40 + 40), rng.randrange(c * 40, c * 40 + 40)) for c in range(6) for _ in range(150)]
+    pairs = [(a, b) for a, b in pairs if a != b] + [(999, 999)]
     parent = {}
 
     def root(x):
