@@ -14,6 +14,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f0d5cbe-8b6a-5f3a-9d43-1c64b0a4f7f2")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-_HREF = re.compile(r"""\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"""[>"']""")
+_ATTRIBUTE = re.compile(r"""(?<=[\s"'/])(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_CHARSET = re.compile(rb"""<meta\b[^>]{0,512}?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Elements whose content is not shown; that of a title is not part of the text either.
+_HIDDEN = frozenset(("script", "style", "template", "noscript"))
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 #: Elements that stay within a line; every other tag breaks it.
@@ -91,12 +95,143 @@ def split_http(block: bytes) -> tuple[str, Headers, bytes]:
     return status, Headers(lines), payload
 
 
+class Page:
+    """What a page shows: ``text``, ``title`` (None without one) and ``links`` (href and src of its tags).
+
+    One scan from left to right.  A tag ends at the first ``>`` outside quotes; a ``<`` that begins
+    no tag, or one that never ends, is a character.  Comments and hidden elements that are
+    never closed reach to the end of the page.  Time grows with the page's length, whatever
+    its markup: a quote from which no end was found is not tried again.
+    """
+
+    def __init__(self, page: str):
+        self.title: str | None = None
+        self.links: list[str] = []
+        self._page, self._low = page, page.translate(_ASCII_LOWER)
+        self._last, self._next = page.rfind(">"), -1
+        # Quotes from which no end was found, and elements that no closing tag follows any more.
+        self._dead: set[int] = set()
+        self._open: set[str] = set()
+        parts: list[str] = []
+        at = 0
+        while (begin := page.find("<", at)) >= 0:
+            parts.append(page[at:begin])
+            at, shown = self._markup(begin)
+            parts.append(shown)
+        parts.append(page[at:])
+        self.text = _LINES.sub("\n", _BLANKS.sub(" ", html.unescape("".join(parts)))).strip()
+
+    def _markup(self, begin: int) -> tuple[int, str]:
+        """Where the markup at ``begin`` ends, and what stands for it in the text."""
+        page = self._page
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            return (end + 3 if end >= 0 else len(page)), " "
+        if page[begin + 1:begin + 2] in ("!", "?"):
+            end = page.find(">", begin) if begin < self._last else -1
+            return (end + 1, "\n") if end >= 0 else (begin + 1, "<")
+        closing = page.startswith("/", begin + 1)
+        name = _NAME.match(page, begin + 1 + closing)
+        end = self._end(name.end()) if name else -1
+        if end < 0:
+            return begin + 1, "<"
+        kind = name[0].lower()
+        if closing:
+            return end, "" if kind in _INLINE else "\n"
+        if kind in _HIDDEN:
+            return self._after(kind, end)[1], " "
+        if kind == "title":
+            inside, after = self._after(kind, end)
+            if after > inside:  # closed
+                if self.title is None:
+                    self.title = _BLANKS.sub(" ", html.unescape(page[end:inside])).strip()
+                return after, "\n"
+            return end, "\n"
+        found = _ATTRIBUTE.findall(page, name.end(), end)
+        self.links += [html.unescape(a or b or c) for a, b, c in found]
+        return end, "" if kind in _INLINE else "\n"
+
+    def _end(self, at: int) -> int:
+        """After the ``>`` that ends the tag whose name ends at ``at``, or -1."""
+        tried: list[int] = []
+        while at <= self._last:
+            if self._next < at:  # the next stop of an earlier scan serves as long as it lies ahead
+                self._next = _STOP.search(self._page, at).start()
+            stop = self._next
+            if self._page[stop] == ">":
+                return stop + 1
+            if stop in self._dead:
+                break
+            tried.append(stop)
+            at = self._page.find(self._page[stop], stop + 1) + 1
+            if not at:
+                break
+        self._dead.update(tried)
+        return -1
+
+    def _after(self, kind: str, at: int) -> tuple[int, int]:
+        """Where the element's content ends, and where its closing tag does; the page's end twice if it is never closed."""
+        while kind not in self._open and (close := self._low.find(f"</{kind}", at)) >= 0:
+            at = close + 2 + len(kind)
+            rest = at
+            while rest < len(self._page) and self._page[rest].isspace():
+                rest += 1
+            if self._page.startswith(">", rest):
+                return close, rest + 1
+            at = rest
+        self._open.add(kind)
+        return len(self._page), len(self._page)
+
+
 def plain_text(page: str) -> str:
     """Visible text: scripts, styles and comments go, block elements break lines, entities are resolved."""
-    shown = _HIDDEN.sub(" ", page)
-    shown = _TITLE.sub("\n", shown)
-    shown = _TAG.sub(lambda m: "" if (m[2] or "").lower() in _INLINE else "\n", shown)
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(shown))).strip()
+    return Page(page).text
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """A chunked body's content, as far as its chunks are whole."""
+    out, at = [], 0
+    while (line := payload.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(payload[at:line].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(payload[line + 2:line + 2 + size])
+        at = line + 4 + size
+    return b"".join(out)
+
+
+def content(http: Headers, payload: bytes) -> tuple[str, str | None]:
+    """(media type, text) of an HTTP body; None for what is no text, or encoded in a way that is not known here.
+
+    Chunks are put together and gzip and deflate undone.  The charset is the header's, else
+    the page's own, else UTF-8; bytes that it does not know are replaced.  A body without a
+    type is taken as HTML.
+    """
+    media, *params = (http.get("Content-Type") or "text/html").split(";")
+    media = media.strip().lower()
+    if (http.get("Transfer-Encoding") or "").strip().lower() == "chunked":
+        payload = _unchunked(payload)
+    coding = (http.get("Content-Encoding") or "identity").strip().lower()
+    try:
+        if coding in ("gzip", "x-gzip", "deflate"):
+            raw = zlib.decompressobj(47 if coding != "deflate" or payload[:1] == b"\x78" else -15)
+            payload = raw.decompress(payload)
+        elif coding != "identity":
+            return media, None
+    except zlib.error:
+        return media, None
+    if not media.startswith("text/") and media != "application/xhtml+xml":
+        return media, None
+    named = [v.strip().strip("\"'") for k, _, v in (p.partition("=") for p in params) if k.strip().lower() == "charset"]
+    meta = _CHARSET.search(payload[:4096]) if media != "text/plain" else None
+    charset = named[0] if named else meta[1].decode() if meta else "utf-8"
+    try:
+        return media, payload.decode(charset, "replace")
+    except (LookupError, ValueError):
+        return media, payload.decode("utf-8", "replace")
 
 
 def _uri(url: str) -> str:
@@ -113,21 +248,27 @@ def response(url: str | None, page: str | None, date: str = DATE) -> bytes:
 
 
 def derive(record: bytes) -> list[dict]:
-    """The metadata and conversion records of a response record; other record types have none."""
+    """The metadata and conversion records of a response record; other record types have none.
+
+    A body that is no text (see ``content``) has a metadata record only; plain text is converted as it is.
+    """
     source, block = parse(record)
     if source.get("WARC-Type") != "response":
         return []
     status, http, payload = split_http(block)
-    page = payload.decode("utf-8", "replace")
+    media, body = content(http, payload)
+    page = Page(body) if body is not None and media != "text/plain" else None
     kept = [(k, source[k]) for k in ("WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest") if k in source]
     kept.insert(0, ("WARC-Refers-To", source["WARC-Record-ID"]))
-    title = _TITLE.search(page)
-    links = [html.unescape(m[1] or m[2] or m[3] or "") for m in _HREF.finditer(_HIDDEN.sub(" ", page))]
-    about = {"warc": source, "http": {"status": status, "headers": http},
-             "html": {"title": _BLANKS.sub(" ", html.unescape(title[1])).strip() if title else None, "links": links}}
+    about = {"warc": source, "http": {"status": status, "headers": http}}
+    if page:
+        about["html"] = {"title": page.title, "links": page.links}
+    title, n_links = (page.title, len(page.links)) if page else (None, 0)
+    texts = [("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True))]
+    if body is not None:
+        texts.append(("conversion", "text/plain; charset=utf-8", page.text if page else body))
     out = []
-    for kind, media, body in (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True)),
-                              ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+    for kind, media, body in texts:
         data = body.encode("utf-8", "replace")
         ident = record_id(kind, source["WARC-Record-ID"], digest(data))
         headers = [("WARC-Type", kind), ("WARC-Record-ID", ident), *kept, ("WARC-Block-Digest", digest(data)),
@@ -135,8 +276,8 @@ def derive(record: bytes) -> list[dict]:
         out.append({"type": kind, "record_id": ident, "refers_to": source["WARC-Record-ID"],
                     "target_uri": source.get("WARC-Target-URI"), "date": source.get("WARC-Date"),
                     "payload_digest": source.get("WARC-Payload-Digest"), "block_digest": digest(data),
-                    "content_length": len(data), "title": about["html"]["title"] if kind == "metadata" else None,
-                    "n_links": len(links) if kind == "metadata" else None, "text": body, "record": build(headers, data)})
+                    "content_length": len(data), "title": title if kind == "metadata" else None,
+                    "n_links": n_links if kind == "metadata" else None, "text": body, "record": build(headers, data)})
     return out
 
 
@@ -169,7 +310,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
 
 
 def derivatives(records: DataFrame, key: str = "page_id", record: str = "record") -> DataFrame:
-    """Two rows (metadata, conversion) for every response record in ``records``.
+    """Two rows (metadata, conversion) for every response record in ``records``; one where the body is no text.
 
     Null records and records of other types have none; a malformed record fails the job.
     """
