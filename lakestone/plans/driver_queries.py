@@ -499,6 +499,12 @@ def parquet_roundtrip(spark, sf_dir):
     return io.read_parquet(spark, path)
 
 
+def parquet_clustered(spark, sf_dir):
+    """Orders written so that filters on customer and on date both skip row groups, and read back."""
+    path = io.write_clustered(_t(spark, sf_dir, "orders"), scratch_path(spark, "orders_clustered"), ["o_custkey", "o_orderdate"])
+    return spark.read.parquet(path)
+
+
 def lake_upload(spark, sf_dir):
     lake = scratch_path(spark, "lake")
     uploaded = io.upload_tables(spark, io.discover(spark, sf_dir, "*.parquet"), lake)
@@ -626,6 +632,7 @@ QUERIES.update({
     "bronze_quoted_csv": bronze_quoted_csv,
     "bronze_ndjson_roundtrip": bronze_ndjson_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
+    "parquet_clustered": parquet_clustered,
     "lake_upload": lake_upload,
     "object_inventory": object_inventory,
     "medallion_summary": medallion_summary,

@@ -359,6 +359,8 @@ SELECT event_id, strftime(ts, {ISO}) AS ts, user_id, event_type, value, props FR
 
 ORACLE["parquet_roundtrip"] = "SELECT * FROM lineitem"
 
+ORACLE["parquet_clustered"] = "SELECT * FROM orders"
+
 _ALL_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
                "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
 
