@@ -31,8 +31,18 @@ def with_possible(df: DataFrame, words: DataFrame, hashed: Column, name: str, bi
 
     Columns ``__slot``, ``__word`` and ``__mask`` are the operator's own while it works.
     """
+    return _met(df, words, hashed, bits, "left").withColumn(name, F.coalesce(_set(), F.lit(False))).drop("__slot", "__word", "__mask")
+
+
+def only_possible(df: DataFrame, words: DataFrame, hashed: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose bit is set."""
+    return _met(df, words, hashed, bits, "inner").where(_set()).drop("__slot", "__word", "__mask")
+
+
+def _set() -> Column:
+    return F.getbit(F.col("__mask"), (F.col("__slot") % 64).cast("int")) == 1
+
+
+def _met(df: DataFrame, words: DataFrame, hashed: Column, bits: int, how: str) -> DataFrame:
     own = F.broadcast(words.select(F.col("word").alias("__word"), F.col("mask").alias("__mask")))
-    set_ = F.getbit(F.col("__mask"), (F.col("__slot") % 64).cast("int")) == 1
-    return (df.withColumn("__slot", F.pmod(hashed, F.lit(bits)))
-            .join(own, F.shiftright(F.col("__slot"), 6) == F.col("__word"), "left")
-            .withColumn(name, F.coalesce(set_, F.lit(False))).drop("__slot", "__word", "__mask"))
+    return df.withColumn("__slot", F.pmod(hashed, F.lit(bits))).join(own, F.shiftright(F.col("__slot"), 6) == F.col("__word"), how)
