@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestone.operators.key_filter import filter_words, with_possible
+from lakestone.operators.key_filter import filter_words, only_possible, with_possible
 from lakestone.session import scratch_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -105,11 +105,11 @@ def found_texts(texts: DataFrame, bench: DataFrame, window: int, k: int, short:
                  "item-marks")
     # The low bits of a fingerprint are its position's, so the filter takes a hash of it.
     of_item = filter_words(kept.select(F.xxhash64("hash").alias("hash")))
-    near = with_possible(marked, of_item, F.xxhash64("hash"), "_near").where("_near").drop("_near")
+    near = only_possible(marked, of_item, F.xxhash64("hash"))
     # Which marks of a text stand in some item, whichever: words that repeat cost one row a position.
     seeds = _kept(near.join(kept.hint("merge"), "hash").groupBy("_k1", "_k2")
                   .agg(F.collect_set(F.struct("pos", "_m")).alias("_seeds")), "seeds")
-    seeded = with_possible(texts, filter_words(seeds.select(F.col("_k1").alias("hash"))), F.col("_k1"), "_near").where("_near")
+    seeded = only_possible(texts, filter_words(seeds.select(F.col("_k1").alias("hash"))), F.col("_k1"))
     one = seeded.groupBy("_k1", "_k2").agg(F.first("_body").alias("_body"))
     # Words stand below the join: in a projection of their own they would be split anew inside each lambda call.
     split = one.select("_k1", "_k2", words(F.col("_body")).alias("_w")).withColumn("_n", F.size("_w"))
