@@ -11,7 +11,8 @@ of similarity 0.8 do.  Windows whose min-hash stands in another document are can
 
 Candidates are verified by the words in them.  Every run of ``passage`` words inside a
 candidate is looked up: those that stand in another document are repeated passages, without
-exception.  For passages that differ in places, runs of ``UNIT`` words are looked up too;
+exception.  For passages that differ in places, runs of ``UNIT`` words are looked up too, but
+not where one earlier document has all the words: there its own copy stands for the others;
 stretches of at least ``passage`` words whose shingles match one other document to
 ``similarity`` are near copies.  All lookups go through ``blocks``: a passage of a third
 of the corpus costs an entry a block, and no pairs are made.
@@ -154,23 +155,49 @@ class _Block:
         second = np.minimum.reduceat(other, begin) if len(begin) else other
         return k[begin], np.stack([o[begin], second], 1)
 
-    def candidates(self, windows: list, answers: dict[int, np.ndarray], passage: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words where a run of ``passage`` words, and where one of UNIT words, is to be looked up."""
-        n = len(self.hash)
-        runs, units = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        for k, (l, c, r, value) in enumerate(windows):
-            if not len(value):
-                continue
-            keys = np.unique(value)
-            found = answers[k][np.searchsorted(keys, value)]
-            hit = found[:, 0] != found[:, 1]
-            l, c, r = l[hit], c[hit], r[hit] + SHINGLE  # r: the word after the window
-            np.add.at(runs, np.maximum(l, c + SHINGLE - passage), 1)
-            np.add.at(runs, np.minimum(c, r - passage) + 1, -1)
-            np.add.at(units, np.maximum(l, c - REACH * passage), 1)
-            np.add.at(units, np.minimum(c + REACH * passage, r - UNIT) + 1, -1)
-        return (np.flatnonzero((np.cumsum(runs[:n]) > 0) & self.room(passage)),
-                np.flatnonzero((np.cumsum(units[:n]) > 0) & self.room(UNIT)))
+    def hits(self, windows: list, answers: dict[int, np.ndarray]) -> list[np.ndarray]:
+        """For each function which windows' min-hashes stand in another document."""
+        out = []
+        for k, (_, _, _, value) in enumerate(windows):
+            found = answers[k][np.searchsorted(np.unique(value), value)] if len(value) else np.zeros((0, 2), np.int64)
+            out.append(found[:, 0] != found[:, 1])
+        return out
+
+    def run_places(self, windows: list, answers: dict[int, np.ndarray], passage: int) -> np.ndarray:
+        """Words where a run of ``passage`` words is to be looked up."""
+        steps = np.zeros(len(self.hash) + 1, np.int64)
+        for (l, c, r, _), hit in zip(windows, self.hits(windows, answers), strict=True):
+            np.add.at(steps, np.maximum(l[hit], c[hit] + SHINGLE - passage), 1)
+            np.add.at(steps, np.minimum(c[hit], r[hit] + SHINGLE - passage) + 1, -1)
+        return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(passage))
+
+    def unit_places(self, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Words where a run of UNIT words is to be looked up: those of the ``spans`` of windows."""
+        steps = np.zeros(len(self.hash) + 1, np.int64)
+        for _, first, after in spans:
+            np.add.at(steps, first, 1)
+            np.add.at(steps, after, -1)
+        return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(UNIT))
+
+
+class _Copies:
+    """Which runs of ``passage`` words of a block's texts stand in other documents, by the answers to them."""
+
+    def __init__(self, b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int):
+        self.at, self.found = _looked_up(b, answers, _RUNS, passage, b.run_places(windows, answers, passage))
+        self.early = self.found[:, 0] < b.owner[b.text[self.at]]
+        source = np.full(len(b.hash), _NONE)
+        source[self.at[self.early]] = self.found[self.early, 0]
+        changes = np.concatenate(([0], np.cumsum((source == _NONE) | np.r_[True, source[1:] != source[:-1]])))
+        #: For each function (min-hash, first run, run after the last) of the windows to match near copies in.  Left out
+        #: are those that one earlier document has word for word, with a window around them, to be matched in their place.
+        self.spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for (l, c, r, value), hit in zip(windows, b.hits(windows, answers), strict=True):
+            first = np.maximum(l, c - REACH * passage)
+            after = np.minimum(c + REACH * passage, r + SHINGLE - UNIT) + 1
+            last = after + UNIT - 1 - passage
+            on = hit & ~((source[first] != _NONE) & (changes[last + 1] == changes[first + 1])) if len(value) else hit
+            self.spans.append((value[on], first[on], after[on]))
 
 
 def _two_owners(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
@@ -211,10 +238,19 @@ def _runs_sent(text: str, ranges: int, passage: int, functions: int):
         if not len(table):
             return blocks.SENT_ARROW.empty_table()
         b = _Block(table, text)
-        runs, units = b.candidates(b.windows(passage, functions), _answers(answers, list(range(functions))), passage)
-        levels = [(level, *b.owners(grams(b.hash, size)[at], at)) for level, size, at
-                  in ((_RUNS, passage, runs), (_UNITS, UNIT, units)) if len(at)]
-        return blocks.send(b.block, ranges, levels)
+        runs = b.run_places(b.windows(passage, functions), _answers(answers, list(range(functions))), passage)
+        return blocks.send(b.block, ranges, [(_RUNS, *b.owners(grams(b.hash, passage)[runs], runs))] if len(runs) else [])
+    return run
+
+
+def _units_sent(text: str, ranges: int, passage: int, functions: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return blocks.SENT_ARROW.empty_table()
+        b = _Block(table, text)
+        copies = _Copies(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS]), passage)
+        units = b.unit_places(copies.spans)
+        return blocks.send(b.block, ranges, [(_UNITS, *b.owners(grams(b.hash, UNIT)[units], units))] if len(units) else [])
     return run
 
 
@@ -287,16 +323,12 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
     """For each function, of the windows that a near copy can stand in: min-hash, first run, run after the last, and
     whether a partner is looked for.  Last which runs stand in another document.
 
-    Left out are windows whose runs found elsewhere hold too few shingles, and those that one
-    earlier document has word for word, with a window around them, to be compared in their place.
+    Left out are windows whose runs found elsewhere hold too few shingles, and those that ``_Copies`` leaves out.
     """
-    runs, units = b.candidates(windows, answers, passage)
-    at, found = _looked_up(b, answers, _RUNS, passage, runs)
-    early = found[:, 0] < b.owner[b.text[at]]
-    done = _covered(b, at[early], passage)
-    source = np.full(len(b.hash), _NONE)
-    source[at[early]] = found[early, 0]
-    new = np.concatenate(([0], np.cumsum((source == _NONE) | np.r_[True, source[1:] != source[:-1]])))
+    copies = _Copies(b, windows, answers, passage)
+    at, found = copies.at, copies.found
+    units = b.unit_places(copies.spans)
+    done = _covered(b, at[copies.early], passage)
     known = _covered(b, at, passage)
     at, partner = _partners(b, answers, units)
     for t, near in _credited(b, at, partner, passage, similarity).items():
@@ -321,16 +353,11 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
     begun = np.concatenate(([0], np.cumsum(elsewhere & ~np.r_[False, elsewhere[:-1]])))
     least = _least(passage, similarity)
     out = []
-    for k, (l, c, r, value) in enumerate(windows):
-        found = answers[k][np.searchsorted(np.unique(value), value)] if len(value) else np.zeros((0, 2), np.int64)
-        first = np.maximum(l, c - REACH * passage)
-        after = np.minimum(c + REACH * passage, r + SHINGLE - UNIT) + 1
+    for value, first, after in copies.spans:
         shared = hits[after] - hits[first] + (UNIT - SHINGLE) * (begun[after] - begun[first + 1] + elsewhere[first])
-        last = after + UNIT - 1 - passage
-        copied = (source[first] != _NONE) & (new[last + 1] == new[first + 1])
-        on = (found[:, 0] != found[:, 1]) & (shared >= least) & ~copied
-        first, after = first[on], after[on]
-        out.append((value[on], first, after, wanted[after + UNIT - 1] > wanted[first]))
+        on = shared >= least
+        value, first, after = value[on], first[on], after[on]
+        out.append((value, first, after, wanted[after + UNIT - 1] > wanted[first]))
     return [*out, elsewhere]
 
 
@@ -515,15 +542,14 @@ def passages(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
     ``stretches`` has rows (owner, sign, first word, word after, partner) of near copies.
     """
     out: list[list[dict]] = [[] for _ in range(len(b.first) - 1)]
-    runs, units = b.candidates(windows, answers, passage)
+    copies = _Copies(b, windows, answers, passage)
 
     def add(text: int, a: int, z: int, first_doc: int, near: bool) -> None:
         base = b.first[text]
         out[text].append({"start_word": int(a - base), "end_word": int(z - base), "start": int(b.start[a]),
                           "end": int(b.end[z - 1]), "first_doc": first_doc, "near": near})
 
-    at, found = _looked_up(b, answers, _RUNS, passage, runs)
-    first_doc = found[:, 0]
+    at, first_doc = copies.at, copies.found[:, 0]
     exact = _covered(b, at, passage)
     earlier = _covered(b, at[first_doc < b.owner[b.text[at]]], passage)
     if len(at):
@@ -531,7 +557,7 @@ def passages(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
         cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(text) != 0) | (np.diff(first_doc) != 0)) + 1
         for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
             add(int(text[i]), int(at[i]), int(at[j - 1]) + passage, int(first_doc[i]), False)
-    near = _credited(b, *_partners(b, answers, units), passage, similarity)
+    near = _credited(b, *_partners(b, answers, b.unit_places(copies.spans)), passage, similarity)
     places: dict[tuple[int, int], list[int]] = {}
     for t, mark in enumerate(zip(b.owner.tolist(), b.signs().tolist(), strict=True)):
         places.setdefault(mark, []).append(t)
@@ -579,7 +605,10 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", passage:
         _windows_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
     runs = blocks.answered(dealt.groupBy("_block").cogroup(windows.groupBy("block")).applyInArrow(
         _runs_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
-    both = windows.unionByName(runs)
+    found = windows.unionByName(runs)
+    units = blocks.answered(dealt.groupBy("_block").cogroup(found.groupBy("block")).applyInArrow(
+        _units_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
+    both = found.unionByName(units)
     asked = blocks.answered(dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(
         _asked(text, ranges, passage, functions, similarity), blocks.SENT), _any, "<u1")
     members = dealt.groupBy("_block").cogroup(
