@@ -22,19 +22,27 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _digest(key, salt: str) -> Column:
-    return F.sha2(F.concat(_col(key).cast("string"), F.lit(f":{salt}")), 256)
+def slice_of(salt: str) -> tuple[str, int | None]:
+    """``salt@k`` is the k-th slice of the digest of (key, salt): rows take several draws from one digest."""
+    name, at, part = salt.partition("@")
+    return name, int(part) if at else None
+
+
+def _bits(key, salt: str, digits: int) -> Column:
+    """The first ``digits`` hex digits of the salt's slice; a slice is as long as a multiple of eight digits needs."""
+    name, part = slice_of(salt)
+    digest = F.sha2(F.concat(_col(key).cast("string"), F.lit(f":{name}")), 256)
+    return F.conv(F.substring(digest, 1 + (part or 0) * (-(-digits // 8) * 8), digits), 16, 10).cast("long")
 
 
 def hash_score(key, salt: str) -> Column:
-    """A non-negative 60-bit integer from the digest: a sort key for hash order."""
-    return F.conv(F.substring(_digest(key, salt), 1, 15), 16, 10).cast("long")
+    """A non-negative 60-bit integer from the digest: a sort key for hash order (slices 0 to 3)."""
+    return _bits(key, salt, 15)
 
 
 def uniform01(key, salt: str) -> Column:
-    """Uniform in (0, 1) from the first 32 bits of the digest (never exactly 0 or 1)."""
-    bits = F.conv(F.substring(_digest(key, salt), 1, 8), 16, 10).cast("long")
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(TWO_POW_32)
+    """Uniform in (0, 1) from 32 bits of the digest, never exactly 0 or 1 (slices 0 to 7)."""
+    return (_bits(key, salt, 8).cast("double") + F.lit(0.5)) / F.lit(TWO_POW_32)
 
 
 def uniform(key, salt: str, low: float, high: float) -> Column:
@@ -42,9 +50,10 @@ def uniform(key, salt: str, low: float, high: float) -> Column:
 
 
 def std_normal(key, salt: str) -> Column:
-    """Standard normal by Box-Muller from two independent uniforms of the same key."""
-    u1 = uniform01(key, salt + ".a")
-    u2 = uniform01(key, salt + ".b")
+    """Standard normal by Box-Muller from two independent uniforms of the same key: a slice and the next, or two digests."""
+    name, part = slice_of(salt)
+    first, second = (f"{name}.a", f"{name}.b") if part is None else (salt, f"{name}@{part + 1}")
+    u1, u2 = uniform01(key, first), uniform01(key, second)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(TWO_PI) * u2)
 
 

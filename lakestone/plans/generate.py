@@ -54,12 +54,17 @@ def readings_from_index(idx: DataFrame, n_per_sensor: int, seed: int = 42, i: st
                 _pick(sensor, obs.SENSORS).alias("sensor_id"),
                 F.date_format(ts, ISO_SECONDS).alias("timestamp"),
                 _pick(sensor, list(obs.SENSOR_PLACES.values())).alias("ubicacion"),
-                rh((F.lit(obs.TEMPERATURE[0]) + adj) + F.lit(obs.TEMPERATURE[1]) * std_normal(key, f"{s}:temp"), 2).alias("temperatura_c"),
-                rh(uniform(key, f"{s}:hum", *obs.HUMIDITY), 1).alias("humedad_pct"),
-                rh(F.abs(F.lit(obs.WIND[0]) + F.lit(obs.WIND[1]) * std_normal(key, f"{s}:wind")), 2).alias("velocidad_viento_ms"),
-                rh(F.lit(obs.PRESSURE[0]) + F.lit(obs.PRESSURE[1]) * std_normal(key, f"{s}:pres"), 2).alias("presion_hpa"),
-                rh(F.abs(F.lit(obs.SEEING[0]) + F.lit(obs.SEEING[1]) * std_normal(key, f"{s}:see")), 3).alias("seeing_arcsec"),
-                rh(uniform(key, f"{s}:tra", *obs.TRANSPARENCY), 3).alias("transparencia")))
+                rh((F.lit(obs.TEMPERATURE[0]) + adj) + F.lit(obs.TEMPERATURE[1]) * std_normal(key, f"{s}:a@0"), 2).alias("temperatura_c"),
+                rh(uniform(key, f"{s}:a@2", *obs.HUMIDITY), 1).alias("humedad_pct"),
+                rh(F.abs(F.lit(obs.WIND[0]) + F.lit(obs.WIND[1]) * std_normal(key, f"{s}:a@3")), 2).alias("velocidad_viento_ms"),
+                rh(F.lit(obs.PRESSURE[0]) + F.lit(obs.PRESSURE[1]) * std_normal(key, f"{s}:b@0"), 2).alias("presion_hpa"),
+                rh(F.abs(F.lit(obs.SEEING[0]) + F.lit(obs.SEEING[1]) * std_normal(key, f"{s}:b@2")), 3).alias("seeing_arcsec"),
+                rh(uniform(key, f"{s}:a@5", *obs.TRANSPARENCY), 3).alias("transparencia")))
+
+
+def pick_salt(salt: str, k: int) -> str:
+    """Salt of the scores that choose the rows of error type ``k`` (from 1): four types share a digest."""
+    return f"{salt}:pick{(k - 1) // 4}@{(k - 1) % 4}"
 
 
 def error_count(n_rows: int, rate: float, kinds: int) -> int:
@@ -92,7 +97,7 @@ def inject_reading_errors(base: DataFrame, n_err: int, seed: int = 42, i: str =
         ("presion_hpa", lambda: rh(uniform(key, f"{s}:v6", *obs.BAD_PRESSURE), 2)),
         ("transparencia", lambda: rh(uniform(key, f"{s}:v7", *obs.BAD_TRANSPARENCY), 3)),
     ]
-    score = {k: hash_score(key, f"{s}:pick{k}") for k in range(1, 9)}
+    score = {k: hash_score(key, pick_salt(s, k)) for k in range(1, 9)}
     # The searches need the index only.
     ids = base.select(i)
     cuts = rank_cutoffs({k: (ids, score[k], i) for k in score}, n_err)
@@ -117,21 +122,21 @@ def generate_readings(spark: SparkSession, n_total: int, error_rate: float = 0.1
 def events_from_index(idx: DataFrame, seed: int = 42, i: str = "i") -> DataFrame:
     key = F.col(i)
     s = f"{seed}:o"
-    offset_h = uniform(key, f"{s}:h", 0.0, 10.0) + randint(key, f"{s}:night", 0, 6) * F.lit(24)
+    offset_h = uniform(key, f"{s}:a@0", 0.0, 10.0) + randint(key, f"{s}:a@1", 0, 6) * F.lit(24)
     ts = F.timestamp_add("SECOND", F.floor(offset_h * F.lit(3600.0)).cast("long"),
                          F.lit(obs.EVENTS_START).cast("timestamp_ntz"))
     return idx.select(
         key.alias(i),
         F.format_string("OBS-2024-%04d", key + F.lit(1)).alias("obs_id"),
-        choice(key, f"{s}:sensor", obs.SENSORS).alias("sensor_id"),
+        choice(key, f"{s}:a@2", obs.SENSORS).alias("sensor_id"),
         F.date_format(ts, ISO_SECONDS).alias("timestamp"),
-        choice(key, f"{s}:obj", obs.CELESTIAL_OBJECTS).alias("objeto_observado"),
-        rh(uniform(key, f"{s}:mag", *obs.MAGNITUDE), 2).alias("magnitud"),
-        rh(uniform(key, f"{s}:ra", *obs.RIGHT_ASCENSION), 4).alias("ascension_recta"),
-        rh(uniform(key, f"{s}:dec", *obs.DECLINATION), 4).alias("declinacion"),
-        randint(key, f"{s}:dur", *obs.DURATION_MIN).alias("duracion_min"),
-        choice(key, f"{s}:ins", obs.VALID_INSTRUMENTS).alias("instrumento"),
-        weighted_choice(key, f"{s}:state", obs.STATES, obs.STATE_WEIGHTS).alias("estado"))
+        choice(key, f"{s}:a@3", obs.CELESTIAL_OBJECTS).alias("objeto_observado"),
+        rh(uniform(key, f"{s}:a@4", *obs.MAGNITUDE), 2).alias("magnitud"),
+        rh(uniform(key, f"{s}:a@5", *obs.RIGHT_ASCENSION), 4).alias("ascension_recta"),
+        rh(uniform(key, f"{s}:a@6", *obs.DECLINATION), 4).alias("declinacion"),
+        randint(key, f"{s}:a@7", *obs.DURATION_MIN).alias("duracion_min"),
+        choice(key, f"{s}:b@0", obs.VALID_INSTRUMENTS).alias("instrumento"),
+        weighted_choice(key, f"{s}:b@1", obs.STATES, obs.STATE_WEIGHTS).alias("estado"))
 
 
 def inject_event_errors(base: DataFrame, n_rows: int, n_err: int, seed: int = 42, i: str = "i") -> DataFrame:
@@ -144,7 +149,7 @@ def inject_event_errors(base: DataFrame, n_rows: int, n_err: int, seed: int = 42
         ("timestamp", lambda: future_text(key, f"{s}:v3", F.lit(21), F.lit(0))),
     ]
     n_copies = min(n_err, n_rows)
-    score = {k: hash_score(key, f"{s}:pick{k}") for k in range(1, 6)}
+    score = {k: hash_score(key, pick_salt(s, k)) for k in range(1, 6)}
     # Keys of the grown table: the base rows and the copies, which take n_rows + rank.
     grown = base.select(i).unionByName(
         base.sparkSession.range(n_rows, n_rows + n_copies).withColumnRenamed("id", i))
@@ -180,10 +185,10 @@ def records_from_index(idx: DataFrame, seed: int = 42, i: str = "i") -> DataFram
     s = f"{seed}:t"
     return idx.select(
         key.alias(i),
-        randint(key, f"{s}:user", 1, 4999).alias("user_id"),
-        (std_normal(key, f"{s}:value") * F.lit(100.0) + F.lit(1000.0)).alias("value"),
-        choice(key, f"{s}:cat", list("ABCDE")).alias("category"),
-        randint(key, f"{s}:text", 0, (1 << 20) - 1).cast("string").alias("text"),
+        randint(key, f"{s}:a@0", 1, 4999).alias("user_id"),
+        (std_normal(key, f"{s}:a@1") * F.lit(100.0) + F.lit(1000.0)).alias("value"),
+        choice(key, f"{s}:a@3", list("ABCDE")).alias("category"),
+        randint(key, f"{s}:a@4", 0, (1 << 20) - 1).cast("string").alias("text"),
         F.timestamp_add("SECOND", key, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("timestamp"))
 
 

@@ -483,12 +483,12 @@ base AS (
     {D.pick(sensor, _obs.SENSORS)} AS sensor_id,
     strftime({ts}, {ISO}) AS timestamp,
     {D.pick(sensor, list(_obs.SENSOR_PLACES.values()))} AS ubicacion,
-    {_rh(f"({D.dbl(16.8)} + {adj}) + {D.dbl(1.5)} * {D.std_normal('i', s + ':temp')}", 2)} AS temperatura_c,
-    {_rh(D.uniform('i', s + ':hum', 3.0, 20.0), 1)} AS humedad_pct,
-    {_rh(f"abs({D.dbl(5.3)} + {D.dbl(2.1)} * {D.std_normal('i', s + ':wind')})", 2)} AS velocidad_viento_ms,
-    {_rh(f"{D.dbl(745.0)} + {D.dbl(2.5)} * {D.std_normal('i', s + ':pres')}", 2)} AS presion_hpa,
-    {_rh(f"abs({D.dbl(0.64)} + {D.dbl(0.25)} * {D.std_normal('i', s + ':see')})", 3)} AS seeing_arcsec,
-    {_rh(D.uniform('i', s + ':tra', 0.65, 1.0), 3)} AS transparencia
+    {_rh(f"({D.dbl(16.8)} + {adj}) + {D.dbl(1.5)} * {D.std_normal('i', s + ':a@0')}", 2)} AS temperatura_c,
+    {_rh(D.uniform('i', s + ':a@2', 3.0, 20.0), 1)} AS humedad_pct,
+    {_rh(f"abs({D.dbl(5.3)} + {D.dbl(2.1)} * {D.std_normal('i', s + ':a@3')})", 2)} AS velocidad_viento_ms,
+    {_rh(f"{D.dbl(745.0)} + {D.dbl(2.5)} * {D.std_normal('i', s + ':b@0')}", 2)} AS presion_hpa,
+    {_rh(f"abs({D.dbl(0.64)} + {D.dbl(0.25)} * {D.std_normal('i', s + ':b@2')})", 3)} AS seeing_arcsec,
+    {_rh(D.uniform('i', s + ':a@5', 0.65, 1.0), 3)} AS transparencia
   FROM idx, n WHERE i >= 0 AND i < 5 * nps
 )"""
 
@@ -506,6 +506,10 @@ def _future_sql(key: str, salt: str, hour: str | None = None, minute: str | None
             f"{D.randint(key, salt + ':d', 1, 28)}, {hh}, {mm})")
 
 
+def _pick(salt: str, k: int) -> str:
+    return f"{salt}:pick{(k - 1) // 4}@{(k - 1) % 4}"
+
+
 def _hit(salt: str) -> str:
     return f"(row_number() OVER (ORDER BY {D.score('i', salt)}, i) <= nerr)"
 
@@ -525,10 +529,10 @@ def _injected_readings_sql() -> str:
             "k AS (SELECT GREATEST(1, CAST(floor((5 * nps) * 0.1::DOUBLE / 8.0::DOUBLE) AS BIGINT)) AS nerr FROM n)"]
     prev = "base"
     for j, (col, val) in enumerate(steps, start=1):
-        ctes.append(f"e{j} AS (SELECT * EXCLUDE (nerr) REPLACE (CASE WHEN {_hit(s + f':pick{j}')} THEN {val} "
+        ctes.append(f"e{j} AS (SELECT * EXCLUDE (nerr) REPLACE (CASE WHEN {_hit(_pick(s, j))} THEN {val} "
                     f"ELSE {col} END AS {col}) FROM {prev}, k)")
         prev = f"e{j}"
-    ctes.append(f"cp AS (SELECT {prev}.* FROM {prev}, k QUALIFY {_hit(s + ':pick8')})")
+    ctes.append(f"cp AS (SELECT {prev}.* FROM {prev}, k QUALIFY {_hit(_pick(s, 8))})")
     ctes.append(f"allr AS (SELECT * FROM {prev} UNION ALL SELECT * FROM cp)")
     return "WITH " + ",\n".join(ctes)
 
@@ -563,22 +567,22 @@ SELECT tipo, filas, CASE WHEN rows_ > 0 THEN ROUND(filas / rows_ * 100.0, 1) ELS
 
 def _events_base_sql(where: str = "") -> str:
     s = "42:o"
-    offset = f"({D.uniform('i', s + ':h', 0.0, 10.0)} + {D.randint('i', s + ':night', 0, 6)} * 24)"
+    offset = f"({D.uniform('i', s + ':a@0', 0.0, 10.0)} + {D.randint('i', s + ':a@1', 0, 6)} * 24)"
     ts = f"(TIMESTAMP '{_obs.EVENTS_START}' + to_seconds(CAST(floor({offset} * {D.dbl(3600.0)}) AS BIGINT)))"
     return f"""
 idx AS (SELECT event_id AS i FROM events {where}),
 base AS (
   SELECT i,
     printf('OBS-2024-%04d', i + 1) AS obs_id,
-    {D.choice('i', s + ':sensor', _obs.SENSORS)} AS sensor_id,
+    {D.choice('i', s + ':a@2', _obs.SENSORS)} AS sensor_id,
     strftime({ts}, {ISO}) AS timestamp,
-    {D.choice('i', s + ':obj', _obs.CELESTIAL_OBJECTS)} AS objeto_observado,
-    {_rh(D.uniform('i', s + ':mag', -1.5, 15.0), 2)} AS magnitud,
-    {_rh(D.uniform('i', s + ':ra', 0.0, 360.0), 4)} AS ascension_recta,
-    {_rh(D.uniform('i', s + ':dec', -90.0, 0.0), 4)} AS declinacion,
-    {D.randint('i', s + ':dur', 15, 120)} AS duracion_min,
-    {D.choice('i', s + ':ins', _obs.VALID_INSTRUMENTS)} AS instrumento,
-    {D.weighted('i', s + ':state', _obs.STATES, _obs.STATE_WEIGHTS)} AS estado
+    {D.choice('i', s + ':a@3', _obs.CELESTIAL_OBJECTS)} AS objeto_observado,
+    {_rh(D.uniform('i', s + ':a@4', -1.5, 15.0), 2)} AS magnitud,
+    {_rh(D.uniform('i', s + ':a@5', 0.0, 360.0), 4)} AS ascension_recta,
+    {_rh(D.uniform('i', s + ':a@6', -90.0, 0.0), 4)} AS declinacion,
+    {D.randint('i', s + ':a@7', 15, 120)} AS duracion_min,
+    {D.choice('i', s + ':b@0', _obs.VALID_INSTRUMENTS)} AS instrumento,
+    {D.weighted('i', s + ':b@1', _obs.STATES, _obs.STATE_WEIGHTS)} AS estado
   FROM idx
 )"""
 
@@ -601,14 +605,14 @@ def _injected_events_sql(where: str = "") -> str:
             "AS nerr FROM idx)"]
     prev = "base"
     for j, (col, val) in enumerate(steps, start=1):
-        ctes.append(f"e{j} AS (SELECT * EXCLUDE (nerr, nrows) REPLACE (CASE WHEN {_hit(s + f':pick{j}')} "
+        ctes.append(f"e{j} AS (SELECT * EXCLUDE (nerr, nrows) REPLACE (CASE WHEN {_hit(_pick(s, j))} "
                     f"THEN {val} ELSE {col} END AS {col}) FROM {prev}, k)")
         prev = f"e{j}"
-    rn = f"row_number() OVER (ORDER BY {D.score('i', s + ':pick4')}, i)"
+    rn = f"row_number() OVER (ORDER BY {D.score('i', _pick(s, 4))}, i)"
     ctes.append(f"cp AS (SELECT {prev}.* REPLACE (printf('OBS-2024-%04d', {rn}) AS obs_id, "
                 f"nrows + {rn} - 1 AS i) FROM {prev}, k QUALIFY {rn} <= nerr)")
     ctes.append(f"g AS (SELECT * FROM {prev} UNION ALL SELECT * FROM cp)")
-    ctes.append(f"e5 AS (SELECT * EXCLUDE (nerr, nrows) REPLACE (CASE WHEN {_hit(s + ':pick5')} "
+    ctes.append(f"e5 AS (SELECT * EXCLUDE (nerr, nrows) REPLACE (CASE WHEN {_hit(_pick(s, 5))} "
                 f"THEN CAST(NULL AS VARCHAR) ELSE sensor_id END AS sensor_id) FROM g, k)")
     return "WITH " + ",\n".join(ctes)
 
@@ -618,10 +622,10 @@ ORACLE["injected_events"] = _injected_events_sql() + f"\nSELECT {_EVENT_COLS} FR
 _rs = "42:t"
 ORACLE["generated_records"] = f"""
 SELECT event_id AS i,
-  {D.randint('event_id', _rs + ':user', 1, 4999)} AS user_id,
-  ROUND({D.std_normal('event_id', _rs + ':value')} * {D.dbl(100.0)} + {D.dbl(1000.0)}, 6) AS value,
-  {D.choice('event_id', _rs + ':cat', list('ABCDE'))} AS category,
-  CAST({D.randint('event_id', _rs + ':text', 0, (1 << 20) - 1)} AS VARCHAR) AS text,
+  {D.randint('event_id', _rs + ':a@0', 1, 4999)} AS user_id,
+  ROUND({D.std_normal('event_id', _rs + ':a@1')} * {D.dbl(100.0)} + {D.dbl(1000.0)}, 6) AS value,
+  {D.choice('event_id', _rs + ':a@3', list('ABCDE'))} AS category,
+  CAST({D.randint('event_id', _rs + ':a@4', 0, (1 << 20) - 1)} AS VARCHAR) AS text,
   TIMESTAMP '2020-01-01 00:00:00' + to_seconds(event_id) AS timestamp
 FROM events
 """

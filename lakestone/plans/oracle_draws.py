@@ -13,16 +13,17 @@ def dbl(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def _digest(key: str, salt: str) -> str:
-    return f"sha256(CAST({key} AS VARCHAR) || ':{salt}')"
+def _bits(key: str, salt: str, digits: int, width: int) -> str:
+    name, _, part = salt.partition("@")
+    return f"CAST(('0x' || substr(sha256(CAST({key} AS VARCHAR) || ':{name}'), {1 + int(part or 0) * width}, {digits})) AS BIGINT)"
 
 
 def u01(key: str, salt: str) -> str:
-    return f"((CAST(('0x' || substr({_digest(key, salt)}, 1, 8)) AS BIGINT))::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    return f"(({_bits(key, salt, 8, 8)})::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
 
 
 def score(key: str, salt: str) -> str:
-    return f"CAST(('0x' || substr({_digest(key, salt)}, 1, 15)) AS BIGINT)"
+    return _bits(key, salt, 15, 16)
 
 
 def uniform(key: str, salt: str, lo: float, hi: float) -> str:
@@ -30,8 +31,9 @@ def uniform(key: str, salt: str, lo: float, hi: float) -> str:
 
 
 def std_normal(key: str, salt: str) -> str:
-    return (f"(sqrt({dbl(-2.0)} * ln({u01(key, salt + '.a')})) * "
-            f"cos({dbl(TWO_PI)} * {u01(key, salt + '.b')}))")
+    name, at, part = salt.partition("@")
+    first, second = (salt, f"{name}@{int(part) + 1}") if at else (salt + ".a", salt + ".b")
+    return f"(sqrt({dbl(-2.0)} * ln({u01(key, first)})) * cos({dbl(TWO_PI)} * {u01(key, second)}))"
 
 
 def randint(key: str, salt: str, lo: int, hi: int) -> str:

@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,21 @@ def test_transform_code_stays_compilable(spark):
     found = df._jdf.queryExecution().debug().codegenToSeq()
     sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
     assert sizes and max(sizes) < 8000, sizes
+
+
+def test_slices_of_one_digest(spark):
+    """A salt's slices are other draws of the same digest; a salt without one is slice 0."""
+    import hashlib
+    df = spark.range(2000).select(
+        "id", *[draws.uniform01("id", f"s@{k}").alias(f"u{k}") for k in range(8)], draws.uniform01("id", "s").alias("u"),
+        *[draws.hash_score("id", f"s@{k}").alias(f"h{k}") for k in range(4)], draws.std_normal("id", "s@6").alias("z"))
+    rows = df.collect()
+    for r in rows[:50]:
+        digest = hashlib.sha256(f"{r.id}:s".encode()).hexdigest()
+        assert r.u == r.u0 and [r[f"u{k}"] for k in range(8)] == [(int(digest[8 * k:8 * k + 8], 16) + 0.5) / 2**32 for k in range(8)]
+        assert [r[f"h{k}"] for k in range(4)] == [int(digest[16 * k:16 * k + 15], 16) for k in range(4)]
+        assert abs(r.z - math.sqrt(-2 * math.log(r.u6)) * math.cos(2 * math.pi * r.u7)) < 1e-9
+    columns = [[r[f"u{k}"] - 0.5 for r in rows] for k in range(8)]
+    for i in range(8):
+        for j in range(i):
+            assert abs(sum(a * b for a, b in zip(columns[i], columns[j])) / len(rows) * 12) < 0.1
