@@ -56,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     tasks = -(-max(1, edges.count()) // FOREST_LINKS)
     forest = kept(edges.repartition(tasks).mapInArrow(_forest, "a long, b long"), "forest")
-    both = kept(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    both = forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
