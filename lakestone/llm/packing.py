@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .ranks import ranked
 
-EXACT = 512
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Rows of a bucket that one task numbers, about.
 CELL_ROWS = 65536
@@ -25,13 +24,6 @@ def token_count(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)) + 1).cast("long")
 
 
-def on_grid(n: Column) -> Column:
-    """The smallest grid length that holds ``n``."""
-    octave = F.greatest(F.lit(0), F.length(F.bin(n - 1)) - (EXACT.bit_length() - 1))
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), octave)
-    return F.ceil(n / step).cast("long") * step
-
-
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Bucket maxima, ascending, that minimise sum(count * bucket maximum).
 

@@ -4,7 +4,6 @@ import re
 from collections import defaultdict
 
 from llm_cases import make
-from pyspark.sql import functions as F
 
 from lakestone.llm import packing as P
 
@@ -24,12 +23,6 @@ def test_boundaries_are_optimal():
     assert P.boundaries([], [], 4) == []
 
 
-def test_grid(spark):
-    got = {r.n: r.g for r in spark.range(1, 200_000, 37).select(F.col("id").alias("n"), P.on_grid(F.col("id")).alias("g")).collect()}
-    assert all(n <= g < n * (1 + 2 / P.EXACT) + 1 for n, g in got.items())
-    assert all(g == n for n, g in got.items() if n <= P.EXACT)
-
-
 def test_every_row_has_one_place(spark, hard, empty):
     budget = 600
     got = P.pack(hard, buckets=5, token_budget=budget).collect()
