@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale: AQE re-plans joins and coalesces partitions from
@@ -40,7 +41,7 @@ def get_spark(master: str | None = None, app: str = "lakestone",
         if not k.startswith("spark.driver") and not k.startswith("spark.executor"):
             try:
                 spark.conf.set(k, v)
-            except Exception:  # static confs of an existing session
+            except PySparkException:  # static confs of an existing session
                 pass
     return spark
 
@@ -78,7 +79,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: only the session configuration is visible
+    except PySparkException:  # Spark Connect: only the session configuration is visible
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
