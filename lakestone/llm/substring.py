@@ -11,8 +11,9 @@ of similarity 0.8 do.  Windows whose min-hash stands in another document are can
 
 Candidates are verified by the words in them.  Every run of ``passage`` words inside a
 candidate is looked up: those that stand in another document are repeated passages, without
-exception.  For passages that differ in places, runs of ``UNIT`` words are looked up too, but
-not where one earlier document has all the words: there its own copy stands for the others;
+exception.  For passages that differ in places, runs of ``LOOK`` words are looked up too, but
+not where one earlier document has all the words: there its own copy stands for the others.
+A near copy holds enough of them whatever its edits (``_hoped``), so they tell where one can be;
 stretches of at least ``passage`` words whose shingles match one other document to
 ``similarity`` are near copies.  All lookups go through ``blocks``: a passage of a third
 of the corpus costs an entry a block, and no pairs are made.
@@ -41,10 +42,10 @@ from .textops import U64, Words, grams, mix, pieces
 SHINGLE, PASSAGE, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 3
 #: A window's near copies are matched within so many passages around its centre.
 REACH = 2
-#: Words of the runs that near copies are matched by: one shingle, so that words between close edits count, too.
-UNIT = SHINGLE
-#: Words that may stand between two matched runs of one stretch.
-GAP = 25
+#: Words of the runs that are looked up to find where near copies can be.
+LOOK = 10
+#: Words that may stand between two matched runs of one stretch, and between two looked-up ones where edits may be close.
+GAP, WIDE_GAP = 25, 60
 _RUNS, _UNITS, _STRETCHES = 100, 101, 102
 #: Distinct texts on a side of a square of comparisons, and members that a task of small groups has, about.
 MEMBERS, TASK_MEMBERS = 1024, 16384
@@ -172,12 +173,12 @@ class _Block:
         return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(passage))
 
     def unit_places(self, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Words where a run of UNIT words is to be looked up: those of the ``spans`` of windows."""
+        """Words where a run of LOOK words is to be looked up: those of the ``spans`` of windows."""
         steps = np.zeros(len(self.hash) + 1, np.int64)
         for _, first, after in spans:
             np.add.at(steps, first, 1)
             np.add.at(steps, after, -1)
-        return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(UNIT))
+        return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(LOOK))
 
 
 class _Copies:
@@ -194,8 +195,8 @@ class _Copies:
         self.spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for (l, c, r, value), hit in zip(windows, b.hits(windows, answers), strict=True):
             first = np.maximum(l, c - REACH * passage)
-            after = np.minimum(c + REACH * passage, r + SHINGLE - UNIT) + 1
-            last = after + UNIT - 1 - passage
+            after = np.minimum(c + REACH * passage, r + SHINGLE - LOOK) + 1
+            last = after + LOOK - 1 - passage
             on = hit & ~((source[first] != _NONE) & (changes[last + 1] == changes[first + 1])) if len(value) else hit
             self.spans.append((value[on], first[on], after[on]))
 
@@ -250,21 +251,26 @@ def _units_sent(text: str, ranges: int, passage: int, functions: int):
         b = _Block(table, text)
         copies = _Copies(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS]), passage)
         units = b.unit_places(copies.spans)
-        return blocks.send(b.block, ranges, [(_UNITS, *b.owners(grams(b.hash, UNIT)[units], units))] if len(units) else [])
+        return blocks.send(b.block, ranges, [(_UNITS, *b.owners(grams(b.hash, LOOK)[units], units))] if len(units) else [])
     return run
 
 
-def _near(at: np.ndarray, partner: np.ndarray, passage: int, similarity: float) -> list[tuple[int, int, int]]:
-    """(first word, word after, partner) of stretches whose shingles match one partner closely enough."""
+def _need(similarity: float) -> float:
+    """Matched share of the shingles of two stretches of equal length."""
+    return 2 * similarity / (1 + similarity)
+
+
+def _near(at: np.ndarray, partner: np.ndarray, unit: int, need: float, shortest: int, gap: int = GAP) -> list[tuple[int, int, int]]:
+    """(first word, word after, partner) of stretches of ``shortest`` words at least whose shingles, those of the runs
+    of ``unit`` words that begin at ``at``, match one partner closely enough."""
     out = []
     order = np.lexsort((at, partner))
     at, partner = at[order], partner[order]
-    cuts = np.flatnonzero((np.diff(partner) != 0) | (np.diff(at) > GAP)) + 1
-    need = 2 * similarity / (1 + similarity)  # matched / all shingles of stretches of equal length
+    cuts = np.flatnonzero((np.diff(partner) != 0) | (np.diff(at) > gap)) + 1
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
         p = at[a:b]
         breaks = np.flatnonzero(np.diff(p) > 1) + 1
-        begin, end = p[np.r_[0, breaks]], p[np.r_[breaks, len(p)] - 1] + UNIT
+        begin, end = p[np.r_[0, breaks]], p[np.r_[breaks, len(p)] - 1] + unit
         # The longest stretch from run i to run j that matches well enough, from the left, then on
         # from there: matched(i..j) >= need * shingles(i..j), with the terms of j and of i on two sides.
         matched = np.concatenate(([0], np.cumsum(end - begin - SHINGLE + 1)))
@@ -275,7 +281,7 @@ def _near(at: np.ndarray, partner: np.ndarray, passage: int, similarity: float)
         i = 0
         while i < len(begin):
             j = int(last[i])
-            if j >= i and end[j] - begin[i] >= passage:
+            if j >= i and end[j] - begin[i] >= shortest:
                 out.append((int(begin[i]), int(end[j]), int(partner[a])))
                 i = j
             i += 1
@@ -284,7 +290,19 @@ def _near(at: np.ndarray, partner: np.ndarray, passage: int, similarity: float)
 
 def _least(passage: int, similarity: float) -> float:
     """Shingles that the shortest near copy shares."""
-    return 2 * similarity / (1 + similarity) * (passage - SHINGLE + 1) - 1e-6
+    return _need(similarity) * (passage - SHINGLE + 1) - 1e-6
+
+
+def _hoped(passage: int, similarity: float) -> tuple[float, int]:
+    """What of a near copy must be found by runs of LOOK words: share of its shingles, and words.
+
+    Of n shingles (1 - need) n at most are lost, SHINGLE by an edit; each edit, and the end, leaves LOOK - SHINGLE
+    more at most in a run too short to be looked up.  The share is least for the shortest near copy.
+    """
+    n = passage - SHINGLE + 1
+    lost = (1 - _need(similarity)) * n
+    found = n - lost - (lost / SHINGLE + 1) * (LOOK - SHINGLE)
+    return found / n - 1e-6, max(LOOK, int(found) + SHINGLE - 1)
 
 
 def _covered(b: _Block, at: np.ndarray, size: int) -> np.ndarray:
@@ -307,7 +325,7 @@ def _looked_up(b: _Block, answers: dict[int, np.ndarray], level: int, size: int,
 
 def _partners(b: _Block, answers: dict[int, np.ndarray], units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of ``units`` that stand in another document, and the smallest such document."""
-    at, found = _looked_up(b, answers, _UNITS, UNIT, units)
+    at, found = _looked_up(b, answers, _UNITS, LOOK, units)
     return at, np.where(found[:, 0] == b.owner[b.text[at]], found[:, 1], found[:, 0])
 
 
@@ -315,13 +333,13 @@ def _credited(b: _Block, at: np.ndarray, partner: np.ndarray, passage: int, simi
     """By text the near copies that the runs' smallest documents make."""
     text = b.text[at]
     starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(at) else np.zeros(0, np.int64)
-    return {int(text[i]): _near(at[i:j], partner[i:j], passage, similarity)
+    return {int(text[i]): _near(at[i:j], partner[i:j], LOOK, _need(similarity), passage)
             for i, j in zip(starts, np.r_[starts[1:], len(at)], strict=True)}
 
 
 def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int, similarity: float) -> list[tuple]:
-    """For each function, of the windows that a near copy can stand in: min-hash, first run, run after the last, and
-    whether a partner is looked for.  Last which runs stand in another document.
+    """For each function, of the windows that a near copy can stand in: min-hash, first shingle, the one after the last, and
+    whether a partner is looked for.
 
     Left out are windows whose runs found elsewhere hold too few shingles, and those that ``_Copies`` leaves out.
     """
@@ -336,10 +354,12 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
             known[a:z] = True
             done[a:z] |= p < b.owner[t]
 
+    share, shortest = _hoped(passage, similarity)
+
     def hoped(at: np.ndarray) -> np.ndarray:
         """The words of near copies, if one document had all of ``at``."""
         steps = np.zeros(len(b.hash) + 1, np.int64)
-        for a, z, _ in _near(at, b.text[at], passage, similarity):
+        for a, z, _ in _near(at, b.text[at], LOOK, share, shortest, WIDE_GAP):
             steps[a] += 1
             steps[z] -= 1
         return np.cumsum(steps[:-1]) > 0
@@ -351,14 +371,14 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
     elsewhere[at] = True
     hits = np.concatenate(([0], np.cumsum(elsewhere)))
     begun = np.concatenate(([0], np.cumsum(elsewhere & ~np.r_[False, elsewhere[:-1]])))
-    least = _least(passage, similarity)
+    least = share * (passage - SHINGLE + 1) - 1e-6
     out = []
     for value, first, after in copies.spans:
-        shared = hits[after] - hits[first] + (UNIT - SHINGLE) * (begun[after] - begun[first + 1] + elsewhere[first])
+        shared = hits[after] - hits[first] + (LOOK - SHINGLE) * (begun[after] - begun[first + 1] + elsewhere[first])
         on = shared >= least
         value, first, after = value[on], first[on], after[on]
-        out.append((value, first, after, wanted[after + UNIT - 1] > wanted[first]))
-    return [*out, elsewhere]
+        out.append((value, first, after + LOOK - SHINGLE, wanted[after + LOOK - 1] > wanted[first]))
+    return out
 
 
 def _asked(text: str, ranges: int, passage: int, functions: int, similarity: float):
@@ -369,7 +389,7 @@ def _asked(text: str, ranges: int, passage: int, functions: int, similarity: flo
         b = _Block(table, text)
         found = _members(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS, _UNITS]), passage, similarity)
         levels = []
-        for k, (value, _, _, wanting) in enumerate(found[:-1]):
+        for k, (value, _, _, wanting) in enumerate(found):
             keys, at = np.unique(value, return_inverse=True)
             if len(keys):
                 levels.append((k, keys, (np.bincount(at, weights=wanting) > 0).astype(np.uint8)))
@@ -388,7 +408,7 @@ _MEMBER = "level int, value long, runs binary, owner long, block long, sign long
 
 
 def _members_sent(text: str, passage: int, functions: int, similarity: float):
-    """The runs around the windows of min-hashes where a text looks for partners; 0 for runs that stand nowhere else."""
+    """The shingles around the windows of min-hashes where a text looks for partners."""
     names = [f.split()[0] for f in _MEMBER.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
@@ -400,11 +420,9 @@ def _members_sent(text: str, passage: int, functions: int, similarity: float):
             found = _members(b, b.windows(passage, functions), _answers(answers.filter(pc.less(answers["level"], _ASKED)),
                              [*range(functions), _RUNS, _UNITS]), passage, similarity)
             flags = blocks.joined(asked, {_ASKED + k: "<u1" for k in range(functions)})
-            keys = np.zeros(len(b.hash), U64)
-            whole = grams(b.hash, UNIT)
-            keys[:len(whole)] = np.where(found[-1][:len(whole)], whole, U64(0))
+            keys = grams(b.hash, SHINGLE)
             signs = b.signs()
-            for k, (value, first, after, wanting) in enumerate(found[:-1]):
+            for k, (value, first, after, wanting) in enumerate(found):
                 if len(value):
                     on = flags[_ASKED + k][np.searchsorted(np.unique(value), value)] > 0
                     for v, a, z, w in zip(value[on].view(np.int64).tolist(), first[on].tolist(), after[on].tolist(), wanting[on].tolist(), strict=True):
@@ -423,14 +441,13 @@ def _stretches(runs: list[np.ndarray], owners: np.ndarray, wanting: list[tuple[i
     """
     place = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
     keys = np.concatenate(runs)
-    shown = keys != 0
-    pairs = np.unique(np.stack([keys[shown], owners[place[shown]].view(U64)], 1), axis=0)
+    pairs = np.unique(np.stack([keys, owners[place].view(U64)], 1), axis=0)
     keys, holder = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]).view(np.int64)
     least = _least(passage, similarity)
     out = []
     for own, mine in wanting:
         lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-        many = np.where(mine != 0, hi - lo, 0)
+        many = hi - lo
         at = np.repeat(np.arange(len(mine)), many)
         partner = holder[np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
         if own is not None:
@@ -445,13 +462,11 @@ def _stretches(runs: list[np.ndarray], owners: np.ndarray, wanting: list[tuple[i
         new = np.r_[True, partner[1:] != partner[:-1]]
         begin = np.flatnonzero(new)
         end = np.r_[begin[1:], len(at)]
-        breaks = np.add.reduceat((new | np.r_[True, np.diff(at) > 1]).astype(np.int64), begin)
-        # A run of u places in a row holds u + UNIT - SHINGLE shingles.
-        could = end - begin + (UNIT - SHINGLE) * breaks >= least
-        covered = np.zeros(len(mine) + UNIT, bool)
+        could = end - begin >= least
+        covered = np.zeros(len(mine) + SHINGLE, bool)
         for i, j in zip(begin[could].tolist(), end[could].tolist(), strict=True):
-            if not covered[at[i]:at[j - 1] + UNIT].all():
-                for a, z, p in _near(at[i:j], partner[i:j], passage, similarity):
+            if not covered[at[i]:at[j - 1] + SHINGLE].all():
+                for a, z, p in _near(at[i:j], partner[i:j], SHINGLE, _need(similarity), passage):
                     if not covered[a:z].all():
                         covered[a:z] = True
                         found.append((a, z, p))
