@@ -16,9 +16,9 @@ FOREST_LINKS = 1 << 16
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's links those that join two of its components: the others say nothing new.
+    """A task's links as stars: of each of its components, every member with the smallest.
 
-    What is kept is at most one link a member, and joins the same members.
+    That joins the same members by at most one link each, and by short ways.
     """
     parent: dict[int, int] = {}
 
@@ -27,20 +27,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[up]
         return x
 
+    alone: set[int] = set()
     for batch in batches:
-        keep = []
-        for i, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
             x, y = root(a), root(b)
-            if x != y or a == b:
+            if x != y:
                 parent[max(x, y)] = min(x, y)
-                keep.append(i)
-        yield batch.take(pa.array(keep, pa.int64()))
+            elif a == b:
+                alone.add(a)
+    found = [(x, root(x)) for x in list(parent)]
+    found = [(x, r) for x, r in found if x != r or x in alone]
+    for at in range(0, len(found), 1 << 16):
+        a, b = zip(*found[at:at + (1 << 16)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b: long); the component is its smallest id.
 
-    Links are dealt to tasks of ``FOREST_LINKS``, which keep a forest of theirs each, so that what
+    Links are dealt to tasks of ``FOREST_LINKS``, which turn theirs into stars, so that what
     follows grows with the members of a group rather than with its links.  Each round takes the smallest label among neighbours and then the label of that label,
     so the rounds needed grow with the logarithm of the longest chain.  Labels are written
     to the shared folder after every round, which cuts the lineage and survives lost
