@@ -20,6 +20,8 @@ from lakestone.operators.key_filter import filter_words, only_possible, with_pos
 from lakestone.session import scratch_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text that is not lower-cased.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Low bits of a fingerprint that hold its position; texts of more words are tried at each wrap.
 POS_BITS = 26
@@ -32,6 +34,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
+def word_count(text: Column) -> Column:
+    """Number of ``words`` of a text, without taking them out."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
+
+
 def _grams(w: Column, k: int, tag: int) -> Column:
     """At each position the hash of k words from there, its low bits replaced by the position."""
     def one(x: Column, i: Column) -> Column:
@@ -137,7 +144,7 @@ def found_texts(texts: DataFrame, bench: DataFrame, window: int, k: int, short:
 
 
 def _hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, k: int) -> DataFrame:
-    """(_row, _w, _hit, _items): a document as a struct, so that its columns may have any name."""
+    """(_row, _w, _n_words, _hit, _items): a document as a struct, so that its columns may have any name."""
     if not 1 <= k <= window:
         raise ValueError("k must be between 1 and window")
     bench = (items.select(words(F.col(item_text)).alias("_w"), F.col(item_id).cast("string").alias("_id"))
@@ -148,28 +155,29 @@ def _hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text:
                         F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2"))
     found = found_texts(keyed.select("_k1", "_k2", "_body"), bench, window, k, short)
     marked = with_possible(keyed, filter_words(found.select(F.col("_k1").alias("hash"))), F.col("_k1"), "_near")
-    w, no_hit, no_item = words(F.col("_body")).alias("_w"), F.array().cast("array<int>"), F.array().cast("array<string>")
-    clean = marked.where(~F.col("_near")).select("_row", w, no_hit.alias("_hit"), no_item.alias("_items"))
+    w = [words(F.col("_body")).alias("_w"), word_count(F.col("_body")).alias("_n_words")]
+    no_hit, no_item = F.array().cast("array<int>"), F.array().cast("array<string>")
+    clean = marked.where(~F.col("_near")).select("_row", *w, no_hit.alias("_hit"), no_item.alias("_items"))
     rest = (marked.where("_near").join(found.hint("merge"), ["_k1", "_k2"], "left")
-            .select("_row", w, F.coalesce("_hit", no_hit).alias("_hit"), F.coalesce("_items", no_item).alias("_items")))
+            .select("_row", *w, F.coalesce("_hit", no_hit).alias("_hit"), F.coalesce("_items", no_item).alias("_items")))
     return clean.unionByName(rest)
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
-    """``docs`` with ``_w`` (words), ``_hit`` (sorted positions of the words inside an
+    """``docs`` with ``_w`` (words), ``_n_words`` (their number), ``_hit`` (sorted positions of the words inside an
     occurrence of a window of some item) and ``_items`` (ids, as strings, of the items with
     occurring windows, sorted).
 
     Null and empty texts have no words and no hits; items without words are ignored;
     items with equal words are matched once and all reported (null ids are not); copies of
     a document share one lookup; repeated rows stay; extra columns are kept, whatever their
-    names, but for these three, which are refused.
+    names, but for these four, which are refused.
     """
-    taken = {"_w", "_hit", "_items"} & set(docs.columns)
+    taken = {"_w", "_n_words", "_hit", "_items"} & set(docs.columns)
     if taken:
         raise ValueError(f"docs has columns that hits() adds: {sorted(taken)}")
-    return _hits(docs, items, text, item_id, item_text, window, k).select("_row.*", "_w", "_hit", "_items")
+    return _hits(docs, items, text, item_id, item_text, window, k).select("_row.*", "_w", "_n_words", "_hit", "_items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_hit_share: float = 0.0, text: str = "text", item_id: str = "item_id",
@@ -179,6 +187,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_hit_share: float = 0.0,
     With the default any occurrence of a benchmark window removes a document.  Null and
     empty texts stay.
     """
-    n_hit, n = F.size("_hit"), F.size("_w")
+    n_hit, n = F.size("_hit"), F.col("_n_words")
     kept = _hits(docs, items, text, item_id, item_text, window, k)
     return kept.filter((n == 0) | (n_hit / F.greatest(n, F.lit(1)) <= max_hit_share)).select("_row.*")

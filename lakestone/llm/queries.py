@@ -34,7 +34,7 @@ def op2_winnow_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import hits
     found = hits(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", F.size("_w").cast("long").alias("n_words"), F.size("_hit").cast("long").alias("n_hit"),
+        "doc_id", F.col("_n_words").alias("n_words"), F.size("_hit").cast("long").alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_hit") > 0).alias("contaminated"))
 
