@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f0d5cbe-8b6a-5f3a-9d43-1c64b0a4f7f2")
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: A tag without angle brackets inside, quoted or not: the common case, found in one step.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
 _STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?<=[\s"'/])(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _CHARSET = re.compile(rb"""<meta\b[^>]{0,512}?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
@@ -124,18 +126,23 @@ class Page:
     def _markup(self, begin: int) -> tuple[int, str]:
         """Where the markup at ``begin`` ends, and what stands for it in the text."""
         page = self._page
-        if page.startswith("<!--", begin):
+        if plain := _PLAIN_TAG.match(page, begin):
+            closing, kind, inside = plain.groups()
+            kind, begin, end = kind.lower(), plain.start(3), plain.end()
+            links = "=" in inside
+        elif page.startswith("<!--", begin):
             end = page.find("-->", begin + 4)
             return (end + 3 if end >= 0 else len(page)), " "
-        if page[begin + 1:begin + 2] in ("!", "?"):
+        elif page[begin + 1:begin + 2] in ("!", "?"):
             end = page.find(">", begin) if begin < self._last else -1
             return (end + 1, "\n") if end >= 0 else (begin + 1, "<")
-        closing = page.startswith("/", begin + 1)
-        name = _NAME.match(page, begin + 1 + closing)
-        end = self._end(name.end()) if name else -1
-        if end < 0:
-            return begin + 1, "<"
-        kind = name[0].lower()
+        else:
+            closing, links = page.startswith("/", begin + 1), True
+            name = _NAME.match(page, begin + 1 + closing)
+            end = self._end(name.end()) if name else -1
+            if end < 0:
+                return begin + 1, "<"
+            kind, begin = name[0].lower(), name.end()
         if closing:
             return end, "" if kind in _INLINE else "\n"
         if kind in _HIDDEN:
@@ -147,8 +154,8 @@ class Page:
                     self.title = _BLANKS.sub(" ", html.unescape(page[end:inside])).strip()
                 return after, "\n"
             return end, "\n"
-        found = _ATTRIBUTE.findall(page, name.end(), end)
-        self.links += [html.unescape(a or b or c) for a, b, c in found]
+        if links:
+            self.links += [html.unescape(a or b or c) for a, b, c in _ATTRIBUTE.findall(page, begin, end)]
         return end, "" if kind in _INLINE else "\n"
 
     def _end(self, at: int) -> int:
