@@ -29,9 +29,9 @@ _PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'
 _STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?<=[\s"'/])(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _CHARSET = re.compile(rb"""<meta\b[^>]{0,512}?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Elements whose content is not shown; that of a title is not part of the text either.
 _HIDDEN = frozenset(("script", "style", "template", "noscript"))
+_CLOSING = {kind: re.compile(f"</{kind}", re.I | re.A) for kind in (*_HIDDEN, "title")}
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 #: Elements that stay within a line; every other tag breaks it.
@@ -109,7 +109,7 @@ class Page:
     def __init__(self, page: str):
         self.title: str | None = None
         self.links: list[str] = []
-        self._page, self._low = page, page.translate(_ASCII_LOWER)
+        self._page = page
         self._last, self._next = page.rfind(">"), -1
         # Quotes from which no end was found, and elements that no closing tag follows any more.
         self._dead: set[int] = set()
@@ -178,9 +178,8 @@ class Page:
 
     def _after(self, kind: str, at: int) -> tuple[int, int]:
         """Where the element's content ends, and where its closing tag does; the page's end twice if it is never closed."""
-        while kind not in self._open and (close := self._low.find(f"</{kind}", at)) >= 0:
-            at = close + 2 + len(kind)
-            rest = at
+        while kind not in self._open and (found := _CLOSING[kind].search(self._page, at)):
+            close, rest = found.span()
             while rest < len(self._page) and self._page[rest].isspace():
                 rest += 1
             if self._page.startswith(">", rest):
