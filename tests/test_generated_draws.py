@@ -48,3 +48,14 @@ def test_generated_readings_take_a_digest_for_each_draw(spark):
                     "transparencia": (0.65 + 0.35 * _u(i, "42:r:tra"), 3)}
             for column, (value, digits) in want.items():
                 assert abs(r[column] - value) <= 0.5 * 10**-digits + 1e-9, (i, column)
+
+
+def test_generated_records_take_a_digest_for_each_draw(spark):
+    for rows in _both(spark, "generated_records"):
+        assert len(rows) == len(_oracle("generated_events")) > 0
+        for r in rows:
+            i = r["i"]
+            assert r["user_id"] == 1 + math.floor(_u(i, "42:t:user") * 4999)
+            assert abs(r["value"] - (1000.0 + 100.0 * _normal(i, "42:t:value"))) <= 0.5e-6 + 1e-9
+            assert r["category"] == "ABCDE"[math.floor(_u(i, "42:t:cat") * 5)]
+            assert r["text"] == str(math.floor(_u(i, "42:t:text") * (1 << 20)))
