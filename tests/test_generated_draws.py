@@ -59,3 +59,43 @@ def test_generated_records_take_a_digest_for_each_draw(spark):
             assert abs(r["value"] - (1000.0 + 100.0 * _normal(i, "42:t:value"))) <= 0.5e-6 + 1e-9
             assert r["category"] == "ABCDE"[math.floor(_u(i, "42:t:cat") * 5)]
             assert r["text"] == str(math.floor(_u(i, "42:t:text") * (1 << 20)))
+
+
+def _score(i, k):
+    return int(hashlib.sha256(f"{i}:42:e:pick{k}".encode()).hexdigest()[:15], 16), i
+
+
+def _smallest(n, k):
+    return {i for _, i in sorted(_score(i, k) for i in range(n))[:max(1, int(n * 0.10 / 8))]}
+
+
+def _errors(rows):
+    """How many rows hold each injected error."""
+    return {"temperatura": sum(r["temperatura_c"] == -999 for r in rows), "humedad": sum(r["humedad_pct"] > 100 for r in rows),
+            "sensor_nulo": sum(r["sensor_id"] is None for r in rows),
+            "timestamp_futuro": sum(r["timestamp"].startswith("2027") for r in rows),
+            "seeing": sum(r["seeing_arcsec"] < 0 for r in rows), "presion": sum(r["presion_hpa"] > 900 for r in rows),
+            "transparencia": sum(r["transparencia"] > 1 for r in rows)}
+
+
+def _wanted_errors():
+    n = 5 * (len(_oracle("generated_events")) // 5)
+    copied = _smallest(n, 8)
+    kinds = ["temperatura", "humedad", "sensor_nulo", "timestamp_futuro", "seeing", "presion", "transparencia"]
+    return n, {kind: len(hit := _smallest(n, k)) + len(hit & copied) for k, kind in enumerate(kinds, start=1)}
+
+
+def test_injected_readings_choose_each_kind_by_a_digest_of_its_own(spark):
+    n, want = _wanted_errors()
+    hot = {r["i"]: r for r in _oracle("generated_readings")}
+    sentinel = _smallest(n, 1)
+    untouched = set(range(n)).difference(*(_smallest(n, k) for k in range(1, 9)))
+    columns = ("sensor_id", "timestamp", "temperatura_c", "humedad_pct", "presion_hpa")
+    kept = sorted(tuple(hot[i][c] for c in columns) for i in untouched)
+    for rows in _both(spark, "injected_readings"):
+        assert len(rows) == n + len(_smallest(n, 8)) and _errors(rows) == want
+        found = {tuple(r[c] for c in columns) for r in rows}
+        assert all(x in found for x in kept)
+        bad = {(r["humedad_pct"], r["velocidad_viento_ms"]) for r in rows if r["temperatura_c"] == -999}
+        alone = sentinel - _smallest(n, 2)
+        assert {(hot[i]["humedad_pct"], hot[i]["velocidad_viento_ms"]) for i in alone} <= bad
