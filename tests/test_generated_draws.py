@@ -99,3 +99,12 @@ def test_injected_readings_choose_each_kind_by_a_digest_of_its_own(spark):
         bad = {(r["humedad_pct"], r["velocidad_viento_ms"]) for r in rows if r["temperatura_c"] == -999}
         alone = sentinel - _smallest(n, 2)
         assert {(hot[i]["humedad_pct"], hot[i]["velocidad_viento_ms"]) for i in alone} <= bad
+
+
+def test_injection_counts_are_those_of_own_digests(spark):
+    n, want = _wanted_errors()
+    total = n + len(_smallest(n, 8))
+    want["total"] = sum(want.values())
+    for rows in _both(spark, "injection_counts"):
+        assert {r["tipo"]: r["filas"] for r in rows} == want
+        assert all(abs(r["porcentaje"] - 100 * r["filas"] / total) <= 0.05 + 1e-9 for r in rows)
