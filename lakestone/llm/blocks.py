@@ -37,14 +37,18 @@ def dealt(docs: DataFrame, block_chars: int = BLOCK_CHARS, text: str = "text", k
 
 
 def planes(a: np.ndarray) -> bytes:
-    """Numbers as bytes, all first bytes first: leading zeros then lie together, where compression finds them."""
-    a = np.ascontiguousarray(a)
+    """Numbers as bytes, all first bytes first: leading zeros then lie together, where compression finds them.
+
+    Of rows of numbers the columns follow each other, so a constant one costs next to nothing.
+    """
+    a = np.ascontiguousarray(a.T)
     return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
 
-def from_planes(data: bytes, kind: str | type) -> np.ndarray:
+def from_planes(data: bytes, kind: str | type, width: int = 1) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    found = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    return found.reshape(width, -1).T if width > 1 else found
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -85,8 +89,7 @@ def answered(sent: DataFrame, reduce: Callable[[int, np.ndarray, list[np.ndarray
     def run(table: pa.Table) -> pa.Table:
         level = table["level"][0].as_py()
         packets = [unpack_keys(x) for x in table["keys"].to_pylist()]
-        values = [from_planes(x, value_type) for x in table["values"].to_pylist()]
-        values = [v.reshape(-1, width) for v in values] if width > 1 else values
+        values = [from_planes(x, value_type, width) for x in table["values"].to_pylist()]
         distinct, place = np.unique(np.concatenate(packets), return_inverse=True)
         ends = np.cumsum([len(p) for p in packets])
         answers = reduce(level, distinct, np.split(place, ends[:-1]), values)
@@ -100,8 +103,8 @@ def joined(table: pa.Table, kinds: dict[int, str], widths: dict[int, int] | None
     """A block's answers by level, in the order of its ascending keys."""
     out: dict[int, list] = {level: [] for level in kinds}
     for level, _, data in sorted(zip(table["level"].to_pylist(), table["range"].to_pylist(), table["answers"].to_pylist(), strict=True)):
-        out[level].append(from_planes(data, kinds[level]))
-    found = {level: np.concatenate(x) if x else np.zeros(0, kinds[level]) for level, x in out.items()}
-    return {level: x.reshape(-1, w) if (w := (widths or {}).get(level, 1)) > 1 else x for level, x in found.items()}
+        out[level].append(from_planes(data, kinds[level], (widths or {}).get(level, 1)))
+    return {level: np.concatenate(x) if x else np.zeros((0, w) if (w := (widths or {}).get(level, 1)) > 1 else 0, kinds[level])
+            for level, x in out.items()}
 
 

@@ -46,7 +46,7 @@ REACH = 2
 LOOK = 10
 #: Words that may stand between two matched runs of one stretch, and between two looked-up ones where edits may be close.
 GAP, WIDE_GAP = 25, 60
-_RUNS, _UNITS, _STRETCHES = 100, 101, 102
+_RUNS, _UNITS, _STRETCHES, _KNOWN = 100, 101, 102, 103
 #: Distinct texts on a side of a square of comparisons, and members that a task of small groups has, about.
 MEMBERS, TASK_MEMBERS = 1024, 16384
 SALTS = 1024
@@ -217,7 +217,7 @@ def _two_owners(level: int, keys: np.ndarray, where: list[np.ndarray], values: l
     alone = second == _NONE
     if level != _UNITS:
         low = low if level == _RUNS else np.zeros(len(keys), np.int64)
-        second = np.where(low == -1, -2, -1)  # any number but the smallest document's
+        second = (low == 0).astype(np.int64)  # any number but the smallest document's
     both = np.stack([np.where(alone, 0, low), np.where(alone, 0, second)], 1)
     return [both[at] for at in where]
 
@@ -337,9 +337,10 @@ def _credited(b: _Block, at: np.ndarray, partner: np.ndarray, passage: int, simi
             for i, j in zip(starts, np.r_[starts[1:], len(at)], strict=True)}
 
 
-def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int, similarity: float) -> list[tuple]:
+def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int,
+             similarity: float) -> tuple[list[tuple], _Copies, dict[int, list[tuple[int, int, int]]]]:
     """For each function, of the windows that a near copy can stand in: min-hash, first shingle, the one after the last, and
-    whether a partner is looked for.
+    whether a partner is looked for; and what the lookups tell at once, runs and near copies by text.
 
     Left out are windows whose runs found elsewhere hold too few shingles, and those that ``_Copies`` leaves out.
     """
@@ -349,7 +350,8 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
     done = _covered(b, at[copies.early], passage)
     known = _covered(b, at, passage)
     at, partner = _partners(b, answers, units)
-    for t, near in _credited(b, at, partner, passage, similarity).items():
+    credited = _credited(b, at, partner, passage, similarity)
+    for t, near in credited.items():
         for a, z, p in near:
             known[a:z] = True
             done[a:z] |= p < b.owner[t]
@@ -378,7 +380,22 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
         on = shared >= least
         value, first, after = value[on], first[on], after[on]
         out.append((value, first, after + LOOK - SHINGLE, wanted[after + LOOK - 1] > wanted[first]))
-    return out
+    return out, copies, credited
+
+
+def _known(b: _Block, copies: _Copies, credited: dict[int, list[tuple[int, int, int]]], passage: int) -> np.ndarray:
+    """Rows (owner, sign, first word, word after, document, whether a near copy) of what the lookups tell at once.
+
+    Runs that follow each other and have the same smallest document are one row.
+    """
+    at, first_doc, signs, rows = copies.at, copies.found[:, 0], b.signs(), []
+    text = b.text[at]
+    cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(text) != 0) | (np.diff(first_doc) != 0)) + 1
+    for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True) if len(at) else ():
+        rows.append((text[i], at[i], at[j - 1] + passage, first_doc[i], 0))
+    rows.extend((t, a, z, p, 1) for t, near in credited.items() for a, z, p in near)
+    found = [(b.owner[t], signs[t], a - b.first[t], z - b.first[t], p, near) for t, a, z, p, near in rows]
+    return np.unique(np.asarray(found, np.int64).reshape(-1, 6), axis=0)  # equal rows of the table are known alike
 
 
 def _asked(text: str, ranges: int, passage: int, functions: int, similarity: float):
@@ -387,7 +404,7 @@ def _asked(text: str, ranges: int, passage: int, functions: int, similarity: flo
         if not len(table):
             return blocks.SENT_ARROW.empty_table()
         b = _Block(table, text)
-        found = _members(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS, _UNITS]), passage, similarity)
+        found, _, _ = _members(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS, _UNITS]), passage, similarity)
         levels = []
         for k, (value, _, _, wanting) in enumerate(found):
             keys, at = np.unique(value, return_inverse=True)
@@ -408,7 +425,8 @@ _MEMBER = "level int, value long, runs binary, owner long, block long, sign long
 
 
 def _members_sent(text: str, passage: int, functions: int, similarity: float):
-    """The shingles around the windows of min-hashes where a text looks for partners."""
+    """The shingles around the windows of min-hashes where a text looks for partners, and a row (level _KNOWN) of what
+    the block's lookups tell without partners, so that no pass is run again for it."""
     names = [f.split()[0] for f in _MEMBER.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
@@ -417,8 +435,11 @@ def _members_sent(text: str, passage: int, functions: int, similarity: float):
         if len(table):
             b = _Block(table, text)
             asked = answers.filter(pc.greater_equal(answers["level"], _ASKED))
-            found = _members(b, b.windows(passage, functions), _answers(answers.filter(pc.less(answers["level"], _ASKED)),
-                             [*range(functions), _RUNS, _UNITS]), passage, similarity)
+            found, copies, credited = _members(b, b.windows(passage, functions), _answers(
+                answers.filter(pc.less(answers["level"], _ASKED)), [*range(functions), _RUNS, _UNITS]), passage, similarity)
+            known = _known(b, copies, credited, passage)
+            if len(known):
+                rows.append((_KNOWN, None, known.tobytes(), None, b.block, None, None, False))
             flags = blocks.joined(asked, {_ASKED + k: "<u1" for k in range(functions)})
             keys = grams(b.hash, SHINGLE)
             signs = b.signs()
@@ -507,20 +528,18 @@ def _compared(passage: int, similarity: float):
     return run
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _matched(members: DataFrame, passage: int, similarity: float) -> DataFrame:
     """Answers (level _STRETCHES) of rows (owner, sign, first word, word after, partner).
 
     Equal texts are compared as one, of the smallest and the largest document that have it:
     the largest is a partner of the smallest, all others have the smallest.
     """
-    spark = members.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    members = kept(members, "members")
     group = ["level", "value"]
     ends = F.min("owner").alias("low"), F.max("owner").alias("high")
     texts = members.groupBy(*group, "runs").agg(*ends)
@@ -530,7 +549,7 @@ def _matched(members: DataFrame, passage: int, similarity: float) -> DataFrame:
     sizes = (members.groupBy(*group, F.xxhash64("runs").alias("mark")).agg(*ends, F.max("wanting").alias("wanting")).groupBy(*group)
              .agg(F.count(F.lit(1)).alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("wanting").alias("wanting"))
              .filter("low < high and wanting"))
-    sizes = kept(sizes.select(F.col("level").alias("_level"), F.col("value").alias("_value"),
+    sizes = _kept(sizes.select(F.col("level").alias("_level"), F.col("value").alias("_value"),
                               F.ceil(F.col("size") / MEMBERS).alias("side"), "size"), "groups")
     tasks = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // TASK_MEMBERS))
 
@@ -550,35 +569,32 @@ def _matched(members: DataFrame, passage: int, similarity: float) -> DataFrame:
     return both.groupBy("task", F.col("side") == 1).applyInArrow(_compared(passage, similarity), blocks.ANSWER)
 
 
-def passages(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int, similarity: float,
-             stretches: np.ndarray) -> list[list[dict]]:
+def passages(b: _Block, known: np.ndarray, stretches: np.ndarray) -> list[list[dict]]:
     """Repeated passages of each text: words and code points, the smallest document that has them, whether a near copy.
 
-    ``stretches`` has rows (owner, sign, first word, word after, partner) of near copies.
+    ``known`` has the rows of ``_known``, ``stretches`` rows (owner, sign, first word, word after, partner) of near copies.
     """
     out: list[list[dict]] = [[] for _ in range(len(b.first) - 1)]
-    copies = _Copies(b, windows, answers, passage)
+    exact, earlier = np.zeros(len(b.hash), bool), np.zeros(len(b.hash), bool)
 
     def add(text: int, a: int, z: int, first_doc: int, near: bool) -> None:
         base = b.first[text]
         out[text].append({"start_word": int(a - base), "end_word": int(z - base), "start": int(b.start[a]),
                           "end": int(b.end[z - 1]), "first_doc": first_doc, "near": near})
 
-    at, first_doc = copies.at, copies.found[:, 0]
-    exact = _covered(b, at, passage)
-    earlier = _covered(b, at[first_doc < b.owner[b.text[at]]], passage)
-    if len(at):
-        text = b.text[at]
-        cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(text) != 0) | (np.diff(first_doc) != 0)) + 1
-        for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
-            add(int(text[i]), int(at[i]), int(at[j - 1]) + passage, int(first_doc[i]), False)
-    near = _credited(b, *_partners(b, answers, b.unit_places(copies.spans)), passage, similarity)
+    near: dict[int, list[tuple[int, int, int]]] = {}
     places: dict[tuple[int, int], list[int]] = {}
     for t, mark in enumerate(zip(b.owner.tolist(), b.signs().tolist(), strict=True)):
         places.setdefault(mark, []).append(t)
-    for owner, sign, a, z, p in stretches.tolist():
+    for owner, sign, a, z, p, close in [*known.tolist(), *([*x, 1] for x in stretches.tolist())]:
         for t in places[owner, sign]:
-            near.setdefault(t, []).append((int(b.first[t]) + a, int(b.first[t]) + z, p))
+            base = int(b.first[t])
+            if close:
+                near.setdefault(t, []).append((base + a, base + z, p))
+                continue
+            add(t, base + a, base + z, p, False)
+            exact[base + a:base + z] = True
+            earlier[base + a:base + z] |= p < owner
     for t, found in near.items():
         own, whole = int(b.owner[t]), []
         for a, z, p in sorted(found, key=lambda x: (x[2], x[0], x[1])):
@@ -587,8 +603,8 @@ def passages(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
             else:
                 whole.append((a, z, p))
         for a, z, p in whole:
-            known = earlier if p < own else exact
-            if not known[a:z].all():
+            covered = earlier if p < own else exact
+            if not covered[a:z].all():
                 add(t, a, z, min(p, own), True)
                 exact[a:z] = True
                 earlier[a:z] |= p < own
@@ -615,7 +631,6 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", passage:
                      F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)))
     rows = docs.withColumn("_owner", own)
     dealt, ranges = blocks.dealt(rows, block_chars, text, key)
-    levels = [*range(functions), _RUNS, _UNITS]
     windows = blocks.answered(dealt.groupBy("_block").applyInArrow(
         _windows_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
     runs = blocks.answered(dealt.groupBy("_block").cogroup(windows.groupBy("block")).applyInArrow(
@@ -626,25 +641,27 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", passage:
     both = found.unionByName(units)
     asked = blocks.answered(dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(
         _asked(text, ranges, passage, functions, similarity), blocks.SENT), _any, "<u1")
-    members = dealt.groupBy("_block").cogroup(
+    members = _kept(dealt.groupBy("_block").cogroup(
         both.unionByName(asked.withColumn("level", F.col("level") + _ASKED)).groupBy("block")).applyInArrow(
-        _members_sent(text, passage, functions, similarity), _MEMBER)
-    stretches = _matched(members, passage, similarity)
+        _members_sent(text, passage, functions, similarity), _MEMBER), "members")
+    known = members.filter(F.col("level") == _KNOWN).select(
+        "block", F.lit(0).cast("long").alias("range"), "level", F.col("runs").alias("answers"))
+    stretches = _matched(members.filter(F.col("level") < functions), passage, similarity)
     names = rows.columns
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         found = []
         if len(table):
             b = _Block(table, text)
-            near = answers.filter(pc.equal(answers["level"], _STRETCHES))["answers"].to_pylist()
-            found = passages(b, b.windows(passage, functions), _answers(answers.filter(pc.not_equal(answers["level"], _STRETCHES)), levels),
-                             passage, similarity, np.frombuffer(b"".join(near), np.int64).reshape(-1, 5))
+            rows = [np.frombuffer(b"".join(answers.filter(pc.equal(answers["level"], level))["answers"].to_pylist()), np.int64)
+                    for level in (_KNOWN, _STRETCHES)]
+            found = passages(b, rows[0].reshape(-1, 6), rows[1].reshape(-1, 5))
         return table.select(names).append_column("_n_words", pa.array(np.diff(b.first) if len(table) else [], pa.int64())) \
             .append_column("_passages", pa.array(found, _ARROW))
 
     schema = StructType([*rows.schema.fields, *docs.sparkSession.createDataFrame(
         [], f"_n_words long, _passages {_PASSAGES}").schema.fields])
-    return dealt.groupBy("_block").cogroup(both.unionByName(stretches).groupBy("block")).applyInArrow(finish, schema)
+    return dealt.groupBy("_block").cogroup(known.unionByName(stretches).groupBy("block")).applyInArrow(finish, schema)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw) -> DataFrame:
