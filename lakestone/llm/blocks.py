@@ -79,15 +79,25 @@ def send(block: int, ranges: int, levels: list[tuple[int, np.ndarray, np.ndarray
     return pa.table([pa.array(c, f.type) for c, f in zip(rows, SENT_ARROW, strict=True)], schema=SENT_ARROW)
 
 
+def own(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Rows (block, level, data) that come back to their block as they are."""
+    return pa.table([pa.array(c, f.type) for c, f in zip(
+        ([-1 - b for b, _, _ in rows], [b for b, _, _ in rows], [v for _, v, _ in rows], [x for _, _, x in rows], [None] * len(rows)),
+        SENT_ARROW, strict=True)], schema=SENT_ARROW)
+
+
 def answered(sent: DataFrame, reduce: Callable[[int, np.ndarray, list[np.ndarray], list[np.ndarray]], list[np.ndarray]],
              value_type: str, width: int = 1) -> DataFrame:
     """Answers of every (range, level).
 
     ``reduce(level, keys, where, values)`` gets the range's distinct keys and, for every
     packet, the places of its keys and its values; it returns one array per packet.
+    Rows of ``own`` come back as they are.
     """
     def run(table: pa.Table) -> pa.Table:
         level = table["level"][0].as_py()
+        if table["range"][0].as_py() < 0:
+            return pa.table([table["block"], table["range"], table["level"], table["keys"]], schema=ANSWER_ARROW)
         packets = [unpack_keys(x) for x in table["keys"].to_pylist()]
         values = [from_planes(x, value_type, width) for x in table["values"].to_pylist()]
         distinct, place = np.unique(np.concatenate(packets), return_inverse=True)

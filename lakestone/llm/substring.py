@@ -20,13 +20,19 @@ of the corpus costs an entry a block, and no pairs are made.
 
 The lookup tells which runs stand elsewhere, not in how many documents.  Where all runs
 found together could make a near copy, the windows around it are grouped by their min-hash,
-and each is matched with every distinct text of its group, in squares of ``MEMBERS`` texts.
-Texts whose runs can't add up to a near copy, or that stand in an earlier document word for
-word, look for no partner; equal texts are compared as one.
+those of one text together, and each is matched with every distinct text of its group, in
+squares of ``MEMBERS`` texts.  Texts whose runs can't add up to a near copy, or that stand
+in an earlier document word for word, look for no partner, and the latter are none either.
+The words of a group's texts are compared by 32 bits of each word's hash.
+
+Texts are dealt to blocks once; every pass reads them and the answers so far from the same
+shuffle files.  Only places go on from there: rows get theirs by owner and a hash of the text.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,11 +52,17 @@ REACH = 2
 LOOK = 10
 #: Words that may stand between two matched runs of one stretch, and between two looked-up ones where edits may be close.
 GAP, WIDE_GAP = 25, 60
-_RUNS, _UNITS, _STRETCHES, _KNOWN = 100, 101, 102, 103
-#: Distinct texts on a side of a square of comparisons, and members that a task of small groups has, about.
-MEMBERS, TASK_MEMBERS = 1024, 16384
-SALTS = 1024
+_RUNS, _UNITS, _STRETCHES, _KNOWN, _MARKS = 100, 101, 102, 103, 104
+#: Distinct texts on a side of a square of comparisons, and tasks of small groups for a key range.
+MEMBERS, RANGE_TASKS = 1024, 4
+#: Shared shingles that are matched at once, about.
+MATCHED = 1 << 21
 _ASKED = 200
+#: And, with the function added, a block's own windows whose min-hashes stand in another document.
+_WINDOWS = 110
+#: Bits, besides those that tell the key range, of the keys that only tell where to look: min-hashes and runs of LOOK words.
+VALUE_BITS, LOOK_BITS = 40, 48
+_SALT = U64(0x9FB21C651E98DF25)
 _NONE = np.iinfo(np.int64).max
 
 
@@ -65,9 +77,11 @@ def window_minima(g: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
         right = least[step:] < least[:-step]
         least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
         span += step
-    inside = np.zeros(n, bool)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        inside[a:max(a, b - width + 1)] = True
+    steps = np.zeros(len(g) + 1, np.int64)
+    some = first[1:] - first[:-1] >= width
+    np.add.at(steps, first[:-1][some], 1)
+    np.add.at(steps, first[1:][some] - width + 1, -1)
+    inside = np.cumsum(steps[:n]) > 0
     fresh = inside.copy()
     fresh[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
     return np.unique(at[fresh])
@@ -98,25 +112,45 @@ def compact_windows(g: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nd
     return l[wide], at[wide], r[wide]
 
 
+def _of(table: pa.Table, levels: list[int]) -> pa.Table:
+    return table.filter(pc.is_in(table["level"], pa.array(levels, pa.int32())))
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Of each key its place among the ascending distinct ones."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(sorted_keys != np.concatenate((sorted_keys[:1], sorted_keys[:-1])))
+    return out
+
+
+def _short(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """Keys without their last bits; chance equals stay as rare when the corpus grows."""
+    return keys & ~U64((1 << max(0, 64 - bits - (ranges - 1).bit_length())) - 1)
+
+
 class _Block:
     """The texts of a block, read the same way in every pass."""
 
-    def __init__(self, table: pa.Table, text: str):
+    def __init__(self, table: pa.Table, text: str, ranges: int, places: bool = False):
+        self.ranges = ranges
         self.block = table["_block"][0].as_py()
         self.owner = table["_owner"].to_numpy()
-        hashes, firsts, starts, ends, base, chars = [], [np.zeros(1, np.int64)], [], [], 0, []
+        hashes, firsts, starts, ends, base = [], [np.zeros(1, np.int64)], [], [], 0
         for _, _, data, offsets in pieces(table[text].combine_chunks()):
             w = Words(data, offsets)
-            at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            shift = np.repeat(at[offsets[:-1]], w.count())
             hashes.append(w.hash)
-            starts.append(at[w.start] - shift)
-            ends.append(at[w.end] - shift)
             firsts.append(base + w.first[1:])
-            chars.append(np.diff(at[offsets]))
             base += len(w.hash)
+            if places:
+                at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                shift = np.repeat(at[offsets[:-1]], w.count())
+                starts.append(at[w.start] - shift)
+                ends.append(at[w.end] - shift)
         self.hash, self.first = np.concatenate(hashes), np.concatenate(firsts)
-        self.start, self.end, self.chars = np.concatenate(starts), np.concatenate(ends), np.concatenate(chars)
+        if places:  # code points at which words begin and end
+            self.start, self.end = np.concatenate(starts), np.concatenate(ends)
         self.text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def signs(self) -> np.ndarray:
@@ -139,11 +173,21 @@ class _Block:
         out = []
         for k in range(functions):
             with np.errstate(over="ignore"):
-                g = mix(shingles[at] ^ (U64(k + 1) * U64(0x9FB21C651E98DF25)))
+                g = mix(shingles[at] ^ (U64(k + 1) * _SALT))
             l, c, r = compact_windows(g, first, passage - SHINGLE + 1)
-            out.append((at[l], at[c], at[r], g[c]))
+            out.append((at[l], at[c], at[r], _short(g[c], VALUE_BITS, self.ranges)))
         return out
 
+    def value(self, k: int, shingles: np.ndarray) -> np.ndarray:
+        """Min-hashes of windows by their centres' shingles."""
+        with np.errstate(over="ignore"):
+            return _short(mix(shingles ^ (U64(k + 1) * _SALT)), VALUE_BITS, self.ranges)
+
+    def keys(self, level: int, size: int) -> np.ndarray:
+        """The keys by which runs of ``size`` words are looked up."""
+        found = grams(self.hash, size)
+        return _short(found, LOOK_BITS, self.ranges) if level == _UNITS else found
+
     def owners(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ascending distinct keys and, of each, the two smallest documents that have it."""
         owner = self.owner[self.text[at]]
@@ -156,20 +200,31 @@ class _Block:
         second = np.minimum.reduceat(other, begin) if len(begin) else other
         return k[begin], np.stack([o[begin], second], 1)
 
-    def hits(self, windows: list, answers: dict[int, np.ndarray]) -> list[np.ndarray]:
-        """For each function which windows' min-hashes stand in another document."""
+    def hits(self, windows: list, answers: dict[int, np.ndarray]) -> list:
+        """The windows whose min-hashes stand in another document, their bounds no further off than they matter."""
         out = []
-        for k, (_, _, _, value) in enumerate(windows):
-            found = answers[k][np.searchsorted(np.unique(value), value)] if len(value) else np.zeros((0, 2), np.int64)
-            out.append(found[:, 0] != found[:, 1])
+        for k, w in enumerate(windows):
+            found = answers[k][_ranks(w[3])] if len(w[3]) else np.zeros((0, 2), np.int64)
+            out.append(tuple(x[found[:, 0] != found[:, 1]] for x in w))
+        return out
+
+    def known_windows(self, answers: pa.Table, passage: int, functions: int) -> list:
+        """The windows of ``hits`` as ``_windows_kept`` wrote them."""
+        levels = [_WINDOWS + k for k in range(functions)]
+        told = blocks.joined(_of(answers, levels), dict.fromkeys(levels, "<i4"), dict.fromkeys(levels, 3))
+        shingles, out = grams(self.hash, SHINGLE), []
+        for k, level in enumerate(levels):
+            step, left, right = told[level].astype(np.int64).T
+            c = np.cumsum(step)
+            out.append((c - left, c, c + right, self.value(k, shingles[c])))
         return out
 
-    def run_places(self, windows: list, answers: dict[int, np.ndarray], passage: int) -> np.ndarray:
+    def run_places(self, windows: list, passage: int) -> np.ndarray:
         """Words where a run of ``passage`` words is to be looked up."""
         steps = np.zeros(len(self.hash) + 1, np.int64)
-        for (l, c, r, _), hit in zip(windows, self.hits(windows, answers), strict=True):
-            np.add.at(steps, np.maximum(l[hit], c[hit] + SHINGLE - passage), 1)
-            np.add.at(steps, np.minimum(c[hit], r[hit] + SHINGLE - passage) + 1, -1)
+        for l, c, r, _ in windows:
+            np.add.at(steps, np.maximum(l, c + SHINGLE - passage), 1)
+            np.add.at(steps, np.minimum(c, r + SHINGLE - passage) + 1, -1)
         return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(passage))
 
     def unit_places(self, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -185,7 +240,7 @@ class _Copies:
     """Which runs of ``passage`` words of a block's texts stand in other documents, by the answers to them."""
 
     def __init__(self, b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int):
-        self.at, self.found = _looked_up(b, answers, _RUNS, passage, b.run_places(windows, answers, passage))
+        self.at, self.found = _looked_up(b, answers, _RUNS, passage, b.run_places(windows, passage))
         self.early = self.found[:, 0] < b.owner[b.text[self.at]]
         source = np.full(len(b.hash), _NONE)
         source[self.at[self.early]] = self.found[self.early, 0]
@@ -193,11 +248,11 @@ class _Copies:
         #: For each function (min-hash, first run, run after the last) of the windows to match near copies in.  Left out
         #: are those that one earlier document has word for word, with a window around them, to be matched in their place.
         self.spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for (l, c, r, value), hit in zip(windows, b.hits(windows, answers), strict=True):
+        for l, c, r, value in windows:
             first = np.maximum(l, c - REACH * passage)
             after = np.minimum(c + REACH * passage, r + SHINGLE - LOOK) + 1
             last = after + LOOK - 1 - passage
-            on = hit & ~((source[first] != _NONE) & (changes[last + 1] == changes[first + 1])) if len(value) else hit
+            on = (source[first] == _NONE) | (changes[last + 1] != changes[first + 1])
             self.spans.append((value[on], first[on], after[on]))
 
 
@@ -224,34 +279,44 @@ def _two_owners(level: int, keys: np.ndarray, where: list[np.ndarray], values: l
 
 def _windows_sent(text: str, ranges: int, passage: int, functions: int):
     def run(table: pa.Table) -> pa.Table:
-        b = _Block(table, text)
+        b = _Block(table, text, ranges)
         return blocks.send(b.block, ranges, [(k, *b.owners(value, c)) for k, (_, c, _, value)
                                              in enumerate(b.windows(passage, functions)) if len(value)])
     return run
 
 
 def _answers(table: pa.Table, levels: list[int]) -> dict[int, np.ndarray]:
-    return blocks.joined(table, dict.fromkeys(levels, "<i8"), dict.fromkeys(levels, 2))
+    return blocks.joined(_of(table, levels), dict.fromkeys(levels, "<i8"), dict.fromkeys(levels, 2))
 
 
 def _runs_sent(text: str, ranges: int, passage: int, functions: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return blocks.SENT_ARROW.empty_table()
-        b = _Block(table, text)
-        runs = b.run_places(b.windows(passage, functions), _answers(answers, list(range(functions))), passage)
-        return blocks.send(b.block, ranges, [(_RUNS, *b.owners(grams(b.hash, passage)[runs], runs))] if len(runs) else [])
+        b = _Block(table, text, ranges)
+        windows = b.hits(b.windows(passage, functions), _answers(answers, list(range(functions))))
+        runs = b.run_places(windows, passage)
+        sent = blocks.send(b.block, ranges, [(_RUNS, *b.owners(b.keys(_RUNS, passage)[runs], runs))] if len(runs) else [])
+        return pa.concat_tables([sent, _windows_kept(b.block, windows, passage)])
     return run
 
 
+def _windows_kept(block: int, windows: list, passage: int) -> pa.Table:
+    """The block's windows, for its later passes: centres, and as much of the bounds as matters."""
+    rows = [(block, _WINDOWS + k, blocks.planes(np.stack([
+        np.diff(c, prepend=0), np.minimum(c - l, REACH * passage), np.minimum(r - c, (REACH + 1) * passage)], 1).astype("<i4")))
+        for k, (l, c, r, _) in enumerate(windows)]
+    return blocks.own(rows)
+
+
 def _units_sent(text: str, ranges: int, passage: int, functions: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return blocks.SENT_ARROW.empty_table()
-        b = _Block(table, text)
-        copies = _Copies(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS]), passage)
+        b = _Block(table, text, ranges)
+        copies = _Copies(b, b.known_windows(answers, passage, functions), _answers(answers, [_RUNS]), passage)
         units = b.unit_places(copies.spans)
-        return blocks.send(b.block, ranges, [(_UNITS, *b.owners(grams(b.hash, LOOK)[units], units))] if len(units) else [])
+        return blocks.send(b.block, ranges, [(_UNITS, *b.owners(b.keys(_UNITS, LOOK)[units], units))] if len(units) else [])
     return run
 
 
@@ -263,28 +328,38 @@ def _need(similarity: float) -> float:
 def _near(at: np.ndarray, partner: np.ndarray, unit: int, need: float, shortest: int, gap: int = GAP) -> list[tuple[int, int, int]]:
     """(first word, word after, partner) of stretches of ``shortest`` words at least whose shingles, those of the runs
     of ``unit`` words that begin at ``at``, match one partner closely enough."""
-    out = []
+    if not len(at):
+        return []
     order = np.lexsort((at, partner))
     at, partner = at[order], partner[order]
-    cuts = np.flatnonzero((np.diff(partner) != 0) | (np.diff(at) > gap)) + 1
-    for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
-        p = at[a:b]
-        breaks = np.flatnonzero(np.diff(p) > 1) + 1
-        begin, end = p[np.r_[0, breaks]], p[np.r_[breaks, len(p)] - 1] + unit
-        # The longest stretch from run i to run j that matches well enough, from the left, then on
-        # from there: matched(i..j) >= need * shingles(i..j), with the terms of j and of i on two sides.
-        matched = np.concatenate(([0], np.cumsum(end - begin - SHINGLE + 1)))
-        upto = matched[1:] - need * end
+    step = np.diff(at)
+    parts = np.concatenate(([True], (np.diff(partner) != 0) | (step > gap)))
+    heads = np.flatnonzero(parts | np.concatenate(([True], step > 1)))
+    begin, end = at[heads], at[np.append(heads[1:], len(at)) - 1] + unit
+    matched = np.concatenate(([0], np.cumsum(end - begin - SHINGLE + 1)))
+    first = np.flatnonzero(parts[heads])
+    after = np.append(first[1:], len(heads))
+    left, right = begin[first], end[after - 1]
+    total, long = matched[after] - matched[first], right - left >= shortest
+    whole = total >= need * (right - left - SHINGLE + 1) - 1e-9
+    possible = np.flatnonzero(long & (whole | (total >= need * (shortest - SHINGLE + 1) - 1e-6)))
+    out = []
+    for l, r, p, a, z, all_of_it in zip(*(x[possible].tolist() for x in (left, right, partner[heads[first]], first, after, whole)), strict=True):
+        if all_of_it:
+            out.append((l, r, p))
+            continue
+        # The longest stretch from each run i to a run j that matches well enough:
+        # matched(i..j) >= need * shingles(i..j), with the terms of j and of i on two sides.
+        upto = matched[a + 1:z + 1] - need * end[a:z]
         best = np.maximum.accumulate(upto[::-1])  # of the last runs; its first place above a bound is the largest j
-        bound = matched[:-1] - need * (begin + SHINGLE - 1) - 1e-9
-        last = len(begin) - 1 - np.searchsorted(best, bound, "left")
-        i = 0
-        while i < len(begin):
+        bound = matched[a:z] - need * (begin[a:z] + SHINGLE - 1) - 1e-9
+        last = z - a - 1 - np.searchsorted(best, bound, "left")
+        reach = -1
+        for i in np.flatnonzero((last >= np.arange(z - a)) & (end[a + last] - begin[a:z] >= shortest)).tolist():
             j = int(last[i])
-            if j >= i and end[j] - begin[i] >= shortest:
-                out.append((int(begin[i]), int(end[j]), int(partner[a])))
-                i = j
-            i += 1
+            if j > reach:  # stretches may overlap; those inside another are left out
+                out.append((int(begin[a + i]), int(end[a + j]), p))
+                reach = j
     return out
 
 
@@ -317,8 +392,8 @@ def _looked_up(b: _Block, answers: dict[int, np.ndarray], level: int, size: int,
     """Those of ``at`` whose run of ``size`` words stands in two documents, and the two."""
     if not len(at):
         return at, np.zeros((0, 2), np.int64)
-    keys = grams(b.hash, size)[at]
-    found = answers[level][np.searchsorted(np.unique(keys), keys)]
+    keys = b.keys(level, size)[at]
+    found = answers[level][_ranks(keys)]
     hit = found[:, 0] != found[:, 1]
     return at[hit], found[hit]
 
@@ -331,10 +406,11 @@ def _partners(b: _Block, answers: dict[int, np.ndarray], units: np.ndarray) -> t
 
 def _credited(b: _Block, at: np.ndarray, partner: np.ndarray, passage: int, similarity: float) -> dict[int, list[tuple[int, int, int]]]:
     """By text the near copies that the runs' smallest documents make."""
-    text = b.text[at]
-    starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(at) else np.zeros(0, np.int64)
-    return {int(text[i]): _near(at[i:j], partner[i:j], LOOK, _need(similarity), passage)
-            for i, j in zip(starts, np.r_[starts[1:], len(at)], strict=True)}
+    names, number = np.unique(partner, return_inverse=True)
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for a, z, p in _near(at, b.text[at] * len(names) + number, LOOK, _need(similarity), passage):
+        out.setdefault(p // len(names), []).append((a, z, int(names[p % len(names)])))
+    return out
 
 
 def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int,
@@ -398,133 +474,205 @@ def _known(b: _Block, copies: _Copies, credited: dict[int, list[tuple[int, int,
     return np.unique(np.asarray(found, np.int64).reshape(-1, 6), axis=0)  # equal rows of the table are known alike
 
 
+def _merged(b: _Block, k: int, found: tuple) -> list[tuple[int, int, int, list[tuple[int, int, bool]]]]:
+    """The windows of a text that have the same min-hash as one member: (min-hash, mark, text, spans).
+
+    Spans are (first shingle, the one after the last, whether partners are looked for); the mark is a hash of the words.
+    """
+    value, first, after, wanting = found
+    text = b.text[first]
+    order = np.lexsort((first, value, text))
+    value, first, after, wanting, text = value[order], first[order], after[order], wanting[order], text[order]
+    if not len(value):
+        return []
+    new = np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])]
+    lift = np.cumsum(new) * (len(b.hash) + 1)
+    reach = np.maximum.accumulate(after + lift) - lift
+    begins = new | np.r_[True, first[1:] > reach[:-1]]
+    at = np.flatnonzero(begins)
+    spans = list(zip(first[at].tolist(), reach[np.r_[at[1:], len(first)] - 1].tolist(),
+                     np.logical_or.reduceat(wanting, at).tolist(), strict=True))
+    heads = np.flatnonzero(new[at])
+    out = []
+    for i, j, v, t in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], value[at[heads]].tolist(), text[at[heads]].tolist(), strict=True):
+        digest = hashlib.blake2b(f"{k},{v}".encode(), digest_size=8)
+        for a, z, _ in spans[i:j]:
+            digest.update(b"|")
+            digest.update(b.hash[a:z + SHINGLE - 1])
+        out.append((v, int.from_bytes(digest.digest()), t, spans[i:j]))
+    return out
+
+
 def _asked(text: str, ranges: int, passage: int, functions: int, similarity: float):
-    """Sends the windows' min-hashes, and whether one of the block's texts looks for partners there."""
+    """Sends the min-hashes of members, with how many there are and whether one looks for partners, and the members' marks."""
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return blocks.SENT_ARROW.empty_table()
-        b = _Block(table, text)
-        found, _, _ = _members(b, b.windows(passage, functions), _answers(answers, [*range(functions), _RUNS, _UNITS]), passage, similarity)
-        levels = []
-        for k, (value, _, _, wanting) in enumerate(found):
-            keys, at = np.unique(value, return_inverse=True)
-            if len(keys):
-                levels.append((k, keys, (np.bincount(at, weights=wanting) > 0).astype(np.uint8)))
+        b = _Block(table, text, ranges)
+        found, _, _ = _members(b, b.known_windows(answers, passage, functions), _answers(answers, [_RUNS, _UNITS]), passage, similarity)
+        levels, marks, owners = [], [], []
+        for k, windows in enumerate(found):
+            members = _merged(b, k, windows)
+            if members:
+                keys, at = np.unique(np.asarray([v for v, _, _, _ in members], U64), return_inverse=True)
+                looks = np.bincount(at, [any(w for _, _, w in spans) for _, _, _, spans in members]) > 0
+                levels.append((k, keys, 2 * np.bincount(at) + looks))
+                marks.extend(m for _, m, _, _ in members)
+                owners.extend(b.owner[t] for _, _, t, _ in members)
+        if marks:
+            each, owner = np.asarray(marks, U64), np.asarray(owners, np.int64)
+            order = np.lexsort((owner, each))
+            each, owner = each[order], owner[order]
+            new = np.r_[True, each[1:] != each[:-1]]
+            levels.append((_MARKS, each[new], owner[new]))
         return blocks.send(b.block, ranges, levels)
     return run
 
 
-def _any(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
-    some = np.zeros(len(keys), np.uint8)
+def _groups(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    """Of a min-hash the sides of its squares of comparisons, 0 where nothing is to be compared; of a mark its smallest document."""
+    if level == _MARKS:
+        low = np.full(len(keys), _NONE)
+        for at, v in zip(where, values, strict=True):
+            low[at] = np.minimum(low[at], v)
+        return [low[at] for at in where]
+    size, looks = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     for at, v in zip(where, values, strict=True):
-        some[at] |= v
-    return [some[at] for at in where]
+        size[at] += v >> 1
+        looks[at] |= v & 1
+    side = np.where((size > 1) & (looks > 0), -(-size // MEMBERS), 0)
+    return [side[at] for at in where]
+
 
+_MEMBER = "task long, level int, value long, words binary, spans binary, owner long, block long, sign long, looks int"
+_PARTNER, _SEEKER, _BOTH = 0, 1, 2
 
-_MEMBER = "level int, value long, runs binary, owner long, block long, sign long, first long, wanting boolean"
 
+def _members_sent(text: str, ranges: int, passage: int, functions: int, similarity: float):
+    """The words of members, for every square of comparisons that they are in, and a row (level _KNOWN) of what
+    the block's lookups tell without partners, so that no pass is run again for it.
 
-def _members_sent(text: str, passage: int, functions: int, similarity: float):
-    """The shingles around the windows of min-hashes where a text looks for partners, and a row (level _KNOWN) of what
-    the block's lookups tell without partners, so that no pass is run again for it."""
+    A member that an earlier document has word for word is left out: that document's own copy stands for the others.
+    """
     names = [f.split()[0] for f in _MEMBER.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if len(table):
-            b = _Block(table, text)
-            asked = answers.filter(pc.greater_equal(answers["level"], _ASKED))
-            found, copies, credited = _members(b, b.windows(passage, functions), _answers(
-                answers.filter(pc.less(answers["level"], _ASKED)), [*range(functions), _RUNS, _UNITS]), passage, similarity)
+            b = _Block(table, text, ranges)
+            found, copies, credited = _members(b, b.known_windows(answers, passage, functions), _answers(answers, [_RUNS, _UNITS]), passage, similarity)
             known = _known(b, copies, credited, passage)
             if len(known):
-                rows.append((_KNOWN, None, known.tobytes(), None, b.block, None, None, False))
-            flags = blocks.joined(asked, {_ASKED + k: "<u1" for k in range(functions)})
-            keys = grams(b.hash, SHINGLE)
-            signs = b.signs()
-            for k, (value, first, after, wanting) in enumerate(found):
-                if len(value):
-                    on = flags[_ASKED + k][np.searchsorted(np.unique(value), value)] > 0
-                    for v, a, z, w in zip(value[on].view(np.int64).tolist(), first[on].tolist(), after[on].tolist(), wanting[on].tolist(), strict=True):
-                        t = b.text[a]
-                        rows.append((k, v, keys[a:z].tobytes(), int(b.owner[t]), b.block, int(signs[t]), int(a - b.first[t]), w))
+                rows.append((-1 - b.block, _KNOWN, None, known.tobytes(), None, None, b.block, None, 0))
+            members = [_merged(b, k, windows) for k, windows in enumerate(found)]
+            levels = [_ASKED + k for k in (*range(functions), _MARKS)]
+            told = blocks.joined(_of(answers, levels), dict.fromkeys(levels, "<i8"))
+            marks = np.unique(np.asarray([m for x in members for _, m, _, _ in x], U64))
+            lowest = dict(zip(marks.tolist(), told[_ASKED + _MARKS].tolist(), strict=True))
+            signs, words = b.signs(), (b.hash & U64(0xFFFFFFFF)).astype("<u4")
+            for k, x in enumerate(members):
+                values = np.unique(np.asarray([v for v, _, _, _ in x], U64))
+                sides = dict(zip(values.tolist(), told[_ASKED + k].tolist(), strict=True))
+                for v, mark, t, spans in x:
+                    side, owner = sides[v], int(b.owner[t])
+                    if not side or lowest[mark] < owner:
+                        continue
+                    places = np.asarray([(a - b.first[t], z - a, w) for a, z, w in spans], "<i4").tobytes()
+                    held = b"".join(words[a:z + SHINGLE - 1].tobytes() for a, z, _ in spans)
+                    wants, own = any(w for _, _, w in spans), mark % side
+                    squares = {(x, own): _PARTNER for x in range(side)}
+                    if wants:
+                        squares |= {(own, y): _SEEKER for y in range(side)} | {(own, own): _BOTH}
+                    for (x, y), looks in squares.items():
+                        number = int(mix(np.asarray([v + 4 * side * (x * side + y) * 0x9E3779B97F4A7C15 + k & (1 << 64) - 1], U64))[0])
+                        task = number % (ranges * RANGE_TASKS) if side == 1 else (1 << 62) + (number >> 2)
+                        rows.append((task, k, v - (v >> 63 << 64), held, places, owner, b.block, int(signs[t]), looks))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
     return run
 
 
-def _stretches(runs: list[np.ndarray], owners: np.ndarray, wanting: list[tuple[int | None, np.ndarray]], passage: int,
-               similarity: float) -> list[list[tuple[int, int, int]]]:
-    """For each of ``wanting`` (owner, runs) the stretches that match a text of another owner, smallest owners first.
-
-    A stretch without a word that a smaller owner's stretches lack is left out.
-    """
-    place = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
-    keys = np.concatenate(runs)
-    pairs = np.unique(np.stack([keys, owners[place].view(U64)], 1), axis=0)
-    keys, holder = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]).view(np.int64)
-    least = _least(passage, similarity)
-    out = []
-    for own, mine in wanting:
-        lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-        many = hi - lo
-        at = np.repeat(np.arange(len(mine)), many)
-        partner = holder[np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-        if own is not None:
-            other = partner != own
-            at, partner = at[other], partner[other]
-        order = np.lexsort((at, partner))
-        at, partner = at[order], partner[order]
-        found: list[tuple[int, int, int]] = []
-        out.append(found)
-        if not len(at):
-            continue
-        new = np.r_[True, partner[1:] != partner[:-1]]
-        begin = np.flatnonzero(new)
-        end = np.r_[begin[1:], len(at)]
-        could = end - begin >= least
-        covered = np.zeros(len(mine) + SHINGLE, bool)
-        for i, j in zip(begin[could].tolist(), end[could].tolist(), strict=True):
-            if not covered[at[i]:at[j - 1] + SHINGLE].all():
-                for a, z, p in _near(at[i:j], partner[i:j], SHINGLE, _need(similarity), passage):
-                    if not covered[a:z].all():
-                        covered[a:z] = True
-                        found.append((a, z, p))
-    return out
+def _ramps(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``many``."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
 def _compared(passage: int, similarity: float):
-    """Stretches of a task's groups, one answer a block; ``part`` is 0 for partners, 1 for texts that look for them."""
+    """Answers of a task's groups: the stretches that match a text of another document, and what was known before.
+
+    Of each span the smallest documents come first; a stretch without a word that a smaller document's lack is left out.
+    """
+    least, need = _least(passage, similarity), _need(similarity)
+
     def run(table: pa.Table) -> pa.Table:
+        ready = table.filter(pc.equal(table["level"], _KNOWN))
+        table = table.filter(pc.not_equal(table["level"], _KNOWN))
         out: dict[int, list] = {}
-        level, value = table["level"].to_numpy(), table["value"].to_numpy()
-        low, high = (pc.fill_null(table[c], 0).to_numpy() for c in ("low", "high"))
-        looks = table["looks"].to_numpy()
-        runs, seekers = table["runs"].combine_chunks(), table["seekers"].combine_chunks()
-        order = np.lexsort((level, value))
-        cuts = np.flatnonzero((np.diff(level[order]) != 0) | (np.diff(value[order]) != 0)) + 1
-        for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(order)], strict=True):
-            rows = order[i:j]
-            heads, tails = rows[looks[rows]], rows[~looks[rows]]
-            if not len(heads) or not len(tails):
-                continue
-            texts = [np.frombuffer(runs[x].as_py(), U64) for x in tails]
-            owners = np.concatenate((low[tails], high[tails]))
-            known = set(owners.tolist())
-            # Seekers of equal texts that own no text of the other side have the same answer.
-            wanting: dict[tuple, list] = {}
-            for x in heads:
-                mine = runs[x].as_py()
-                for q in seekers[x].as_py():
-                    wanting.setdefault((q["owner"] if q["owner"] in known else None, mine), []).append(q)
-            found = _stretches(texts * 2, owners, [(o, np.frombuffer(m, U64)) for o, m in wanting], passage, similarity)
-            for asking, stretches in zip(wanting.values(), found, strict=True):
-                for q in asking if stretches else ():
-                    out.setdefault(q["block"], []).extend(
-                        (q["owner"], q["sign"], q["first"] + a, q["first"] + z, p) for a, z, p in stretches)
-        return pa.table([pa.array(list(out), pa.int64()), pa.array([0] * len(out), pa.int64()), pa.array([_STRETCHES] * len(out), pa.int32()),
-                         pa.array([np.asarray(x, np.int64).tobytes() for x in out.values()], pa.binary())], schema=blocks.ANSWER_ARROW)
+        if len(table):
+            match(table, out)
+        return pa.table([
+            pa.array([*ready["block"].to_pylist(), *out], pa.int64()), pa.array([0] * (len(ready) + len(out)), pa.int64()),
+            pa.array([_KNOWN] * len(ready) + [_STRETCHES] * len(out), pa.int32()),
+            pa.array([*ready["words"].to_pylist(), *(np.asarray(x, np.int64).tobytes() for x in out.values())], pa.binary())],
+            schema=blocks.ANSWER_ARROW)
+
+    def match(table: pa.Table, out: dict[int, list]) -> None:
+        spans = [np.frombuffer(x, "<i4").reshape(-1, 3) for x in table["spans"].to_pylist()]
+        row = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+        place, many, wants = np.concatenate(spans).astype(np.int64).T
+        words = np.frombuffer(b"".join(table["words"].to_pylist()), "<u4").astype(U64)
+        begin = np.cumsum(many + SHINGLE - 1) - (many + SHINGLE - 1)
+        # A span's shingles, each with its group, so that all groups are matched at once.
+        ramp = _ramps(many)
+        span = np.repeat(np.arange(len(many)), many)
+        with np.errstate(over="ignore"):
+            group = mix(table["value"].to_numpy().view(U64) + mix(table["level"].to_numpy().astype(U64)))
+            keys = mix(grams(words, SHINGLE)[np.repeat(begin, many) + ramp] ^ group[row][span])
+        names, owner = np.unique(table["owner"].to_numpy(), return_inverse=True)
+        owner, looks = owner[row], table["looks"].to_numpy()[row]
+        held = np.flatnonzero((looks != _SEEKER)[span])
+        order = held[np.lexsort((owner[span[held]], keys[held]))]
+        have, holder = keys[order], owner[span[order]]
+        if not len(have):
+            return
+        new = np.r_[True, (have[1:] != have[:-1]) | (holder[1:] != holder[:-1])]
+        have, holder = have[new], holder[new]
+        starts = np.flatnonzero(np.r_[True, have[1:] != have[:-1]])
+        each, ends = have[starts], np.r_[starts[1:], len(have)]
+        seek = np.flatnonzero(((looks != _PARTNER) & (wants > 0))[span])
+        if not len(seek):
+            return
+        at = np.minimum(np.searchsorted(each, keys[seek]), len(each) - 1)
+        shared = each[at] == keys[seek]
+        seek, low, some = seek[shared], starts[at[shared]], (ends - starts)[at[shared]]
+        blocked, owners, signs = (table[c].to_numpy() for c in ("block", "owner", "sign"))
+        first = np.flatnonzero(np.r_[True, span[seek][1:] != span[seek][:-1]]) if len(seek) else seek
+        total = np.r_[0, np.cumsum(some)]
+        i = 0
+        while i < len(first):  # whole spans, up to MATCHED shared shingles
+            j = max(i + 1, int(np.searchsorted(total[np.r_[first[1:], len(seek)]], total[first[i]] + MATCHED, "right")))
+            part = slice(first[i], first[j] if j < len(first) else len(seek))
+            i = j
+            each_span, n = span[seek[part]], some[part]
+            partner = holder[np.repeat(low[part], n) + _ramps(n)]
+            mine, where = np.repeat(each_span, n), np.repeat(ramp[seek[part]], n)
+            other = partner != owner[mine]
+            partner, mine, where = partner[other], mine[other], where[other]
+            order = np.argsort(mine * len(names) + partner, kind="stable")
+            partner, mine, where = partner[order], mine[order], where[order]
+            cuts = np.flatnonzero((np.diff(mine) != 0) | (np.diff(partner) != 0)) + 1
+            size = np.diff(cuts, prepend=0, append=len(mine))
+            could = np.repeat(size >= least, size)
+            last, covered = -1, np.zeros(0, bool)
+            for x, y, both in _near(where[could], (mine * len(names) + partner)[could], SHINGLE, need, passage):
+                s, p = divmod(both, len(names))
+                if s != last:
+                    last, covered = s, np.zeros(many[s] + SHINGLE, bool)
+                if not covered[x:y].all():
+                    covered[x:y] = True
+                    r = int(row[s])
+                    out.setdefault(int(blocked[r]), []).append((owners[r], signs[r], place[s] + x, place[s] + y, names[p]))
     return run
 
 
@@ -534,41 +682,6 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _matched(members: DataFrame, passage: int, similarity: float) -> DataFrame:
-    """Answers (level _STRETCHES) of rows (owner, sign, first word, word after, partner).
-
-    Equal texts are compared as one, of the smallest and the largest document that have it:
-    the largest is a partner of the smallest, all others have the smallest.
-    """
-    group = ["level", "value"]
-    ends = F.min("owner").alias("low"), F.max("owner").alias("high")
-    texts = members.groupBy(*group, "runs").agg(*ends)
-    # A text of very many documents has up to SALTS rows of them.
-    seekers = (members.filter("wanting").groupBy(*group, "runs", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).alias("salt"))
-               .agg(F.collect_set(F.struct("owner", "block", "sign", "first")).alias("seekers")))
-    sizes = (members.groupBy(*group, F.xxhash64("runs").alias("mark")).agg(*ends, F.max("wanting").alias("wanting")).groupBy(*group)
-             .agg(F.count(F.lit(1)).alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("wanting").alias("wanting"))
-             .filter("low < high and wanting"))
-    sizes = _kept(sizes.select(F.col("level").alias("_level"), F.col("value").alias("_value"),
-                              F.ceil(F.col("size") / MEMBERS).alias("side"), "size"), "groups")
-    tasks = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // TASK_MEMBERS))
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        met = df.join(sizes, (F.col("level") == F.col("_level")) & (F.col("value") == F.col("_value")))
-        return met.withColumn(own, F.pmod(F.xxhash64("runs"), F.col("side"))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
-
-    columns = [*group, "runs", "low", "high", "seekers", "side", "x", "y", "looks"]
-    none = F.lit(None)
-    looks = dealt(seekers, "x", "y").withColumns(
-        {"low": none.cast("long"), "high": none.cast("long"), "looks": F.lit(True)}).select(columns)
-    looked = dealt(texts, "y", "x").withColumns(
-        {"seekers": none.cast(seekers.schema["seekers"].dataType), "looks": F.lit(False)}).select(columns)
-    both = looks.unionByName(looked).withColumn("task", F.when(F.col("side") == 1, F.pmod(F.xxhash64("level", "value"), F.lit(tasks)))
-                                                .otherwise(F.xxhash64("level", "value", "x", "y")))
-    return both.groupBy("task", F.col("side") == 1).applyInArrow(_compared(passage, similarity), blocks.ANSWER)
-
-
 def passages(b: _Block, known: np.ndarray, stretches: np.ndarray) -> list[list[dict]]:
     """Repeated passages of each text: words and code points, the smallest document that has them, whether a near copy.
 
@@ -616,10 +729,43 @@ _ARROW = pa.list_(pa.struct([("start_word", pa.int32()), ("end_word", pa.int32()
                              ("end", pa.int32()), ("first_doc", pa.int64()), ("near", pa.bool_())]))
 
 
+def _found(dealt: DataFrame, ranges: int, text: str, passage: int, similarity: float, functions: int) -> DataFrame:
+    """The passages of every row of ``dealt`` (_block, _owner, _mark, text), without the texts."""
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(answers: DataFrame, run, schema: str) -> DataFrame:
+        return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+    def told(sent: DataFrame, reduce, width: int) -> DataFrame:
+        # Dealt by block at once: every later pass reads the same files.
+        return blocks.answered(sent, reduce, "<i8", width).repartition(tasks, "block")
+
+    windows = told(dealt.groupBy("_block").applyInArrow(_windows_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, 2)
+    runs = told(met(windows, _runs_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, 2)
+    units = told(met(runs, _units_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, 2)
+    both = runs.unionByName(units)
+    asked = told(met(both, _asked(text, ranges, passage, functions, similarity), blocks.SENT), _groups, 1)
+    members = met(both.unionByName(asked.withColumn("level", F.col("level") + _ASKED)),
+                  _members_sent(text, ranges, passage, functions, similarity), _MEMBER)
+    answers = members.groupBy("task").applyInArrow(_compared(passage, similarity), blocks.ANSWER)
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        found, block = [], None
+        if len(table):
+            b = block = _Block(table, text, ranges, places=True)
+            rows = [np.frombuffer(b"".join(answers.filter(pc.equal(answers["level"], level))["answers"].to_pylist()), np.int64)
+                    for level in (_KNOWN, _STRETCHES)]
+            found = passages(b, rows[0].reshape(-1, 6), rows[1].reshape(-1, 5))
+        return table.select(["_block", "_owner", "_mark"]).append_column(
+            "_n_words", pa.array(np.diff(block.first) if block else [], pa.int64())).append_column("_passages", pa.array(found, _ARROW))
+
+    return met(answers, finish, f"_block long, _owner long, _mark long, _n_words long, _passages {_PASSAGES}")
+
+
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", passage: int = PASSAGE,
              similarity: float = SIMILARITY, functions: int = FUNCTIONS,
-             block_chars: int = blocks.BLOCK_CHARS) -> DataFrame:
-    """``docs`` plus ``_owner`` (long), ``_n_words`` and ``_passages`` for every row.
+             block_chars: int = blocks.BLOCK_CHARS, columns: list[str] | None = None) -> DataFrame:
+    """``docs``, or the ``columns`` of them, plus ``_owner`` (long), ``_n_words`` and ``_passages`` for every row.
 
     A passage has at least ``passage`` words that another document has too, or nearly has.
     ``first_doc`` is the smallest document with it; ``_owner``, the row's own number in that
@@ -629,39 +775,23 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", passage:
     """
     own = F.coalesce(F.col(key).cast("long"),
                      F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)))
+    names = [*(docs.columns if columns is None else columns), "_owner"]
     rows = docs.withColumn("_owner", own)
-    dealt, ranges = blocks.dealt(rows, block_chars, text, key)
-    windows = blocks.answered(dealt.groupBy("_block").applyInArrow(
-        _windows_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
-    runs = blocks.answered(dealt.groupBy("_block").cogroup(windows.groupBy("block")).applyInArrow(
-        _runs_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
-    found = windows.unionByName(runs)
-    units = blocks.answered(dealt.groupBy("_block").cogroup(found.groupBy("block")).applyInArrow(
-        _units_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, "<i8", 2)
-    both = found.unionByName(units)
-    asked = blocks.answered(dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(
-        _asked(text, ranges, passage, functions, similarity), blocks.SENT), _any, "<u1")
-    members = _kept(dealt.groupBy("_block").cogroup(
-        both.unionByName(asked.withColumn("level", F.col("level") + _ASKED)).groupBy("block")).applyInArrow(
-        _members_sent(text, passage, functions, similarity), _MEMBER), "members")
-    known = members.filter(F.col("level") == _KNOWN).select(
-        "block", F.lit(0).cast("long").alias("range"), "level", F.col("runs").alias("answers"))
-    stretches = _matched(members.filter(F.col("level") < functions), passage, similarity)
-    names = rows.columns
-
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found = []
-        if len(table):
-            b = _Block(table, text)
-            rows = [np.frombuffer(b"".join(answers.filter(pc.equal(answers["level"], level))["answers"].to_pylist()), np.int64)
-                    for level in (_KNOWN, _STRETCHES)]
-            found = passages(b, rows[0].reshape(-1, 6), rows[1].reshape(-1, 5))
-        return table.select(names).append_column("_n_words", pa.array(np.diff(b.first) if len(table) else [], pa.int64())) \
-            .append_column("_passages", pa.array(found, _ARROW))
-
-    schema = StructType([*rows.schema.fields, *docs.sparkSession.createDataFrame(
-        [], f"_n_words long, _passages {_PASSAGES}").schema.fields])
-    return dealt.groupBy("_block").cogroup(known.unionByName(stretches).groupBy("block")).applyInArrow(finish, schema)
+    dealt, ranges = blocks.dealt(rows.withColumn("_mark", F.xxhash64(text)), block_chars, text, key)
+    found = _kept(_found(dealt.select("_block", "_owner", "_mark", text), ranges, text, passage, similarity, functions), "passages")
+    added = ["_n_words", "_passages"]
+
+    def finish(table: pa.Table, found: pa.Table) -> pa.Table:
+        places = {mark: i for i, mark in enumerate(zip(found["_owner"].to_pylist(), found["_mark"].to_pylist(), strict=True))}
+        at = pa.array([places[mark] for mark in zip(table["_owner"].to_pylist(), table["_mark"].to_pylist(), strict=True)], pa.int64())
+        table = table.select(names)
+        for c in added:
+            table = table.append_column(c, found[c].combine_chunks().take(at))
+        return table
+
+    schema = StructType([*(rows.schema[c] for c in names), *(found.schema[c] for c in added)])
+    return dealt.select(*dict.fromkeys([*names, "_block", "_mark"])).groupBy("_block").cogroup(
+        found.groupBy("_block")).applyInArrow(finish, schema)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw) -> DataFrame:

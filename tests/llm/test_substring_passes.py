@@ -42,3 +42,44 @@ def test_lookups_are_not_run_again_for_the_result(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1
     assert [len(r._passages) for r in found.orderBy("doc_id").collect()] == [1] * 4
+
+
+def test_windows_of_one_text_and_min_hash_move_their_words_once():
+    """Overlapping windows are one span, equal words have one mark, and other words another."""
+    import pyarrow as pa
+    text = " ".join(f"w{i}" for i in range(300))
+    table = pa.table({"_block": [0, 0], "_owner": [1, 2], "text": [text, text]})
+    b = S._Block(table, "text", 1)
+    value, wanting = np.array([7, 7, 9, 7, 7], np.uint64), np.array([False, True, False, False, False])
+    found = S._merged(b, 0, (value, np.array([0, 60, 0, 300, 360]), np.array([100, 160, 90, 400, 460]), wanting))
+    assert [(v, t, spans) for v, _, t, spans in found] == [
+        (7, 0, [(0, 160, True)]), (9, 0, [(0, 90, False)]), (7, 1, [(300, 460, False)])]
+    assert found[0][1] == found[2][1] != found[1][1]
+
+
+def test_stretches_that_overlap_are_all_found():
+    """An edit every 31 words: any two runs match well enough, three do not."""
+    at = np.concatenate([np.arange(25) + 31 * i for i in range(9)])
+    found = S._near(at, np.zeros(len(at), np.int64), S.SHINGLE, S._need(0.8), S.PASSAGE)
+    assert set(range(at[-1] + S.SHINGLE)) == {w for a, z, _ in found for w in range(a, z)}
+
+
+def test_lookups_move_texts_once(spark):
+    """All passes read one exchange of the texts and one of each lookup's answers."""
+    rows = [(i, f"text {i}") for i in range(4)]
+    docs = make(spark, rows).selectExpr("doc_id", "text", "doc_id _owner", "xxhash64(text) _mark")
+    dealt, ranges = blocks.dealt(docs)
+    found = S._found(dealt, ranges, "text", 50, 0.8, 3)
+    assert len(found.collect()) == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]  # the one that ran
+    assert plan.count("Scan ") == 1 and "ReusedExchange" in plan
+
+
+def test_a_result_without_texts_moves_none(spark):
+    part = " ".join(f"w{i}" for i in range(60))
+    found = S.repeated(make(spark, [(1, part), (2, part + " end")]), columns=["doc_id"])
+    assert found.columns == ["doc_id", "_owner", "_n_words", "_passages"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("text#" in line for line in plan.splitlines() if "Exchange" in line or "FlatMapCoGroups" in line)
+    assert [(r.doc_id, len(r._passages)) for r in found.orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
