@@ -131,10 +131,11 @@ def _short(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
 
 
 class _Block:
-    """The texts of a block, read the same way in every pass."""
+    """The texts of a block, read the same way and in the same order in every pass: rows of a shuffle come in any."""
 
     def __init__(self, table: pa.Table, text: str, ranges: int, places: bool = False):
         self.ranges = ranges
+        self.table = table = table.take(pa.array(np.lexsort((table["_mark"].to_numpy(), table["_owner"].to_numpy()))))
         self.block = table["_block"][0].as_py()
         self.owner = table["_owner"].to_numpy()
         hashes, firsts, starts, ends, base = [], [np.zeros(1, np.int64)], [], [], 0
@@ -753,6 +754,7 @@ def _found(dealt: DataFrame, ranges: int, text: str, passage: int, similarity: f
         found, block = [], None
         if len(table):
             b = block = _Block(table, text, ranges, places=True)
+            table = b.table
             rows = [np.frombuffer(b"".join(answers.filter(pc.equal(answers["level"], level))["answers"].to_pylist()), np.int64)
                     for level in (_KNOWN, _STRETCHES)]
             found = passages(b, rows[0].reshape(-1, 6), rows[1].reshape(-1, 5))

@@ -48,7 +48,7 @@ def test_windows_of_one_text_and_min_hash_move_their_words_once():
     """Overlapping windows are one span, equal words have one mark, and other words another."""
     import pyarrow as pa
     text = " ".join(f"w{i}" for i in range(300))
-    table = pa.table({"_block": [0, 0], "_owner": [1, 2], "text": [text, text]})
+    table = pa.table({"_block": [0, 0], "_owner": [1, 2], "_mark": [5, 5], "text": [text, text]})
     b = S._Block(table, "text", 1)
     value, wanting = np.array([7, 7, 9, 7, 7], np.uint64), np.array([False, True, False, False, False])
     found = S._merged(b, 0, (value, np.array([0, 60, 0, 300, 360]), np.array([100, 160, 90, 400, 460]), wanting))
@@ -83,3 +83,20 @@ def test_a_result_without_texts_moves_none(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not any("text#" in line for line in plan.splitlines() if "Exchange" in line or "FlatMapCoGroups" in line)
     assert [(r.doc_id, len(r._passages)) for r in found.orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
+
+
+def test_places_in_a_block_do_not_depend_on_the_order_of_its_rows():
+    """Passes hand places on, and a shuffle gives a block's rows in another order each time."""
+    import random
+
+    import pyarrow as pa
+    rng = random.Random(5)
+    texts = [sentence(rng, 90, 3000) for _ in range(5)]
+    table = pa.table({"_block": [0] * 6, "_owner": [4, 1, 3, 1, 2, 1], "_mark": [9, 8, 7, 6, 5, 8], "text": [*texts, texts[1]]})
+    sent = S._windows_sent("text", 1, 50, 3)(table)
+    told = [(0, 0, k, blocks.planes(np.tile(np.array([[1, 2]]), (len(blocks.unpack_keys(x)), 1))))
+            for k, x in zip(sent["level"].to_pylist(), sent["keys"].to_pylist(), strict=True)]
+    answers = pa.table([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), blocks.ANSWER_ARROW, strict=True)], schema=blocks.ANSWER_ARROW)
+    run = S._runs_sent("text", 1, 50, 3)
+    first = run(table, answers)
+    assert first.num_rows == 4 and all(run(table.take(order), answers) == first for order in ([5, 4, 3, 2, 1, 0], [2, 0, 5, 3, 1, 4]))
