@@ -41,8 +41,12 @@ def planes(a: np.ndarray) -> bytes:
 
     Of rows of numbers the columns follow each other, so a constant one costs next to nothing.
     """
-    a = np.ascontiguousarray(a.T)
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    a = np.ascontiguousarray(a.T).reshape(-1)
+    whole = a.view(f"<u{a.itemsize}")
+    out = np.empty((a.itemsize, len(a)), np.uint8)
+    for i, plane in enumerate(out):  # by shifts, which run through the numbers in their order
+        np.copyto(plane, whole >> whole.dtype.type(8 * i), casting="unsafe")
+    return out.tobytes()
 
 
 def from_planes(data: bytes, kind: str | type, width: int = 1) -> np.ndarray:

@@ -57,9 +57,15 @@ _RUNS, _UNITS, _STRETCHES, _KNOWN, _MARKS = 100, 101, 102, 103, 104
 MEMBERS, RANGE_TASKS = 1024, 4
 #: Shared shingles that are matched at once, about.
 MATCHED = 1 << 21
+#: Values that are worked on at once, in the processor's cache.
+CACHED = 1 << 14
+#: Runs of parted stretches that are searched at once.
+SQUARES = 1 << 18
 _ASKED = 200
 #: And, with the function added, a block's own windows whose min-hashes stand in another document.
 _WINDOWS = 110
+#: And, with the function added, which of these windows a near copy can stand in and whether a partner is looked for.
+_WANTED = 120
 #: Bits, besides those that tell the key range, of the keys that only tell where to look: min-hashes and runs of LOOK words.
 VALUE_BITS, LOOK_BITS = 40, 48
 _SALT = U64(0x9FB21C651E98DF25)
@@ -71,12 +77,16 @@ def window_minima(g: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     n = len(g) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    least, at, span = g, np.arange(len(g)), 1
-    while span < width:  # doubling: the minimum of a span and that of the span it is moved on by
-        step = min(span, width - span)
-        right = least[step:] < least[:-step]
-        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
-        span += step
+    at = np.empty(n, np.int64)
+    for a in range(0, n, CACHED):
+        least = g[a:a + CACHED + width - 1]
+        place, span = np.arange(a, a + len(least)), 1
+        while span < width:  # doubling: the minimum of a span and that of the span it is moved on by
+            step = min(span, width - span)
+            right = least[step:] < least[:-step]
+            least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
+            span += step
+        at[a:a + CACHED] = place
     steps = np.zeros(len(g) + 1, np.int64)
     some = first[1:] - first[:-1] >= width
     np.add.at(steps, first[:-1][some], 1)
@@ -84,34 +94,41 @@ def window_minima(g: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     inside = np.cumsum(steps[:n]) > 0
     fresh = inside.copy()
     fresh[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
-    return np.unique(at[fresh])
+    return at[fresh]
 
 
 def compact_windows(g: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r), bounds inclusive, of all nodes of the texts' Cartesian trees that span ``width`` values.
 
     A node's bounds are its nearest smaller values, which are ancestors, so they span
-    ``width`` themselves and a stack over the minima of sliding windows finds them.
+    ``width`` themselves and the minima of sliding windows are enough to find them.
     Of equal values the leftmost is the smaller.
     """
     at = window_minima(g, first, width)
     text = np.searchsorted(first, at, "right") - 1
-    left, right = first[text].tolist(), (first[text + 1] - 1).tolist()
-    values, owner, places = g[at].tolist(), text.tolist(), at.tolist()
-    stack: list[int] = []
-    for i, v in enumerate(values):
-        if stack and owner[stack[-1]] != owner[i]:
-            stack = []
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = places[i] - 1
-        if stack:
-            left[i] = places[stack[-1]] + 1
-        stack.append(i)
-    l, r = np.asarray(left, np.int64), np.asarray(right, np.int64)
+    values, places, same = g[at], np.arange(len(at)), np.diff(text) == 0
+    before = _nearest(values, np.where(np.r_[False, same][:len(at)], places - 1, -1), np.greater)
+    after = _nearest(values, np.where(np.r_[same, False][:len(at)], places + 1, -1), np.greater_equal)
+    l = np.where(before >= 0, at[before] + 1, first[text])
+    r = np.where(after >= 0, at[after], first[text + 1]) - 1
     wide = r - l + 1 >= width
     return l[wide], at[wide], r[wide]
 
 
+def _nearest(values: np.ndarray, to: np.ndarray, passed) -> np.ndarray:
+    """``to``, the neighbours on one side (-1: none), moved on until no value is ``passed`` any more.
+
+    What a neighbour has passed is passed by all that pass the neighbour, so they go on from its place, all at once.
+    """
+    on = np.flatnonzero(to >= 0)
+    on = on[passed(values[to[on]], values[on])]
+    while len(on):
+        to[on] = to[to[on]]
+        on = on[to[on] >= 0]
+        on = on[passed(values[to[on]], values[on])]
+    return to
+
+
 def _of(table: pa.Table, levels: list[int]) -> pa.Table:
     return table.filter(pc.is_in(table["level"], pa.array(levels, pa.int32())))
 
@@ -139,7 +156,7 @@ class _Block:
         self.block = table["_block"][0].as_py()
         self.owner = table["_owner"].to_numpy()
         hashes, firsts, starts, ends, base = [], [np.zeros(1, np.int64)], [], [], 0
-        for _, _, data, offsets in pieces(table[text].combine_chunks()):
+        for _, _, data, offsets in pieces(table[text].combine_chunks(), CACHED << 3):
             w = Words(data, offsets)
             hashes.append(w.hash)
             firsts.append(base + w.first[1:])
@@ -221,12 +238,16 @@ class _Block:
         return out
 
     def run_places(self, windows: list, passage: int) -> np.ndarray:
-        """Words where a run of ``passage`` words is to be looked up."""
+        """Words where a run of ``passage`` words is to be looked up.
+
+        Under each function the run is inside one window, that of its own minimum.  A run that stands in another
+        document has the same minima there, so all of its windows must have been found there.
+        """
         steps = np.zeros(len(self.hash) + 1, np.int64)
         for l, c, r, _ in windows:
             np.add.at(steps, np.maximum(l, c + SHINGLE - passage), 1)
             np.add.at(steps, np.minimum(c, r + SHINGLE - passage) + 1, -1)
-        return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(passage))
+        return np.flatnonzero((np.cumsum(steps[:-1]) == len(windows)) & self.room(passage))
 
     def unit_places(self, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         """Words where a run of LOOK words is to be looked up: those of the ``spans`` of windows."""
@@ -237,6 +258,11 @@ class _Block:
         return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & self.room(LOOK))
 
 
+def _span(l: np.ndarray, c: np.ndarray, r: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first run of LOOK words, and the one after the last, that near copies of windows are matched in."""
+    return np.maximum(l, c - REACH * passage), np.minimum(c + REACH * passage, r + SHINGLE - LOOK) + 1
+
+
 class _Copies:
     """Which runs of ``passage`` words of a block's texts stand in other documents, by the answers to them."""
 
@@ -246,15 +272,14 @@ class _Copies:
         source = np.full(len(b.hash), _NONE)
         source[self.at[self.early]] = self.found[self.early, 0]
         changes = np.concatenate(([0], np.cumsum((source == _NONE) | np.r_[True, source[1:] != source[:-1]])))
-        #: For each function (min-hash, first run, run after the last) of the windows to match near copies in.  Left out
+        #: For each function (window, first run, run after the last) of the windows to match near copies in.  Left out
         #: are those that one earlier document has word for word, with a window around them, to be matched in their place.
         self.spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for l, c, r, value in windows:
-            first = np.maximum(l, c - REACH * passage)
-            after = np.minimum(c + REACH * passage, r + SHINGLE - LOOK) + 1
+            first, after = _span(l, c, r, passage)
             last = after + LOOK - 1 - passage
-            on = (source[first] == _NONE) | (changes[last + 1] != changes[first + 1])
-            self.spans.append((value[on], first[on], after[on]))
+            on = np.flatnonzero((source[first] == _NONE) | (changes[last + 1] != changes[first + 1]))
+            self.spans.append((on, first[on], after[on]))
 
 
 def _two_owners(level: int, keys: np.ndarray, where: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
@@ -327,14 +352,21 @@ def _need(similarity: float) -> float:
 
 
 def _near(at: np.ndarray, partner: np.ndarray, unit: int, need: float, shortest: int, gap: int = GAP) -> list[tuple[int, int, int]]:
+    """The rows of ``_stretches``."""
+    return list(zip(*(x.tolist() for x in _stretches(at, partner, unit, need, shortest, gap)), strict=True))
+
+
+def _stretches(at: np.ndarray, partner: np.ndarray, unit: int, need: float, shortest: int,
+               gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, word after, partner) of stretches of ``shortest`` words at least whose shingles, those of the runs
     of ``unit`` words that begin at ``at``, match one partner closely enough."""
     if not len(at):
-        return []
-    order = np.lexsort((at, partner))
-    at, partner = at[order], partner[order]
+        return at, at, partner
+    if not ((partner[1:] > partner[:-1]) | ((partner[1:] == partner[:-1]) & (at[1:] >= at[:-1]))).all():
+        order = np.lexsort((at, partner))
+        at, partner = at[order], partner[order]
     step = np.diff(at)
-    parts = np.concatenate(([True], (np.diff(partner) != 0) | (step > gap)))
+    parts = np.concatenate(([True], (partner[1:] != partner[:-1]) | (step > gap)))
     heads = np.flatnonzero(parts | np.concatenate(([True], step > 1)))
     begin, end = at[heads], at[np.append(heads[1:], len(at)) - 1] + unit
     matched = np.concatenate(([0], np.cumsum(end - begin - SHINGLE + 1)))
@@ -343,25 +375,47 @@ def _near(at: np.ndarray, partner: np.ndarray, unit: int, need: float, shortest:
     left, right = begin[first], end[after - 1]
     total, long = matched[after] - matched[first], right - left >= shortest
     whole = total >= need * (right - left - SHINGLE + 1) - 1e-9
-    possible = np.flatnonzero(long & (whole | (total >= need * (shortest - SHINGLE + 1) - 1e-6)))
-    out = []
-    for l, r, p, a, z, all_of_it in zip(*(x[possible].tolist() for x in (left, right, partner[heads[first]], first, after, whole)), strict=True):
-        if all_of_it:
-            out.append((l, r, p))
-            continue
-        # The longest stretch from each run i to a run j that matches well enough:
-        # matched(i..j) >= need * shingles(i..j), with the terms of j and of i on two sides.
-        upto = matched[a + 1:z + 1] - need * end[a:z]
-        best = np.maximum.accumulate(upto[::-1])  # of the last runs; its first place above a bound is the largest j
-        bound = matched[a:z] - need * (begin[a:z] + SHINGLE - 1) - 1e-9
-        last = z - a - 1 - np.searchsorted(best, bound, "left")
-        reach = -1
-        for i in np.flatnonzero((last >= np.arange(z - a)) & (end[a + last] - begin[a:z] >= shortest)).tolist():
-            j = int(last[i])
-            if j > reach:  # stretches may overlap; those inside another are left out
-                out.append((int(begin[a + i]), int(end[a + j]), p))
-                reach = j
-    return out
+    possible = long & (whole | (total >= need * (shortest - SHINGLE + 1) - 1e-6))
+    # The longest stretch from each run i to a run j that matches well enough:
+    # matched(i..j) >= need * shingles(i..j), with the terms of j and of i on two sides.
+    upto, bound = matched[1:] - need * end, matched[:-1] - need * (begin + SHINGLE - 1) - 1e-9
+    found = [(first[possible & whole], after[possible & whole] - 1)]
+    parted = np.flatnonzero(possible & ~whole)
+    size = after[parted] - first[parted]
+    parted = parted[np.argsort(size, kind="stable")]
+    size = np.sort(size)
+    i = 0
+    while i < len(parted):  # parts of about the same number of runs at once
+        width = 1 << int(size[i] - 1).bit_length()
+        j = min(int(np.searchsorted(size, width, "right")), i + max(1, SQUARES // width))
+        found.append(_longest(first[parted[i:j]], size[i:j], begin, end, upto, bound, shortest))
+        i = j
+    head, tail = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(head)
+    head, tail = head[order], tail[order]
+    return begin[head], end[tail], partner[heads[head]]
+
+
+def _longest(first: np.ndarray, size: np.ndarray, begin: np.ndarray, end: np.ndarray, upto: np.ndarray, bound: np.ndarray,
+             shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last runs of the stretches in parts of ``size`` runs from ``first`` on, a row of runs for each part."""
+    runs = np.arange(size.max())
+    inside = runs < size[:, None]
+    place = np.where(inside, first[:, None] + runs, 0)
+    best = np.maximum.accumulate(np.where(inside, upto[place], -np.inf)[:, ::-1], 1)[:, ::-1]  # of the runs from each on
+    asked = np.where(inside, bound[place], np.inf)
+    # The largest j above a bound, by halving: ``best`` descends.
+    low, high = np.full(place.shape, -1), np.full(place.shape, len(runs))
+    row = np.arange(len(size))[:, None]
+    while (high - low > 1).any():
+        middle = np.maximum(low + high >> 1, 0)
+        enough = (best[row, middle] >= asked) & (high - low > 1)
+        low, high = np.where(enough, middle, low), np.where(enough | (high - low <= 1), high, middle)
+    ok = (low >= runs) & (end[first[:, None] + np.maximum(low, 0)] - begin[place] >= shortest)
+    reach = np.maximum.accumulate(np.where(ok, low, -1), 1)
+    ok[:, 1:] &= low[:, 1:] > reach[:, :-1]  # stretches may overlap; those inside another are left out
+    r, i = np.nonzero(ok)
+    return first[r] + i, first[r] + low[r, i]
 
 
 def _least(passage: int, similarity: float) -> float:
@@ -415,9 +469,9 @@ def _credited(b: _Block, at: np.ndarray, partner: np.ndarray, passage: int, simi
 
 
 def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage: int,
-             similarity: float) -> tuple[list[tuple], _Copies, dict[int, list[tuple[int, int, int]]]]:
-    """For each function, of the windows that a near copy can stand in: min-hash, first shingle, the one after the last, and
-    whether a partner is looked for; and what the lookups tell at once, runs and near copies by text.
+             similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], _Copies, dict[int, list[tuple[int, int, int]]]]:
+    """For each function, the windows that a near copy can stand in, and whether a partner is looked for; and what the
+    lookups tell at once, runs and near copies by text.
 
     Left out are windows whose runs found elsewhere hold too few shingles, and those that ``_Copies`` leaves out.
     """
@@ -438,9 +492,9 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
     def hoped(at: np.ndarray) -> np.ndarray:
         """The words of near copies, if one document had all of ``at``."""
         steps = np.zeros(len(b.hash) + 1, np.int64)
-        for a, z, _ in _near(at, b.text[at], LOOK, share, shortest, WIDE_GAP):
-            steps[a] += 1
-            steps[z] -= 1
+        a, z, _ = _stretches(at, b.text[at], LOOK, share, shortest, WIDE_GAP)
+        np.add.at(steps, a, 1)
+        np.add.at(steps, z, -1)
         return np.cumsum(steps[:-1]) > 0
 
     # What is known from an earlier document is settled, and so is what is known from a later one and can be in no earlier one.
@@ -452,11 +506,10 @@ def _members(b: _Block, windows: list, answers: dict[int, np.ndarray], passage:
     begun = np.concatenate(([0], np.cumsum(elsewhere & ~np.r_[False, elsewhere[:-1]])))
     least = share * (passage - SHINGLE + 1) - 1e-6
     out = []
-    for value, first, after in copies.spans:
+    for window, first, after in copies.spans:
         shared = hits[after] - hits[first] + (LOOK - SHINGLE) * (begun[after] - begun[first + 1] + elsewhere[first])
         on = shared >= least
-        value, first, after = value[on], first[on], after[on]
-        out.append((value, first, after + LOOK - SHINGLE, wanted[after + LOOK - 1] > wanted[first]))
+        out.append((window[on], wanted[after[on] + LOOK - 1] > wanted[first[on]]))
     return out, copies, credited
 
 
@@ -475,6 +528,13 @@ def _known(b: _Block, copies: _Copies, credited: dict[int, list[tuple[int, int,
     return np.unique(np.asarray(found, np.int64).reshape(-1, 6), axis=0)  # equal rows of the table are known alike
 
 
+def _shingles(window: tuple, at: np.ndarray, wanting: np.ndarray, passage: int) -> tuple:
+    """Of the windows ``at``: min-hash, first shingle, the one after the last, and whether a partner is looked for."""
+    l, c, r, value = (x[at] for x in window)
+    first, after = _span(l, c, r, passage)
+    return value, first, after + LOOK - SHINGLE, wanting
+
+
 def _merged(b: _Block, k: int, found: tuple) -> list[tuple[int, int, int, list[tuple[int, int, bool]]]]:
     """The windows of a text that have the same min-hash as one member: (min-hash, mark, text, spans).
 
@@ -505,15 +565,19 @@ def _merged(b: _Block, k: int, found: tuple) -> list[tuple[int, int, int, list[t
 
 
 def _asked(text: str, ranges: int, passage: int, functions: int, similarity: float):
-    """Sends the min-hashes of members, with how many there are and whether one looks for partners, and the members' marks."""
+    """Sends the min-hashes of members, with how many there are and whether one looks for partners, and the members' marks.
+
+    What the lookups tell without partners, and which windows are wanted, comes back to the block: no lookup is read again.
+    """
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return blocks.SENT_ARROW.empty_table()
         b = _Block(table, text, ranges)
-        found, _, _ = _members(b, b.known_windows(answers, passage, functions), _answers(answers, [_RUNS, _UNITS]), passage, similarity)
+        windows = b.known_windows(answers, passage, functions)
+        found, copies, credited = _members(b, windows, _answers(answers, [_RUNS, _UNITS]), passage, similarity)
         levels, marks, owners = [], [], []
-        for k, windows in enumerate(found):
-            members = _merged(b, k, windows)
+        for k, window in enumerate(windows):
+            members = _merged(b, k, _shingles(window, *found[k], passage))
             if members:
                 keys, at = np.unique(np.asarray([v for v, _, _, _ in members], U64), return_inverse=True)
                 looks = np.bincount(at, [any(w for _, _, w in spans) for _, _, _, spans in members]) > 0
@@ -526,7 +590,10 @@ def _asked(text: str, ranges: int, passage: int, functions: int, similarity: flo
             each, owner = each[order], owner[order]
             new = np.r_[True, each[1:] != each[:-1]]
             levels.append((_MARKS, each[new], owner[new]))
-        return blocks.send(b.block, ranges, levels)
+        return pa.concat_tables([blocks.send(b.block, ranges, levels), blocks.own([
+            (b.block, _KNOWN, blocks.planes(_known(b, copies, credited, passage))),
+            *((b.block, _WANTED + k, blocks.planes((2 * np.diff(at, prepend=0) + wanting).astype("<u4")))
+              for k, (at, wanting) in enumerate(found))])])
     return run
 
 
@@ -562,11 +629,13 @@ def _members_sent(text: str, ranges: int, passage: int, functions: int, similari
         rows: list[tuple] = []
         if len(table):
             b = _Block(table, text, ranges)
-            found, copies, credited = _members(b, b.known_windows(answers, passage, functions), _answers(answers, [_RUNS, _UNITS]), passage, similarity)
-            known = _known(b, copies, credited, passage)
+            known = blocks.joined(_of(answers, [_ASKED + _KNOWN]), {_ASKED + _KNOWN: "<i8"}, {_ASKED + _KNOWN: 6})[_ASKED + _KNOWN]
             if len(known):
                 rows.append((-1 - b.block, _KNOWN, None, known.tobytes(), None, None, b.block, None, 0))
-            members = [_merged(b, k, windows) for k, windows in enumerate(found)]
+            levels = [_ASKED + _WANTED + k for k in range(functions)]
+            wanted = blocks.joined(_of(answers, levels), dict.fromkeys(levels, "<u4"))
+            members = [_merged(b, k, _shingles(window, np.cumsum(wanted[level] >> 1), wanted[level] & 1, passage))
+                       for k, (level, window) in enumerate(zip(levels, b.known_windows(answers, passage, functions), strict=True))]
             levels = [_ASKED + k for k in (*range(functions), _MARKS)]
             told = blocks.joined(_of(answers, levels), dict.fromkeys(levels, "<i8"))
             marks = np.unique(np.asarray([m for x in members for _, m, _, _ in x], U64))
@@ -575,6 +644,8 @@ def _members_sent(text: str, ranges: int, passage: int, functions: int, similari
             for k, x in enumerate(members):
                 values = np.unique(np.asarray([v for v, _, _, _ in x], U64))
                 sides = dict(zip(values.tolist(), told[_ASKED + k].tolist(), strict=True))
+                with np.errstate(over="ignore"):
+                    alone = dict(zip(values.tolist(), (mix(values + U64(k)) % U64(ranges * RANGE_TASKS)).tolist(), strict=True))
                 for v, mark, t, spans in x:
                     side, owner = sides[v], int(b.owner[t])
                     if not side or lowest[mark] < owner:
@@ -586,9 +657,11 @@ def _members_sent(text: str, ranges: int, passage: int, functions: int, similari
                     if wants:
                         squares |= {(own, y): _SEEKER for y in range(side)} | {(own, own): _BOTH}
                     for (x, y), looks in squares.items():
+                        if side == 1:
+                            rows.append((alone[v], k, v - (v >> 63 << 64), held, places, owner, b.block, int(signs[t]), looks))
+                            continue
                         number = int(mix(np.asarray([v + 4 * side * (x * side + y) * 0x9E3779B97F4A7C15 + k & (1 << 64) - 1], U64))[0])
-                        task = number % (ranges * RANGE_TASKS) if side == 1 else (1 << 62) + (number >> 2)
-                        rows.append((task, k, v - (v >> 63 << 64), held, places, owner, b.block, int(signs[t]), looks))
+                        rows.append(((1 << 62) + (number >> 2), k, v - (v >> 63 << 64), held, places, owner, b.block, int(signs[t]), looks))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
     return run
@@ -632,24 +705,22 @@ def _compared(passage: int, similarity: float):
             keys = mix(grams(words, SHINGLE)[np.repeat(begin, many) + ramp] ^ group[row][span])
         names, owner = np.unique(table["owner"].to_numpy(), return_inverse=True)
         owner, looks = owner[row], table["looks"].to_numpy()[row]
+        # Shingles go by their rank, and each has its holders, ascending, from ``begins`` on.
+        keys = _ranks(keys)
         held = np.flatnonzero((looks != _SEEKER)[span])
-        order = held[np.lexsort((owner[span[held]], keys[held]))]
-        have, holder = keys[order], owner[span[order]]
-        if not len(have):
-            return
-        new = np.r_[True, (have[1:] != have[:-1]) | (holder[1:] != holder[:-1])]
-        have, holder = have[new], holder[new]
-        starts = np.flatnonzero(np.r_[True, have[1:] != have[:-1]])
-        each, ends = have[starts], np.r_[starts[1:], len(have)]
         seek = np.flatnonzero(((looks != _PARTNER) & (wants > 0))[span])
-        if not len(seek):
+        if not len(held) or not len(seek):
             return
-        at = np.minimum(np.searchsorted(each, keys[seek]), len(each) - 1)
-        shared = each[at] == keys[seek]
-        seek, low, some = seek[shared], starts[at[shared]], (ends - starts)[at[shared]]
+        bits = len(names).bit_length()
+        have = np.sort(keys[held] << bits | owner[span[held]])
+        have = have[np.r_[True, have[1:] != have[:-1]]]
+        holder, holders = have & (1 << bits) - 1, np.bincount(have >> bits, minlength=int(keys.max()) + 1)
+        begins = np.cumsum(holders) - holders
+        seek = seek[holders[keys[seek]] > 0]
+        low, some = begins[keys[seek]], holders[keys[seek]]
         blocked, owners, signs = (table[c].to_numpy() for c in ("block", "owner", "sign"))
         first = np.flatnonzero(np.r_[True, span[seek][1:] != span[seek][:-1]]) if len(seek) else seek
-        total = np.r_[0, np.cumsum(some)]
+        total, step = np.r_[0, np.cumsum(some)], int(many.max()).bit_length()
         i = 0
         while i < len(first):  # whole spans, up to MATCHED shared shingles
             j = max(i + 1, int(np.searchsorted(total[np.r_[first[1:], len(seek)]], total[first[i]] + MATCHED, "right")))
@@ -659,19 +730,19 @@ def _compared(passage: int, similarity: float):
             partner = holder[np.repeat(low[part], n) + _ramps(n)]
             mine, where = np.repeat(each_span, n), np.repeat(ramp[seek[part]], n)
             other = partner != owner[mine]
-            partner, mine, where = partner[other], mine[other], where[other]
-            order = np.argsort(mine * len(names) + partner, kind="stable")
-            partner, mine, where = partner[order], mine[order], where[order]
-            cuts = np.flatnonzero((np.diff(mine) != 0) | (np.diff(partner) != 0)) + 1
-            size = np.diff(cuts, prepend=0, append=len(mine))
+            found = np.sort((mine[other] << bits | partner[other]) << step | where[other])
+            pair, where = found >> step, found & (1 << step) - 1
+            cuts = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+            size = np.diff(cuts, prepend=0, append=len(pair))
             could = np.repeat(size >= least, size)
-            last, covered = -1, np.zeros(0, bool)
-            for x, y, both in _near(where[could], (mine * len(names) + partner)[could], SHINGLE, need, passage):
-                s, p = divmod(both, len(names))
+            last, covered = -1, []
+            for x, y, both in _near(where[could], pair[could], SHINGLE, need, passage):
+                s, p = both >> bits, both & (1 << bits) - 1
                 if s != last:
-                    last, covered = s, np.zeros(many[s] + SHINGLE, bool)
-                if not covered[x:y].all():
-                    covered[x:y] = True
+                    last, covered = s, []
+                if not any(a <= x and y <= z for a, z in covered):
+                    met = [(x, y), *(w for w in covered if w[0] <= y and x <= w[1])]  # what meets is one stretch
+                    covered = [w for w in covered if w not in met] + [(min(a for a, _ in met), max(z for _, z in met))]
                     r = int(row[s])
                     out.setdefault(int(blocked[r]), []).append((owners[r], signs[r], place[s] + x, place[s] + y, names[p]))
     return run
@@ -746,7 +817,7 @@ def _found(dealt: DataFrame, ranges: int, text: str, passage: int, similarity: f
     units = told(met(runs, _units_sent(text, ranges, passage, functions), blocks.SENT), _two_owners, 2)
     both = runs.unionByName(units)
     asked = told(met(both, _asked(text, ranges, passage, functions, similarity), blocks.SENT), _groups, 1)
-    members = met(both.unionByName(asked.withColumn("level", F.col("level") + _ASKED)),
+    members = met(runs.unionByName(asked.withColumn("level", F.col("level") + _ASKED)),
                   _members_sent(text, ranges, passage, functions, similarity), _MEMBER)
     answers = members.groupBy("task").applyInArrow(_compared(passage, similarity), blocks.ANSWER)
 

@@ -14,6 +14,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTES = np.arange(256)
 #: A-Z lower-cased, other bytes as they are.
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_LOWER_VALUES = LOWER.astype(U64) + U64(1)
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 WORD_BYTES = ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122)) | (_BYTES >= 128)
 #: Bytes of tokens [^\x20\x09-\x0D]+.
@@ -43,7 +44,7 @@ _TABLES = _Tables()
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for n bytes at least."""
-    size = 1 << max(16, (n - 1).bit_length())
+    size = max([1 << max(16, (n - 1).bit_length()), *(x for x in _TABLES if x <= STRETCH + 2)])  # a longer one does as well
     if size not in _TABLES:
         with np.errstate(over="ignore"):
             up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INV, U64)
@@ -94,7 +95,7 @@ class Words:
         with np.errstate(over="ignore"):
             up, down = powers(n + 1)
             self._sum = np.zeros(n + 1, U64)
-            np.cumsum((LOWER[data].astype(U64) + U64(1)) * up[:n], dtype=U64, out=self._sum[1:])
+            np.cumsum(_LOWER_VALUES[data] * up[:n], dtype=U64, out=self._sum[1:])
             self._down = down
             self.hash = mix((self._sum[self.end] - self._sum[self.start]) * down[self.start]
                             + (self.end - self.start).astype(U64))
@@ -114,10 +115,16 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
+    base, many = 0xD6E8FEB86659FD93, len(hashes)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, U64)
-        for j in range(size):
-            out = out * U64(0xD6E8FEB86659FD93) + hashes[j:j + n]
+        # Horner's sum of a run from the sums of its halves, bit by bit of ``size``.
+        out, held = hashes, 1
+        for bit in bin(size)[3:]:
+            out = out[:many - 2 * held + 1] * U64(pow(base, held, 1 << 64)) + out[held:]
+            held *= 2
+            if bit == "1":
+                out = out[:many - held] * U64(base) + hashes[held:]
+                held += 1
     return mix(out)
 
 

@@ -2,9 +2,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from llm_cases import make, sentence, words
 
 from lakestone.llm import substring as S
+from lakestone.llm.textops import grams, mix
 
 
 def test_compact_windows_are_the_wide_nodes_of_the_cartesian_tree():
@@ -167,3 +169,83 @@ def test_near_copies_with_edits_at_any_distance(spark):
     lost = [i for i in pairs if not any(p.first_doc == i and p.end_word - p.start_word >= 50 for p in got[i + 1])]
     assert len(pairs) > 100 and len(lost) <= 0.01 * len(pairs) + 1, (len(pairs), lost)
     assert not any(p.first_doc not in (i, i ^ 1) for i in got for p in got[i])
+
+
+def test_grams_are_horner_sums():
+    h = np.random.default_rng(3).integers(0, 1 << 64, 80, dtype=np.uint64, endpoint=False)
+    for size in (1, 2, 3, 5, 10, 46, 50, 80, 81):
+        want = []
+        for i in range(len(h) - size + 1):
+            x = 0
+            for v in h[i:i + size].tolist():
+                x = (x * 0xD6E8FEB86659FD93 + v) % (1 << 64)
+            want.append(x)
+        assert grams(h, size).tolist() == mix(np.asarray(want, np.uint64)).tolist()
+
+
+def longest_by_trial(at, unit, need, shortest, gap):
+    """Stretches of one partner, from each run on the longest that matches, without those inside another."""
+    runs = []
+    for a in at:
+        if runs and a == runs[-1][1] + 1:
+            runs[-1][1] = a
+        else:
+            runs.append([a, a])
+    parts, out = [], []
+    for a, z in runs:
+        if parts and a - parts[-1][-1][1] + unit <= gap + unit:
+            parts[-1].append((a, z))
+        else:
+            parts.append([(a, z)])
+    for part in parts:
+        reach = -1
+        for i in range(len(part)):
+            for j in range(len(part) - 1, max(i, reach + 1) - 1, -1):
+                left, right = part[i][0], part[j][1] + unit
+                found = sum(z - a + unit - S.SHINGLE + 1 for a, z in part[i:j + 1])
+                if found >= need * (right - left - S.SHINGLE + 1) - 1e-9:
+                    if right - left >= shortest:
+                        out.append((left, right))
+                        reach = j
+                    break
+    return out
+
+
+def test_stretches_equal_trial_of_all_runs():
+    rng = np.random.default_rng(5)
+    found = 0
+    for n in (1, 4, 30, 200):
+        for _ in range(12):
+            lists = [np.flatnonzero(np.repeat(rng.random(n) < 0.7, rng.integers(1, 14, n))) for _ in range(4)]
+            at, partner = np.concatenate(lists), np.repeat(np.arange(4), [len(x) for x in lists])
+            mixed = rng.permutation(len(at))
+            got = S._near(at[mixed], partner[mixed], S.SHINGLE, 0.85, 50)
+            want = [(a, z, p) for p, x in enumerate(lists) for a, z in longest_by_trial(x.tolist(), S.SHINGLE, 0.85, 50, S.GAP)]
+            assert sorted(got) == sorted(want)
+            found += len(got)
+    assert found > 20
+
+
+def test_only_runs_with_a_window_found_under_every_function_are_looked_up():
+    """Chance hits of single functions ask for nothing; every run that stands elsewhere is still asked for."""
+    rng = random.Random(21)
+    passage = sentence(rng, 70, 3000)
+    rows = [(i, f"{sentence(rng, 90, 3000)} {passage if i < 2 else ''} {sentence(rng, 90, 3000)}") for i in range(3)]
+    docs = pa.table({"_block": [0] * 3, "_owner": [i for i, _ in rows], "_mark": [0] * 3, "text": [t for _, t in rows]})
+    b = S._Block(docs, "text", 1)
+    windows = b.windows(50, 3)
+    assert len(b.run_places(windows, 50)) == b.room(50).sum()
+    alone = [windows[0], *(tuple(x[:0] for x in w) for w in windows[1:])]
+    assert not len(b.run_places(alone, 50))
+    hits = b.hits(windows, {k: S._two_owners(k, *_lookup(b, w))[0] for k, w in enumerate(windows)})
+    asked = set(b.run_places(hits, 50).tolist())
+    runs = defaultdict(list)
+    for p in np.flatnonzero(b.room(50)).tolist():
+        runs[b.hash[p:p + 50].tobytes()].append(p)
+    repeated = {p for x in runs.values() for p in x if len({int(b.text[p]) for p in x}) > 1}
+    assert len(repeated) == 2 * 21 and repeated <= asked
+
+
+def _lookup(b, window):
+    keys, values = b.owners(window[3], window[1])
+    return keys, [np.arange(len(keys))], [values]
